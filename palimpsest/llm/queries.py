@@ -7,10 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import public_tokenizers
+
+from palimpsest.llm.bpe import encode
 from palimpsest.llm.minhash import near_duplicates
+from palimpsest.llm.packing import pack
 from palimpsest.llm.substrings import remove_repeats
 
 
+#: The tokenizer file that the queries read, the same on every machine.
+TOKENIZER = "word_bpe_49k.json"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -24,8 +32,18 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), length=2048, end=0)
+
+
+def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = encode(table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path(TOKENIZER), decode=True)
+    ids = F.sha2(F.concat_ws(" ", F.col("ids").cast("array<string>")), 256)
+    return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), ids.alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_minhash_near_dedup, op6_substring_dedup)}
+    return {f.__name__: f for f in (op5_minhash_near_dedup, op6_substring_dedup, op7_best_fit_packing, op9_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
