@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 import public_tokenizers
 
 from palimpsest.llm.bpe import encode
+from palimpsest.llm.caps import near_vectors
 from palimpsest.llm.minhash import near_duplicates
 from palimpsest.llm.packing import pack
 from palimpsest.llm.substrings import remove_repeats
+from palimpsest.llm.topk import exact_top_k
 
 
 #: The tokenizer file that the queries read, the same on every machine.
@@ -23,6 +25,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    finite = "embedding is not null and not exists(embedding, x -> x is null or isnan(x) or abs(x) = double('infinity'))"
+    rows = table(spark, sf_dir, "embeddings").filter(finite)
+    rows = rows.select(F.col("vec_id").alias("id"), F.transform("embedding", lambda x: F.floor(x.cast("double") * 1024)).alias("v"))
+    return exact_top_k(rows, rows.filter("id % 100 = 0"), k=10)
+
+
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), k=4, percent=80)
 
@@ -36,6 +45,10 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), length=2048, end=0)
 
 
+def op8_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(table(spark, sf_dir, "embeddings"), cosine=0.95)
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = encode(table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path(TOKENIZER), decode=True)
     ids = F.sha2(F.concat_ws(" ", F.col("ids").cast("array<string>")), 256)
@@ -43,8 +56,22 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_minhash_near_dedup, op6_substring_dedup, op7_best_fit_packing, op9_bpe)}
+    return {f.__name__: f for f in (op1_exact_top_k, op5_minhash_near_dedup, op6_substring_dedup, op7_best_fit_packing, op8_embedding_near_dedup, op9_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op1_exact_top_k": """
+            WITH v AS (
+                SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+                FROM embeddings
+                WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+            ), s AS (
+                SELECT q.vec_id AS query_id, c.vec_id,
+                    CAST(list_sum(list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * c.v[i])) AS BIGINT) AS score
+                FROM v q JOIN v c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id
+            ), r AS (
+                SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s
+            )
+            SELECT * FROM r WHERE rank <= 10""",
+    }
