@@ -15,6 +15,7 @@ from palimpsest.llm.chat import format_chats, loss_text, parse_chats
 from palimpsest.llm import licenses
 from palimpsest.llm.minhash import near_duplicates
 from palimpsest.llm.packing import pack
+from palimpsest.llm.secrets import find_secrets
 from palimpsest.llm.substrings import remove_repeats
 from palimpsest.llm.topk import exact_top_k
 
@@ -38,6 +39,15 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, sf_dir, "documents").select("doc_id", "text"), licenses.known_licenses(spark)).drop("text")
 
 
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    said = lambda s: F.concat_ws(":", s.kind, s.start.cast("string"), s.end.cast("string"))
+    base = F.filter("secrets", lambda s: s.kind != "format")
+    count = lambda kind: F.size(F.filter("secrets", lambda s: s.kind == kind)).cast("long").alias(f"n_{kind}")
+    spans = F.array_join(F.transform("secrets", said), ",").alias("spans")
+    return out.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(F.array_join(F.transform(base, said), ","), 256).alias("base_sha256"), spans)
+
+
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), k=4, percent=80)
 
@@ -78,7 +88,7 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_top_k, op2_license_scan, op5_minhash_near_dedup, op6_substring_dedup, op7_best_fit_packing, op8_embedding_near_dedup, op9_bpe, op10_chat_format)}
+    return {f.__name__: f for f in (op1_exact_top_k, op2_license_scan, op3_secret_scan, op5_minhash_near_dedup, op6_substring_dedup, op7_best_fit_packing, op8_embedding_near_dedup, op9_bpe, op10_chat_format)}
 
 
 def oracle_sql() -> dict[str, str]:
