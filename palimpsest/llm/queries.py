@@ -18,6 +18,7 @@ from palimpsest.llm.packing import pack
 from palimpsest.llm.secrets import find_secrets
 from palimpsest.llm.substrings import remove_repeats
 from palimpsest.llm.topk import exact_top_k
+from palimpsest.llm.toxicity import fit_toxicity, held_out
 
 
 #: The tokenizer file that the queries read, the same on every machine.
@@ -48,6 +49,12 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(F.array_join(F.transform(base, said), ","), 256).alias("base_sha256"), spans)
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = fit_toxicity(docs, table(spark, sf_dir, "labels")).score(docs)
+    return out.select("doc_id", held_out().alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
+
+
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), k=4, percent=80)
 
@@ -88,7 +95,7 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_top_k, op2_license_scan, op3_secret_scan, op5_minhash_near_dedup, op6_substring_dedup, op7_best_fit_packing, op8_embedding_near_dedup, op9_bpe, op10_chat_format)}
+    return {f.__name__: f for f in (op1_exact_top_k, op2_license_scan, op3_secret_scan, op4_toxicity, op5_minhash_near_dedup, op6_substring_dedup, op7_best_fit_packing, op8_embedding_near_dedup, op9_bpe, op10_chat_format)}
 
 
 def oracle_sql() -> dict[str, str]:
