@@ -10,11 +10,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.components import connected_components
+from palimpsest.llm.components import connected_components, union_find
 from palimpsest.llm.scratch import cut
 from palimpsest.llm.words import U, mix, of_text, split_words, windows
 
 SLOTS, BANDS = 512, 64
+#: Documents of a tile's side.
+TILE = 256
 _FULL = U(2**64 - 1)
 
 
@@ -164,6 +166,53 @@ def _sizes_fit(a: str, b: str, percent: int) -> Column:
     return F.least(a, b) * 100 >= F.greatest(a, b) * percent
 
 
+def _links_in_tile(rows: pa.Table, percent: int) -> pa.Table:
+    """Ties each document of a tile to the least that it reaches by links between the tile's two sides."""
+    rows = rows.combine_chunks().sort_by("id")
+    ids, first_side = rows.column("id").to_numpy(), rows.column("x").to_numpy(zero_copy_only=False)
+    sets = [np.frombuffer(v.as_buffer(), U) for v in rows.column("items")]
+    sizes = np.array([len(v) for v in sets], np.int64)
+    x, y = np.flatnonzero(first_side), np.flatnonzero(~first_side)
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    items = np.concatenate(sets) if sets else np.empty(0, U)
+    kept = np.isin(items, np.intersect1d(items[first_side[owner]], items[~first_side[owner]]))
+    value, at = np.unique(items[kept], return_inverse=True)
+    owner = owner[kept]
+    shared = np.zeros((len(x), len(y)), np.int64)
+    for i in range(0, len(value), 8192):
+        held = np.zeros((len(sets), min(8192, len(value) - i)), np.float32)
+        inside = (at >= i) & (at < i + 8192)
+        held[owner[inside], at[inside] - i] = 1
+        shared += (held[x] @ held[y].T).astype(np.int64)
+    linked = 100 * shared >= percent * (sizes[x][:, None] + sizes[y][None, :] - shared)
+    a, b = np.nonzero(linked & (ids[x][:, None] != ids[y][None, :]))
+    node, least = union_find(ids[x[a]], ids[y[b]])
+    return pa.table({"a": pa.array(node, pa.int64()), "b": pa.array(least, pa.int64())})
+
+
+def _tiled(unsettled: DataFrame, sets: DataFrame, percent: int, side: int = TILE) -> DataFrame:
+    """All links that could still join two components, as ties (a, b).
+
+    Documents that share buckets, however indirectly, form a cluster; those outside its largest component are held
+    against all its members, in tiles of about ``side`` by ``side`` documents, so no pairs are written out.
+    """
+    clusters = cut(connected_components(unsettled, "id", "centre"), "clusters")
+    docs = unsettled.select("id", "part").distinct().join(clusters.select(F.col("node").alias("id"), F.col("component").alias("cluster")), "id")
+    main = docs.groupBy("cluster", "part").agg(F.count("*").alias("n")).groupBy("cluster").agg(F.max_by("part", F.struct("n", "part")).alias("main"), F.sum("n").alias("ny"), F.max("n").alias("n"))
+    sides = main.select("cluster", "main", F.ceil((F.col("ny") - F.col("n")) / side).alias("sx"), F.ceil(F.col("ny") / side).alias("sy"))
+    docs = cut(docs.join(sides, "cluster"), "clustered")
+    tiles = []
+    for x, own, other in ((True, "sx", "sy"), (False, "sy", "sx")):
+        mine, theirs = F.pmod(F.xxhash64("id"), F.col(own)).alias("mine"), F.explode(F.sequence(F.lit(0).cast("long"), F.col(other) - 1)).alias("theirs")
+        placed = (docs.filter("part <> main") if x else docs).select("id", "cluster", mine, theirs)
+        tiles.append(placed.select("id", "cluster", *(F.col(c).alias(v) for c, v in zip(("mine", "theirs") if x else ("theirs", "mine"), "ij", strict=True)), F.lit(x).alias("x")))
+
+    def tile(rows: pa.Table) -> pa.Table:
+        return _links_in_tile(rows, percent)
+
+    return cut(tiles[0].union(tiles[1]).join(sets, "id").groupBy("cluster", "i", "j").applyInArrow(tile, "a long, b long"), "links")
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, slots: int = SLOTS, bands: int = BANDS) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of ``docs`` (doc_id long, text string).
 
@@ -174,9 +223,10 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, slots: int =
 
     Documents with equal sets fold to one representative first, so large groups of copies cost one row.  The rest
     share a band with probability 1 - (1 - s ** (slots / bands)) ** bands at similarity s (over 0.99999 at 0.8).
-    Within a band's bucket every member is compared with one or two centres, never all pairs; only members which then
-    still lie in different components are compared with each other, so no link is lost to the shortcut and the work is
-    linear in a group of near copies.  All comparisons use the full sets.
+    Each document is first compared with one or two centres of its buckets.  Only where buckets then still hold
+    several components are the documents outside the largest one compared with all others of the cluster, in tiles of
+    bounded size; no link is lost to the shortcut, and no pairs of a group are written out.  All comparisons use the
+    full sets.
     """
     spark = docs.sparkSession
     table = docs.select("doc_id", "text")
@@ -202,18 +252,15 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, slots: int =
         found = found.join(sets.select(F.col("id").alias("a"), F.col("items").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("items").alias("y")), "b")
         return cut(found.select("a", "b", "x", "y").mapInArrow(partial(_linked, percent=percent), "a long, b long"), name)
 
-    links, parts = None, None
-    for side in ("c", "d"):
-        # The second round compares with each bucket's other end, where the first has left two components.
-        now = members if parts is None else _unsettled(members, parts).filter("part <> part_d").select(*members.columns)
-        pairs = now.filter((F.col("id") != F.col(f"{side}.id")) & _sizes_fit("n", f"{side}.n", percent)).select(F.least("id", f"{side}.id").alias("a"), F.greatest("id", f"{side}.id").alias("b"))
-        more = verified(pairs, "links")
-        links = more if links is None else links.union(more)
-        parts = cut(connected_components(links), "parts")
-    rest = _unsettled(members, parts).select("key", "id", "n", "part", (F.col("id").isin([]) | (F.col("id") == F.col("c.id"))).alias("centre"))
-    x, y = (rest.select("key", *(F.col(v).alias(f"{v}_{s}") for v in ("id", "n", "part", "centre"))) for s in "xy")
-    pairs = x.join(y, "key").filter("id_x < id_y and part_x <> part_y and not centre_x and not centre_y").filter(_sizes_fit("n_x", "n_y", percent))
-    more = verified(pairs.select(F.col("id_x").alias("a"), F.col("id_y").alias("b")), "links")
+    # Each document is held against one centre, the least of its buckets', and then, where that left two components
+    # in a bucket, against another one.
+    centred = members.filter((F.col("id") != F.col("c.id")) & _sizes_fit("n", "c.n", percent)).groupBy("id").agg(F.min("c.id").alias("a"))
+    links = verified(centred.select("a", F.col("id").alias("b")), "links")
+    parts = cut(connected_components(links), "parts")
+    apart = _unsettled(members, parts).filter((F.col("part") != F.col("part_d")) & (F.col("id") != F.col("d.id")) & _sizes_fit("n", "d.n", percent))
+    links = links.union(verified(apart.groupBy("id").agg(F.max("d.id").alias("a")).select("a", F.col("id").alias("b")), "links"))
+    parts = cut(connected_components(links), "parts")
+    more = _tiled(cut(_unsettled(members, parts).select("id", "part", F.col("c.id").alias("centre")), "unsettled"), sets, percent)
     if not more.isEmpty():
         parts = cut(connected_components(links.union(more)), "parts")
     named = same.agg(F.min("doc_id").alias("node")).join(parts, "node", "left").select("n_shingles", "d1", "d2", F.coalesce("component", "node").alias("component"))
