@@ -5,11 +5,598 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from palimpsest.functions import text as T
+from palimpsest.functions import validators as V
+from palimpsest.operators import analytics, evaluate, policy, recognise, tables, verify, vote
+from palimpsest.plans import carriers as C
+from palimpsest.plans import oracle as O
+from palimpsest.sources import files
+from palimpsest.streaming import limits
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+_queries: dict[str, Query] = {}
+_sql: dict[str, str] = {}
+#: Patterns whose spans are the same in all dialects on the carriers.
+MAIN = [r for r in recognise.RULES if r.id in ("r01", "r02", "r04", "r08", "r09", "r13", "r16")]
+
+
+def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        _queries[name] = f
+        if sql:
+            _sql[name] = sql
+        return f
+
+    return add
+
+
+def queries() -> dict[str, Query]:
+    return dict(_queries)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_sql)
+
+
+def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# Patterns.
+
+
+def _rule(rule: recognise.Rule, source: str) -> None:
+    src = "SELECT doc_id, text FROM documents" if source == "documents" else C.CARRIER_SQL
+    sql = f'SELECT doc_id, start, "end", entity_type, text, round(score, 4) AS score FROM ({O.candidates(src, [rule])})'
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        docs = read(spark, sf_dir, "documents").select("doc_id", "text") if source == "documents" else C.carriers(spark, sf_dir)
+        return recognise.scan_patterns(docs, [rule]).select("doc_id", "start", "end", "entity_type", "text", F.round("score", 4).alias("score"))
+
+    query(f"{rule.id}_{rule.entity_type.lower()}", sql)(run)
+
+
+for _r in recognise.RULES:
+    _rule(_r, "documents" if _r.id in ("r15", "r10") else "carriers")
+
+
+def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = C.carriers(spark, sf_dir)
+    ords = {r.id: recognise.RULES.index(r) + 1 for r in MAIN}
+    found = recognise.scan_patterns(docs, MAIN)
+    real = F.element_at(F.array(*(F.lit(ords[r.id]) for r in MAIN)), F.col("ord"))
+    return vote.score_context(found.withColumn("ord", real), docs)
+
+
+def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vote.elect(candidates(spark, sf_dir))
+
+
+_CANDIDATES = O.adjusted(O.candidates(C.CARRIER_SQL, MAIN))
+_ENTITIES = O.elected(_CANDIDATES)
+_DECIDED = O.decided(_ENTITIES)
+
+
+@query("c01_c02_context_scores", f'SELECT doc_id, start, "end", entity_type, round(score, 4) AS score FROM ({_CANDIDATES})')
+def c01(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return candidates(spark, sf_dir).select("doc_id", "start", "end", "entity_type", F.round("score", 4).alias("score"))
+
+
+@query("c04_interval_grouping", f'SELECT doc_id, start, "end", entity_type, CAST(grp AS BIGINT) AS grp FROM ({O.grouped(_CANDIDATES)})')
+def c04(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vote.group_spans(candidates(spark, sf_dir)).select("doc_id", "start", "end", "entity_type", "grp")
+
+
+@query("c05_c10_elected_entities", f'SELECT doc_id, start, "end", entity_type, text, round(score, 4) AS score FROM ({_ENTITIES})')
+def c05(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return entities(spark, sf_dir).select("doc_id", "start", "end", "entity_type", "text", F.round("score", 4).alias("score"))
+
+
+@query("c14_type_filter", f"SELECT doc_id, start, text FROM ({_ENTITIES}) WHERE entity_type IN ('PAN_NUMBER', 'EMAIL_ADDRESS')")
+def c14(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return entities(spark, sf_dir).filter(F.col("entity_type").isin("PAN_NUMBER", "EMAIL_ADDRESS")).select("doc_id", "start", "text")
+
+
+@query("r18_upi")
+def r18(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = C.carriers(spark, sf_dir).withColumn("text", F.regexp_replace("text", r"@example\d+\.com", "@okaxis pay"))
+    return recognise.scan_upi(docs).select("doc_id", "start", "end", "text", "score")
+
+
+@query("r19_dates")
+def r19(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), F.concat(F.lit("DOB: "), F.date_format("o_orderdate", "dd/MM/yyyy"), F.lit(" sent 2001-02-03")).alias("text"))
+    return recognise.scan_dates(orders).select("doc_id", "start", "end", "text", "score", "type_locked")
+
+
+@query("r21_fragments")
+def r21(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spread = F.regexp_replace("text", r"(?<=[A-Z0-9])(?=[A-Z0-9]{1,9}\b)", " ")
+    return recognise.scan_fragments(C.carriers(spark, sf_dir).withColumn("text", spread)).select("doc_id", "start", "end", "entity_type", "text", "score")
+
+
+@query("h_hindi_patterns")
+def hindi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.concat(F.lit("आवेदक का नाम: राहुल शर्मा\nआधार संख्या: "), F.lpad((F.col("c_custkey") + 234567890123).cast("string"), 12, "0"), F.lit("\nमोबाइल: 98"), F.lpad(F.col("c_custkey").cast("string"), 8, "0"))
+    docs = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"), text.alias("text"))
+    scored = vote.score_context(recognise.scan_hindi(docs), docs, 80, hindi=True)
+    locked = (F.col("source") == "hindi_regex") & (F.col("score") >= 0.8)
+    return vote.elect(scored, 0.48, locked=locked).select("doc_id", "start", "end", "entity_type", "text", F.round("score", 4).alias("score"))
+
+
+@query("c12_union_languages")
+def c12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = entities(spark, sf_dir)
+    other = found.withColumn("score", F.col("score") - 0.1).withColumn("start", F.greatest(F.col("start") - 2, F.lit(0)))
+    return vote.union_languages(found, other)
+
+
+@query("x09_custom_rules", f"SELECT doc_id, start, \"end\", value AS text FROM ({O.spans(C.CARRIER_SQL, recognise.Rule('x', 'X', 'Customer [0-9]+', .85))})")
+def x09(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return recognise.scan_custom(C.carriers(spark, sf_dir), {"customer": "Customer [0-9]+"}).select("doc_id", "start", "end", "text")
+
+
+# Text and validators.
+
+_ALPHA = "length(text) - length(regexp_replace(text, '[A-Za-z]', '', 'g'))"
+_LETTERS = "greatest(length(text) - length(regexp_replace(text, '\\p{L}', '', 'g')), 1)"
+
+
+@query("n07_script", f"SELECT doc_id, CASE WHEN ({_ALPHA}) / {_LETTERS} > 0.1 THEN 'english' ELSE 'unknown' END AS script FROM documents")
+def n07(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "documents").select("doc_id", T.script(F.col("text")).alias("script"))
+
+
+@query("n02_latin_digits", "SELECT c_custkey AS doc_id, CAST(c_custkey AS VARCHAR) AS digits FROM customer")
+def n02(spark: SparkSession, sf_dir: str) -> DataFrame:
+    deva = F.translate(F.col("c_custkey").cast("string"), T.DIGITS, T.DEVANAGARI_DIGITS)
+    return read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"), T.latin_digits(deva).alias("digits"))
+
+
+@query("n12_scrub", f"""SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{{2,}}', '[EMAIL]', 'g'),
+    '\\b[0-9]{{13,19}}\\b', '[CARD]', 'g'), '\\b[A-Z]{{5}}[0-9]{{4}}[A-Z]\\b', '[PAN]', 'g'), '\\b[0-9]{{4}}[ -]?[0-9]{{4}}[ -]?[0-9]{{4}}\\b', '[AADHAAR]', 'g'), '\\b[6-9][0-9]{{9}}\\b', '[PHONE]', 'g') AS text FROM ({C.CARRIER_SQL})""")
+def n12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.carriers(spark, sf_dir).select("doc_id", T.scrub(F.col("text")).alias("text"))
+
+
+@query("n13_match_key", f"SELECT doc_id, upper(regexp_replace(text, '[\\s\\-_/\\\\.:,]', '', 'g')) AS key FROM ({C.CARRIER_SQL})")
+def n13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.carriers(spark, sf_dir).select("doc_id", T.match_key(F.col("text")).alias("key"))
+
+
+@query("n01_n11_cleaned_and_dense")
+def n01(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "documents").select("doc_id", F.length(T.clean_ocr(F.col("text"))).alias("cleaned"), F.length(T.dense(F.col("text"))).alias("dense"), F.length(T.normalise_ocr(F.col("text"))).alias("normalised"))
+
+
+@query("v00_verhoeff", f"SELECT c_custkey AS id, CAST({O.verhoeff('d')} AS INT) AS residue FROM (SELECT c_custkey, CAST(100000000000 + c_custkey * 7919 AS VARCHAR) AS d FROM customer)")
+def v00(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = (F.col("c_custkey") * 7919 + 100000000000).cast("string")
+    return read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), V.verhoeff_residue(d).alias("residue"))
+
+
+@query("v05_luhn", f"SELECT o_orderkey AS id, {O.luhn('d')} % 10 = 0 AS valid FROM (SELECT o_orderkey, CAST(4000000000000000 + o_orderkey * 7919 AS VARCHAR) AS d FROM orders)")
+def v05(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), V.card_valid((F.col("o_orderkey") * 7919 + 4000000000000000).cast("string")).alias("valid"))
+
+
+@query("v07_v08_fuzzy")
+def v07(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = (F.col("c_custkey") * 7919 + 200000000000).cast("string")
+    return read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), V.fuzzy_aadhaar(F.translate(d, "0", "O")).alias("aadhaar"), V.fuzzy_pan(F.lit("ABCPE1234F")).alias("pan"))
+
+
+@query("v12_char_shape", "SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(substr(text, 1, 40), '\\p{L}', chr(1), 'g'), '\\p{Nd}', chr(2), 'g'), '[^\\x01\\x02]', '?', 'g').replace(chr(1), 'L').replace(chr(2), 'D') AS shape FROM documents")
+def v12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "documents").select("doc_id", V.char_shape(F.substring("text", 1, 40)).alias("shape"))
+
+
+@query("v14_levenshtein", "SELECT s_suppkey AS id, levenshtein(s_name, 'Supplier#000000042') AS d FROM supplier")
+def v14(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.levenshtein("s_name", F.lit("Supplier#000000042")).cast("bigint").alias("d"))
+
+
+@query("v20_sha256", "SELECT page_id, sha256(html) AS digest FROM pages")
+def v20(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "pages").select("page_id", F.sha2("html", 256).alias("digest"))
+
+
+@query("v21_hmac")
+def v21(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "events").select("event_id", V.signature("secret")(F.col("props")).alias("signature"))
+
+
+# Tables and pages.
+
+
+@query("t01_text_tables", f"""
+    WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM ({C.TABLES_SQL})),
+    o AS (SELECT *, coalesce(sum(length(raw) + 1) OVER (PARTITION BY doc_id ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ofs FROM l),
+    c AS (SELECT *, unnest(string_split(raw, '|')) AS cell, generate_subscripts(string_split(raw, '|'), 1) AS i FROM o WHERE line > 2),
+    b AS (SELECT *, ofs + coalesce(sum(length(cell) + 1) OVER (PARTITION BY doc_id, line ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + length(cell) - length(ltrim(cell)) AS s FROM c WHERE i < 4)
+    SELECT doc_id, CAST(s AS INT) AS start, CAST(s + length(trim(cell)) AS INT) AS "end", ['PERSON', 'PHONE_NUMBER', 'BANK_ACCOUNT'][i] AS entity_type, trim(cell) AS text FROM b""")
+def t01(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables.text_tables(C.tables(spark, sf_dir)).select("doc_id", "start", "end", "entity_type", "text")
+
+
+def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("page"), F.coalesce("text", F.lit("")).alias("text"))
+    return tables.page_offsets(rows)
+
+
+_PAGES = """SELECT conv_id AS doc_id, turn AS page, length(text) AS char_count, coalesce(sum(length(text) + 1) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start_offset, text FROM conversations"""
+
+
+@query("s08_page_offsets", f"SELECT doc_id, page, CAST(char_count AS BIGINT) AS char_count, CAST(start_offset AS BIGINT) AS start_offset, CAST(start_offset + char_count AS BIGINT) AS end_offset FROM ({_PAGES})")
+def s08(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _pages(spark, sf_dir).select("doc_id", "page", F.col("char_count").cast("bigint").alias("char_count"), F.col("start_offset").cast("bigint").alias("start_offset"), F.col("end_offset").cast("bigint").alias("end_offset"))
+
+
+@query("c19_entities_to_pages", f"""WITH p AS ({_PAGES}), e AS (SELECT DISTINCT doc_id, unnest([0, 40, 400]) AS start FROM p)
+    SELECT doc_id, e.start, page, CAST(e.start - start_offset AS BIGINT) AS page_start FROM e JOIN p USING (doc_id) WHERE e.start >= start_offset AND e.start < start_offset + char_count""")
+def c19(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _pages(spark, sf_dir)
+    spans = pages.select("doc_id").distinct().select("doc_id", F.explode(F.array(F.lit(0), F.lit(40), F.lit(400))).alias("start")).withColumn("end", F.col("start") + 5)
+    return tables.pages_of(spans, pages).select("doc_id", "start", "page", F.col("page_start").cast("bigint").alias("page_start"))
+
+
+@query("c18_entities_to_blocks", f"""WITH e AS ({_ENTITIES}), l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS block FROM ({C.CARRIER_SQL})),
+    b AS (SELECT *, coalesce(sum(length(raw) + 1) OVER (PARTITION BY doc_id ORDER BY block ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s FROM l)
+    SELECT e.doc_id, e.start, e.entity_type, CAST(b.block AS INT) AS block FROM e JOIN b ON e.doc_id = b.doc_id AND e.start < b.s + length(b.raw) AND e."end" > b.s""")
+def c18(spark: SparkSession, sf_dir: str) -> DataFrame:
+    blocks = files.as_blocks(C.carriers(spark, sf_dir)).withColumn("page", F.lit(1))
+    box = F.struct(F.lit(0.0).alias("x0"), F.col("block").cast("double").alias("y0"), F.length("text").cast("double").alias("x1"), (F.col("block") + 1).cast("double").alias("y1"))
+    return tables.blocks_of(entities(spark, sf_dir), blocks.withColumn("box", box)).select("doc_id", "start", "entity_type", "block")
+
+
+# Policy and redaction.
+
+
+def decided(spark: SparkSession, sf_dir: str, mode: str = "balanced") -> DataFrame:
+    return policy.decide(entities(spark, sf_dir), mode)
+
+
+for _mode in policy.MODES:
+
+    @query(f"p01_policy_{_mode}", f"SELECT doc_id, start, entity_type, round(score, 4) AS score, status FROM ({O.decided(_ENTITIES, *policy.MODES[_mode])})")
+    def p01(spark: SparkSession, sf_dir: str, mode: str = _mode) -> DataFrame:
+        return decided(spark, sf_dir, mode).select("doc_id", "start", "entity_type", F.round("score", 4).alias("score"), "status")
+
+
+_ACTIVE = f"SELECT * FROM ({_DECIDED}) WHERE status <> 'rejected'"
+
+
+@query("x03_typed_placeholders", O.spliced(C.CARRIER_SQL, f"SELECT *, row_number() OVER (PARTITION BY doc_id, entity_type ORDER BY start) AS k FROM ({_ACTIVE})", "'[' || entity_type || '_' || CAST(k AS VARCHAR) || ']'"))
+def x03(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = policy.redact_typed(C.carriers(spark, sf_dir), policy.active(decided(spark, sf_dir)))
+    return out.withColumn("entity_count", F.col("entity_count").cast("bigint"))
+
+
+@query("x02_blackout_everywhere")
+def x02(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return policy.redact_everywhere(C.carriers(spark, sf_dir), policy.active(decided(spark, sf_dir)))
+
+
+_PSEUDO = f"""SELECT doc_id, start, entity_type, '[' || entity_type || '_' || CAST(dense_rank() OVER (PARTITION BY entity_type ORDER BY f.d, f.s) AS VARCHAR) || ']' AS pseudonym
+    FROM (SELECT *, min({{'d': doc_id, 's': start}}) OVER (PARTITION BY entity_type, lower(text)) AS f FROM ({_ENTITIES}))"""
+
+
+@query("x04_pseudonyms", _PSEUDO)
+def x04(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return policy.pseudonyms(entities(spark, sf_dir), ()).select("doc_id", "start", "entity_type", "pseudonym")
+
+
+@query("x05_masked_values", f"SELECT doc_id, start, CASE WHEN length(text) <= 4 THEN '****' ELSE text[1:2] || '****' || right(text, 2) END AS shown FROM ({_ENTITIES})")
+def x05(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return entities(spark, sf_dir).select("doc_id", "start", policy.rendered(F.col("text"), F.lit("mask")).alias("shown"))
+
+
+@query("x07_x08_rules")
+def x07(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame([("PAN_NUMBER", True, "mask"), ("EMAIL_ADDRESS", True, "replace"), ("PHONE_NUMBER", False, "blackout")], "rule_type string, is_active boolean, action string")
+    return policy.redact_by_rules(C.carriers(spark, sf_dir), entities(spark, sf_dir), rules)
+
+
+@query("x06_tokens", f"SELECT doc_id, CAST(2 * count(*) AS BIGINT) AS entity_tokens_doubled FROM ({_ENTITIES}) GROUP BY doc_id")
+def x06(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = policy.tokens(C.carriers(spark, sf_dir), entities(spark, sf_dir))
+    return t.filter("type <> 'text'").groupBy("doc_id").agg((2 * F.count("*")).alias("entity_tokens_doubled"))
+
+
+@query("x10_hash", f"SELECT doc_id, start, sha256(text) AS shown FROM ({_ENTITIES})")
+def x10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return entities(spark, sf_dir).select("doc_id", "start", policy.simple_redaction(F.col("text"), F.col("entity_type"), F.lit("hash")).alias("shown"))
+
+
+@query("x11_synthetic")
+def x11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return entities(spark, sf_dir).select("doc_id", "start", "entity_type", policy.synthetic(F.col("entity_type"), F.col("text")).alias("shown"))
+
+
+# Verification.
+
+
+def _redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = policy.redact_typed(C.carriers(spark, sf_dir), policy.active(decided(spark, sf_dir)))
+    return out.select("doc_id", F.col("redacted_text").alias("text"))
+
+
+_REDACTED = f"SELECT doc_id, redacted_text AS text FROM ({_sql['x03_typed_placeholders']})"
+_LEAKS = " UNION ALL ".join(
+    f"SELECT doc_id, {O.lit(k)} AS leak_type, value AS text FROM ({O.spans(_REDACTED, recognise.Rule(k, k, p, 1.0))})" + (f" WHERE {O.luhn('value')} % 10 = 0" if k == "CREDIT_CARD" else "") for k, p in verify.RESIDUAL.items()
+)
+
+
+@query("k04_residual_patterns", _LEAKS)
+def k04(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return verify.residual_patterns(_redacted(spark, sf_dir))
+
+
+@query("k07_verdict", f"""WITH l AS (SELECT doc_id, count(*) AS n FROM ({_LEAKS}) GROUP BY doc_id)
+    SELECT d.doc_id, coalesce(n, 0) AS n_leaks, CASE WHEN n > 0 THEN 'FAILED' WHEN d.doc_id % 10 = 0 THEN 'REVIEW_REQUIRED' ELSE 'COMPLETED' END AS status FROM ({C.CARRIER_SQL}) d LEFT JOIN l USING (doc_id)""")
+def k07(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = C.carriers(spark, sf_dir).withColumn("has_scanned_pages", F.col("doc_id") % 10 == 0)
+    none = spark.createDataFrame([], "doc_id bigint, reason string")
+    return verify.verdict(docs, k04(spark, sf_dir), none).select("doc_id", "n_leaks", "status")
+
+
+@query("k05_dense_leaks")
+def k05(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return verify.dense_leaks(C.carriers(spark, sf_dir).withColumn("text", F.regexp_replace("text", r"(?<=[A-Z])(?=[0-9])", " ")))
+
+
+@query("k06_fragments")
+def k06(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return verify.fragments(entities(spark, sf_dir), _redacted(spark, sf_dir))
+
+
+# Analytics: events stand for usage and log rows.
+
+_USAGE = "SELECT event_id, user_id, event_type AS endpoint, value AS processing_ms, ts FROM events"
+
+
+def usage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = read(spark, sf_dir, "events")
+    return e.select("event_id", "user_id", F.col("event_type").alias("endpoint"), F.col("value").alias("processing_ms"), F.lit(1).alias("entity_count"), F.col("ts").alias("used_at"), F.col("ts"))
+
+
+@query("a01_counts_by_type", f"SELECT entity_type, count(*) AS n FROM ({_ENTITIES}) GROUP BY 1")
+def a01(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return analytics.counts_by(entities(spark, sf_dir), "entity_type")
+
+
+@query("a02_weekday_volume", "SELECT i, day, coalesce(n, 0) AS n FROM (SELECT unnest(range(0, 7))::INT AS i, unnest(['Mon','Tue','Wed','Thu','Fri','Sat','Sun']) AS day) LEFT JOIN (SELECT strftime(ts, '%a') AS day, count(*) AS n FROM events GROUP BY 1) USING (day)")
+def a02(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return analytics.weekday_volume(read(spark, sf_dir, "events"), "ts")
+
+
+@query("a02_totals", "SELECT count(*) AS documents, CAST(sum(user_id) AS BIGINT) AS entities, round(100.0 * count(*) FILTER (event_type <> 'error') / count(*), 1) AS success_rate FROM events")
+def a02b(spark: SparkSession, sf_dir: str) -> DataFrame:
+    logs = read(spark, sf_dir, "events").select(F.col("user_id").alias("entities"), F.when(F.col("event_type") != "error", "Completed").alias("status"))
+    return analytics.audit_totals(logs)
+
+
+@query("a03_top_rules_in_range", "SELECT event_type AS rule, count(*) AS n FROM events WHERE CAST(ts AS DATE) BETWEEN DATE '2024-01-05' AND DATE '2024-01-15' GROUP BY 1 ORDER BY n DESC, rule LIMIT 10")
+def a03(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = analytics.between(read(spark, sf_dir, "events"), "ts", "2024-01-05", "2024-01-15")
+    return analytics.top_rules(rows.withColumn("rules", F.array("event_type")), 10)
+
+
+@query("a04_session_metrics", "SELECT user_id AS session_id, count(*) AS documents, CAST(sum(event_id) AS BIGINT) AS entities, max(ts) AS updated_at FROM events GROUP BY 1")
+def a04(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return analytics.session_metrics(read(spark, sf_dir, "events").select(F.col("user_id").alias("session_id"), F.col("event_id").alias("entities"), F.col("ts").alias("created_at")))
+
+
+@query("a05_latest_by_id", "SELECT user_id, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1")
+def a05(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return analytics.latest(read(spark, sf_dir, "events"), ["user_id"], "ts", "event_id").select("user_id", "event_id")
+
+
+@query("a06_usage_by_endpoint", "SELECT event_type AS endpoint, count(*) AS requests, round(avg(value), 4) AS avg_ms, count(*) AS entities FROM events WHERE ts >= TIMESTAMP '2024-01-24' GROUP BY 1")
+def a06(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = analytics.usage_by_endpoint(usage(spark, sf_dir), F.lit("2024-01-24").cast("timestamp"))
+    return out.withColumn("avg_ms", F.round("avg_ms", 4))
+
+
+@query("a06_usage_by_day", "SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, count(*) AS requests FROM events GROUP BY 1")
+def a06b(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return analytics.usage_by_day(usage(spark, sf_dir)).withColumn("day", F.col("day").cast("string"))
+
+
+@query("a07_organisation_usage", "SELECT count(*) FILTER (event_type = 'click') AS clicks, count(*) FILTER (event_type = 'error') AS errors, count(*) FILTER (value > 50) AS large, round(sum(value), 2) AS total FROM events WHERE date_trunc('month', ts) = TIMESTAMP '2024-01-01' AND props LIKE '%\"k\": 1%'")
+def a07(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "events").filter((F.date_trunc("month", "ts") == F.lit("2024-01-01").cast("timestamp")) & F.col("props").like('%"k": 1%'))
+    n = lambda c, name: F.count_if(c).alias(name)
+    return rows.agg(n(F.col("event_type") == "click", "clicks"), n(F.col("event_type") == "error", "errors"), n(F.col("value") > 50, "large"), F.round(F.sum("value"), 2).alias("total"))
+
+
+@query("a08_delivery_stats", "SELECT count(*) AS n, count(*) FILTER (event_type = 'click') AS succeeded, count(*) FILTER (event_type = 'error') AS failed, round(avg(value), 2) AS avg_ms FROM (SELECT * FROM events ORDER BY ts DESC, event_id DESC LIMIT 100)")
+def a08(spark: SparkSession, sf_dir: str) -> DataFrame:
+    status = F.when(F.col("event_type") == "click", "success").when(F.col("event_type") == "error", "failed")
+    return analytics.delivery_stats(read(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.col("ts").alias("at"), status.alias("status"), F.col("value").alias("response_ms")))
+
+
+def _signal_sql() -> str:
+    cols = []
+    for kind, words in analytics.SIGNALS.items():
+        text = " + ".join(f"{3 if ' ' in w else 1} * CAST(contains(s, {O.lit(w)}) AS INT)" for w in words)
+        file = "2 * greatest(" + ", ".join(f"CAST(contains(f, {O.lit(w)}) AS INT)" for w in words[:5]) + ")"
+        cols.append(f"{{'score': {text} + {file}, 'place': {-len(cols)}, 'kind': '{kind}'}}")
+    return f"""SELECT doc_id, CASE WHEN b.score >= 3 THEN b.kind ELSE 'unknown' END AS document_type, CASE WHEN b.score >= 3 THEN round(least(b.score / t * 2, 1.0), 3) ELSE 0.0 END AS confidence FROM (
+        SELECT doc_id, list_max(a) AS b, list_sum(list_transform(a, lambda x: x.score)) AS t FROM (SELECT doc_id, [{', '.join(cols)}] AS a FROM (SELECT page_id AS doc_id, lower(substr(html, 1, 2000)) AS s, lower(url) AS f FROM pages)))"""
+
+
+@query("a09_document_classes", _signal_sql())
+def a09(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return analytics.classify(read(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), F.col("html").alias("text"), F.col("url").alias("filename")))
+
+
+@query("a10_merged_logs", "SELECT user_id AS id, max(event_id) AS event_id FROM (SELECT user_id, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC) = 1) GROUP BY 1")
+def a10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "events").select(F.col("user_id").alias("id"), "event_id", F.col("ts").alias("created_at"))
+    return analytics.merged_logs(rows.filter("event_id % 2 = 0"), rows.filter("event_id % 2 = 1")).select("id", "event_id")
+
+
+@query("a12_entity_counters", f"SELECT doc_id, CAST(count(*) AS BIGINT) AS total FROM ({_ENTITIES}) GROUP BY 1")
+def a12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return analytics.count_map(entities(spark, sf_dir)).select("doc_id", "total")
+
+
+@query("a13_hash_chain")
+def a13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = read(spark, sf_dir, "events").filter("event_type = 'purchase'")
+    return analytics.hash_chain(e.select(F.col("user_id").alias("session_id"), F.col("event_id").alias("report_id"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("generated_at"), F.array(F.col("event_id").cast("string")).alias("log_ids"), F.lit(1).alias("entity_count")))
+
+
+@query("q01_point_filter", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey = 7 OR o_custkey = 3")
+def q01(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "orders").filter("o_orderkey = 7 or o_custkey = 3").select("o_orderkey", "o_totalprice")
+
+
+@query("q02_members_with_users", "SELECT n_nationkey AS org_id, s_suppkey AS user_id, n_name FROM supplier JOIN nation ON s_nationkey = n_nationkey")
+def q02(spark: SparkSession, sf_dir: str) -> DataFrame:
+    members = read(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("org_id"), F.col("s_suppkey").alias("user_id"))
+    nations = read(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("org_id"), "n_name")
+    return members.join(nations, "org_id")
+
+
+@query("q04_may_see", "SELECT o_orderkey AS id FROM orders WHERE o_custkey = 5 OR o_custkey % 25 IN (SELECT s_nationkey FROM supplier WHERE s_suppkey = 5)")
+def q04(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("uploader_id"), (F.col("o_custkey") % 25).cast("int").alias("org_id"))
+    members = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("user_id"), F.col("s_nationkey").alias("org_id"), F.lit("member").alias("role"))
+    return analytics.may_see(docs, members, 5).select("id")
+
+
+@query("q05_latest_order", "SELECT o_custkey, arg_max(o_orderkey, {'d': o_orderdate, 'k': o_orderkey}) AS last_order FROM orders GROUP BY 1")
+def q05(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.max_by("o_orderkey", F.struct("o_orderdate", "o_orderkey")).alias("last_order"))
+
+
+@query("q06_page", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 50 OFFSET 100")
+def q06(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "orders").orderBy(F.desc("o_totalprice"), "o_orderkey").offset(100).limit(50).select("o_orderkey", "o_totalprice")
+
+
+@query("q07_subscribed", "SELECT event_id FROM events WHERE list_contains(string_split(event_type || ',all', ','), 'error')")
+def q07(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return analytics.subscribed(read(spark, sf_dir, "events").select("event_id", F.concat("event_type", F.lit(",all")).alias("events")), "error").select("event_id")
+
+
+@query("q09_over_limit", "SELECT o_custkey AS org_id, count(*) AS used, 15 AS most FROM orders GROUP BY 1 HAVING count(*) >= 15")
+def q09(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("org_id"))
+    return analytics.over_limit(rows, rows.distinct().withColumn("most", F.lit(15)))
+
+
+@query("q10_expired", "SELECT event_id FROM events WHERE ts < TIMESTAMP '2024-01-10'")
+def q10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return analytics.expired(read(spark, sf_dir, "events").withColumn("expires_at", F.col("ts")), F.lit("2024-01-10").cast("timestamp")).select("event_id")
+
+
+# Evaluation: entities against the candidates of single patterns.
+
+
+def _sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    e = entities(spark, sf_dir).select("doc_id", "entity_type", "start", "end")
+    return e, e.filter("doc_id % 7 <> 0").withColumn("end", F.when(F.col("doc_id") % 3 == 0, F.col("end") - 4).otherwise(F.col("end")))
+
+
+_E, _D = (f"SELECT doc_id, entity_type, start, \"end\" FROM ({_ENTITIES})", f"SELECT doc_id, entity_type, start, CASE WHEN doc_id % 3 = 0 THEN \"end\" - 4 ELSE \"end\" END AS \"end\" FROM ({_ENTITIES}) WHERE doc_id % 7 <> 0")
+_M = f"SELECT e.doc_id, e.entity_type, e.start, (d.\"end\" - e.start) / (e.\"end\" - e.start) AS iou FROM ({_E}) e JOIN ({_D}) d ON e.doc_id = d.doc_id AND e.entity_type = d.entity_type AND e.start = d.start"
+
+
+@query("e01_greedy_matching", f"SELECT doc_id, entity_type, start AS e_start, round(iou, 6) AS iou FROM ({_M}) WHERE iou >= 0.5")
+def e01(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate.greedy(*_sides(spark, sf_dir)).select("doc_id", "entity_type", "e_start", F.round("iou", 6).alias("iou"))
+
+
+@query("e02_first_fit", f"SELECT doc_id, entity_type, start AS e_start FROM ({_M})")
+def e02(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate.first_fit(*_sides(spark, sf_dir)).select("doc_id", "entity_type", "e_start")
+
+
+@query("e04_optimal_matching", f"SELECT doc_id, entity_type, start AS e_start FROM ({_M})")
+def e04(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate.optimal(*_sides(spark, sf_dir)).select("doc_id", "entity_type", "e_start")
+
+
+_TYPES = f"""SELECT entity_type, tp, d - tp AS fp, e - tp AS fn FROM (SELECT entity_type, count(*) AS e FROM ({_E}) GROUP BY 1) JOIN (SELECT entity_type, count(*) AS d FROM ({_D}) GROUP BY 1) USING (entity_type)
+    JOIN (SELECT entity_type, count(*) AS tp FROM ({_M}) WHERE iou >= 0.5 GROUP BY 1) USING (entity_type)"""
+
+
+@query("e07_measures_by_type", f"SELECT *, round(tp / (tp + fp), 6) AS precision, round(tp / (tp + fn), 6) AS recall, round(2 * tp / (2 * tp + fp + fn), 6) AS f1 FROM ({_TYPES})")
+def e07(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e, d = _sides(spark, sf_dir)
+    out = evaluate.by_type(e, d, evaluate.greedy(e, d))
+    return out.select("entity_type", "tp", "fp", "fn", *(F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")))
+
+
+@query("e08_overall", f"SELECT CAST(sum(tp) AS BIGINT) AS tp, CAST(sum(fp) AS BIGINT) AS fp, CAST(sum(fn) AS BIGINT) AS fn, round(2 * sum(tp) / (2 * sum(tp) + sum(fp) + sum(fn)), 6) AS f1, round(avg(2 * tp / (2 * tp + fp + fn)), 6) AS macro_f1 FROM ({_TYPES})")
+def e08(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e, d = _sides(spark, sf_dir)
+    return evaluate.overall(evaluate.by_type(e, d, evaluate.greedy(e, d))).select("tp", "fp", "fn", F.round("f1", 6).alias("f1"), F.round("macro_f1", 6).alias("macro_f1"))
+
+
+@query("e09_document_rates")
+def e09(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e, d = _sides(spark, sf_dir)
+    return evaluate.document_rates(e, d, evaluate.greedy(e, d), C.carriers(spark, sf_dir))
+
+
+@query("e11_diagnostics", f"SELECT doc_id, entity_type, start, 'FN' AS kind FROM ({_E}) e ANTI JOIN (SELECT * FROM ({_M}) WHERE iou >= 0.5) m USING (doc_id, entity_type, start) UNION ALL SELECT doc_id, entity_type, start, 'FP' FROM ({_D}) d ANTI JOIN (SELECT * FROM ({_M}) WHERE iou >= 0.5) m USING (doc_id, entity_type, start)")
+def e11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e, d = _sides(spark, sf_dir)
+    return evaluate.diagnostics(e, d, evaluate.greedy(e, d)).select("doc_id", "entity_type", "start", "kind")
+
+
+# Stateful operators.
+
+
+@query("z01_rate_limit")
+def z01(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return limits.rate_limited(read(spark, sf_dir, "events"), limit=2, span=3600.0)
+
+
+@query("z01_in_window", "SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY epoch_us(ts) RANGE BETWEEN 3599999999 PRECEDING AND CURRENT ROW) AS in_window FROM events")
+def z01b(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return limits.in_window(read(spark, sf_dir, "events"), 3600).select("event_id", "in_window")
+
+
+@query("z03_lockout")
+def z03(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("email"), F.col("ts").alias("attempted_at"), (F.col("event_type") == "view").alias("success"))
+    return limits.locked_out(rows, most=3, span=86_400.0)
+
+
+@query("z05_job_states", "SELECT user_id AS job_id, arg_max(event_type, ts) AS state FROM events GROUP BY 1")
+def z05(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return limits.job_states(read(spark, sf_dir, "events").select(F.col("user_id").alias("job_id"), F.col("event_type").alias("state"), F.col("ts").alias("at"))).select("job_id", "state")
+
+
+@query("z07_daily_volume", "SELECT date_trunc('day', ts) AS start, count(*) AS n FROM events GROUP BY 1")
+def z07(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return limits.volume(read(spark, sf_dir, "events"))
+
+
+@query("z08_sessions", """WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events),
+    s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM g) SELECT user_id, min(ts) AS start, count(*) AS n FROM s GROUP BY user_id, k""")
+def z08(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return limits.sessions(read(spark, sf_dir, "events")).select("user_id", "start", "n")
+
+
+@query("s16_limits", "SELECT doc_id FROM documents WHERE length(text) <= 50000")
+def s16(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return files.within_limit(read(spark, sf_dir, "documents"), "scoring")[0].select("doc_id")
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mail addresses, networks and cards in documents, scored, elected, decided, and replaced by typed marks."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    found = recognise.scan_patterns(docs, [r for r in recognise.RULES if r.id in ("r09", "r13", "r15")])
+    chosen = policy.decide(vote.elect(vote.score_context(found, docs)))
+    return policy.redact_typed(docs, policy.active(chosen))
+
+
+query("x03_redacted_documents")(flagship)
