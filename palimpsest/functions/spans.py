@@ -29,7 +29,7 @@ def spans(text: Column, pattern: str, group: int = 0) -> Column:
     inner = F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
 
     def narrowed(s: Column, g: Column) -> Column:
-        at = s.end - F.length(F.substring_index(s.text, g, -1)) - F.length(g)
+        at = s.end - F.length(F.call_function("substring_index", s.text, g, F.lit(-1))) - F.length(g)
         return F.struct(at.alias("start"), (at + F.length(g)).alias("end"), g.alias("text"))
 
     return F.filter(F.zip_with(whole, inner, narrowed), lambda s: s.text != "")

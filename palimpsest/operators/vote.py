@@ -40,10 +40,10 @@ HINDI_PENALTIES = [("AADHAAR_NUMBER", ["आदेश", "order", "invoice"], 0.25
 
 def adjusted(score: Column, kind: Column, near: Column, boosts: list = BOOSTS, penalties: list = PENALTIES) -> Column:
     """The score after each boost (1 at most) and then each penalty (0 at least), in order."""
-    for t, words, change in boosts:
-        score = F.when((kind == t) & T.any_in(near, words), F.least(F.lit(1.0), score + change)).otherwise(score)
-    for t, words, change in penalties:
-        score = F.when((kind == t) & T.any_in(near, words), F.greatest(F.lit(0.0), score - change)).otherwise(score)
+    change = lambda t, words, by: F.when((kind == t) & T.any_in(near, words), F.lit(by)).otherwise(F.lit(0.0))
+    steps = [change(t, words, by) for t, words, by in boosts] + [change(t, words, -by) for t, words, by in penalties]
+    # A fold keeps the expression linear: a chain of conditionals would name the score twice at each step.
+    score = F.aggregate(F.array(*steps), score, lambda acc, by: F.greatest(F.lit(0.0), F.least(F.lit(1.0), acc + by)))
     return score
 
 
