@@ -174,10 +174,12 @@ def held_out(doc_id: str = "doc_id") -> Column:
 def fit_toxicity(docs: DataFrame, labels: DataFrame, sample: int = 20_000, stems: int = 2_000, trees: int = 20) -> ToxicityModel:
     """Learns from ``labels`` (doc_id, toxic) of rows that are not held out.
 
-    The documents fitted to are at most ``sample`` labelled ones, half of them toxic, those of least hash of the id
-    (no more, so their ids may be broadcast and the texts need no shuffle).  Half of them give the lexicon, at most
-    ``stems`` word beginnings that toxic texts hold far more often than others; the rest give the trees and, apart
-    from these, the calibration.  Nulls, and ids with both labels, are left out; without both labels there are no trees.
+    The documents fitted to are at most ``sample`` labelled ones, at most half of them of either class, those of least
+    hash of the id (no more, so their ids may be broadcast and the texts need no shuffle).  Half of them give the
+    lexicon, at most ``stems`` word beginnings that toxic texts hold far more often than others; the rest give the
+    trees and, apart from these, the calibration, where each counts for as many labels as its class has for one chosen,
+    so the share of toxic texts is that of all labels whatever the sample.  Nulls, and ids with both labels, are left
+    out; without both labels there are no trees.
     """
     known = labels.filter("doc_id is not null and toxic is not null").filter(~held_out()).groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("t")).filter("toxic = t").select("doc_id", "toxic")
     known = known.withColumn("h", F.xxhash64("doc_id"))
@@ -187,6 +189,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, sample: int = 20_000, stems
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
     if len(counts) < 2:
         return ToxicityModel(np.empty(0, np.int64), None, None)
+    total = {r[0]: r[1] for r in known.groupBy("toxic").count().collect()}
+    weight = F.when(F.col("toxic") == 1, total[1] / counts[1]).otherwise(total[0] / counts[0])
     part = F.pmod(F.shiftright("h", 20), F.lit(4))
     first = rows.filter(part < 2)
     found = first.select("text", "toxic").mapInArrow(_stem_counts, "stem long, bad long, good long").groupBy("stem").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
@@ -195,11 +199,11 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, sample: int = 20_000, stems
     odds = (F.col("bad") + 0.5) / (bad + 1) / ((F.col("good") + 0.5) / (good + 1))
     lexicon = found.filter((F.col("bad") >= max(3, bad // 80)) & (odds >= 15)).orderBy(F.desc(odds * F.sqrt("bad")), "stem").limit(stems).toArrow().column("stem").to_numpy()
     featured = rows.filter(part >= 2).select("text", "toxic", part.alias("part")).mapInArrow(partial(_features, lexicon=lexicon), "text string, toxic int, part long, features array<double>")
-    featured = cut(featured.select("part", F.col("toxic").cast("double").alias("label"), "features").coalesce(8), "features")
+    featured = cut(featured.select("part", F.col("toxic").cast("double").alias("label"), weight.alias("weight"), "features").coalesce(8), "features")
     fit, tune = featured.filter("part = 2"), featured.filter("part = 3")
     if min(x.select("label").distinct().count() for x in (fit, tune)) < 2:
         return ToxicityModel(lexicon, None, None)
-    gbt = GBTClassifier(maxIter=trees, maxDepth=3, stepSize=0.3, seed=7).fit(fit.withColumn("features", array_to_vector("features")).coalesce(2).select("features", "label"))
-    scored = _raw_score(gbt, tune).select("label", F.col("raw_score")).coalesce(1)
-    iso = IsotonicRegression(featuresCol="raw_score", labelCol="label", predictionCol="calibrated").fit(scored)
+    gbt = GBTClassifier(maxIter=trees, maxDepth=3, stepSize=0.3, seed=7, weightCol="weight").fit(fit.withColumn("features", array_to_vector("features")).coalesce(2).select("features", "label", "weight"))
+    scored = _raw_score(gbt, tune).select("label", "weight", F.col("raw_score")).coalesce(1)
+    iso = IsotonicRegression(featuresCol="raw_score", labelCol="label", weightCol="weight", predictionCol="calibrated").fit(scored)
     return ToxicityModel(lexicon, gbt, iso)
