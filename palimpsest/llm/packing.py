@@ -1,4 +1,4 @@
-"""Best-fit packing of token sequences, in partitions first and then up a tree of underfull bins."""
+"""Best-fit packing of token sequences, in partitions first and then in rounds over their underfull bins."""
 
 from __future__ import annotations
 
@@ -16,10 +16,8 @@ from palimpsest.llm.bpe import tokenizer
 from palimpsest.llm.scratch import cut
 
 LENGTH = 2048
-#: Groups of bins that meet in one task on the next level.
-FAN_IN = 8
-#: Bins that a group hands up at most, its emptiest ones; the others are sequences as they are.
-CARRY = 20_000
+#: Underfull bins that meet in one task, about; more are dealt to several tasks, round by round.
+HELD = 20_000
 _ITEM = "doc_id long, piece int, start long, length long, ids_crc32 long, offset long"
 _FIELDS = [f.split()[0] for f in _ITEM.split(", ")]
 _BIN = f"node long, level int, sequence_id long, fill long, full boolean, items array<struct<{_ITEM.replace(' ', ':').replace(',:', ',')}>>"
@@ -49,7 +47,7 @@ def best_fit(length: np.ndarray, room: int) -> np.ndarray:
     return out
 
 
-def _bins(columns: dict[str, np.ndarray], first: np.ndarray, null: np.ndarray, room: int, slack: int, node: int, level: int, carry: int) -> pa.RecordBatch:
+def _bins(columns: dict[str, np.ndarray], first: np.ndarray, null: np.ndarray, room: int, slack: int, node: int, level: int) -> pa.RecordBatch:
     """Packs groups of items (first tells where each one's items begin) and writes a row for each bin."""
     size = np.concatenate([[0], np.cumsum(columns["length"])])[first]
     b = best_fit(np.diff(size), room)
@@ -66,13 +64,11 @@ def _bins(columns: dict[str, np.ndarray], first: np.ndarray, null: np.ndarray, r
     kinds = {"piece": pa.int32()}
     struct = pa.StructArray.from_arrays([pa.array(columns[c], kinds.get(c, pa.int64()), mask=null[item] if c == "doc_id" else None) for c in _FIELDS], _FIELDS)
     full = fill > room - slack
-    if (~full).sum() > carry:
-        full[np.lexsort((np.arange(bins), fill))[carry:]] = True
     names = np.int64(level) << 57 | np.int64(node) << 25 | np.arange(bins)
     return pa.RecordBatch.from_arrays([pa.array(np.full(bins, node)), pa.array(np.full(bins, level, np.int32)), pa.array(names), pa.array(fill), pa.array(full), pa.ListArray.from_arrays(pa.array(begin.astype(np.int32)), struct)], ["node", "level", "sequence_id", "fill", "full", "items"])
 
 
-def _tokenised(batches: Iterator[pa.RecordBatch], path: str, end: int, room: int, slack: int, carry: int) -> Iterator[pa.RecordBatch]:
+def _tokenised(batches: Iterator[pa.RecordBatch], path: str, end: int, room: int, slack: int) -> Iterator[pa.RecordBatch]:
     """The pieces of a partition's documents, packed among themselves."""
     bpe = tokenizer(path)
     parts: list[dict[str, np.ndarray]] = []
@@ -94,17 +90,20 @@ def _tokenised(batches: Iterator[pa.RecordBatch], path: str, end: int, room: int
         nulls.append(np.asarray(name.is_null())[doc])
     if parts:
         columns = {k: np.concatenate([p[k] for p in parts]) for k in parts[0]}
-        yield _bins(columns, np.arange(len(columns["length"]) + 1), np.concatenate(nulls), room, slack, TaskContext.get().partitionId(), 0, carry)
+        yield _bins(columns, np.arange(len(columns["length"]) + 1), np.concatenate(nulls), room, slack, TaskContext.get().partitionId(), 0)
 
 
-def _merged(key: tuple, bins: pa.Table, room: int, slack: int, level: int, carry: int) -> pa.Table:
+def _merged(key: tuple, bins: pa.Table, room: int, slack: int, level: int) -> pa.Table:
     bins = bins.sort_by("sequence_id")
     lists = bins.column("items").combine_chunks()
     items = lists.flatten()
     first = np.concatenate([[0], np.cumsum(np.asarray(lists.value_lengths()))])
     columns = {c: items.field(c) for c in _FIELDS}
     null = np.asarray(columns["doc_id"].is_null())
-    return pa.Table.from_batches([_bins({c: v.fill_null(0).to_numpy() for c, v in columns.items()}, first, null, room, slack, key[0].as_py(), level, carry)])
+    columns = {c: v.fill_null(0).to_numpy() for c, v in columns.items()}
+    # The bins are taken apart, so that their pieces may meet others; as they were if that takes no more bins.
+    ways = (_bins(columns, f, null, room, slack, key[0].as_py(), level) for f in (first, np.arange(len(null) + 1)))
+    return pa.Table.from_batches([min(ways, key=len)])
 
 
 def _merge_step(**step: int) -> Callable[[tuple, pa.Table], pa.Table]:
@@ -114,7 +113,7 @@ def _merge_step(**step: int) -> Callable[[tuple, pa.Table], pa.Table]:
     return merged
 
 
-def pack(docs: DataFrame, path: str, length: int = LENGTH, end: int = 0, slack: int = 16, fan_in: int = FAN_IN, carry: int = CARRY) -> DataFrame:
+def pack(docs: DataFrame, path: str, length: int = LENGTH, end: int = 0, slack: int = 16, held: int = HELD) -> DataFrame:
     """A row for each piece of ``docs`` (doc_id long, text string): (doc_id, piece, start, length, ids_crc32, sequence_id, offset).
 
     A document is its ids under the tokenizer file at ``path`` and then the id ``end``; one longer than ``length`` is
@@ -124,21 +123,34 @@ def pack(docs: DataFrame, path: str, length: int = LENGTH, end: int = 0, slack:
     order of the input; an empty table gives no rows.  Other columns are not read.
 
     Each partition packs its pieces by best fit (longest first, into the fullest bin with room) and emits bins with
-    less than ``slack`` tokens of room.  The underfull bins are items for the next level, where the bins of ``fan_in``
-    groups meet in one task, until one group is left: a task only sees what its children left over, at most ``fan_in``
-    times ``carry`` bins (beyond that a group's fullest bins stay as they are, and none is lost).  Each level is
-    written to the shared folder, so the tokens are made once.
+    less than ``slack`` tokens of room.  The underfull bins go to the next round, which deals them by a hash that
+    differs from round to round to tasks of about ``held`` bins, each with a mix of all; a task takes its bins apart
+    and packs their pieces by best fit.  Rounds go on while one saves a hundredth of the bins.  Of two bins that a task
+    leaves, no two fit into one, so at most one in a task is half empty; of ``s`` half empty bins in all, each can only
+    join one of the ``s`` or one of the ``s`` emptiest others (if it fits into any bin it fits into those), so just
+    these go to further rounds, until one task holds them all.  In the end no two bins with ``slack`` or more tokens of
+    room fit into one.  Each round is written to the shared folder, so the tokens are made once.
     """
-    step = {"room": length, "slack": slack, "carry": carry}
+    step = {"room": length, "slack": slack}
     level = cut(docs.select("doc_id", "text").mapInArrow(partial(_tokenised, path=path, end=end, **step), _BIN), "bins")
     done, left, k = [level.filter("full")], level.filter("not full"), 0
-    most = left.agg(F.max("node")).first()[0]
-    while most is not None and (most > 0 or not k):
-        k, most = k + 1, most // fan_in
-        grouped = left.withColumn("node", F.expr(f"node div {fan_in}")).groupBy("node")
-        level = cut(grouped.applyInArrow(_merge_step(level=k, **step), _BIN), "bins")
+    n, held = left.count(), max(4, held)
+    while n > 1:
+        k, tasks = k + 1, -(-n // held)
+        dealt = left.withColumn("node", F.pmod(F.xxhash64("sequence_id", F.lit(k)), F.lit(tasks))).groupBy("node")
+        level = cut(dealt.applyInArrow(_merge_step(level=k, **step), _BIN), "bins")
         done.append(level.filter("full"))
         left = level.filter("not full")
+        if tasks == 1:
+            break
+        before, n = n, level.count()
+        fell, n = (before - n) * 100 >= before, left.count()
+        most = 2 * left.filter(F.col("fill") * 2 <= length).count()
+        if not fell and most < n:
+            # The half empty bins, and as many others; the rest can take none of them that these could not.
+            order = cut(left.select("fill", "sequence_id").orderBy("fill", "sequence_id").limit(most), "emptiest")
+            done.append(left.join(order.select("sequence_id"), "sequence_id", "left_anti").select(*level.columns))
+            left, n = left.join(order.select("sequence_id"), "sequence_id", "left_semi").select(*level.columns), most
     out = left
     for part in done:
         out = out.union(part)

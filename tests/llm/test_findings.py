@@ -2,8 +2,10 @@
 
 import random
 
+import public_tokenizers
 import pytest
 
+from palimpsest.llm.packing import pack
 from palimpsest.llm.toxicity import fit_toxicity
 
 DOCS = "doc_id bigint, text string"
@@ -23,3 +25,20 @@ def test_toxicity_threshold_is_that_of_all_labels(spark):
     whole, half = (fit_toxicity(docs, labels, sample=n).score(one).first().score for n in (20_000, 900))
     assert whole < 0.5 and half < 0.5
     assert abs(whole - half) < 0.15
+
+
+@pytest.mark.parametrize("most", [{}, {"held": 24}])
+def test_packing_joins_pieces_of_all_tasks(spark, most):
+    # Texts over half a sequence and, in other partitions, shorter ones of which one fits beside each, but two into one sequence.
+    rows = [(i, " ".join(["lake"] * n)) for i, n in enumerate([140] * 80 + [100] * 80)]
+    docs = spark.createDataFrame(rows, DOCS).repartitionByRange(16, "doc_id")
+    got = pack(docs, public_tokenizers.path("word_bpe_49k.json"), length=256, **most).collect()
+    assert sorted(r.doc_id for r in got) == list(range(160))
+    fill = {}
+    for r in got:
+        fill[r.sequence_id] = fill.get(r.sequence_id, 0) + r.length
+    assert max(fill.values()) <= 256
+    assert len(fill) <= (90 if most else 80)
+    # With 16 or more tokens of room in each no two fit into one: the two emptiest do not.
+    open_ = sorted(n for n in fill.values() if n <= 240)
+    assert sum(open_[:2]) > 256 or len(open_) < 2
