@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm.minhash import near_duplicates
+from palimpsest.llm.minhash import near_duplicate_rows, numbered
 from palimpsest.llm.packing import pack
 from palimpsest.llm.queries import TOKENIZER
 from palimpsest.llm.scratch import cut
@@ -34,9 +34,10 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group: that of least id.  Of rows that share an id with a kept one all stay."""
-    gone = near_duplicates(docs, k=5, percent=80).filter("not kept").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    """One row of each group: that of least id, also where rows are the same, share an id or have none."""
+    rows = numbered(docs.select(*COLUMNS))
+    gone = near_duplicate_rows(rows, k=5, percent=80).filter("not kept").select("row")
+    return rows.join(gone, "row", "left_anti").select(*COLUMNS)
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

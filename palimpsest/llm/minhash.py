@@ -125,11 +125,11 @@ def _signatures(batches: Iterator[pa.RecordBatch], k: int, slots: int, bands: in
             digest = [np.where(n > 0, np.add.reduceat(mix(both ^ U(c)), first[:-1]), U(0)).view(np.int64) for c in (1, 2**63 + 7)] if len(n) else [np.empty(0, np.int64)] * 2
             keys = bands_of(super_min_hash(items, first, slots), bands).view(np.int64)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, (len(n) + 1) * bands, bands, dtype=np.int32)), pa.array(keys.ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n.astype(np.int64)), *map(pa.array, digest), lists], ["doc_id", "n_shingles", "d1", "d2", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n.astype(np.int64)), *map(pa.array, digest), lists, batch.column(2)], ["row", "n_shingles", "d1", "d2", "bands", "doc_id"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch], k: int, bits: np.ndarray | None) -> Iterator[pa.RecordBatch]:
-    """The sets of documents whose hashed id is in the bitmap (a superset of those asked for)."""
+    """The sets of rows whose hashed number is in the bitmap (a superset of those asked for)."""
     for batch in batches:
         h = batch.column(2).to_numpy()
         there = np.flatnonzero((bits[h >> 6] >> (h & 63)) & 1)
@@ -213,13 +213,24 @@ def _tiled(unsettled: DataFrame, sets: DataFrame, percent: int, side: int = TILE
     return cut(tiles[0].union(tiles[1]).join(sets, "id").groupBy("cluster", "i", "j").applyInArrow(tile, "a long, b long"), "links")
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """``docs`` with a number ``row`` of its own for each row, written to the shared folder so that it stays."""
+    return cut(docs.withColumn("row", F.monotonically_increasing_id()), "numbered")
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, slots: int = SLOTS, bands: int = BANDS) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for every row of ``docs`` (doc_id long, text string).
+    """(doc_id, n_shingles, component_id, kept) for every row of ``docs`` (doc_id long, text string)."""
+    return near_duplicate_rows(numbered(docs.select("doc_id", "text")), k, percent, slots, bands).drop("row")
+
+
+def near_duplicate_rows(table: DataFrame, k: int = 5, percent: int = 80, slots: int = SLOTS, bands: int = BANDS) -> DataFrame:
+    """(row, doc_id, n_shingles, component_id, kept) for every row of ``table`` (row, as of ``numbered``, doc_id, text).
 
     A document's set holds its distinct ``k``-word shingles, lower-cased (A-Z); two documents are linked if
-    100 * intersection >= percent * union.  Documents without words, null texts and null ids are linked with nothing;
-    an empty document is its own component, one with a null id has a null component and is kept.  Rows that share an
-    id are versions of one document.  Ties do not arise: the component's name is its smallest id.
+    100 * intersection >= percent * union.  Every row is a document of its own, whether or not others have its id or
+    none has one.  Documents without words and null texts are linked with nothing; each is kept, and its id is its
+    component's.  A component's name is its smallest id, null if no row has one; the row of that id, of several the one
+    of least number, is the only one kept.
 
     Documents with equal sets fold to one representative first, so large groups of copies cost one row.  The rest
     share a band with probability 1 - (1 - s ** (slots / bands)) ** bands at similarity s (over 0.99999 at 0.8).
@@ -228,24 +239,23 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, slots: int =
     bounded size; no link is lost to the shortcut, and no pairs of a group are written out.  All comparisons use the
     full sets.
     """
-    spark = docs.sparkSession
-    table = docs.select("doc_id", "text")
-    signed = cut(table.mapInArrow(partial(_signatures, k=k, slots=slots, bands=bands), "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>"), "signatures")
-    some = signed.filter("n_shingles > 0 and doc_id is not null")
+    spark = table.sparkSession
+    table = table.select("row", "text", F.col("doc_id").cast("long").alias("doc_id"))
+    signed = cut(table.mapInArrow(partial(_signatures, k=k, slots=slots, bands=bands), "row long, n_shingles long, d1 long, d2 long, bands array<long>, doc_id long"), "signatures")
+    some = signed.filter("n_shingles > 0")
     same = some.groupBy("n_shingles", "d1", "d2")
-    rows = same.agg(F.min("doc_id").alias("id"), F.min_by("bands", "doc_id").alias("bands")).select("id", F.col("n_shingles").alias("n"), F.explode("bands").alias("key"))
+    rows = same.agg(F.min("row").alias("id"), F.min_by("bands", "row").alias("bands")).select("id", F.col("n_shingles").alias("n"), F.explode("bands").alias("key"))
     centres = rows.groupBy("key").agg(F.min(F.struct("id", "n")).alias("c"), F.max(F.struct("id", "n")).alias("d"), F.count("*").alias("members")).filter("members > 1").select("key", "c", "d")
     members = cut(rows.join(centres, "key"), "members")
     # The sets of documents that share a bucket: a bitmap of bounded size keeps other texts out of the shuffle.
     bits, size = _bitmap(members.select("id").distinct())
     shared = spark.sparkContext.broadcast(bits)
-    asked = table.filter("doc_id is not null").withColumn("h", F.pmod(F.xxhash64("doc_id"), F.lit(size)))
+    asked = table.select("row", "text", F.pmod(F.xxhash64("row"), F.lit(size)).alias("h"))
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return _sets(batches, k, shared.value)
 
     sets = cut(asked.mapInArrow(sets_of, "id long, items binary"), "sets")
-    sets = sets.groupBy("id").agg(F.min("items").alias("items")) if _repeats(sets) else sets
 
     def verified(pairs: DataFrame, name: str) -> DataFrame:
         found = pairs.select("a", "b").distinct()
@@ -263,16 +273,16 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, slots: int =
     more = _tiled(cut(_unsettled(members, parts).select("id", "part", F.col("c.id").alias("centre")), "unsettled"), sets, percent)
     if not more.isEmpty():
         parts = cut(connected_components(links.union(more)), "parts")
-    named = same.agg(F.min("doc_id").alias("node")).join(parts, "node", "left").select("n_shingles", "d1", "d2", F.coalesce("component", "node").alias("component"))
-    out = signed.select("doc_id", "n_shingles", "d1", "d2").join(named, ["n_shingles", "d1", "d2"], "left")
-    component = F.when(F.col("doc_id").isNull() | (F.col("n_shingles") == 0), F.col("doc_id")).otherwise(F.col("component"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
-
-
-def _repeats(sets: DataFrame) -> bool:
-    """Whether an id has more than one row."""
-    a = sets.agg(F.count("*"), F.count_distinct("id")).first()
-    return a[0] != a[1]
+    # The row that stays of each component: that of the least id, rows without one last.
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first")
+    named = same.agg(F.min("row").alias("node"), first)
+    tied = parts.join(named.select("node", "first"), "node")
+    tied = tied.join(tied.groupBy("component").agg(F.min("first").alias("best")), "component").select("node", "best")
+    named = named.join(tied, "node", "left").select("n_shingles", "d1", "d2", F.coalesce("best", "first").alias("best"))
+    out = signed.select("row", "doc_id", "n_shingles", "d1", "d2").join(named, ["n_shingles", "d1", "d2"], "left")
+    component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("best.doc_id"))
+    kept = (F.col("n_shingles") == 0) | (F.col("row") == F.col("best.row"))
+    return out.select("row", "doc_id", "n_shingles", component.alias("component_id"), kept.alias("kept"))
 
 
 def _unsettled(members: DataFrame, parts: DataFrame) -> DataFrame:
