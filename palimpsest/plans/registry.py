@@ -193,6 +193,12 @@ def v12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "documents").select("doc_id", V.char_shape(F.substring("text", 1, 40)).alias("shape"))
 
 
+@query("v12_char_shape_whole")
+def v12_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shapes of whole texts; ``v12_char_shape`` and its SQL cover their first 40 characters."""
+    return read(spark, sf_dir, "documents").select("doc_id", V.char_shape(F.col("text")).alias("shape"))
+
+
 @query("v14_levenshtein", "SELECT s_suppkey AS id, levenshtein(s_name, 'Supplier#000000042') AS d FROM supplier")
 def v14(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.levenshtein("s_name", F.lit("Supplier#000000042")).cast("bigint").alias("d"))
