@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -10,130 +11,213 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from palimpsest.llm.scratch import cut
+
 #: Vectors of a block, and queries of one; a task holds one block of each.
 BLOCK, QUERIES = 2048, 512
+#: One block in so many gives the first lists, from which the cutoffs come.
+FIRST = 8
+#: Below this share of open pairs what is missing of them is resolved pair by pair, above it in dense products.
+SPARSE = 0.1
 _LEAST = np.iinfo(np.int64).min
+_ENTRY = ["query_id", "vec_id", "score", "met", "computed", "resolved"]
+_KIND = "d long, bucket long, first boolean, ids binary, cutoffs binary, width int, matrix binary"
 
 
 def _blocks(rows: int, buckets: int, copies: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Packs (id, v, cutoff) rows into matrices of equal length; with ``copies`` one for every bucket, else each for one."""
+    """Packs (id, v, cutoff) rows into matrices of vectors of equal length and like norm; with ``copies`` one for every
+    bucket, else each for one.  A block stores its components in as few bytes as they need; every ``FIRST``th is marked."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: dict[int, list[tuple]] = {}
+        kept: dict[tuple, list[tuple]] = {}
         made, part = 0, TaskContext.get().partitionId()
 
-        def emit(d: int) -> pa.RecordBatch:
+        def emit(key: tuple) -> pa.RecordBatch:
             nonlocal made
-            now = kept.pop(d)
-            at = range(buckets) if copies else [(part * 7919 + made) % buckets]
+            now = kept.pop(key)
+            number = part * 7919 + made
+            at = range(buckets) if copies else [number % buckets]
             made += 1
-            columns = [np.array([r[0] for r in now], np.int64).tobytes(), np.array([r[2] for r in now], np.int64).tobytes(), np.array([r[1] for r in now], np.int64).tobytes()]
-            return pa.RecordBatch.from_arrays([pa.array([d] * len(at), pa.int64()), pa.array(list(at), pa.int64()), *(pa.array([c] * len(at), pa.binary()) for c in columns)], ["d", "bucket", "ids", "cutoffs", "matrix"])
+            matrix = np.array([r[1] for r in now], np.int64).reshape(len(now), key[0])
+            most = int(np.abs(matrix).max(initial=0))
+            width = 2 if most < 2**15 else 4 if most < 2**31 else 8
+            columns = [np.array([r[0] for r in now], np.int64).tobytes(), np.array([r[2] for r in now], np.int64).tobytes()]
+            return pa.RecordBatch.from_arrays(
+                [pa.array([key[0]] * len(at), pa.int64()), pa.array(list(at), pa.int64()), pa.array([number % FIRST == 0] * len(at)), *(pa.array([c] * len(at), pa.binary()) for c in columns),
+                 pa.array([width] * len(at), pa.int32()), pa.array([matrix.astype(f"<i{width}").tobytes()] * len(at), pa.binary())],
+                ["d", "bucket", "first", "ids", "cutoffs", "width", "matrix"],
+            )
 
         for batch in batches:
-            lists = batch.column(1)
-            first = np.concatenate([[0], np.cumsum(np.asarray(lists.value_lengths()))])
-            flat = lists.flatten().to_numpy()
+            column = batch.column(1)
+            first = np.concatenate([[0], np.cumsum(np.asarray(column.value_lengths()))])
+            flat = column.flatten().to_numpy()
             for i, (name, cutoff) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True)):
                 v = flat[first[i] : first[i + 1]]
-                kept.setdefault(len(v), []).append((name, v, cutoff))
-                if len(kept[len(v)]) == rows:
-                    yield emit(len(v))
-        for d in list(kept):
-            yield emit(d)
+                key = (len(v), 0 if copies else int(np.linalg.norm(v.astype(np.float64))).bit_length())
+                kept.setdefault(key, []).append((name, v, cutoff))
+                if len(kept[key]) == rows:
+                    yield emit(key)
+        for key in list(kept):
+            yield emit(key)
 
     return pack
 
 
-def _partial_scores(row: dict, lists: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
-    """Vector ids, query ids, cutoffs, and for each list the scores (query by vector) of its share of the components."""
-    d = row["d"]
-    ids, queries = (np.frombuffer(row[c], np.int64) for c in ("ids", "q_ids"))
-    v, q = (np.frombuffer(row[c], np.int64).reshape(-1, d) for c in ("matrix", "q_matrix"))
-    bound = float(np.abs(v).max(initial=0)) * float(np.abs(q).max(initial=0)) * max(d, 1)
-    if bound < 2**53:
-        v, q = v.astype(np.float64), q.astype(np.float64)  # exact, and far faster
-    cuts = np.linspace(0, d, lists + 1).astype(int)
-    return ids, queries, np.frombuffer(row["q_cutoffs"], np.int64), [(q[:, a:b] @ v[:, a:b].T).astype(np.int64) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+class _Met:
+    """A block of vectors and one of queries, their components divided among lists."""
+
+    def __init__(self, row: dict, lists: int) -> None:
+        d = row["d"]
+        self.ids, self.queries, self.cutoffs = (np.frombuffer(row[c], np.int64) for c in ("ids", "q_ids", "q_cutoffs"))
+        v, q = (np.frombuffer(row[f"{c}matrix"], f"<i{row[f'{c}width']}").reshape(-1, d) for c in ("", "q_"))
+        bound = float(np.abs(v).max(initial=0)) * float(np.abs(q).max(initial=0)) * max(d, 1)
+        # Doubles are exact up to 2 ** 53, and far faster.
+        self.v, self.q = (x.astype(np.float64 if bound < 2**53 else np.int64) for x in (v, q))
+        self.edges = np.linspace(0, d, lists + 1).astype(int)
+        self.lists, self.others = lists, self.ids[None, :] != self.queries[:, None]
+        self.pairs = self.others.sum(axis=1)
+
+    def scores(self, j: int) -> np.ndarray:
+        """The score of every pair in one list."""
+        a, b = self.edges[j], self.edges[j + 1]
+        return (self.q[:, a:b] @ self.v[:, a:b].T).astype(np.int64)
 
+    def norms(self, x: np.ndarray) -> np.ndarray:
+        """Norms of the rows in each list (list by row), rounded up."""
+        return np.array([np.sqrt((x[:, a:b].astype(np.float64) ** 2).sum(axis=1)) for a, b in zip(self.edges[:-1], self.edges[1:], strict=True)]) * (1 + 1e-12)
 
-def _best(score: np.ndarray, ids: np.ndarray, allowed: np.ndarray, k: int) -> np.ndarray:
-    """Places of the ``k`` best allowed entries, ties to the smaller id."""
-    at = np.flatnonzero(allowed)
+
+def _best(score: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """Places of the ``k`` best entries, ties to the smaller id."""
+    at = np.arange(len(ids))
     if len(at) > k:
-        edge = np.partition(score[at], len(at) - k)[len(at) - k]
-        at = at[score[at] >= edge]
+        at = np.flatnonzero(score >= np.partition(score, len(at) - k)[len(at) - k])
     return at[np.lexsort((ids[at], -score[at]))[:k]]
 
 
-def _local_lists(k: int, lists: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                ids, queries, _, parts = _partial_scores(row, lists)
-                total = sum(parts)
-                for j, part in enumerate(parts):
-                    got = [_best(part[i], ids, ids != queries[i], k) for i in range(len(queries))]
-                    who = np.repeat(np.arange(len(queries)), [len(g) for g in got])
-                    at = np.concatenate(got) if got else np.empty(0, np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(queries[who]), pa.array(np.full(len(at), j, np.int32)), pa.array(ids[at]), pa.array(part[who, at]), pa.array(total[who, at])], ["query_id", "list", "vec_id", "part", "score"])
+def _local_lists(batches: Iterator[pa.RecordBatch], k: int, lists: int) -> Iterator[pa.RecordBatch]:
+    """Phase 1: each query's ``k`` best entries of a block, all of whose lists are read."""
+    for batch in batches:
+        for row in batch.to_pylist():
+            met = _Met(row, lists)
+            total = sum(met.scores(j) for j in range(lists))
+            for i, query in enumerate(met.queries.tolist()):
+                some = np.flatnonzero(met.others[i])
+                at = some[_best(total[i, some], met.ids[some], k)]
+                yield _found(query, met.ids[at], total[i, at])
+            yield _work(met, met.others.sum(axis=1) * lists, met.others.sum(axis=1))
 
-    return scan
 
+def _found(query: int, ids: np.ndarray, score: np.ndarray) -> pa.RecordBatch:
+    none = pa.nulls(len(ids), pa.int64())
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), query)), pa.array(ids), pa.array(score), none, none, none], _ENTRY)
 
-def _sufficient(k: int, lists: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                ids, queries, cutoffs, parts = _partial_scores(row, lists)
-                total = sum(parts)
-                most = np.maximum.reduce(parts)
-                got = []
-                for i, cutoff in enumerate(cutoffs.tolist()):
-                    # An entry whose whole score reaches the cutoff has a list in which it reaches cutoff / lists.
-                    enough = most[i] >= -(-cutoff // lists) if cutoff != _LEAST else np.ones(len(ids), bool)
-                    got.append(_best(total[i], ids, enough & (total[i] >= cutoff) & (ids != queries[i]), k))
-                who = np.repeat(np.arange(len(queries)), [len(g) for g in got])
-                at = np.concatenate(got) if got else np.empty(0, np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(queries[who]), pa.array(ids[at]), pa.array(total[who, at])], ["query_id", "vec_id", "score"])
-
-    return scan
-
-
-def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, lists: int = 4) -> DataFrame:
-    """(query_id, rank, vec_id, score): the ``k`` rows of ``vectors`` with the highest inner product for each query.
 
-    Both tables have id (long) and v (array<long>).  A query's own id is no candidate; ties go to the smaller id; a
-    query with fewer candidates gets all of them.  Rows with a null id, a null vector or a null component take no part,
-    repeated rows count once, and vectors are only compared with vectors of their length.
+def _work(met: _Met, computed: np.ndarray, resolved: np.ndarray) -> pa.RecordBatch:
+    none = pa.nulls(len(met.queries), pa.int64())
+    return pa.RecordBatch.from_arrays([pa.array(met.queries), none, none, *map(pa.array, (met.pairs, computed, resolved))], _ENTRY)
 
-    Each vector's components are divided among ``lists``, each of which orders all vectors by its share of the score.
-    1. The ``k`` best of every list are gathered, and their whole scores give each query a safe cutoff: its k-th best
-       so far.  2. The cutoff travels to all blocks with the queries; a block collects the entries that reach
-       cutoff / ``lists`` in some list, as no other can reach the cutoff.  3. Their remaining scores are resolved
-       exactly and the best ``k`` kept.
 
-    Blocks of queries meet every block of vectors, so work is queries times vectors, in dense products of bounded
-    size; only the queries are copied, once for each of the session's shuffle partitions, never broadcast.
+def _sufficient(batches: Iterator[pa.RecordBatch], k: int, lists: int) -> Iterator[pa.RecordBatch]:
+    """Phases 2 and 3 on a block: entries that may reach the cutoff, read list by list, and their missing scores.
+
+    A pair of whole score >= cutoff has a list in which it scores cutoff / lists or more, and what it has so far plus
+    the product of norms of what is missing is never below the cutoff.  A pair that can do neither is dropped; once few
+    are open, only what is missing of these is computed.  A row with a null ``vec_id`` tells of each query the number
+    of pairs met, of list scores computed for them, and of pairs resolved to the end.
     """
+    for batch in batches:
+        for row in batch.to_pylist():
+            met = _Met(row, lists)
+            n, cutoff = len(met.ids), met.cutoffs.astype(np.float64)
+            nv, nq = met.norms(met.v), met.norms(met.q)
+            # Norms of what is missing after each list, and the largest of its lists.
+            rest_v, rest_q = (np.sqrt(np.cumsum(x[::-1] ** 2, axis=0)[::-1]) * (1 + 1e-9) for x in (nv, nq))
+            most_v, most_q = (np.maximum.accumulate(x[::-1], axis=0)[::-1] * (1 + 1e-9) for x in (nv, nq))
+            # Block by block: queries whose cutoff no vector of the block can reach are not read at all.
+            asked = np.flatnonzero((nq.T @ nv.max(axis=1, initial=0)) * (1 + 1e-9) >= cutoff) if n else np.empty(0, np.int64)
+            computed, resolved = np.zeros(len(met.queries), np.int64), np.zeros(len(met.queries), np.int64)
+            met.q, met.others, rest_q, most_q = met.q[asked], met.others[asked], rest_q[:, asked], most_q[:, asked]
+            open_, total, reached = met.others.copy(), np.zeros((len(asked), n), np.int64), np.zeros((len(asked), n), bool)
+            cut_ = cutoff[asked][:, None]
+            least = np.ceil(cut_ / lists)
+            pairs = None
+            for j in range(lists):
+                more = j + 1 < lists
+                if pairs is None:
+                    score = met.scores(j)
+                    computed[asked] += met.others.sum(axis=1)
+                    total += score
+                    reached |= score >= least
+                    bound = total + rest_q[j + 1][:, None] * rest_v[j + 1] if more else total
+                    open_ &= bound >= cut_
+                    if not more:
+                        open_ &= reached
+                    elif (most_q[j + 1].max(initial=0) * most_v[j + 1].max(initial=0) < least).any():
+                        open_ &= reached | (most_q[j + 1][:, None] * most_v[j + 1] >= least)
+                    if more and open_.mean() < SPARSE:
+                        pairs = np.nonzero(open_)
+                else:
+                    a, b = met.edges[j], met.edges[j + 1]
+                    score = np.einsum("ij,ij->i", met.q[pairs[0], a:b], met.v[pairs[1], a:b]).astype(np.int64)
+                    computed[asked] += np.bincount(pairs[0], minlength=len(asked))
+                    total[pairs] += score
+                    rest = rest_q[j + 1][pairs[0]] * rest_v[j + 1][pairs[1]] if more else 0
+                    keep = total[pairs] + rest >= cut_[pairs[0], 0]
+                    open_[pairs] = keep
+                    pairs = (pairs[0][keep], pairs[1][keep])
+            resolved[asked] = open_.sum(axis=1)
+            for i, query in enumerate(met.queries[asked].tolist()):
+                some = np.flatnonzero(open_[i])
+                at = some[_best(total[i, some], met.ids[some], k)]
+                yield _found(query, met.ids[at], total[i, at])
+            yield _work(met, computed, resolved)
+
+
+def searched(vectors: DataFrame, queries: DataFrame, k: int = 10, lists: int = 8) -> DataFrame:
+    """(query_id, vec_id, score, met, computed, resolved): the entries that the three phases leave to ``exact_top_k``, and
+    rows with a null ``vec_id`` that count a query's work in a block: pairs met, list scores computed, pairs resolved."""
     spark = vectors.sparkSession
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     whole = "id is not null and v is not null and not exists(v, x -> x is null)"
-    kind = "d long, bucket long, ids binary, cutoffs binary, matrix binary"
     asked = queries.select("id", "v").filter(whole).dropDuplicates()
     table = vectors.select("id", "v").filter(whole).dropDuplicates().withColumn("cutoff", F.lit(0).cast("long"))
-    blocks = table.mapInArrow(_blocks(BLOCK, buckets, copies=False), kind).select("d", "bucket", "ids", "matrix")
+    # A bucket for every block at most, so that few vectors do not have queries copied to all partitions.
+    buckets = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-vectors.count() // BLOCK)))
+    blocks = cut(table.mapInArrow(_blocks(BLOCK, buckets, copies=False), _KIND).select("d", "bucket", "first", "ids", "width", "matrix"), "blocks")
+    kind = ", ".join(f"{c} long" for c in _ENTRY)
 
-    def met(queries: DataFrame) -> DataFrame:
-        copies = queries.mapInArrow(_blocks(QUERIES, buckets, copies=True), kind)
-        copies = copies.select("d", "bucket", *(F.col(c).alias(f"q_{c}") for c in ("ids", "cutoffs", "matrix")))
-        return blocks.join(copies, ["d", "bucket"])
+    def met(blocks: DataFrame, queries: DataFrame, read: Callable) -> DataFrame:
+        copies = queries.mapInArrow(_blocks(QUERIES, buckets, copies=True), _KIND)
+        copies = copies.select("d", "bucket", *(F.col(c).alias(f"q_{c}") for c in ("ids", "cutoffs", "width", "matrix")))
+        return blocks.join(copies, ["d", "bucket"]).mapInArrow(partial(read, k=k, lists=lists), kind)
 
-    first = met(asked.withColumn("cutoff", F.lit(_LEAST))).mapInArrow(_local_lists(k, lists), "query_id long, list int, vec_id long, part long, score long")
-    best = Window.partitionBy("query_id", "list").orderBy(F.desc("part"), "vec_id")
-    gathered = first.withColumn("r", F.row_number().over(best)).filter(F.col("r") <= k).select("query_id", "vec_id", "score").distinct()
+    gathered = cut(met(blocks.filter("first"), asked.withColumn("cutoff", F.lit(_LEAST)), _local_lists), "gathered")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    cutoffs = gathered.withColumn("r", F.row_number().over(order)).filter(F.col("r") == k).select(F.col("query_id").alias("id"), F.col("score").alias("cutoff"))
+    cutoffs = gathered.filter("vec_id is not null").withColumn("r", F.row_number().over(order)).filter(F.col("r") == k).select(F.col("query_id").alias("id"), F.col("score").alias("cutoff"))
     told = asked.join(cutoffs, "id", "left").withColumn("cutoff", F.coalesce("cutoff", F.lit(_LEAST)))
-    found = met(told).mapInArrow(_sufficient(k, lists), "query_id long, vec_id long, score long").distinct()
+    return gathered.union(met(blocks.filter("not first"), told, _sufficient))
+
+
+def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, lists: int = 8) -> DataFrame:
+    """(query_id, rank, vec_id, score): the ``k`` rows of ``vectors`` with the highest inner product for each query.
+
+    Both tables have id (long) and v (array<long>); other columns are not read.  A query's own id is no candidate; ties
+    go to the smaller id; a query with fewer candidates gets all of them.  Rows with a null id, a null vector or a null
+    component take no part, repeated rows count once, vectors are only compared with vectors of their length, and empty
+    tables give no rows.  Where one id has several vectors, each is an entry, and each is a query.
+
+    Each vector's components are divided among ``lists``, each of which orders all vectors by its share of the score.
+    1. One block of vectors in eight reads all lists; its ``k`` best entries are gathered and give each query a safe
+       cutoff, their k-th best score.
+    2. The cutoff travels to all other blocks with the queries.  Blocks that can't reach it are skipped; the others are
+       read list by list, and only entries stay that can still reach the cutoff, and cutoff / ``lists`` in some list.
+    3. The missing scores of the few that are left are resolved exactly, and the best ``k`` of all blocks kept.
+
+    ``searched`` tells which share of the products was computed.  Blocks of queries meet every block of vectors in
+    dense products of bounded size; only the queries are copied, once for each bucket of blocks, never broadcast, and
+    the blocks are packed once.  An id with several vectors can be found twice, as an entry of two scores.
+    """
+    found = searched(vectors, queries, k, lists).filter("vec_id is not null").select("query_id", "vec_id", "score").distinct()
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
