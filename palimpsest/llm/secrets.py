@@ -6,12 +6,13 @@ import math
 import re
 from collections import defaultdict
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import partial
 from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.llm.words import text_bytes
@@ -19,7 +20,10 @@ from palimpsest.llm.words import text_bytes
 ASSIGN = re.compile(r"""(?a:(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+))""")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 KINDS = ("assign", "access", "hex", "format")
-OTHER = "other"
+#: Tokens that no fixed pattern labels: those with a digit, and words.
+OTHERS = ("other", "word")
+#: Bits a character from which on a token is a credential by its format; set by ``held_out_quality``.
+LEAST_BITS = 1.0
 _KEYS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
 _HEX, _TOKEN, _DIGIT, _ALPHA = (np.zeros(256, bool) for _ in range(4))
 _HEX[list(b"0123456789abcdef")] = True
@@ -27,10 +31,16 @@ _DIGIT[list(b"0123456789")] = True
 _ALPHA[list(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")] = True
 _TOKEN[list(b"+/_.=-")] = True
 _TOKEN |= _DIGIT | _ALPHA
+SYMBOLS = "0hzHZ+/_.=-"
 #: A symbol for each byte: its kind of letter or digit, or itself.
 _CLASS = {**{c: "0" for c in "0123456789"}, **{c: "h" for c in "abcdef"}, **{c: "z" for c in "ghijklmnopqrstuvwxyz"}, **{c: "H" for c in "ABCDEF"}, **{c: "Z" for c in "GHIJKLMNOPQRSTUVWXYZ"}}
 
 
+_CODE = np.zeros(256, np.int64)
+for _c in range(128):
+    _CODE[_c] = max(0, SYMBOLS.find(_CLASS.get(chr(_c), chr(_c))))
+
+
 def symbols(token: str) -> str:
     return "".join(_CLASS.get(c, c) for c in token)
 
@@ -113,15 +123,36 @@ class FormatAutomaton:
             inside = set(kept)
             fringe = [(k, s) for k in kept for s in sorted(self.next[k]) if self.next[k][s] not in inside]
 
-    def bits(self, sample: str, floor: float = 1e-4) -> float:
-        """The log2 likelihood of a sample; what a state has never shown has probability ``floor``."""
-        at, out = 0, 0.0
-        for c in sample:
-            n = self.total[at]
-            out += math.log2(max(self.count[at].get(c, 0) / n if n else 0, floor))
-            at = self.next[at].get(c, at)
-        n = self.total[at]
-        return out + math.log2(max(self.ends[at] / n if n else 0, floor))
+    def table(self, floor: float = 1e-4) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The next state and the log2 likelihood of each symbol in each state, and that of ending there; what a state
+        has never shown has probability ``floor`` and leaves it where it is."""
+        n = np.maximum(np.array(self.total, np.float64), 1)
+        step = np.repeat(np.arange(len(self.next))[:, None], len(SYMBOLS), axis=1)
+        shown = np.zeros(step.shape)
+        for i, (to, count) in enumerate(zip(self.next, self.count, strict=True)):
+            for c, state in to.items():
+                step[i, SYMBOLS.index(c)] = state
+            for c, k in count.items():
+                shown[i, SYMBOLS.index(c)] = k
+        return step, np.log2(np.maximum(shown / n[:, None], floor)), np.log2(np.maximum(np.array(self.ends) / n, floor))
+
+
+def bits(table: tuple[np.ndarray, np.ndarray, np.ndarray], raw: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The log2 likelihood of each token raw[begin:end] under an automaton, all tokens in step."""
+    step, shown, ends = table
+    order = np.argsort(begin - end, kind="stable")
+    size = (end - begin)[order]
+    state, out = np.zeros(len(order), np.int64), np.zeros(len(order))
+    n = len(order)
+    for i in range(int(size[0]) if n else 0):
+        while n and size[n - 1] <= i:
+            n -= 1
+        c = _CODE[raw[begin[order[:n]] + i]]
+        out[:n] += shown[state[:n], c]
+        state[:n] = step[state[:n], c]
+    back = np.empty(len(order))
+    back[order] = out + ends[state]
+    return back
 
 
 def _runs(mask: np.ndarray, edges: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
@@ -137,14 +168,29 @@ def _runs(mask: np.ndarray, edges: np.ndarray, least: int) -> tuple[np.ndarray,
     return a[b - a >= least], b[b - a >= least]
 
 
-def scan(column: pa.Array) -> tuple[list[list[tuple[int, int, int]]], list[list[tuple[int, int, str]]]]:
-    """For each text the spans (start, kind number, end) of the fixed patterns, and other tokens that could be secrets."""
+@dataclass
+class Scan:
+    """Of a batch of texts: for each the spans (start, kind number, end) of the fixed patterns, and all tokens that reach
+    beyond them, as bytes raw[begin:end] of text ``owner`` from code point ``start`` on."""
+
+    spans: list[list[tuple[int, int, int]]]
+    raw: np.ndarray
+    begin: np.ndarray
+    end: np.ndarray
+    owner: np.ndarray
+    start: np.ndarray
+
+    def token(self, i: int) -> str:
+        return self.raw[self.begin[i] : self.end[i]].tobytes().decode()
+
+
+def scan(column: pa.Array) -> Scan:
     raw, at = text_bytes(column)
     texts = len(at) - 1
     spans: list[list[tuple[int, int, int]]] = [[] for _ in range(texts)]
-    tokens: list[list[tuple[int, int, str]]] = [[] for _ in range(texts)]
+    none = np.empty(0, np.int64)
     if not len(raw):
-        return spans, tokens
+        return Scan(spans, raw, none, none, none, none)
     point = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])
     data = raw.tobytes()
     low = data.lower()
@@ -168,89 +214,127 @@ def scan(column: pa.Array) -> tuple[list[list[tuple[int, int, int]]], list[list[
     for d, i, j in zip(of(a).tolist(), a.tolist(), b.tolist(), strict=True):
         spans[d].append((int(point[i] - point[at[d]]), 2, int(point[j] - point[at[d]])))
     a, b = _runs(_TOKEN[raw], at, 12)
-    digits, letters = (np.concatenate([[0], np.cumsum(t[raw])]) for t in (_DIGIT, _ALPHA))
-    mixed = (digits[b] > digits[a]) & (letters[b] > letters[a])
-    a, b = a[mixed], b[mixed]
-    for d, i, j in zip(of(a).tolist(), a.tolist(), b.tolist(), strict=True):
-        start, end = int(point[i] - point[at[d]]), int(point[j] - point[at[d]])
-        if all(end <= s or e <= start for s, _, e in spans[d]):
-            tokens[d].append((start, end, data[i:j].decode()))
+    owner = of(a)
+    start = point[a] - point[at[owner]]
+    # A token goes if the fixed patterns cover all of it; one that they cover in part is scored whole.
+    open_ = np.ones(len(a), bool)
+    for i in np.flatnonzero(np.array([bool(spans[d]) for d in owner.tolist()], bool)).tolist():
+        to, reach = int(start[i] + b[i] - a[i]), int(start[i])
+        for s, _, e in sorted(spans[owner[i]]):
+            reach = max(reach, e) if s <= reach else reach
+        open_[i] = reach < to
     for found in spans:
         found.sort()
-    return spans, tokens
+    return Scan(spans, raw, a[open_], b[open_], owner[open_], start[open_])
 
 
-def _samples(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+def _samples(batches: Iterator[pa.RecordBatch], most: int, longest: int) -> Iterator[pa.RecordBatch]:
     """Labelled credentials and other tokens, those of least hash of each batch, which hold the least of all."""
     for whole in batches:
         kept: dict[str, dict[str, int]] = defaultdict(dict)
         for batch in (whole.slice(i, 1024) for i in range(0, len(whole), 1024)):
-            spans, tokens = scan(batch.column(0))
-            for i, (found, others) in enumerate(zip(spans, tokens, strict=True)):
-                text = batch.column(0)[i].as_py() if found else ""
-                values = [(KINDS[k], text[a:b]) for a, k, b in found]
-                values = [(k, ASSIGN.match(v)[2] if k == "assign" else v) for k, v in values] + [(OTHER, t) for *_, t in others]
-                for kind, value in values:
-                    if len(value) <= 256:
-                        kept[kind][value] = int.from_bytes(blake2b(value.encode(), digest_size=7).digest())
+            found = scan(batch.column(0))
+            tokens = {found.token(i) for i in np.flatnonzero(found.end - found.begin <= longest).tolist()}
+            values = [(OTHERS[not any(map(str.isdigit, t))], t) for t in tokens]
+            for i, spans in enumerate(found.spans):
+                text = batch.column(0)[i].as_py() if spans else ""
+                for a, k, b in spans:
+                    value = ASSIGN.match(text[a:b])[2] if k == 0 else text[a:b]
+                    if len(value) <= longest:
+                        values.append((KINDS[k], value))
+            for kind, value in values:
+                kept[kind][value] = int.from_bytes(blake2b(value.encode(), digest_size=7).digest())
         rows = [(k, v, h) for k, values in kept.items() for v, h in sorted(values.items(), key=lambda x: x[1])[:most]]
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.string(), pa.int64()))], ["kind", "value", "h"])
 
 
-def fit_formats(docs: DataFrame, sample: int = 400, alpha: float = 0.05) -> dict[str, FormatAutomaton]:
-    """An automaton for each kind of credential that the fixed patterns label in ``docs``, and one for other tokens.
+def labelled(docs: DataFrame, sample: int = 400, longest: int = 256) -> DataFrame:
+    """(kind, value, h): of each kind that the fixed patterns label in ``docs``, and of other tokens, the ``sample``
+    distinct values of least hash among those of at most ``longest`` characters, however the table is partitioned."""
+    rows = docs.select("text").mapInArrow(partial(_samples, most=sample, longest=longest), "kind string, value string, h long").distinct()
+    least = Window.partitionBy("kind").orderBy("h", "value")
+    return rows.withColumn("r", F.row_number().over(least)).filter(F.col("r") <= sample).drop("r")
 
-    Each is inferred from the ``sample`` distinct values of least hash (of at most 256 characters) of its kind: the
-    same however the table is partitioned.  Kinds without samples have none.
-    """
-    rows = docs.select("text").mapInArrow(partial(_samples, most=sample), "kind string, value string, h long").distinct()
-    out = {}
-    for kind in (*KINDS[:3], OTHER):
-        values = rows.filter(F.col("kind") == kind).orderBy("h", "value").limit(sample).select("value")
-        out[kind] = values
-    found = out["assign"].withColumn("kind", F.lit("assign"))
-    for kind in (*KINDS[1:3], OTHER):
-        found = found.union(out[kind].withColumn("kind", F.lit(kind)))
+
+def inferred(values: list[tuple[str, str]], alpha: float = 0.05) -> dict[str, FormatAutomaton]:
+    """An automaton for each kind of (kind, value); words and other tokens count in capitals and capitalised too."""
     grouped = defaultdict(list)
-    for value, kind in found.collect():
-        grouped[kind].append(symbols(value))
-    return {kind: FormatAutomaton(sorted(values), alpha) for kind, values in grouped.items()}
+    for kind, value in values:
+        forms = (value, value.upper(), value.capitalize()) if kind in OTHERS else (value,)
+        grouped[kind].extend(map(symbols, forms))
+    return {kind: FormatAutomaton(sorted(v), alpha) for kind, v in sorted(grouped.items())}
 
 
-def _scored(batches: Iterator[pa.RecordBatch], formats: dict[str, FormatAutomaton], least: float) -> Iterator[pa.RecordBatch]:
-    other = formats.get(OTHER)
-    known = [a for k, a in sorted(formats.items()) if k != OTHER]
-    seen: dict[str, bool] = {}
-
-    def secret(token: str) -> bool:
-        s = symbols(token)
-        if s not in seen:
-            if len(seen) > 200_000:
-                seen.clear()
-            ground = other.bits(s) if other else len(s) * math.log2(1 / 68)
-            seen[s] = bool(known) and (max(a.bits(s) for a in known) - ground) / len(s) >= least
-        return seen[s]
+def fit_formats(docs: DataFrame, sample: int = 400, alpha: float = 0.05, longest: int = 256) -> dict[str, FormatAutomaton]:
+    """An automaton for each kind of credential that the fixed patterns label in ``docs``, and one for
+    words and one for other tokens.
+
+    Each is inferred from the bounded sample of ``labelled``, which one pass over the texts gathers; kinds without
+    samples have none.
+    """
+    return inferred([(r.kind, r.value) for r in labelled(docs, sample, longest).collect()], alpha)
+
+
+class _Likeness:
+    """What the best credential automaton explains of tokens above those of other tokens, in bits a character."""
+
+    def __init__(self, formats: dict[str, FormatAutomaton]) -> None:
+        self.others = [a.table() for k, a in sorted(formats.items()) if k in OTHERS]
+        self.known = [a.table() for k, a in sorted(formats.items()) if k not in OTHERS]
+
+    def __call__(self, raw: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        if not self.known or not len(begin):
+            return np.full(len(begin), -np.inf)
+        best = lambda tables: np.maximum.reduce([bits(t, raw, begin, end) for t in tables])
+        ground = best(self.others) if self.others else (end - begin) * math.log2(1 / 68)
+        return (best(self.known) - ground) / (end - begin)
+
 
+def likeness(values: list[str], formats: dict[str, FormatAutomaton]) -> list[float]:
+    """The score that ``find_secrets`` holds against ``least_bits``, of tokens."""
+    sizes = np.array([len(v) for v in values], np.int64)
+    ends = np.cumsum(sizes)
+    return _Likeness(formats)(np.frombuffer("".join(values).encode(), np.uint8), ends - sizes, ends).tolist()
+
+
+def held_out_quality(docs: DataFrame, least_bits: float = LEAST_BITS, sample: int = 800, alpha: float = 0.05, longest: int = 256) -> dict[str, tuple[int, float]]:
+    """For each kind (number, share found) of labelled credentials held out of the fit, without their key words, and of
+    other tokens held out, where the share is that of false alarms.  Every other value by its hash is held out."""
+    rows = [(r.kind, r.value, r.h) for r in labelled(docs, sample, longest).collect()]
+    formats, out = inferred([r[:2] for r in rows if r[2] % 2 == 0], alpha), {}
+    for kind in (*KINDS[:3], *OTHERS):
+        held = [v for k, v, h in rows if k == kind and h % 2]
+        if held:
+            out[kind] = len(held), float(np.mean([s >= least_bits for s in likeness(held, formats)]))
+    return out
+
+
+def _scored(batches: Iterator[pa.RecordBatch], formats: dict[str, FormatAutomaton], least: float) -> Iterator[pa.RecordBatch]:
+    score = _Likeness(formats)
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
     for whole in batches:
         for batch in (whole.slice(i, 1024) for i in range(0, len(whole), 1024)):
-            spans, tokens = scan(batch.column("text"))
-            rows = [[{"kind": KINDS[k], "start": a, "end": b} for a, k, b in sorted(found + [(a, 3, b) for a, b, t in others if secret(t)])] for found, others in zip(spans, tokens, strict=True)]
+            found = scan(batch.column("text"))
+            for i in np.flatnonzero(score(found.raw, found.begin, found.end) >= least).tolist():
+                start = int(found.start[i])
+                found.spans[found.owner[i]].append((start, 3, start + int(found.end[i] - found.begin[i])))
+            rows = [[{"kind": KINDS[k], "start": a, "end": b} for a, k, b in sorted(spans)] for spans in found.spans]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rows, kind)], [*batch.schema.names, "secrets"])
 
 
-def find_secrets(docs: DataFrame, formats: dict[str, FormatAutomaton] | None = None, least_bits: float = 1.0, sample: int = 400) -> DataFrame:
+def find_secrets(docs: DataFrame, formats: dict[str, FormatAutomaton] | None = None, least_bits: float = LEAST_BITS, sample: int = 400, longest: int = 256) -> DataFrame:
     """``docs`` with ``secrets``: an array of (kind, start, end) in code points, by start and then by kind as in KINDS.
 
     Three kinds are fixed patterns, found leftmost and non-overlapping each: ``assign`` (a key word, a sign and 12 or
-    more characters), ``access`` and ``hex``.  All other tokens of 12 or more characters with a letter and a digit are
+    more characters), ``access`` and ``hex``.  All tokens of 12 or more characters that these do not cover whole are
     scored: ``format`` are those that the best credential automaton explains by ``least_bits`` or more per character
-    above the automaton of other tokens.  ``formats`` are from ``fit_formats``, by default fitted to ``docs``.  A null
-    or empty text has no secrets; rows may repeat; any columns may stand beside ``text``, and an old ``secrets`` is
-    replaced.  There is no shuffle but of the bounded samples.
+    above those of other tokens.  ``formats`` are from ``fit_formats``, by default fitted to ``docs`` on at
+    most ``sample`` values of each kind, none over ``longest`` characters; tokens of any length are scored.  A null or
+    empty text has no secrets; rows may repeat; any columns may stand beside ``text``, and an old ``secrets`` is
+    replaced; an empty table gives an empty one.  There is no shuffle but of the bounded samples.
     """
     docs = docs.drop("secrets")
-    formats = fit_formats(docs, sample) if formats is None else formats
+    formats = fit_formats(docs, sample, longest=longest) if formats is None else formats
     kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.schema)
     return docs.mapInArrow(partial(_scored, formats=formats, least=least_bits), kinds + "secrets array<struct<kind:string,start:int,end:int>>")
 
