@@ -67,6 +67,41 @@ KNOWN = {
     "0BSD": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.\n\n" + _ISC_END,
     "BSD-2-Clause": _BSD_START + "1. " + _BSD_1 + "2. " + _BSD_2 + _BSD_END,
     "BSD-3-Clause": _BSD_START + "1. " + _BSD_1 + "2. " + _BSD_2 + "3. " + _BSD_3 + _BSD_END,
+    "Unlicense": "This is free and unencumbered software released into the public domain.\n\nAnyone is free to copy, modify, publish, use, compile, sell, or distribute "
+    "this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.\n\nIn jurisdictions that "
+    "recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this "
+    "dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of "
+    "relinquishment in perpetuity of all present and future rights to this software under copyright law.\n\n"
+    'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS '
+    "FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF "
+    "CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.\n\nFor more information, "
+    "please refer to <https://unlicense.org>",
+    "BSL-1.0": "Boost Software License - Version 1.0 - August 17th, 2003\n\nPermission is hereby granted, free of charge, to any person or organization obtaining a copy "
+    'of the software and accompanying documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute, and transmit the '
+    "Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the "
+    "following:\n\nThe copyright notices in the Software and this entire statement, including the above license grant, this restriction and the following "
+    "disclaimer, must be included in all copies of the Software, in whole or in part, and all derivative works of the Software, unless such copies or derivative "
+    "works are solely in the form of machine-executable object code generated by a source language processor.\n\n"
+    'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS '
+    "FOR A PARTICULAR PURPOSE, TITLE AND NON-INFRINGEMENT. IN NO EVENT SHALL THE COPYRIGHT HOLDERS OR ANYONE DISTRIBUTING THE SOFTWARE BE LIABLE FOR ANY DAMAGES "
+    "OR OTHER LIABILITY, WHETHER IN CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE "
+    "SOFTWARE.",
+    "Zlib": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use "
+    "of this software.\n\nPermission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute "
+    "it freely, subject to the following restrictions:\n\n1. The origin of this software must not be misrepresented; you must not claim that you wrote the original "
+    "software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required.\n2. Altered source "
+    "versions must be plainly marked as such, and must not be misrepresented as being the original software.\n3. This notice may not be removed or altered from any "
+    "source distribution.",
+    "Apache-2.0-header": 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a '
+    "copy of the License at\n\nhttp://www.apache.org/licenses/LICENSE-2.0\n\nUnless required by applicable law or agreed to in writing, software distributed under the "
+    'License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language '
+    "governing permissions and limitations under the License.",
+    "GPL-3.0-or-later-header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the "
+    "Free Software Foundation, either version 3 of the License, or (at your option) any later version.\n\nThis program is distributed in the hope that it will be "
+    "useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License "
+    "for more details.\n\nYou should have received a copy of the GNU General Public License along with this program. If not, see <https://www.gnu.org/licenses/>.",
+    "MPL-2.0-header": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can "
+    "obtain one at https://mozilla.org/MPL/2.0/.",
     "MIT-notice": "Released under the MIT License.",
     "Apache-2.0-notice": "Licensed under the Apache License, Version 2.0.",
     "GPL-3.0-notice": "This work is licensed under the GNU General Public License, version 3.",
@@ -74,12 +109,25 @@ KNOWN = {
 }
 
 
+#: A line that states a copyright: the word or sign with a year, a place for one or "(c)", or a holder and a year at its
+#: end, or the rights reserved.  Sentences of a licence that happen to begin with the word stay.
+_STATEMENT = (
+    r"^[^\n\p{L}\p{N}©]*(?:copyright[^\n\p{L}\p{N}]*(?:[0-9]{4}|c\)|©|year|yyyy)[^\n]*|©[^\n]*|c\)[^\n\p{L}\p{N}]*[0-9]{4}[^\n]*"
+    r"|copyright[^\n]*[ ,](?:19|20)[0-9]{2}[^\n\p{L}\p{N}]*|all rights reserved[^\n\p{L}\p{N}]*)$"
+)
+#: What numbers the items of a list.
+_ITEM = r"^[^\n\p{L}\p{N}]*(?:[0-9]{1,2}|[a-z])[.)][ \t]+"
+_MARKS = r"[^\p{L}\p{N}]+"
+#: Lines that may be a notice.
+_WORD = "licen[cs]e"
+
+
 def canonical(text: Column) -> Column:
-    """Lower case without copyright lines and punctuation, words parted by single spaces, equivalent spellings made one."""
+    """Lower case without copyright statements, list marks and punctuation, words parted by single spaces, equivalent spellings made one."""
     out = F.lower(F.coalesce(text, F.lit("")))
-    # A line that begins with the word or sign, whatever punctuation stands before; the lines around it stay.
-    out = F.regexp_replace(out, r"(^|\n)[^\n\p{L}\p{N}©]*(?:copyright|©|c\) )[^\n]*", "$1")
-    out = F.trim(F.regexp_replace(out, r"[^\p{L}\p{N}]+", " "))
+    for pattern, to in (("(?md)" + _STATEMENT, ""), ("(?md)" + _ITEM, ""), (_MARKS, " ")):
+        out = F.regexp_replace(out, pattern, to)
+    out = F.trim(out)
     for old, new in SPELLINGS:
         out = F.replace(out, F.lit(old), F.lit(new))
     return out
@@ -90,26 +138,37 @@ def known_licenses(spark: SparkSession) -> DataFrame:
 
 
 def scan_licenses(docs: DataFrame, known: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with (canonical_sha256, license_id): the digest of each whole canonical text, and the licence that has it.
+    """``docs`` with (canonical_sha256, license_id, notices): the digest of each whole canonical text, the licence that
+    has it, and the licences that are a whole line of the text.
 
     ``known`` has (license_id, license_text).  A text that is no known licence, a null or an empty one has a null
     ``license_id``; of licences with equal canonical texts the least id counts, and one whose canonical text is empty
-    never does.  Repeated rows stay; other columns pass, but for the two new ones, which are replaced.
+    never does.  ``notices`` holds the distinct ids, in order, of lines with the word licence whose own digest is known;
+    it is empty if there are none.  Repeated rows stay; other columns pass, but for the new ones, which are replaced;
+    an empty table gives an empty one.
 
     Licences are hashed by the same expressions and joined by equality of digests; the join is left to Spark, which
-    broadcasts the known ones only below its size threshold.
+    broadcasts the known ones only below its size threshold.  Lines look their digests up in a map of the known ones,
+    whose size is that of the list of licences and does not grow with the corpus.
     """
     empty = F.sha2(F.lit(""), 256)
     digests = known.select(F.sha2(canonical(F.col("license_text")), 256).alias("canonical_sha256"), "license_id").filter(F.col("canonical_sha256") != empty)
     digests = digests.groupBy("canonical_sha256").agg(F.min("license_id").alias("license_id"))
-    docs = docs.drop("canonical_sha256", "license_id").withColumn("canonical_sha256", F.sha2(canonical(F.col(text)), 256))
+    lookup = digests.agg(F.map_from_entries(F.collect_list(F.struct("canonical_sha256", "license_id"))).alias("m")).scalar()
+    docs = docs.drop("canonical_sha256", "license_id", "notices", "_known").withColumn("_known", lookup)
+    lines = F.filter(F.split(F.col(text), "\n"), lambda line: F.rlike(line, F.lit("(?i)" + _WORD)))
+    found = F.transform(lines, lambda line: F.element_at("_known", F.sha2(canonical(line), 256)))
+    notices = F.when(F.rlike(F.col(text), F.lit("(?i)" + _WORD)), F.array_sort(F.array_distinct(F.array_compact(found)))).otherwise(F.array().cast("array<string>"))
+    docs = docs.withColumn("canonical_sha256", F.sha2(canonical(F.col(text)), 256)).withColumn("notices", notices).drop("_known")
     return docs.join(digests, "canonical_sha256", "left")
 
 
 def canonical_sql(text: str) -> str:
     """``canonical`` as DuckDB SQL."""
-    out = f"regexp_replace(lower(coalesce({text}, '')), '(^|\\n)[^\\n\\p{{L}}\\p{{N}}©]*(?:copyright|©|c\\) )[^\\n]*', '\\1', 'g')"
-    out = f"trim(regexp_replace({out}, '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))"
+    out = f"lower(coalesce({text}, ''))"
+    for pattern, to in (("(?m)" + _STATEMENT, ""), ("(?m)" + _ITEM, ""), (_MARKS, " ")):
+        out = f"regexp_replace({out}, '{pattern}', '{to}', 'g')"
+    out = f"trim({out})"
     for old, new in SPELLINGS:
         out = f"replace({out}, '{old}', '{new}')"
     return out
@@ -120,5 +179,12 @@ def oracle() -> str:
     return f"""
         WITH k AS (
             SELECT sha256({canonical_sql('t')}) AS canonical_sha256, min(l) AS license_id FROM (VALUES {rows}) AS v(l, t) GROUP BY 1
+        ), d AS (
+            SELECT doc_id, sha256({canonical_sql('text')}) AS canonical_sha256, row_number() OVER () AS r,
+                list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '(?i){_WORD}')) AS lines
+            FROM documents
+        ), n AS (
+            SELECT r, list_sort(list(DISTINCT license_id)) AS notices
+            FROM (SELECT r, unnest(lines) AS x FROM d WHERE len(lines) > 0) JOIN k ON k.canonical_sha256 = sha256({canonical_sql('x')}) GROUP BY r
         )
-        SELECT doc_id, canonical_sha256, license_id FROM (SELECT doc_id, sha256({canonical_sql('text')}) AS canonical_sha256 FROM documents) LEFT JOIN k USING (canonical_sha256)"""
+        SELECT doc_id, canonical_sha256, license_id, array_to_string(coalesce(notices, []), ',') AS notices FROM d LEFT JOIN k USING (canonical_sha256) LEFT JOIN n USING (r)"""
