@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 from palimpsest.llm.components import connected_components
 from palimpsest.llm.scratch import cut
 
-#: Filters that a vector falls into on average, vectors that a filter holds on average, and vectors of a tile's side.
-LISTED, HELD, TILE = 20, 32, 512
+#: Filters that a vector falls into on average and at least, vectors that a filter holds on average, and vectors of a
+#: tile's side.
+LISTED, LEAST, HELD, TILE = 12, 6, 512, 2048
 
 
 @lru_cache(16)
@@ -63,14 +64,18 @@ def _filters(batches: Iterator[pa.RecordBatch], words: int, listed: int) -> Iter
             a, b = x[:, : d // 2] @ one.T, x[:, d // 2 :] @ two.T
             order = np.argsort(-b, axis=1, kind="stable")
             down = -np.take_along_axis(b, order, axis=1)
-            out = []
+            out, down_best = [], -down[:, :LEAST]
             for i in range(len(part)):
                 first = np.flatnonzero(a[i] - down[i, 0] >= edge)
                 n = np.searchsorted(down[i], a[i, first] - edge, side="right")
                 second = order[i, np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
                 got = np.repeat(first, n) * len(two) + second
-                if not len(got):
-                    got = np.array([int(a[i].argmax()) * len(two) + int(order[i, 0])])
+                if len(got) < LEAST:
+                    # The best products of its best directions, so that no vector has next to no filters.
+                    best = np.argsort(-a[i], kind="stable")[:LEAST]
+                    sums = (a[i, best][:, None] + down_best[i]).ravel()
+                    top = np.argsort(-sums, kind="stable")[:LEAST]
+                    got = np.union1d(got, best[top // down_best.shape[1]] * len(two) + order[i, top % down_best.shape[1]])
                 out.append(np.sort(got) + (d << 44))
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(out, pa.list_(pa.int64()))], [*part.schema.names, "filters"])
 
@@ -128,8 +133,8 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.95, listed: int = LISTED,
     all count as links of one another.  Nothing is dropped or capped.
 
     A vector's halves are scored against two random codes; the pairs of directions whose product code word it exceeds
-    are its filters (``listed`` on average, list-decoded from the sorted scores).  Near vectors share most of their
-    filters, others few.  A filter's vectors are compared in tiles of bounded size, however many it holds, and a pair
+    are its filters (``listed`` on average, list-decoded from the sorted scores; a vector with fewer than ``LEAST`` takes its
+    best ones).  Near vectors share most of their filters, others few.  A filter's vectors are compared in tiles of bounded size, however many it holds, and a pair
     counts in the first filter that it shares, so neither pairs nor links are ever written out.
     """
     numbers = "exists(embedding, x -> x <> 0) and not exists(embedding, x -> x is null or isnan(x) or abs(x) = double('infinity'))"
