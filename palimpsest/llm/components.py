@@ -12,6 +12,10 @@ from pyspark.sql import functions as F
 from palimpsest.llm.scratch import cut
 
 
+#: A node with over one in so many of all edges is a hub.
+HUBS = 1000
+
+
 def union_find(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """All nodes of the edges (a, b), sorted, and the smallest node of each one's component."""
     nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
@@ -43,27 +47,39 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(node[keep]), pa.array(least[keep])], ["a", "b"])
 
 
+def _told(rows: DataFrame, least: DataFrame, most: float) -> DataFrame:
+    """``rows`` (a, b) with the ``m`` that ``least`` (a, m, n) tells of ``a``.
+
+    Nodes of more than ``most`` edges, of which there are few, are told by broadcast, so that the edges of a hub stay
+    where they are; the others by a shuffled join.
+    """
+    hubs = F.broadcast(least.filter(F.col("n") > most).select("a", F.col("m").alias("h")))
+    tagged = rows.join(hubs, "a", "left")
+    others = tagged.filter("h is null").select("a", "b").join(least.filter(F.col("n") <= most).select("a", "m"), "a")
+    return tagged.filter("h is not null").select("a", "b", F.col("h").alias("m")).union(others.select("a", "b", "m"))
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component): the smallest node that each node of ``edges`` reaches.
 
     Columns ``a`` and ``b`` are longs; edges may repeat, run either way or tie a node to itself.  Each partition first
-    folds its edges to a forest by union-find.  Rounds of large-star and small-star contraction then tie every node to
-    its component's least one; each round shuffles only the forest, and its result is written to the shared folder.
-    No link or component reaches the driver, which compares two sums to see that nothing changed.
+    folds its edges to a forest by union-find.  While a node hangs on several others, or on one that hangs itself,
+    rounds of large-star and small-star contraction tie every node to its component's least one; each round shuffles
+    only the forest, and its result is written to the shared folder.  A node with over a ``HUBS``th of all edges is a
+    hub; there are at most 2 * ``HUBS``, which is what is broadcast.  No link or component reaches the driver, which
+    reads two counts a round.
     """
-    schema = "a long, b long"
-    now = cut(edges.select(F.col(a).alias("a"), F.col(b).alias("b")).filter("a is not null and b is not null").mapInArrow(_stars, schema), "forest")
-    seen = None
+    now = cut(edges.select(F.col(a).alias("a"), F.col(b).alias("b")).filter("a is not null and b is not null").mapInArrow(_stars, "a long, b long"), "forest")
     while True:
+        ends = now.select("a", F.lit(1).alias("out"), F.lit(0).alias("in")).union(now.select("b", F.lit(0), F.lit(1)))
+        ends = ends.groupBy("a").agg(F.sum("out").alias("out"), F.max("in").alias("in"))
+        tangled, n = ends.agg(F.count_if(F.expr("`out` > 1 or (`out` > 0 and `in` > 0)")), F.sum("out")).first()
+        if not tangled:
+            return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(now.select(F.col("b"), F.col("b")).distinct())
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count("*").alias("n"))
+        large = _told(both.filter("b > a"), least, n / HUBS).select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
         # Every edge now runs from its larger end; the small star ties these ends' other neighbours to the least of them.
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").select(F.when(F.col("a") == F.col("b"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
+        least = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+        small = _told(large, least, n / HUBS).select(F.col("b").alias("a"), F.col("m").alias("b"))
         now = cut(small.union(least.select("a", F.col("m").alias("b"))).filter("a <> b").distinct(), "forest")
-        state = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if state == seen or not state[0]:
-            break
-        seen = state
-    return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(now.select(F.col("b"), F.col("b")).distinct())
