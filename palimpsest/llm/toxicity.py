@@ -142,23 +142,24 @@ def _features(batches: Iterator[pa.RecordBatch], lexicon: np.ndarray) -> Iterato
 
 @dataclass
 class ToxicityModel:
-    """Stems of the learned lexicon, boosted trees and their calibration; without trees only the seeds count."""
+    """Stems of the learned lexicon, boosted trees and their calibration, and the share of toxic labels; without trees
+    every text has that share as its score."""
 
     lexicon: np.ndarray
     trees: GBTClassificationModel | None
     calibration: IsotonicRegressionModel | None
+    share: float
 
     def score(self, docs: DataFrame) -> DataFrame:
-        """``docs`` with ``score`` (0 to 1) of each whole ``text``; null and empty texts have the score of no words."""
+        """``docs`` with ``score`` (0 to 1) of each whole ``text``; null and empty texts have the score of no words.
+        Repeated rows and any other columns stay, but for an old ``score`` and the names that the model uses."""
         docs = docs.drop("score", "features", "rawPrediction", "probability", "prediction", "raw_score", "calibrated")
+        if self.trees is None:
+            return docs.withColumn("score", F.lit(self.share))
         kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.schema)
         out = docs.mapInArrow(partial(_features, lexicon=self.lexicon), kinds + "features array<double>")
-        if self.trees is None:
-            return out.withColumn("score", F.least(F.lit(1.0), F.element_at("features", 1) * 20)).drop("features")
-        out = _raw_score(self.trees, out)
-        out = self.calibration.transform(out)
-        # Calibration makes steps; a small share of the trees' own score keeps the order within a step.
-        return out.select(*docs.columns, (F.col("calibrated") * 0.98 + F.col("raw_score") * 0.02).alias("score"))
+        out = self.calibration.transform(_raw_score(self.trees, out))
+        return out.select(*docs.columns, F.col("calibrated").alias("score"))
 
 
 def _raw_score(trees: GBTClassificationModel, rows: DataFrame) -> DataFrame:
@@ -175,35 +176,34 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, sample: int = 20_000, stems
     """Learns from ``labels`` (doc_id, toxic) of rows that are not held out.
 
     The documents fitted to are at most ``sample`` labelled ones, at most half of them of either class, those of least
-    hash of the id (no more, so their ids may be broadcast and the texts need no shuffle).  Half of them give the
-    lexicon, at most ``stems`` word beginnings that toxic texts hold far more often than others; the rest give the
-    trees and, apart from these, the calibration, where each counts for as many labels as its class has for one chosen,
-    so the share of toxic texts is that of all labels whatever the sample.  Nulls, and ids with both labels, are left
-    out; without both labels there are no trees.
+    hash of the id (no more, so their ids may be broadcast; their texts are written to the shared folder).  Half of them
+    give the lexicon, at most ``stems`` word beginnings that toxic texts hold far more often than others; the rest give
+    the trees and, apart from these, the calibration, where each counts for as many labels as its class has for one
+    chosen, so the share of toxic texts is that of all labels whatever the sample.  Nulls, and ids with both labels, are
+    left out; rows that repeat an id are texts of their own.  Where a part has no documents of both labels there is
+    nothing to fit: the model then gives every text the share of toxic labels, 0 if there are none.
     """
     known = labels.filter("doc_id is not null and toxic is not null").filter(~held_out()).groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("t")).filter("toxic = t").select("doc_id", "toxic")
-    known = known.withColumn("h", F.xxhash64("doc_id"))
-    chosen = [known.filter(F.col("toxic") == t).orderBy("h", "doc_id").limit(sample // 2) for t in (0, 1)]
-    chosen = cut(chosen[0].union(chosen[1]).coalesce(1), "labelled")
-    counts = {r[0]: r[1] for r in chosen.groupBy("toxic").count().collect()}
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-    if len(counts) < 2:
-        return ToxicityModel(np.empty(0, np.int64), None, None)
+    known = cut(known.withColumn("h", F.xxhash64("doc_id")), "labels")
     total = {r[0]: r[1] for r in known.groupBy("toxic").count().collect()}
-    weight = F.when(F.col("toxic") == 1, total[1] / counts[1]).otherwise(total[0] / counts[0])
+    share = total.get(1, 0) / max(1, sum(total.values()))
+    chosen = [known.filter(F.col("toxic") == t).orderBy("h", "doc_id").limit(sample // 2) for t in (0, 1)]
+    rows = cut(docs.select("doc_id", "text").join(F.broadcast(chosen[0].union(chosen[1])), "doc_id"), "labelled")
     part = F.pmod(F.shiftright("h", 20), F.lit(4))
+    chosen = {t: min(total.get(t, 0), sample // 2) for t in (0, 1)}
+    weight = F.when(F.col("toxic") == 1, total.get(1, 0) / max(1, chosen[1])).otherwise(total.get(0, 0) / max(1, chosen[0]))
+    n = {(r[0], r[1]): r[2] for r in rows.select(part.alias("part"), "toxic").groupBy("part", "toxic").count().collect()}
+    bad, good = (sum(n.get((p, t), 0) for p in (0, 1)) for t in (1, 0))
+    if not all([bad, good, *(n.get((p, t), 0) for p in (2, 3) for t in (0, 1))]):
+        return ToxicityModel(np.empty(0, np.int64), None, None, share)
     first = rows.filter(part < 2)
     found = first.select("text", "toxic").mapInArrow(_stem_counts, "stem long, bad long, good long").groupBy("stem").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
-    n = {r[0]: r[1] for r in chosen.filter(part < 2).groupBy("toxic").count().collect()}
-    bad, good = n.get(1, 0), n.get(0, 0)
     odds = (F.col("bad") + 0.5) / (bad + 1) / ((F.col("good") + 0.5) / (good + 1))
     lexicon = found.filter((F.col("bad") >= max(3, bad // 80)) & (odds >= 15)).orderBy(F.desc(odds * F.sqrt("bad")), "stem").limit(stems).toArrow().column("stem").to_numpy()
     featured = rows.filter(part >= 2).select("text", "toxic", part.alias("part")).mapInArrow(partial(_features, lexicon=lexicon), "text string, toxic int, part long, features array<double>")
     featured = cut(featured.select("part", F.col("toxic").cast("double").alias("label"), weight.alias("weight"), "features").coalesce(8), "features")
     fit, tune = featured.filter("part = 2"), featured.filter("part = 3")
-    if min(x.select("label").distinct().count() for x in (fit, tune)) < 2:
-        return ToxicityModel(lexicon, None, None)
     gbt = GBTClassifier(maxIter=trees, maxDepth=3, stepSize=0.3, seed=7, weightCol="weight").fit(fit.withColumn("features", array_to_vector("features")).coalesce(2).select("features", "label", "weight"))
     scored = _raw_score(gbt, tune).select("label", "weight", F.col("raw_score")).coalesce(1)
     iso = IsotonicRegression(featuresCol="raw_score", labelCol="label", weightCol="weight", predictionCol="calibrated").fit(scored)
-    return ToxicityModel(lexicon, gbt, iso)
+    return ToxicityModel(lexicon, gbt, iso, share)
