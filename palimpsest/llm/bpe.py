@@ -51,12 +51,37 @@ def _among(h: np.ndarray, known: np.ndarray) -> np.ndarray:
     return known[np.minimum(np.searchsorted(known, h), len(known) - 1)] == h if len(known) else np.zeros(len(h), bool)
 
 
+#: What a file must say of normalising, of words and of decoding, as ``words_of`` and ``decode`` do just that (fixed values).
+_SAYS = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+    "decoder": None,
+}
+
+
+def _check(told: dict) -> None:
+    """Raises an error for a tokenizer file whose text would not be encoded as it says."""
+    model = told["model"]
+    wrong = [k for k, v in _SAYS.items() if told.get(k) != v]
+    wrong += [k for k in ("dropout", "unk_token", "continuing_subword_prefix", "byte_fallback", "ignore_merges") if model.get(k)]
+    wrong += [k for t in told["added_tokens"] for k in ("single_word", "lstrip", "rstrip", "normalized") if t.get(k)]
+    if model.get("type") != "BPE" or not model.get("end_of_word_suffix") or wrong:
+        raise ValueError(f"no file for this encoder: {sorted(set(wrong)) or model.get('type')}")
+
+
 class PairIndexBpe:
     """The vocabulary and merges of a tokenizer file of the kind 'BPE with word ends, lower case, byte letters'."""
 
     def __init__(self, path: str) -> None:
         with open(path, encoding="utf-8") as f:
             told = json.load(f)
+        _check(told)
         model, vocab = told["model"], told["model"]["vocab"]
         self.end = model["end_of_word_suffix"]
         self.special = {t["content"]: t["id"] for t in told["added_tokens"]}
@@ -158,7 +183,7 @@ class PairIndexBpe:
         """The words of normalised texts, as code points; of each special token the word that it stands before, its text and its id."""
         parts, last, where, owner, what = [], [], [], [], []
         for i, text in enumerate(texts):
-            pieces = self.split.split(text) if text and self.split and "<|" in text else [text or ""]
+            pieces = self.split.split(text) if text and any(s in text for s in self.special) else [text or ""]
             for piece in pieces:
                 if piece in self.special:
                     where.append(len(parts))

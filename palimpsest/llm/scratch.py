@@ -19,7 +19,7 @@ def shared_folder(spark: SparkSession) -> str:
     """
     if found := spark.conf.get("spark.checkpoint.dir", None):
         return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
+    if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Callable, Iterator
 from functools import partial
 
@@ -14,10 +15,10 @@ from pyspark.sql import functions as F
 from palimpsest.llm.scratch import cut
 
 #: Vectors of a block, and queries of one; a task holds one block of each.
-BLOCK, QUERIES = 2048, 512
+BLOCK, QUERIES = 1024, 512
 #: One block in so many gives the first lists, from which the cutoffs come.
 FIRST = 8
-#: Below this share of open pairs what is missing of them is resolved pair by pair, above it in dense products.
+#: Below this share of open vectors what is missing of a query's is resolved pair by pair, above it in dense products.
 SPARSE = 0.1
 _LEAST = np.iinfo(np.int64).min
 _ENTRY = ["query_id", "vec_id", "score", "met", "computed", "resolved"]
@@ -26,24 +27,25 @@ _KIND = "d long, bucket long, first boolean, ids binary, cutoffs binary, width i
 
 def _blocks(rows: int, buckets: int, copies: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Packs (id, v, cutoff) rows into matrices of vectors of equal length and like norm; with ``copies`` one for every
-    bucket, else each for one.  A block stores its components in as few bytes as they need; every ``FIRST``th is marked."""
+    bucket, else each for one.  A block stores its components in as few bytes as they need; every ``FIRST``th of its kind is marked."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: dict[tuple, list[tuple]] = {}
-        made, part = 0, TaskContext.get().partitionId()
+        made, part, count = 0, TaskContext.get().partitionId(), defaultdict(int)
 
         def emit(key: tuple) -> pa.RecordBatch:
             nonlocal made
             now = kept.pop(key)
-            number = part * 7919 + made
-            at = range(buckets) if copies else [number % buckets]
+            at = range(buckets) if copies else [(part * 7919 + made) % buckets]
+            first = (part + count[key]) % FIRST == 0
             made += 1
+            count[key] += 1
             matrix = np.array([r[1] for r in now], np.int64).reshape(len(now), key[0])
             most = int(np.abs(matrix).max(initial=0))
             width = 2 if most < 2**15 else 4 if most < 2**31 else 8
             columns = [np.array([r[0] for r in now], np.int64).tobytes(), np.array([r[2] for r in now], np.int64).tobytes()]
             return pa.RecordBatch.from_arrays(
-                [pa.array([key[0]] * len(at), pa.int64()), pa.array(list(at), pa.int64()), pa.array([number % FIRST == 0] * len(at)), *(pa.array([c] * len(at), pa.binary()) for c in columns),
+                [pa.array([key[0]] * len(at), pa.int64()), pa.array(list(at), pa.int64()), pa.array([first] * len(at)), *(pa.array([c] * len(at), pa.binary()) for c in columns),
                  pa.array([width] * len(at), pa.int32()), pa.array([matrix.astype(f"<i{width}").tobytes()] * len(at), pa.binary())],
                 ["d", "bucket", "first", "ids", "cutoffs", "width", "matrix"],
             )
@@ -78,10 +80,10 @@ class _Met:
         self.lists, self.others = lists, self.ids[None, :] != self.queries[:, None]
         self.pairs = self.others.sum(axis=1)
 
-    def scores(self, j: int) -> np.ndarray:
-        """The score of every pair in one list."""
+    def scores(self, j: int, some: np.ndarray | slice = slice(None)) -> np.ndarray:
+        """The score of every vector in one list, for some queries."""
         a, b = self.edges[j], self.edges[j + 1]
-        return (self.q[:, a:b] @ self.v[:, a:b].T).astype(np.int64)
+        return (self.q[some, a:b] @ self.v[:, a:b].T).astype(np.int64)
 
     def norms(self, x: np.ndarray) -> np.ndarray:
         """Norms of the rows in each list (list by row), rounded up."""
@@ -102,16 +104,18 @@ def _local_lists(batches: Iterator[pa.RecordBatch], k: int, lists: int) -> Itera
         for row in batch.to_pylist():
             met = _Met(row, lists)
             total = sum(met.scores(j) for j in range(lists))
-            for i, query in enumerate(met.queries.tolist()):
-                some = np.flatnonzero(met.others[i])
-                at = some[_best(total[i, some], met.ids[some], k)]
-                yield _found(query, met.ids[at], total[i, at])
-            yield _work(met, met.others.sum(axis=1) * lists, met.others.sum(axis=1))
+            yield _found(met.queries, met.ids, total, met.others, k)
+            yield _work(met, met.pairs * lists, met.pairs)
 
 
-def _found(query: int, ids: np.ndarray, score: np.ndarray) -> pa.RecordBatch:
-    none = pa.nulls(len(ids), pa.int64())
-    return pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), query)), pa.array(ids), pa.array(score), none, none, none], _ENTRY)
+def _found(queries: np.ndarray, ids: np.ndarray, total: np.ndarray, open_: np.ndarray, k: int) -> pa.RecordBatch:
+    """The ``k`` best open entries of each query."""
+    places = [np.flatnonzero(o) for o in open_]
+    places = [some[_best(total[i, some], ids[some], k)] for i, some in enumerate(places)]
+    who = np.repeat(np.arange(len(queries)), [len(p) for p in places])
+    at = np.concatenate([np.empty(0, np.int64), *places])
+    none = pa.nulls(len(at), pa.int64())
+    return pa.RecordBatch.from_arrays([pa.array(queries[who]), pa.array(ids[at]), pa.array(total[who, at]), none, none, none], _ENTRY)
 
 
 def _work(met: _Met, computed: np.ndarray, resolved: np.ndarray) -> pa.RecordBatch:
@@ -142,36 +146,33 @@ def _sufficient(batches: Iterator[pa.RecordBatch], k: int, lists: int) -> Iterat
             open_, total, reached = met.others.copy(), np.zeros((len(asked), n), np.int64), np.zeros((len(asked), n), bool)
             cut_ = cutoff[asked][:, None]
             least = np.ceil(cut_ / lists)
-            pairs = None
+            # Queries that are still read in dense products, and the open pairs of the others.
+            dense, pairs = np.arange(len(asked)), np.empty((2, 0), np.int64)
             for j in range(lists):
-                more = j + 1 < lists
-                if pairs is None:
-                    score = met.scores(j)
-                    computed[asked] += met.others.sum(axis=1)
-                    total += score
-                    reached |= score >= least
-                    bound = total + rest_q[j + 1][:, None] * rest_v[j + 1] if more else total
-                    open_ &= bound >= cut_
-                    if not more:
-                        open_ &= reached
-                    elif (most_q[j + 1].max(initial=0) * most_v[j + 1].max(initial=0) < least).any():
-                        open_ &= reached | (most_q[j + 1][:, None] * most_v[j + 1] >= least)
-                    if more and open_.mean() < SPARSE:
-                        pairs = np.nonzero(open_)
-                else:
-                    a, b = met.edges[j], met.edges[j + 1]
-                    score = np.einsum("ij,ij->i", met.q[pairs[0], a:b], met.v[pairs[1], a:b]).astype(np.int64)
-                    computed[asked] += np.bincount(pairs[0], minlength=len(asked))
-                    total[pairs] += score
-                    rest = rest_q[j + 1][pairs[0]] * rest_v[j + 1][pairs[1]] if more else 0
-                    keep = total[pairs] + rest >= cut_[pairs[0], 0]
-                    open_[pairs] = keep
-                    pairs = (pairs[0][keep], pairs[1][keep])
+                a, b, more = met.edges[j], met.edges[j + 1], j + 1 < lists
+                one, two = pairs
+                total[one, two] += np.einsum("ij,ij->i", met.q[one, a:b], met.v[two, a:b]).astype(np.int64)
+                computed[asked] += np.bincount(one, minlength=len(asked))
+                keep = total[one, two] + (rest_q[j + 1][one] * rest_v[j + 1][two] if more else 0) >= cut_[one, 0]
+                open_[one, two] = keep
+                pairs = pairs[:, keep]
+                score = met.scores(j, dense)
+                computed[asked[dense]] += met.others[dense].sum(axis=1)
+                total[dense] += score
+                reached[dense] |= score >= least[dense]
+                stay = total[dense] + (rest_q[j + 1][dense][:, None] * rest_v[j + 1] if more else 0) >= cut_[dense]
+                if not more:
+                    stay &= reached[dense]
+                elif (most_q[j + 1].max(initial=0) * most_v[j + 1].max(initial=0) < least).any():
+                    stay &= reached[dense] | (most_q[j + 1][dense][:, None] * most_v[j + 1] >= least[dense])
+                open_[dense] &= stay
+                few = open_[dense].mean(axis=1) < SPARSE
+                if more and few.any():
+                    one, two = np.nonzero(open_[dense[few]])
+                    pairs = np.concatenate([pairs, [dense[few][one], two]], axis=1)
+                    dense = dense[~few]
             resolved[asked] = open_.sum(axis=1)
-            for i, query in enumerate(met.queries[asked].tolist()):
-                some = np.flatnonzero(open_[i])
-                at = some[_best(total[i, some], met.ids[some], k)]
-                yield _found(query, met.ids[at], total[i, at])
+            yield _found(met.queries[asked], met.ids, total, open_, k)
             yield _work(met, computed, resolved)
 
 

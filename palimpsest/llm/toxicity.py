@@ -142,20 +142,18 @@ def _features(batches: Iterator[pa.RecordBatch], lexicon: np.ndarray) -> Iterato
 
 @dataclass
 class ToxicityModel:
-    """Stems of the learned lexicon, boosted trees and their calibration, and the share of toxic labels; without trees
-    every text has that share as its score."""
+    """Stems of the learned lexicon, boosted trees and their calibration; without trees every text's score is 0."""
 
     lexicon: np.ndarray
     trees: GBTClassificationModel | None
     calibration: IsotonicRegressionModel | None
-    share: float
 
     def score(self, docs: DataFrame) -> DataFrame:
         """``docs`` with ``score`` (0 to 1) of each whole ``text``; null and empty texts have the score of no words.
         Repeated rows and any other columns stay, but for an old ``score`` and the names that the model uses."""
         docs = docs.drop("score", "features", "rawPrediction", "probability", "prediction", "raw_score", "calibrated")
         if self.trees is None:
-            return docs.withColumn("score", F.lit(self.share))
+            return docs.withColumn("score", F.lit(0.0))
         kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.schema)
         out = docs.mapInArrow(partial(_features, lexicon=self.lexicon), kinds + "features array<double>")
         out = self.calibration.transform(_raw_score(self.trees, out))
@@ -181,12 +179,11 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, sample: int = 20_000, stems
     the trees and, apart from these, the calibration, where each counts for as many labels as its class has for one
     chosen, so the share of toxic texts is that of all labels whatever the sample.  Nulls, and ids with both labels, are
     left out; rows that repeat an id are texts of their own.  Where a part has no documents of both labels there is
-    nothing to fit: the model then gives every text the share of toxic labels, 0 if there are none.
+    nothing to fit: the model then gives every text 0.
     """
     known = labels.filter("doc_id is not null and toxic is not null").filter(~held_out()).groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("t")).filter("toxic = t").select("doc_id", "toxic")
     known = cut(known.withColumn("h", F.xxhash64("doc_id")), "labels")
     total = {r[0]: r[1] for r in known.groupBy("toxic").count().collect()}
-    share = total.get(1, 0) / max(1, sum(total.values()))
     chosen = [known.filter(F.col("toxic") == t).orderBy("h", "doc_id").limit(sample // 2) for t in (0, 1)]
     rows = cut(docs.select("doc_id", "text").join(F.broadcast(chosen[0].union(chosen[1])), "doc_id"), "labelled")
     part = F.pmod(F.shiftright("h", 20), F.lit(4))
@@ -195,7 +192,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, sample: int = 20_000, stems
     n = {(r[0], r[1]): r[2] for r in rows.select(part.alias("part"), "toxic").groupBy("part", "toxic").count().collect()}
     bad, good = (sum(n.get((p, t), 0) for p in (0, 1)) for t in (1, 0))
     if not all([bad, good, *(n.get((p, t), 0) for p in (2, 3) for t in (0, 1))]):
-        return ToxicityModel(np.empty(0, np.int64), None, None, share)
+        return ToxicityModel(np.empty(0, np.int64), None, None)
     first = rows.filter(part < 2)
     found = first.select("text", "toxic").mapInArrow(_stem_counts, "stem long, bad long, good long").groupBy("stem").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
     odds = (F.col("bad") + 0.5) / (bad + 1) / ((F.col("good") + 0.5) / (good + 1))
@@ -206,4 +203,4 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, sample: int = 20_000, stems
     gbt = GBTClassifier(maxIter=trees, maxDepth=3, stepSize=0.3, seed=7, weightCol="weight").fit(fit.withColumn("features", array_to_vector("features")).coalesce(2).select("features", "label", "weight"))
     scored = _raw_score(gbt, tune).select("label", "weight", F.col("raw_score")).coalesce(1)
     iso = IsotonicRegression(featuresCol="raw_score", labelCol="label", weightCol="weight", predictionCol="calibrated").fit(scored)
-    return ToxicityModel(lexicon, gbt, iso, share)
+    return ToxicityModel(lexicon, gbt, iso)
