@@ -1,7 +1,10 @@
 """From raw documents to packed training sequences, stage by stage.
 
 Each stage takes (spark, docs, sf_dir) and returns a table that is written as Parquet and read again as the next one's
-``docs``; all but the last return the columns of ``documents``.  A stage judges what its predecessor kept.
+``docs``; all but the last return the columns of ``documents``, other columns go.  A stage judges what its predecessor
+kept.  Every stage takes null and empty texts (without words, secrets or scores against them, so they stay), null ids
+(rows of their own) and repeated rows, and an empty table gives an empty one.  What ``run`` writes to the shared folder
+stays for its result; ``scratch.clear`` deletes it once that has been written.
 """
 
 from __future__ import annotations
@@ -28,7 +31,8 @@ def _with_text(docs: DataFrame, text: Column) -> DataFrame:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity model, fitted to the labels of this folder, scores below one half."""
+    """Documents that the toxicity model, fitted to the labels of this folder, scores below one half; all of them where
+    the labels give no model."""
     model = fit_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return model.score(docs.select(*COLUMNS)).filter("score < 0.5").select(*COLUMNS)
 
