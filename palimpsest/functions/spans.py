@@ -6,33 +6,38 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+#: What marks a match while it is cut out, and stands for nothing else then.
+_OPEN, _GROUP, _CLOSE = "\u0001", "\u0003", "\u0002"
+
+
 def spans(text: Column, pattern: str, group: int = 0) -> Column:
     """array<struct<start, end, text>> of a pattern's matches, or of one group in them; ends are exclusive.
 
-    The pieces between matches tell where each one begins.  A group is looked for in its match, the last time it
-    occurs, as a label may stand before it but nothing after.
+    One pass of the pattern puts marks around its matches, and the pieces between the marks tell where each one begins.
+    A group is looked for in its match, the last time it occurs, as a label may stand before it but nothing after.
+    The three control characters that serve as marks read as blanks.
     """
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
-    zipped = F.zip_with(F.slice(gaps, F.lit(1), F.size(found)), found, lambda g, m: F.struct(F.length(g).alias("gap"), m.alias("m")))
-    kind = "struct<at:int,out:array<struct<start:int,end:int,text:string>>>"
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,text:string>>").alias("out")).cast(kind)
+    kind = "array<struct<start:int,end:int,text:string>>"
+    clean = F.translate(text, _OPEN + _GROUP + _CLOSE, "   ")
+    shown = f"{_OPEN}$0{_GROUP}${group}{_CLOSE}" if group else f"{_OPEN}$0{_CLOSE}"
+    pieces = F.split(F.regexp_replace(clean, F.lit(pattern), F.lit(shown)), f"[{_OPEN}{_GROUP}{_CLOSE}]", -1)
+    turns = 3 if group else 2
+    whole = f"struct<at:int,last:struct<start:int,end:int,text:string>,out:{kind}>"
+    zero = F.struct(F.lit(0).alias("at"), F.lit(None).cast("struct<start:int,end:int,text:string>").alias("last"), F.array().cast(kind).alias("out")).cast(whole)
 
     def step(acc: Column, x: Column) -> Column:
-        start = acc.at + x.gap
-        end = start + F.length(x.m)
-        return F.struct(end.alias("at"), F.concat(acc.out, F.array(F.struct(start.alias("start"), end.alias("end"), x.m.alias("text")))).alias("out")).cast(kind)
-
-    whole = F.aggregate(F.coalesce(zipped, F.array()), zero, step, lambda acc: acc.out)
-    if not group:
-        return whole
-    inner = F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
-
-    def narrowed(s: Column, g: Column) -> Column:
-        at = s.end - F.length(F.call_function("substring_index", s.text, g, F.lit(-1))) - F.length(g)
-        return F.struct(at.alias("start"), (at + F.length(g)).alias("end"), g.alias("text"))
-
-    return F.filter(F.zip_with(whole, inner, narrowed), lambda s: s.text != "")
+        piece, turn = x.piece, x.i % turns
+        span = F.struct(acc.at.alias("start"), (acc.at + F.length(piece)).alias("end"), piece.alias("text"))
+        if not group:
+            out = F.when(turn == 1, F.concat(acc.out, F.array(span))).otherwise(acc.out)
+            return F.struct(span.getField("end").alias("at"), acc.last.alias("last"), out.alias("out")).cast(whole)
+        at = acc.last.end - F.length(F.call_function("substring_index", acc.last.text, piece, F.lit(-1))) - F.length(piece)
+        inner = F.struct(at.alias("start"), (at + F.length(piece)).alias("end"), piece.alias("text"))
+        out = F.when((turn == 2) & (piece != ""), F.concat(acc.out, F.array(inner))).otherwise(acc.out)
+        return F.struct(F.when(turn == 2, acc.at).otherwise(span.getField("end")).alias("at"), F.when(turn == 1, span).otherwise(acc.last).alias("last"), out.alias("out")).cast(whole)
+
+    numbered = F.transform(pieces, lambda piece, i: F.struct(piece.alias("piece"), i.alias("i")))
+    return F.coalesce(F.aggregate(numbered, zero, step, lambda acc: acc.out), F.array().cast(kind))
 
 
 def splice(text: Column, entities: Column, shown) -> Column:  # noqa: ANN001

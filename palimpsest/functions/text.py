@@ -17,7 +17,18 @@ LABELS = [
 ]
 HINDI_LABELS = [
     "पहचान", "सत्यापन", "अभिलेख", "विवरण", "आवेदक", "पता", "स्थायी", "निवास", "नाम", "संख्या", "दिनांक", "तारीख", "जन्मतिथि", "जन्म", "तिथि", "मोबाइल",
-    "दूरभाष", "संपर्क", "वित्तीय", "हस्ताक्षर", "घोषणा", "खाता", "बैंक", "आईडी", "कार्ड", "दस्तावेज", "पिन", "कोड", "मतदाता",
+    "दूरभाष", "संपर्क", "वित्तीय", "हस्ताक्षर", "घोषणा", "खाता", "बैंक", "आईडी", "कार्ड", "दस्तावेज", "प्रारूप", "पिन", "पिनकोड", "कोड", "मतदाता", "पहचान पत्र",
+    "आवेदक का विवरण", "स्थायी निवास पता", "वित्तीय विवरण", "टिप्पणी एवं घोषणा", "सत्यापितकर्ता", "निवास पता", "हस्ताक्षरकर्ता", "पहचान सत्यापन", "केवाईसी",
+]
+#: Words of addresses and forms that are no names in Hindi either, and English labels there (fixed values).
+HINDI_PLACES = [
+    "सिविल", "लाइंस", "सिविल लाइंस", "फ्लैट", "मकान", "सड़क", "मार्ग", "गली", "मोहल्ला", "कॉलोनी", "नगर", "अपार्टमेंट", "सोसायटी", "रेजीडेंसी", "मंदिर",
+    "मार्केट", "यार्ड", "अन्य पता", "पता:", "हिंदी पता:",
+]
+#: Single words that are labels and no values (fixed values).
+LABEL_WORDS = [
+    "aadhaar", "aadhar", "pan", "ifsc", "gst", "gstin", "passport", "voter", "voterid", "email", "phone", "mobile", "address", "dob", "name", "uid", "uidai",
+    "date", "year", "month", "day", "time", "number", "ref", "id", "total", "amount", "kyc", "record", "applicant", "verification", "details", "signature", "declaration",
 ]
 
 
@@ -59,7 +70,24 @@ def is_label(span: Column) -> Column:
     """Whether a span is a form label, a heading or a list mark and no value."""
     s = F.trim(span)
     marks = F.rlike(s, F.lit(r"^(#|---|\*\*|- |\* )"))
-    return (s == "") | F.lower(s).isin(LABELS) | s.isin(HINDI_LABELS) | marks
+    return (s == "") | F.lower(s).isin(LABELS + LABEL_WORDS) | s.isin(HINDI_LABELS) | marks
+
+
+def is_hindi_label(span: Column) -> Column:
+    """The same for Hindi texts, where single characters and words of addresses are no values either."""
+    s = F.trim(span)
+    return is_label(span) | (F.length(s) < 2) | s.isin(HINDI_PLACES)
+
+
+def stages(mode: Column) -> Column:
+    """The detectors that a text of this script needs, in their order."""
+    english, hindi = ["regex", "presidio", "spacy"], ["hindi_regex", "hindi_presidio", "spacy_hi"]
+    listed = lambda names: F.array(*map(F.lit, names))
+    return F.when(mode == "hindi", listed(hindi)).when(mode == "mixed", listed(english + hindi)).otherwise(listed(english))
+
+
+def script_label(mode: Column) -> Column:
+    return F.when(mode == "hindi", "HINDI").when(mode == "english", "ENGLISH").when(mode == "mixed", "HINDI + ENGLISH").otherwise("UNKNOWN")
 
 
 def context(text: Column, start: Column, end: Column, width: int = 40) -> Column:

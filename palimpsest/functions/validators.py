@@ -23,7 +23,10 @@ PERMUTE = [
 ]
 #: Kinds of holder in the fourth letter of a tax id, and states of a driving licence (fixed values).
 HOLDERS = ["A", "B", "C", "F", "G", "H", "J", "L", "P", "T", "K", "E"]
-STATES = "AP AR AS BR CG GA GJ HR HP JH KA KL MP MH MN ML MZ NL OD PB RJ SK TN TS TR UP UK WB AN CH DN DD DL JK LA LD PY".split()
+STATES = [
+    "AP", "AR", "AS", "BR", "CG", "GA", "GJ", "HR", "HP", "JH", "KA", "KL", "MP", "MH", "MN", "ML", "MZ", "NL", "OD", "PB",
+    "RJ", "SK", "TN", "TS", "TR", "UP", "UK", "WB", "AN", "CH", "DN", "DD", "DL", "JK", "LA", "LD", "PY",
+]
 
 
 def _table(rows: list[list[int]]) -> Column:
@@ -126,6 +129,11 @@ def in_compound(before: Column, after: Column) -> Column:
     return F.rlike(before, F.lit("[A-Za-z0-9]-*$")) | F.rlike(after, F.lit("^-*[A-Za-z0-9]"))
 
 
+def half_even(x: Column, places: int) -> Column:
+    """``x`` rounded to ``places`` as its decimal digits say, halves to the even digit."""
+    return F.bround(x, places)
+
+
 def char_shape(value: Column) -> Column:
     """L for each letter, D for each digit, ? for anything else."""
     out = F.regexp_replace(F.regexp_replace(value, r"\p{L}", "\u0001"), r"\p{Nd}", "\u0002")
@@ -177,7 +185,7 @@ def signature(secret: str):  # noqa: ANN201
 
 
 def file_kind(name: Column) -> Column:
-    """What a file's name tells of its content; the first hit counts."""
+    """What a file's name tells of its content; the first hit counts (fixed values)."""
     n, out = F.lower(name), None
     for words, kind in [(["aadhaar", "aadhar"], "Aadhaar"), (["pan"], "PAN"), (["passport"], "Passport"), (["invoice", "bill"], "Invoice"), (["statement", "bank"], "Bank Statement"), (["resume", "cv"], "Resume")]:
         hit = F.lit(False)

@@ -5,10 +5,11 @@ from __future__ import annotations
 import hashlib
 import json
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from palimpsest.functions.folds import folded
+
 WEEKDAYS = ["Mon", "Tue", "Wed", "Thu", "Fri", "Sat", "Sun"]
 
 
@@ -79,8 +80,25 @@ def delivery_stats(deliveries: DataFrame, most: int = 100) -> DataFrame:
 
 
 def merged_logs(local: DataFrame, remote: DataFrame) -> DataFrame:
-    """Both logs, the later row of each id, newest first."""
-    return latest(local.unionByName(remote), ["id"], "created_at").orderBy(F.desc("created_at"), "id")
+    """Both logs, the later row of each id (of equal times the remote one, then the largest), newest first."""
+    both = local.withColumn("_side", F.lit(0)).unionByName(remote.withColumn("_side", F.lit(1)))
+    rest = [c for c in local.columns if c not in ("id", "created_at")]
+    return latest(both, ["id"], "created_at", "_side", *rest).drop("_side").orderBy(F.desc("created_at"), "id")
+
+
+def newest(logs: DataFrame, most: int = 50) -> DataFrame:
+    """The newest rows of a log, as a page of it shows them."""
+    return logs.orderBy(F.desc("created_at"), F.desc("id")).limit(most)
+
+
+def with_jobs(documents: DataFrame, jobs: DataFrame) -> DataFrame:
+    """Documents with their jobs (job_id, status); those without any stay."""
+    return documents.join(jobs, "doc_id", "left")
+
+
+def current(rows: DataFrame, key: list[str], *order: str) -> DataFrame:
+    """The state after appended updates: the last row of each key, unless that one is a deletion (is_active = 0)."""
+    return latest(rows, key, *order).filter("is_active <> 0")
 
 
 def searched(logs: DataFrame, words: str, skip: int = 0, take: int = 50) -> DataFrame:
@@ -91,12 +109,10 @@ def searched(logs: DataFrame, words: str, skip: int = 0, take: int = 50) -> Data
 
 def may_see(documents: DataFrame, members: DataFrame, user: int) -> DataFrame:
     """Documents that a user uploaded, or whose organisation has the user as a member; a super admin sees all."""
-    mine = members.filter(F.col("user_id") == user)
-    admin = mine.filter("role = 'super_admin'").select(F.lit(1).alias("one")).limit(1)
-    own = documents.filter(F.col("uploader_id") == user)
-    org = documents.join(mine.select("org_id").distinct(), "org_id", "left_semi")
-    every = documents.join(admin, F.lit(True), "left_semi")
-    return own.unionByName(org).unionByName(every).distinct()
+    mine = members.filter(F.col("user_id") == user).select("org_id", (F.col("role") == "super_admin").alias("admin"))
+    seen = documents.join(mine.select("org_id").distinct().withColumn("member", F.lit(True)), "org_id", "left")
+    rule = mine.agg(F.coalesce(F.bool_or("admin"), F.lit(False))).scalar()
+    return seen.withColumn("_admin", rule).filter((F.col("uploader_id") == user) | F.col("member") | F.col("_admin")).select(*documents.columns)
 
 
 def members_with_users(members: DataFrame, users: DataFrame) -> DataFrame:
@@ -124,21 +140,16 @@ def canonical_json(report: dict) -> str:
 def hash_chain(reports: DataFrame) -> DataFrame:
     """``reports`` (session_id, report_id, generated_at string, log_ids array<string>, entity_count) with prev_hash and content_hash.
 
-    Each report's hash is over its canonical JSON, which holds the previous one's: a fold along each session.
+    Each report's hash is over its canonical JSON, which holds the previous one's: a fold along each session, in the
+    order of time and then of ids.
     """
 
-    def chain(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["generated_at", "report_id"])
-        last, out = "GENESIS", []
-        for r in rows.itertuples():
-            body = {"report_id": r.report_id, "session_id": r.session_id, "generated_at": r.generated_at, "log_ids": sorted(r.log_ids), "entity_count": int(r.entity_count), "prev_hash": last}
-            now = hashlib.sha256(canonical_json(body).encode()).hexdigest()
-            out.append((last, now))
-            last = now
-        return rows.assign(prev_hash=[o[0] for o in out], content_hash=[o[1] for o in out])
-
-    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in reports.schema)
-    return reports.groupBy("session_id").applyInPandas(chain, f"{kinds}, prev_hash string, content_hash string")
+    def chain(last: str | None, r: dict) -> tuple[str, tuple]:
+        body = {k: r[k] for k in ("report_id", "session_id", "generated_at", "entity_count")} | {"log_ids": sorted(r["log_ids"]), "prev_hash": last or "GENESIS"}
+        now = hashlib.sha256(canonical_json(body).encode()).hexdigest()
+        return now, (last or "GENESIS", now)
+
+    return folded(reports, "session_id", ["generated_at", "report_id"], chain, {"prev_hash": "string", "content_hash": "string"})
 
 
 def broken_links(chain: DataFrame) -> DataFrame:

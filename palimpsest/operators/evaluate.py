@@ -53,6 +53,22 @@ def first_fit(expected: DataFrame, detected: DataFrame) -> DataFrame:
     return pairs(expected, detected).select(*(c.split()[0] for c in _MATCH.split(", "))).groupBy("doc_id", "entity_type").applyInPandas(match, _MATCH)
 
 
+def best_per_detection(expected: DataFrame, detected: DataFrame, over: float = 0.5) -> DataFrame:
+    """Each detected span, in order, takes the free expected one that it overlaps most, if that is ``over`` the limit."""
+
+    def match(rows: pd.DataFrame) -> pd.DataFrame:
+        used, keep = set(), []
+        for _, some in rows.sort_values(["d_start", "d_end", "e_start", "e_end"]).groupby(["d_start", "d_end"], sort=True):
+            free = some[[(e, f) not in used for e, f in zip(some["e_start"], some["e_end"], strict=True)]]
+            if len(free) and free["iou"].max() > over:
+                best = free.loc[free["iou"].idxmax()]
+                used.add((best["e_start"], best["e_end"]))
+                keep.append(best.name)
+        return rows.loc[keep]
+
+    return pairs(expected, detected).select(*(c.split()[0] for c in _MATCH.split(", "))).groupBy("doc_id", "entity_type").applyInPandas(match, _MATCH)
+
+
 def _assign(weight: list[list[float]]) -> list[int]:
     """For each row the column of a one-to-one assignment of largest total weight, -1 for none: augmenting along cheapest paths."""
     n, m = len(weight), max(len(weight), len(weight[0]))

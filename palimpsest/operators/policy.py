@@ -5,23 +5,53 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from palimpsest.functions import text as T
 from palimpsest.functions.spans import splice
 
 #: Thresholds by mode: accepted from, reviewed from, rejected by the benign-text score below (fixed values).
 MODES = {"balanced": (0.85, 0.50, 0.40), "high_recall": (0.70, 0.30, 0.25), "high_precision": (0.95, 0.75, 0.55)}
 IDENTITY = ["AADHAAR_NUMBER", "PAN_NUMBER"]
-BENIGN = ["total", "subtotal", "amount", "qty", "quantity", "price", "rate", "tax", "date", "page", "invoice", "description", "item", "balance"]
-UNITS = ["$", "₹", "€", "£", "rs", "rs.", "inr", "usd", "kg", "g", "ml", "cm", "mm", "%"]
-
-
-def benign_score(text: Column, score: Column) -> Column:
-    """How likely a span is personal data by its look alone: totals, units and single characters are not, long numbers are."""
+#: Words and units that are never personal data, and words before a value that make it so (fixed values).
+BENIGN = [
+    "total", "subtotal", "amount", "qty", "quantity", "price", "rate", "tax", "gst", "sgst", "cgst", "igst", "discount", "balance", "due", "paid", "invoice", "bill",
+    "receipt", "date", "description", "particulars", "s.no", "sr.no", "item", "hsn", "sac", "unit", "terms", "conditions", "authorized", "signatory", "signature",
+    "seal", "stamp", "page", "rupees", "inr", "rs", "dr", "cr", "net", "gross",
+]
+UNITS = ["₹", "$", "€", "£", "rs", "rs.", "inr", "kg", "g", "mg", "ml", "l", "ltr", "pcs", "nos", "mtr", "ft", "sqft", "%", "/-"]
+PREFIXES = [
+    "name", "patient", "customer", "client", "emp", "employee", "holder", "son of", "daughter of", "s/o", "d/o", "w/o", "care of", "c/o", "aadhaar", "uid", "pan",
+    "account", "a/c", "mobile", "phone", "contact", "email", "address", "residence", "dob", "birth", "beneficiary",
+]
+#: What no text in title case has: a small letter that begins a word, or a capital inside one.
+UNTITLED = r"(?:^|[^\p{L}])\p{Ll}|\p{L}\p{Lu}"
+
+
+def benign_score(text: Column, score: Column, before: Column | None = None, box: Column | None = None, page_width: float = 612.0) -> Column:
+    """How likely a span is personal data by its look, the text ``before`` it and its ``box`` (x0, y0, x1, y1).
+
+    The first rule that holds counts: words and units without a prefix .05; single characters .02; short texts with few
+    digits that stand upright in a margin .20; a prefix at least .85; ten characters or more, mostly digits, .95; else
+    the score, .05 higher in title case.
+    """
     t, low = F.trim(text), F.lower(F.trim(text))
     n = F.length(t)
     digits = F.length(F.regexp_replace(t, "[^0-9]", "")) / F.greatest(n, F.lit(1))
-    titled = (t == F.initcap(t)) & F.rlike(t, F.lit("[A-Za-z]"))
+    named = F.lit(False) if before is None else F.coalesce(T.any_in(F.lower(before), PREFIXES), F.lit(False))
+    upright = F.lit(False)
+    if box is not None:
+        at = F.least(F.lit(1.0), F.greatest(F.lit(0.0), box.x0 / max(1.0, page_width)))
+        tall = F.greatest(box.x1 - box.x0, F.lit(1.0)) / F.greatest(box.y1 - box.y0, F.lit(1.0)) < 0.6
+        upright = F.coalesce(tall & ((at < 0.10) | (at > 0.90)), F.lit(False))
+    titled = F.rlike(t, F.lit(r"\p{L}")) & ~F.rlike(t, F.lit(UNTITLED))
     raised = F.when(titled & (n > 3), F.least(F.lit(0.95), score + 0.05)).otherwise(score)
-    return F.when(low.isin(BENIGN + UNITS), 0.05).when(n <= 1, 0.02).when((digits > 0.7) & (n >= 10), 0.95).otherwise(F.least(F.greatest(raised, F.lit(0.0)), F.lit(1.0)))
+    return (
+        F.when(low.isin(BENIGN + UNITS) & ~named, 0.05)
+        .when(n <= 1, 0.02)
+        .when(upright & ~named & (n < 15) & (digits < 0.5), 0.20)
+        .when(named, F.least(F.lit(0.99), F.greatest(F.lit(0.85), score + 0.15)))
+        .when((digits > 0.7) & (n >= 10), 0.95)
+        .otherwise(F.least(F.greatest(raised, F.lit(0.0)), F.lit(1.0)))
+    )
 
 
 def decide(entities: DataFrame, mode: str = "balanced") -> DataFrame:
@@ -75,8 +105,9 @@ def redact_typed(docs: DataFrame, entities: DataFrame) -> DataFrame:
 
 
 def redact_everywhere(docs: DataFrame, entities: DataFrame, block: str = "█") -> DataFrame:
-    """(doc_id, redacted_text): every occurrence of every entity's text as as many blocks, longest texts first."""
-    values = entities.select("doc_id", F.col("text").alias("v")).distinct().groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct((-F.length("v")).alias("l"), "v"))).alias("vs"))
+    """(doc_id, redacted_text): every occurrence of every entity's text as as many blocks, in the order of the entities."""
+    order = F.min(F.struct("start", "end")).alias("at")
+    values = entities.groupBy("doc_id", F.col("text").alias("v")).agg(order).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("at", "v"))).alias("vs"))
     rows = docs.select("doc_id", "text").join(values, "doc_id", "left")
     done = F.aggregate("vs", F.col("text"), lambda t, v: F.replace(t, v.v, F.repeat(F.lit(block), F.length(v.v))))
     return rows.select("doc_id", F.coalesce(done, F.col("text")).alias("redacted_text"))
@@ -124,11 +155,38 @@ def tokens(docs: DataFrame, entities: DataFrame) -> DataFrame:
     return rows.select("doc_id", F.posexplode(F.coalesce(whole, part(F.lit("text"), F.col("text")))).alias("pos", "t")).select("doc_id", "pos", "t.type", "t.value")
 
 
+FIRST_NAMES = ["Asha", "Ravi", "Meera", "Karan", "Leela", "Nikhil", "Tara", "Vijay"]
+LAST_NAMES = ["Iyer", "Bose", "Kaul", "Menon", "Dutta", "Sethi", "Rana"]
+
+
+def synthesised(docs: DataFrame, entities: DataFrame) -> DataFrame:
+    """(doc_id, redacted_text): each entity's span replaced by a made-up value of its type, from left to right."""
+    rows = _with_entities(docs, entities.withColumn("shown", synthetic(F.col("entity_type"), F.col("text"))), "shown")
+    return rows.select("doc_id", F.coalesce(splice(F.col("text"), F.col("es"), lambda e: e.shown), F.col("text")).alias("redacted_text"))
+
+
+def review_list(entities: DataFrame, types: list[str] | None = None, language: str | None = None, sort: str = "score") -> DataFrame:
+    """What a reviewer sees: entities of some types and a language, by ``score`` (highest first), ``type`` or ``position``."""
+    rows = entities if types is None else entities.filter(F.col("entity_type").isin(types))
+    rows = rows if language is None else rows.filter(F.col("language") == language)
+    order = {"score": [F.desc("score")], "type": ["entity_type"], "position": []}[sort]
+    return rows.orderBy(*order, "doc_id", "start", "end")
+
+
+def approve_types(entities: DataFrame, types: list[str], status: str = "accepted") -> DataFrame:
+    """Entities of some types with a status of the reviewer's choice, the others as they are."""
+    return entities.withColumn("status", F.when(F.col("entity_type").isin(types), status).otherwise(F.col("status")))
+
+
 def synthetic(kind: Column, value: Column) -> Column:
     """A made-up value of the same kind, the same for the same value whatever its case; unknown kinds give [TYPE]."""
     seed = F.conv(F.substring(F.md5(F.lower(F.trim(value)).cast("binary")), 1, 12), 16, 10).cast("bigint")
     digits = lambda n, k: F.lpad(F.pmod(seed * k + n, F.lit(10**n)).cast("string"), n, "0")
     letter = lambda k: F.char(65 + F.pmod(F.shiftright(seed, k), F.lit(26)))
+    two = lambda n: F.lpad(n.cast("string"), 2, "0")
+    pick = lambda names, k: F.element_at(F.array(*map(F.lit, names)), (1 + F.pmod(F.shiftright(seed, k % 40), F.lit(len(names)))).cast("int"))
+    card = F.concat(F.lit("4532"), digits(11, 53))
+    check = lambda c: F.aggregate(F.sequence(F.lit(0), F.lit(9)), F.lit(""), lambda a, d: F.when(F.call_function("luhn_check", F.concat(c, d.cast("string"))), d.cast("string")).otherwise(a))
     return (
         F.when(kind == "PHONE_NUMBER", F.concat((6 + F.pmod(seed, F.lit(4))).cast("string"), digits(9, 31)))
         .when(kind == "AADHAAR_NUMBER", F.concat((2 + F.pmod(seed, F.lit(8))).cast("string"), digits(3, 7), F.lit(" "), digits(4, 11), F.lit(" "), digits(4, 13)))
@@ -138,6 +196,13 @@ def synthetic(kind: Column, value: Column) -> Column:
         .when(kind == "PIN_CODE", F.concat((1 + F.pmod(seed, F.lit(8))).cast("string"), digits(5, 23)))
         .when(kind == "IFSC_CODE", F.concat(F.lit("SBIN0"), digits(6, 29)))
         .when(kind == "BANK_ACCOUNT", digits(11, 37))
+        .when(kind == "PERSON", F.concat(pick(FIRST_NAMES, 3), F.lit(" "), pick(LAST_NAMES, 41)))
+        .when(kind == "GST_NUMBER", F.concat(F.lpad((1 + F.pmod(seed, F.lit(35))).cast("string"), 2, "0"), letter(1), letter(5), letter(9), F.lit("P"), letter(13), digits(4, 17), letter(17), (1 + F.pmod(seed, F.lit(9))).cast("string"), F.lit("Z"), letter(21)))
+        .when(kind == "VOTER_ID", F.concat(letter(2), letter(7), letter(12), digits(7, 43)))
+        .when(kind.isin("PASSPORT", "IN_PASSPORT"), F.concat(letter(3), digits(7, 47)))
+        .when(kind == "CREDIT_CARD", F.concat(F.substring(card, 1, 4), F.lit(" "), F.substring(card, 5, 4), F.lit(" "), F.substring(card, 9, 4), F.lit(" "), F.substring(card, 13, 3), check(card)))
+        .when(kind.isin("DATE_OF_BIRTH", "DATE_TIME"), F.concat_ws("/", two(1 + F.pmod(seed, F.lit(28))), two(1 + F.pmod(F.shiftright(seed, 6), F.lit(12))), (1970 + F.pmod(F.shiftright(seed, 11), F.lit(31))).cast("string")))
+        .when(kind == "URL", F.concat(F.lit("https://example.com/"), F.substring(F.md5(F.lower(F.trim(value)).cast("binary")), 13, 8)))
         .otherwise(F.concat(F.lit("["), kind, F.lit("]")))
     )
 

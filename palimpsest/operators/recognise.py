@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from palimpsest.functions import text as T
 from palimpsest.functions import validators as V
 from palimpsest.functions.spans import spans
+from palimpsest.operators import tables, vote
 
 LOCK = 0.80
 #: Words that open a gate in a candidate's surroundings (fixed values).
@@ -36,17 +37,24 @@ UPI_BANKS = [
 ]
 TOP_DOMAINS = ["com", "in", "org", "net", "io", "co", "gov", "edu", "info", "biz", "me", "app"]
 BIRTH_WORDS = ["dob", "birth", "born", "जन्म", "d.o.b", "आयु", "age"]
-#: Pieces of date patterns (fixed values).
-_DAY, _MONTH, _YEAR, _SEP = r"(?:0?[1-9]|[12]\d|3[01])", r"(?:0?[1-9]|1[0-2])", r"(?:19|20)\d{2}", r"\s*[\/\-\.]\s*"
-_NAMES = "(?:January|February|March|April|May|June|July|August|September|October|November|December|Jan|Feb|Mar|Apr|Jun|Jul|Aug|Sep|Oct|Nov|Dec)"
-DATE = "(?i)" + "|".join(
-    rf"\b{p}\b"
-    for p in (f"{_DAY}{_SEP}{_MONTH}{_SEP}{_YEAR}", f"{_YEAR}{_SEP}{_MONTH}{_SEP}{_DAY}", rf"{_DAY}\s+{_NAMES}\s+{_YEAR}", rf"{_NAMES}\s+{_DAY},?\s+{_YEAR}", rf"{_DAY}{_SEP}{_MONTH}{_SEP}\d{{2}}")
-)
+_MONTHS = "(?:January|February|March|April|May|June|July|August|September|October|November|December|Jan|Feb|Mar|Apr|Jun|Jul|Aug|Sep|Oct|Nov|Dec)"
+#: Dates, and dates after a birth label (fixed values).
+DATES = [
+    r"\b(?:0?[1-9]|[12]\d|3[01])\s*[\/\-\.]\s*(?:0?[1-9]|1[0-2])\s*[\/\-\.]\s*(?:19|20)\d{2}\b",
+    r"\b(?:19|20)\d{2}\s*[\/\-\.]\s*(?:0?[1-9]|1[0-2])\s*[\/\-\.]\s*(?:0?[1-9]|[12]\d|3[01])\b",
+    rf"\b(?:0?[1-9]|[12]\d|3[01])\s+{_MONTHS}\s+(?:19|20)\d{{2}}\b",
+    rf"\b{_MONTHS}\s+(?:0?[1-9]|[12]\d|3[01]),?\s+(?:19|20)\d{{2}}\b",
+    r"\b(?:0?[1-9]|[12]\d|3[01])\s*[\/\-\.]\s*(?:0?[1-9]|1[0-2])\s*[\/\-\.]\s*\d{2}\b",
+]
 LABELLED_BIRTH = (
     r"(?i)\b(?:date\s+of\s+birth|d\.?o\.?b\.?|birth\s*date|born|year\s+of\s+birth|y\.?o\.?b\.?|जन्म\s*(?:तिथि|दिनांक|तारीख|वर्ष)?)\s*[:\-–—]?\s*"
-    rf"({_DAY}{_SEP}{_MONTH}{_SEP}{_YEAR}|{_YEAR}{_SEP}{_MONTH}{_SEP}{_DAY}|{_DAY}{_SEP}{_MONTH}{_SEP}\d{{2}}|{_YEAR}|{_DAY}\s+[A-Za-zऀ-ॿ]+\s+{_YEAR})"
+    r"((?:0?[1-9]|[12]\d|3[01])\s*[\/\-\.]\s*(?:0?[1-9]|1[0-2])\s*[\/\-\.]\s*(?:19|20)\d{2}"
+    r"|(?:19|20)\d{2}\s*[\/\-\.]\s*(?:0?[1-9]|1[0-2])\s*[\/\-\.]\s*(?:0?[1-9]|[12]\d|3[01])"
+    r"|(?:0?[1-9]|[12]\d|3[01])\s*[\/\-\.]\s*(?:0?[1-9]|1[0-2])\s*[\/\-\.]\s*\d{2}"
+    r"|(?:19|20)\d{2}"
+    r"|(?:0?[1-9]|[12]\d|3[01])\s+[A-Za-zऀ-ॿ]+\s+(?:19|20)\d{2})"
 )
+DATE = "(?i)" + "|".join(f"(?:{p})" for p in DATES)
 
 
 @dataclass(frozen=True)
@@ -80,6 +88,7 @@ RULES = [
     Rule("r16", "PIN_CODE", r"\b([1-8]\d{5})\b", 0.70),
     Rule("r17", "PIN_CODE", r"\b[A-Z][a-zA-Z]{2,20}\s+([1-8]\d{5})\b", 0.88, 1),
 ]
+#: Surnames, titles, labels and months of the Hindi patterns (fixed values).
 _DEVA = r"[ऀ-ॿ]"
 _SURNAMES = (
     "शर्मा|वर्मा|गुप्ता|पटेल|सिंह|यादव|कुमार|नायर|मेहता|रेड्डी|चव्हाण|पाटिल|जोशी|शाह|राव|मिश्रा|पांडेय|तिवारी|दुबे|झा|दास|मुखर्जी|बैनर्जी|चौधरी|अग्रवाल|जैन|खान|अहमद|अली|दीक्षित|शुक्ला|सेन|घोष|"
@@ -193,7 +202,7 @@ def scan_dates(docs: DataFrame) -> DataFrame:
 def scan_hindi(docs: DataFrame) -> DataFrame:
     """Candidates of the Hindi patterns, on the text with Latin digits (as long as the text itself)."""
     rows = _all_spans(docs.withColumn("text", T.latin_digits(F.col("text"))), HINDI_RULES)
-    return _finish(rows.filter(~T.is_label(F.col("value"))).withColumn("score", F.col("base")), source="hindi_regex")
+    return _finish(rows.filter(~T.is_hindi_label(F.col("value"))).withColumn("score", F.col("base")), source="hindi_regex")
 
 
 def scan_custom(docs: DataFrame, rules: dict[str, str], score: float = 0.85, most: int = 20) -> DataFrame:
@@ -204,33 +213,68 @@ def scan_custom(docs: DataFrame, rules: dict[str, str], score: float = 0.85, mos
     return _finish(rows.withColumn("score", F.col("base")), source="custom", locked=F.lit(False))
 
 
-def scan_fragments(docs: DataFrame) -> DataFrame:
-    """Tax, citizen, GST and bank codes whose characters are spread by blanks, found in the dense text.
+#: Patterns of the Hindi model's recognisers in their order; spans with a line feed do not count (fixed values).
+HINDI_SHAPES = [
+    Rule("m03a", "AADHAAR_NUMBER", r"\b\d{4}[\s\-]\d{4}[\s\-]\d{4}\b", 0.85),
+    Rule("m03b", "AADHAAR_NUMBER", r"\b[2-9]\d{11}\b", 0.55),
+    Rule("m03c", "PAN_NUMBER", r"\b[A-Z]{5}[0-9]{4}[A-Z]\b", 0.95),
+    Rule("m03d", "PHONE_NUMBER", r"\+?91[\s\-]?[6-9]\d{4}[\s\-]?\d{5}", 0.88),
+    Rule("m03e", "PHONE_NUMBER", r"\b[6-9]\d{9}\b", 0.40),
+    Rule("m03f", "GST_NUMBER", r"\b\d{2}[A-Z]{5}[0-9]{4}[A-Z][1-9A-Z]Z[0-9A-Z]\b", 0.93),
+    Rule("m03g", "IFSC_CODE", r"\b[A-Z]{4}0[A-Z0-9]{6}\b", 0.90),
+    Rule("m03h", "VOTER_ID", r"\b[A-Z]{3}[0-9]{7}\b", 0.78),
+    Rule("m03i", "PIN_CODE", r"\b[1-9]\d{5}\b", 0.72),
+]
+#: A gap that the dense text leaves out, and one that stays a blank in it.
+_GAP, _BLANK = r"[^\S\n]{0,3}", r"(?:[^\S\n]*\n\s*|[^\S\n]{4,})"
+_JOINT = rf"(?:{_GAP}-?{_GAP}|{_BLANK})"
+
+
+def _spread(cls: str, n: int) -> str:
+    """A class ``n`` times with gaps between."""
+    return f"{cls}(?:{_GAP}{cls}){{{n - 1}}}"
+
+
+#: The codes that may be spread by blanks, each character with a gap before the next, and words of their type.
+SPREAD = [
+    (Rule("r21a", "AADHAAR_NUMBER", _JOINT.join([_spread("[0-9OoIiLl]", 4)] * 3), 0.85), AADHAAR_WORDS),
+    (Rule("r21b", "PAN_NUMBER", _GAP.join([_spread("[A-Z01583]", 5), _spread("[0-9OoIiLlSsBb]", 4), "[A-Z01583]"]), 0.95), ["pan", "permanentaccount", "incometax"]),
+    (Rule("r21c", "GST_NUMBER", _GAP.join([_spread(r"\d", 2), _spread("[A-Z]", 5), _spread("[0-9]", 4), "[A-Z]", "[1-9A-Z]", "Z", "[0-9A-Z]"]), 0.93), ["gst", "gstin", "invoice"]),
+    (Rule("r21d", "IFSC_CODE", _GAP.join([_spread("[A-Z]", 4), "0", _spread("[A-Z0-9]", 6)]), 0.92), ["ifsc", "bank", "neft", "rtgs"]),
+]
+
+
+def scan_hindi_shapes(docs: DataFrame) -> DataFrame:
+    """Candidates of the Hindi model's pattern recognisers, on the text with Latin digits."""
+    rows = _all_spans(docs.withColumn("text", T.latin_digits(F.col("text"))), HINDI_SHAPES)
+    rows = rows.filter(~T.is_hindi_label(F.col("value")) & ~F.contains("value", F.lit("\n")))
+    return _finish(rows.withColumn("score", F.col("base")), source="presidio", locked=F.lit(False))
 
-    Dense offsets are mapped back to the text; a match already covered by a candidate of its type is left out, and one
-    of single characters needs a word of its type near it.
+
+def devanagari_segments(docs: DataFrame) -> DataFrame:
+    """(doc_id, start, end, text): runs of Devanagari with blanks, digits and stops inside, of three characters or more."""
+    run = Rule("n10", "SEGMENT", r"[ऀ-ॿ][ऀ-ॿ\s।॥०-९,.\-:]*[ऀ-ॿ]", 1.0)
+    rows = _all_spans(docs, [run])
+    return rows.filter(F.length(F.trim("value")) >= 3).select("doc_id", "start", "end", F.col("value").alias("text"))
+
+
+def scan_fragments(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """Tax, citizen, GST and bank codes whose characters are spread by blanks.
+
+    A code is found as in a text without blanks, where a gap with a line feed or over three long stays one blank: its
+    pattern with such gaps allowed between all characters, in one pass over the text as it is.  A match inside a
+    ``known`` candidate of its type (by default those of the same patterns without gaps) is left out, and one of mostly
+    single characters needs a word of its type near it.
     """
-    base = docs.filter(F.col("text").isNotNull()).select("doc_id", F.col("text").alias("body"))
-    places = F.expr("filter(sequence(1, greatest(length(body), 1)), i -> not substr(body, i, 1) rlike '[ \\t\\r\\n]' and length(body) > 0)")
-    base = base.withColumn("places", places)
-    # A blank stays before a character whose gap holds a line feed or is longer than three.
-    gap = lambda p, i: F.when(i == 0, F.lit("")).otherwise(F.substr(F.col("body"), F.get("places", i - 1) + 1, p - F.get("places", i - 1) - 1))
-    kept = lambda p, i: F.contains(gap(p, i), F.lit("\n")) | (F.length(gap(p, i)) > 3)
-    base = base.withColumn("index", F.flatten(F.transform("places", lambda p, i: F.when(kept(p, i), F.array(p, p)).otherwise(F.array(p)))))
-    letters = F.flatten(F.transform("places", lambda p, i: F.when(kept(p, i), F.array(F.lit(" "), F.substr(F.col("body"), p, F.lit(1)))).otherwise(F.array(F.substr(F.col("body"), p, F.lit(1))))))
-    base = base.withColumn("text", F.array_join(letters, ""))
-    rules = [Rule(r.id, r.entity_type, r.pattern.removeprefix(r"\b").removesuffix(r"\b"), r.score) for r in RULES if r.id in ("r01", "r02", "r03", "r04")]
-    found = _all_spans(base, rules).drop("body").withColumnRenamed("start", "d0").withColumnRenamed("end", "d1").withColumnRenamed("value", "packed")
-    rows = found.join(base.select("doc_id", "body", "index"), "doc_id")
-    rows = rows.withColumn("start", F.get("index", F.col("d0")) - 1).withColumn("end", F.get("index", F.col("d1") - 1)).drop("index")
-    rows = rows.withColumn("value", F.substr("body", F.col("start") + 1, F.col("end") - F.col("start")))
-    known = scan_patterns(docs, RULES[:4]).select(F.col("doc_id").alias("k"), F.col("entity_type").alias("t"), F.col("start").alias("s0"), F.col("end").alias("e0"))
+    rows = _all_spans(docs, [r for r, _ in SPREAD])
+    known = scan_patterns(docs, RULES[:4]) if known is None else known
+    known = known.select(F.col("doc_id").alias("k"), F.col("entity_type").alias("t"), F.col("start").alias("s0"), F.col("end").alias("e0"))
     rows = rows.join(known, (F.col("doc_id") == F.col("k")) & (F.col("entity_type") == F.col("t")) & (F.col("s0") <= F.col("start")) & (F.col("e0") >= F.col("end")), "left_anti")
     near = F.lower(T.context(F.col("body"), F.col("start"), F.col("end"), 80))
     plain = F.regexp_replace(near, "[^a-z0-9]", "")
-    own = {"PAN_NUMBER": ["pan", "permanentaccount", "incometax"], "AADHAAR_NUMBER": AADHAAR_WORDS, "GST_NUMBER": ["gst", "gstin", "invoice"], "IFSC_CODE": ["ifsc", "bank", "neft", "rtgs"]}
-    word = reduce(lambda acc, kv: acc | ((F.col("entity_type") == kv[0]) & T.any_in(plain, kv[1])), own.items(), F.lit(False))
-    spread = F.size(F.split(F.trim("value"), r"\s+")) >= F.length("packed") / 2
+    word = reduce(lambda acc, kv: acc | ((F.col("rule") == kv[0].id) & T.any_in(plain, kv[1])), SPREAD, F.lit(False))
+    packed = F.regexp_replace(F.regexp_replace("value", _BLANK, "\u0001"), r"\s", "")
+    spread = F.size(F.split(F.trim("value"), r"\s+")) >= F.length(packed) / 2
     rows = rows.filter((F.col("entity_type") != "AADHAAR_NUMBER") | T.any_in(near, AADHAAR_WORDS) | T.any_in(plain, AADHAAR_WORDS)).filter(~spread | word)
     score = F.when(spread, F.col("base")).otherwise(validated(F.col("entity_type"), F.col("value"), F.col("base")))
     return _finish(rows.withColumn("score", score).filter("score > 0").withColumn("ord", F.col("ord") + 20))
@@ -238,5 +282,37 @@ def scan_fragments(docs: DataFrame) -> DataFrame:
 
 def detect(docs: DataFrame, stages: tuple[str, ...] = ("upi", "patterns", "dates", "fragments")) -> DataFrame:
     """The union of the chosen stages' candidates over ``docs`` (doc_id, text)."""
-    known = {"upi": scan_upi, "patterns": scan_patterns, "dates": scan_dates, "fragments": scan_fragments, "hindi": scan_hindi}
+    known = {"upi": scan_upi, "patterns": scan_patterns, "dates": scan_dates, "fragments": scan_fragments, "hindi": scan_hindi, "hindi_shapes": scan_hindi_shapes}
     return reduce(DataFrame.unionByName, [known[s](docs) for s in stages])
+
+
+_ENTITY = ["start", "end", "entity_type", "text", "score", "source"]
+
+
+def recovered(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """``found`` (doc_id, start, end, entity_type, text, score, source) and what recognition errors and tables hid from it.
+
+    Citizen numbers of twelve word characters and tax ids of ten that a repair of confused characters makes valid, at
+    0.90 or more, and then cells below a table's headers; each only where it meets no span found before it, as a fold
+    along the spans of a document.
+    """
+    citizen = Rule("c15", "AADHAAR_NUMBER", r"\b(?:\w{4}[-\s]?\w{4}[-\s]?\w{4}|\w{12})\b", 0.0)
+    tax = Rule("c16", "PAN_NUMBER", r"\b[A-Za-z0-9]{10}\b", 0.0)
+    repaired = _all_spans(docs, [citizen, tax])
+    score = F.when(F.col("rule") == "c15", V.fuzzy_aadhaar(F.col("value"))).otherwise(V.fuzzy_pan(F.col("value")))
+    repaired = repaired.withColumn("score", score).filter("score >= 0.9").withColumn("source", F.lit("fuzzy")).withColumn("text", F.col("value"))
+    more = repaired.select("doc_id", "ord", *_ENTITY).unionByName(tables.text_tables(docs).select("doc_id", "ord", *_ENTITY))
+    kind = "array<struct<start:int,end:int,entity_type:string,text:string,score:double,source:string>>"
+    known = found.groupBy("doc_id").agg(F.collect_list(F.struct(*_ENTITY)).cast(kind).alias("known"))
+    more = more.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", *_ENTITY))), lambda e: F.struct(*(e[c].alias(c) for c in _ENTITY))).cast(kind).alias("more"))
+    meets = lambda a, b: (a.start < b["end"]) & (a["end"] > b.start)
+    joins = lambda out, e: F.when(F.exists(out, lambda o: meets(o, e)), out).otherwise(F.concat(out, F.array(e)))
+    none = F.array().cast(kind)
+    rows = known.join(more, "doc_id", "full").select("doc_id", F.aggregate(F.coalesce("more", none), F.coalesce("known", none), joins).alias("es"))
+    return rows.select("doc_id", F.explode("es").alias("e")).select("doc_id", "e.*")
+
+
+def entities_of(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """All entities of ``docs`` (doc_id, text): every stage's candidates, scored by context, elected, and what was hidden."""
+    found = vote.elect(vote.score_context(detect(docs), docs), threshold)
+    return recovered(docs, found)

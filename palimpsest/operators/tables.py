@@ -89,6 +89,29 @@ def below_headers(blocks: DataFrame, margin: float = 15.0, widest: float = 2.2)
     return found.groupBy("doc_id", "page", "block").agg(F.max_by("t", F.struct(F.col("hb.y1"), -F.col("h"))).alias("entity_type"))
 
 
+def uncovered(found: DataFrame, blocks: DataFrame, entities: DataFrame) -> DataFrame:
+    """Blocks of ``found`` (doc_id, page, block, entity_type) that no entity (doc_id, page, box) covers, with their text."""
+    rows = found.join(blocks.select("doc_id", "page", "block", "text", "box"), ["doc_id", "page", "block"])
+    known = entities.select(F.col("doc_id").alias("d"), F.col("page").alias("p"), F.col("box").alias("k"))
+    b, k = F.col("box"), F.col("k")
+    meets = (F.col("doc_id") == F.col("d")) & (F.col("page") == F.col("p")) & (b.x0 < k.x1) & (b.x1 > k.x0) & (b.y0 < k.y1) & (b.y1 > k.y0)
+    return rows.join(known, meets, "left_anti")
+
+
+#: Types that a header's type replaces, and header types that do (fixed values).
+WEAK, STRONG = ["PHONE_NUMBER", "DATE_TIME", "DATE_OF_BIRTH"], ["AADHAAR_NUMBER", "BANK_ACCOUNT", "PAN_NUMBER", "IFSC_CODE"]
+
+
+def overridden(entities: DataFrame, cells: DataFrame) -> DataFrame:
+    """Entities with the type of the table cell that they overlap, where it is a stronger one; of several the first."""
+    c = cells.filter(F.col("entity_type").isin(STRONG)).select("doc_id", F.col("start").alias("s0"), F.col("end").alias("e0"), F.col("entity_type").alias("t"))
+    e = entities.filter(F.col("entity_type").isin(WEAK)).select("doc_id", "start", "end", "entity_type").distinct()
+    met = e.join(c, "doc_id").filter((F.col("start") < F.col("e0")) & (F.col("end") > F.col("s0")))
+    best = met.groupBy("doc_id", "start", "end", "entity_type").agg(F.min_by("t", F.struct("s0", "e0")).alias("t"))
+    out = entities.join(best, ["doc_id", "start", "end", "entity_type"], "left")
+    return out.withColumn("entity_type", F.coalesce("t", "entity_type")).drop("t").select(*entities.columns)
+
+
 def blocks_of(entities: DataFrame, blocks: DataFrame) -> DataFrame:
     """A row for each entity and text block that it meets, with a box cut out in proportion to its characters.
 

@@ -85,14 +85,29 @@ def releasable(jobs: DataFrame) -> DataFrame:
 
 def visual_candidates(texts: DataFrame) -> DataFrame:
     """(doc_id, leak_type, window): windows of the dense text that a reader could take for a tax or citizen number."""
-    d = texts.select("doc_id", F.upper(F.regexp_replace("text", r"\s+", "")).alias("d"))
-    rows = []
-    for kind, n, shape in (("PAN_NUMBER", 10, "LLLLLDDDDL"), ("AADHAAR_NUMBER", 12, "D" * 12)):
-        w = d.filter(F.length("d") >= n).select("doc_id", "d", F.explode(F.sequence(F.lit(1), F.length("d") - (n - 1))).alias("i")).withColumn("window", F.substr("d", F.col("i"), F.lit(n)))
-        wrong = F.aggregate(F.zip_with(F.split(V.char_shape(F.col("window")), ""), F.split(F.lit(shape), ""), lambda a, b: (a != b).cast("int")), F.lit(0), lambda s, x: s + x)
-        alone = ~V.in_compound(F.substr("d", F.lit(1), F.col("i") - 1), F.substr("d", F.col("i") + n, F.lit(3))) if kind == "PAN_NUMBER" else F.lit(True)
-        rows.append(w.filter((wrong <= (1 if kind == "PAN_NUMBER" else 2)) & alone & ~F.rlike("window", F.lit(r"[^A-Z0-9]"))).select("doc_id", F.lit(kind).alias("leak_type"), "window"))
-    return rows[0].unionByName(rows[1])
+    d = texts.filter(F.col("text").isNotNull()).select("doc_id", F.upper(F.regexp_replace("text", r"\s+", "")).alias("d"))
+
+    def windows(kind: str, shape: str, most: int) -> Column:
+        n = len(shape)
+
+        def cut(i: Column) -> Column:
+            piece = F.substr("d", i, F.lit(n))
+            return F.struct(F.lit(kind).alias("leak_type"), i.alias("i"), piece.alias("window"), V.char_shape(piece).alias("shape"))
+
+        def fits(w: Column) -> Column:
+            # Places at which the window is no letter or digit of the shape.
+            wrong = F.size(F.filter(F.split(F.lit(shape), ""), lambda x, i: F.substr(w.shape, i + 1, F.lit(1)) != x))
+            good = ~F.contains(w.shape, F.lit("?")) & (wrong <= most)
+            if kind != "PAN_NUMBER":
+                return good
+            return good & ~V.in_compound(F.substr("d", F.greatest(w.i - 3, F.lit(1)), F.least(w.i - 1, F.lit(3))), F.substr("d", w.i + n, F.lit(3)))
+
+        places = F.when(F.length("d") >= n, F.sequence(F.lit(1), F.length("d") - (n - 1))).otherwise(F.array().cast("array<int>"))
+        return F.filter(F.transform(places, cut), fits)
+
+    every = [windows("PAN_NUMBER", "LLLLLDDDDL", 1), windows("AADHAAR_NUMBER", "D" * 12, 2)]
+    rows = d.select("doc_id", F.explode(F.flatten(F.array(*every))).alias("w")).select("doc_id", "w.leak_type", "w.window")
+    return rows.filter(F.rlike("window", F.lit("^[A-Z0-9]+$")))
 
 
 def leak_verdict(redacted: DataFrame, entities: DataFrame) -> DataFrame:
@@ -106,3 +121,48 @@ def residual_value(body: Column, value: Column) -> Column:
     n = F.length(v)
     near = F.exists(F.sequence(F.lit(1), F.greatest(F.length(b) - n + 1, F.lit(1))), lambda i: F.levenshtein(F.substr(b, i, n), v) <= 1)
     return F.contains(b, v) | ((n >= 6) & near)
+
+
+def geometry_leaks(entities: DataFrame, words: DataFrame) -> DataFrame:
+    """(doc_id, page, start, leak) of redacted boxes that do not hide their entity.
+
+    ``entities`` has doc_id, page, start, text, status and box (x0, y0, x1, y1); ``words`` are those of the redacted
+    page: doc_id, page, ord, text and box.  The first check that fails counts: ``inside`` for letters or digits in the
+    box, ``narrow`` for a box under 0.35 times its height for each character, ``after`` and ``before`` for an end or a
+    beginning of the entity that stands beside the box.  Entities that are not redacted or have no box are left out,
+    and those of under four characters are only looked for inside.
+    """
+    e = entities.filter(F.col("status").isin("pending", "accepted", "modified") & F.col("box").isNotNull())
+    e = e.select("doc_id", "page", "start", "box", F.regexp_replace(F.coalesce("text", F.lit("")), r"\s+", "").alias("t"))
+    w = words.select("doc_id", "page", F.col("ord"), F.regexp_replace("text", "[^a-zA-Z0-9]", "").alias("w"), F.col("box").alias("wb"))
+    b, c = F.col("box"), F.col("wb")
+    height, width = b.y1 - b.y0, b.x1 - b.x0
+    reach = F.greatest(height * 1.5, F.lit(30.0))
+    level = (c.y0 < b.y1 + 2) & (c.y1 > b.y0 - 2)
+    places = {
+        "inside": (c.x0 < b.x1) & (c.x1 > b.x0) & (c.y0 < b.y1) & (c.y1 > b.y0),
+        "right": level & (c.x0 < b.x1 + reach) & (c.x1 > b.x1),
+        "left": level & (c.x0 < b.x0) & (c.x1 > F.greatest(b.x0 - reach, F.lit(0.0))),
+    }
+    near = level & (c.x0 < b.x1 + reach) & (c.x1 > b.x0 - reach)
+    met = e.join(w, ["doc_id", "page"]).filter(near | places["inside"])
+    read = [F.array_join(F.array_sort(F.collect_list(F.when(there, F.struct("ord", "w")))).getField("w"), "").alias(name) for name, there in places.items()]
+    texts = met.groupBy("doc_id", "page", "start").agg(*read)
+    rows = e.join(texts, ["doc_id", "page", "start"], "left").na.fill("", list(places))
+    t, n = F.col("t"), F.length("t")
+
+    def stands(side: str, end: bool) -> Column:
+        s = F.col(side)
+        piece = (lambda k: F.substr(s, F.lit(1), k)) if end else (lambda k: F.substr(s, F.length(s) - k + 1, k))
+        fits = (lambda x: F.endswith(t, x)) if end else (lambda x: F.startswith(t, x))
+        some = F.exists(F.sequence(F.lit(4), F.greatest(F.length(s), F.lit(4))), lambda k: fits(piece(k)) & (k <= F.length(s)))
+        return ((F.length(s) >= 3) & fits(s)) | ((F.length(s) >= 4) & some)
+
+    leak = (
+        F.when(F.length("inside") >= 1, "inside")
+        .when(n < 4, None)
+        .when((height > 3.0) & (width < n * height * 0.35), "narrow")
+        .when(stands("right", True), "after")
+        .when(stands("left", False), "before")
+    )
+    return rows.select("doc_id", "page", "start", leak.alias("leak")).filter("leak is not null")

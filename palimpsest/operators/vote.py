@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions import text as T
 
+#: Types of language models, and what a vote of each source weighs (fixed values).
 GENERIC = ["PERSON", "ORGANIZATION", "LOCATION", "DATE_TIME", "O", "NRP"]
 WEIGHTS = {"regex": 1.4, "presidio": 1.0, "spacy": 0.9}
 #: (type, words near it, change of the score), in their order (fixed values).
@@ -34,8 +35,24 @@ PENALTIES = [
     ("DATE_OF_BIRTH", ["version", "v.", "release", "patch"], 0.90),
     ("PIN_CODE", ["version", "v.", "release", "patch", "otp", "code"], 0.40),
 ]
-HINDI_BOOSTS = [("AADHAAR_NUMBER", ["आधार"], 0.10), ("PAN_NUMBER", ["पैन", "pan"], 0.10), ("PERSON", ["नाम", "श्री"], 0.10), ("PHONE_NUMBER", ["मोबाइल", "फोन"], 0.10), ("PIN_CODE", ["पिन"], 0.10)]
-HINDI_PENALTIES = [("AADHAAR_NUMBER", ["आदेश", "order", "invoice"], 0.25), ("PIN_CODE", ["otp", "version"], 0.30), ("DATE_TIME", ["मोबाइल", "आधार"], 0.60)]
+#: The same for texts in Hindi (fixed values).
+HINDI_BOOSTS = [
+    ("AADHAAR_NUMBER", ["आधार", "आधार संख्या", "आधार नं", "आधार नंबर", "uid", "uidai", "यूआईडी"], 0.10),
+    ("PAN_NUMBER", ["स्थायी खाता संख्या", "पैन", "पैन नं", "पैन नंबर", "pan", "income tax"], 0.10),
+    ("DATE_OF_BIRTH", ["जन्म तिथि", "जन्मतिथि", "जन्म दिनांक", "dob", "जन्म", "उम्र", "आयु"], 0.10),
+    ("PHONE_NUMBER", ["मोबाइल", "फोन", "दूरभाष", "संपर्क", "mobile", "phone"], 0.10),
+    ("PERSON", ["नाम", "आवेदक", "आवेदिका", "पिता का नाम", "माता का नाम", "name", "applicant", "श्री", "श्रीमती", "कुमारी", "डॉ"], 0.10),
+    ("ADDRESS", ["पता", "पूरा पता", "ग्राम", "गाँव", "जिला", "राज्य", "पिन कोड", "तहसील", "मोहल्ला", "नगर", "शहर", "गली", "address", "village", "district", "state", "pin"], 0.10),
+    ("GST_NUMBER", ["जीएसटी", "जीएसटीआईएन", "gst", "gstin"], 0.10),
+    ("IFSC_CODE", ["आईएफएससी", "ifsc", "बैंक", "bank"], 0.10),
+    ("VOTER_ID", ["मतदाता पहचान", "वोटर आईडी", "voter", "election"], 0.10),
+    ("PIN_CODE", ["पिन", "पिन कोड", "pin", "pincode", "postal", "zip"], 0.10),
+]
+HINDI_PENALTIES = [
+    ("AADHAAR_NUMBER", ["order", "tracking", "invoice", "version"], 0.25),
+    ("PIN_CODE", ["version", "otp", "code", "ref"], 0.30),
+    ("DATE_TIME", ["phone", "mobile", "contact", "tel", "aadhaar", "pan", "gst", "ifsc", "uid", "account", "a/c"], 0.60),
+]
 
 
 def adjusted(score: Column, kind: Column, near: Column, boosts: list = BOOSTS, penalties: list = PENALTIES) -> Column:

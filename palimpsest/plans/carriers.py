@@ -24,6 +24,32 @@ def _text(div: str, k: str = "k") -> str:
     )
 
 
+def _more(div: str, k: str) -> str:
+    """SQL of a text with the kinds of identifiers that ``_text`` lacks."""
+    s = lambda x: f"cast({x} as string)" if div == "div" else f"cast({x} as varchar)"
+    letter = lambda x: f"chr(cast(65 + ({x}) % 26 as int))"
+    digits = lambda x, n: f"lpad({s(f'({x}) % {10**n}')}, {n}, '0')"
+    place = f"substr('AKMHDLXXTNGJ', cast(1 + 2 * ({k} % 6) as int), 2)"
+    lines = [
+        f"'GSTIN ' || {digits(f'1 + {k} % 35', 2)} || {letter(k)} || {letter(f'{k} {div} 7')} || 'CPK' || {digits(f'{k} * 37', 4)} || {letter(f'{k} {div} 5')} || {s(f'1 + {k} % 9')} || 'Z' || {letter(f'{k} {div} 3')}",
+        f"'Voter ' || {letter(k)} || 'BC' || {digits(f'{k} * 7919', 7)} || ' Passport ' || substr('PRKMZ', cast(1 + {k} % 5 as int), 1) || {s(f'1 + {k} % 9')} || {digits(f'{k} * 31', 7)}",
+        f"case when {k} % 3 = 0 then 'Ledger ' else 'Bank account ' end || {s(f'100000000 + {k} * 7919')}",
+        f"'Licence ' || {place} || '12 2011 ' || {digits(k, 7)} || ' Vehicle ' || {place} || ' ' || {digits(f'1 + {k} % 98', 2)} || ' AB ' || {digits(f'{k} * 13', 4)}",
+        f"'See https://site' || {s(f'{k} % 50')} || '.example.com/p?q=' || {s(k)} || ' and card ' || {s(f'4000000000000000 + {k} * 7919')}",
+        f"'Pune ' || {s(f'110001 + {k} * 13 % 780000')} || ' Mobile 98' || {digits(k, 3)} || ' ' || {digits(f'{k} * 7919', 5)} || ' UPI user' || {s(k)} || '@okaxis'",
+        f"'DOB: ' || {digits(f'1 + {k} % 28', 2)} || '/' || {digits(f'1 + {k} % 12', 2)} || '/' || {s(f'1950 + {k} % 60')}",
+    ]
+    return " || chr(10) || ".join(f"({x})" for x in lines)
+
+
+MORE_SQL = f"SELECT c_custkey AS doc_id, {_more('//', 'c_custkey')} AS text FROM customer"
+
+
+def more(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, text) for each customer, with the other kinds of identifiers."""
+    return spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").cast("bigint").alias("doc_id"), F.expr(_more("div", "c_custkey")).alias("text"))
+
+
 CARRIER_SQL = f"SELECT c_custkey AS doc_id, {_text('//', 'c_custkey')} AS text FROM customer"
 
 

@@ -125,15 +125,15 @@ def elected(src: str, threshold: float = 0.5) -> str:
 
 
 def looks(text: str, score: str) -> str:
-    from palimpsest.operators.policy import BENIGN, UNITS
+    from palimpsest.operators.policy import BENIGN, UNITS, UNTITLED
 
     t = f"trim({text})"
     digits = f"(length(regexp_replace({t}, '[^0-9]', '', 'g')) / greatest(length({t}), 1))"
-    return f"(CASE WHEN list_contains({BENIGN + UNITS}, lower({t})) THEN 0.05 WHEN length({t}) <= 1 THEN 0.02 WHEN {digits} > 0.7 AND length({t}) >= 10 THEN 0.95 ELSE least(greatest({score}, 0.0), 1.0) END)"
+    return f"(CASE WHEN list_contains({BENIGN + UNITS}, lower({t})) THEN 0.05 WHEN length({t}) <= 1 THEN 0.02 WHEN {digits} > 0.7 AND length({t}) >= 10 THEN 0.95 WHEN regexp_matches({t}, '\\p{{L}}') AND NOT regexp_matches({t}, '{UNTITLED}') AND length({t}) > 3 THEN least(0.95, {score} + 0.05) ELSE least(greatest({score}, 0.0), 1.0) END)"
 
 
 def decided(src: str, auto: float = 0.85, review: float = 0.5, least: float = 0.4) -> str:
-    """Statuses under a policy; for values that are never in title case."""
+    """Statuses under a policy."""
     own = "entity_type IN ('AADHAAR_NUMBER', 'PAN_NUMBER')"
     inner = f"SELECT *, {looks('text', 'score')} AS looks FROM ({src})"
     inner = f"SELECT * REPLACE (CASE WHEN {own} OR looks < {least} THEN score ELSE greatest(score, looks) END AS score) FROM ({inner})"

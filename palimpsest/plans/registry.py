@@ -44,22 +44,26 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "documents").select("doc_id", "text")
+
+
 # Patterns.
 
 
 def _rule(rule: recognise.Rule, source: str) -> None:
-    src = "SELECT doc_id, text FROM documents" if source == "documents" else C.CARRIER_SQL
+    src = {"documents": "SELECT doc_id, text FROM documents", "carriers": C.CARRIER_SQL, "more": C.MORE_SQL}[source]
     sql = f'SELECT doc_id, start, "end", entity_type, text, round(score, 4) AS score FROM ({O.candidates(src, [rule])})'
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        docs = read(spark, sf_dir, "documents").select("doc_id", "text") if source == "documents" else C.carriers(spark, sf_dir)
+        docs = {"documents": lambda *_: documents(spark, sf_dir), "carriers": C.carriers, "more": C.more}[source](spark, sf_dir)
         return recognise.scan_patterns(docs, [rule]).select("doc_id", "start", "end", "entity_type", "text", F.round("score", 4).alias("score"))
 
     query(f"{rule.id}_{rule.entity_type.lower()}", sql)(run)
 
 
 for _r in recognise.RULES:
-    _rule(_r, "documents" if _r.id in ("r15", "r10") else "carriers")
+    _rule(_r, "documents" if _r.id == "r15" else "more" if _r.id in ("r03", "r05", "r06", "r07", "r10", "r11", "r12", "r14", "r17") else "carriers")
 
 
 def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,10 +103,9 @@ def c14(spark: SparkSession, sf_dir: str) -> DataFrame:
     return entities(spark, sf_dir).filter(F.col("entity_type").isin("PAN_NUMBER", "EMAIL_ADDRESS")).select("doc_id", "start", "text")
 
 
-@query("r18_upi")
+@query("r18_upi", f"SELECT doc_id, start, \"end\", value AS text, CAST(0.88 AS DOUBLE) AS score FROM ({O.spans(C.MORE_SQL, recognise.Rule('r18', 'UPI_ID', '[a-zA-Z0-9._-]{2,64}@[a-zA-Z]{2,20}', .88))})")
 def r18(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = C.carriers(spark, sf_dir).withColumn("text", F.regexp_replace("text", r"@example\d+\.com", "@okaxis pay"))
-    return recognise.scan_upi(docs).select("doc_id", "start", "end", "text", "score")
+    return recognise.scan_upi(C.more(spark, sf_dir)).select("doc_id", "start", "end", "text", "score")
 
 
 @query("r19_dates")
@@ -185,18 +188,75 @@ def v05(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("v07_v08_fuzzy")
 def v07(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = (F.col("c_custkey") * 7919 + 200000000000).cast("string")
-    return read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), V.fuzzy_aadhaar(F.translate(d, "0", "O")).alias("aadhaar"), V.fuzzy_pan(F.lit("ABCPE1234F")).alias("pan"))
+    return read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), V.fuzzy_aadhaar(F.translate(d, "0", "O")).alias("aadhaar"), V.fuzzy_pan(F.concat(F.lit("ABC"), F.substring(F.lit("PQAK5"), (F.col("c_custkey") % 5 + 1).cast("int"), F.lit(1)), F.lit("E12"), F.lpad((F.col("c_custkey") % 100).cast("string"), 2, "O"), F.lit("F"))).alias("pan"))
 
 
-@query("v12_char_shape", "SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(substr(text, 1, 40), '\\p{L}', chr(1), 'g'), '\\p{Nd}', chr(2), 'g'), '[^\\x01\\x02]', '?', 'g').replace(chr(1), 'L').replace(chr(2), 'D') AS shape FROM documents")
+@query("v12_char_shape", "SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(text, '\\p{L}', chr(1), 'g'), '\\p{Nd}', chr(2), 'g'), '[^\\x01\\x02]', '?', 'g').replace(chr(1), 'L').replace(chr(2), 'D') AS shape FROM documents")
 def v12(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "documents").select("doc_id", V.char_shape(F.substring("text", 1, 40)).alias("shape"))
+    return documents(spark, sf_dir).select("doc_id", V.char_shape(F.col("text")).alias("shape"))
 
 
 @query("v12_char_shape_whole")
 def v12_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Shapes of whole texts; ``v12_char_shape`` and its SQL cover their first 40 characters."""
-    return read(spark, sf_dir, "documents").select("doc_id", V.char_shape(F.col("text")).alias("shape"))
+    """The same, held against brute force."""
+    return v12(spark, sf_dir)
+
+
+@query("n08_stages", f"""SELECT doc_id, CASE WHEN ({_ALPHA}) / {_LETTERS} > 0.1 THEN 'ENGLISH' ELSE 'UNKNOWN' END AS label, 'regex,presidio,spacy' AS stages FROM documents
+    UNION ALL SELECT -1 - c_custkey, ['HINDI', 'HINDI + ENGLISH'][c_custkey % 2 + 1], CASE WHEN c_custkey % 2 = 1 THEN 'regex,presidio,spacy,' ELSE '' END || 'hindi_regex,hindi_presidio,spacy_hi' FROM customer""")
+def n08(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = read(spark, sf_dir, "customer").select((-1 - F.col("c_custkey")).alias("doc_id"), F.when(F.col("c_custkey") % 2 == 1, "नाम राहुल name Rahul").otherwise("नाम राहुल १२").alias("text"))
+    mode = T.script(F.col("text"))
+    return documents(spark, sf_dir).union(made).select("doc_id", T.script_label(mode).alias("label"), F.array_join(T.stages(mode), ",").alias("stages"))
+
+
+_HINDI_SQL = "SELECT c_custkey AS doc_id, 'Name of applicant: राहुल शर्मा, id ' || CAST(c_custkey AS VARCHAR) || ' - पता दिल्ली। अ x ' AS text FROM customer"
+
+
+@query("n10_segments", f"SELECT doc_id, start, \"end\", value AS text FROM ({O.spans(_HINDI_SQL, recognise.Rule('n10', 'S', '[ऀ-ॿ][ऀ-ॿ\\s।॥०-९,.\\-:]*[ऀ-ॿ]', 1.0))}) WHERE length(trim(value)) >= 3")
+def n10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.concat(F.lit("Name of applicant: राहुल शर्मा, id "), F.col("c_custkey").cast("string"), F.lit(" - पता दिल्ली। अ x "))
+    return recognise.devanagari_segments(read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"), text.alias("text")))
+
+
+_SHAPES = " UNION ALL ".join(f"SELECT doc_id, start, \"end\", {O.lit(r.entity_type)} AS entity_type, value AS text, CAST({r.score} AS DOUBLE) AS score FROM ({O.spans(C.CARRIER_SQL, r)}) WHERE NOT contains(value, chr(10))" for r in recognise.HINDI_SHAPES)
+
+
+@query("m03_hindi_shapes", _SHAPES)
+def m03(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return recognise.scan_hindi_shapes(C.carriers(spark, sf_dir)).select("doc_id", "start", "end", "entity_type", "text", "score")
+
+
+@query("v02b_repaired_pan", """SELECT c_custkey AS id, translate(substr(v, 1, 5), '01583', 'OISBB') || translate(substr(v, 6, 4), 'OILSB', '01158') || translate(substr(v, 10), '01583', 'OISBB') AS pan
+    FROM (SELECT c_custkey, 'A8C' || CASE WHEN c_custkey % 2 = 0 THEN 'P5' ELSE 'KX' END || lpad(CAST(c_custkey % 10000 AS VARCHAR), 4, 'O') || 'F' AS v FROM customer)""")
+def v02b(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = F.concat(F.lit("A8C"), F.when(F.col("c_custkey") % 2 == 0, "P5").otherwise("KX"), F.lpad((F.col("c_custkey") % 10000).cast("string"), 4, "O"), F.lit("F"))
+    return read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), V.repaired_pan(made).alias("pan"))
+
+
+@query("v11_in_compound", "SELECT c_custkey AS id, regexp_matches(b, '[A-Za-z0-9]-*$') OR regexp_matches(a, '^-*[A-Za-z0-9]') AS inside FROM (SELECT c_custkey, ['SKU-', ': ', 'x--', ''][CAST(c_custkey % 4 + 1 AS INT)] AS b, [' end', '-9', '.'][CAST(c_custkey % 3 + 1 AS INT)] AS a FROM customer)")
+def v11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turn = lambda words: F.element_at(F.array(*map(F.lit, words)), (F.col("c_custkey") % len(words) + 1).cast("int"))
+    return read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), V.in_compound(turn(["SKU-", ": ", "x--", ""]), turn([" end", "-9", "."])).alias("inside"))
+
+
+@query("v15_ocr_distance", """SELECT id, CASE WHEN length(a) = length(b) THEN hamming(translate(a, '01L582G', 'OIISBZ6'), translate(b, '01L582G', 'OIISBZ6')) ELSE levenshtein(a, b) END AS d
+    FROM (SELECT c_custkey AS id, upper(c_name) AS a, upper('customer#O' || CAST(c_custkey * 7 AS VARCHAR) || substr('00000000', 1 + CAST(c_custkey % 7 AS INT))) AS b FROM customer)""")
+def v15(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("c_custkey")
+    other = F.concat(F.lit("customer#O"), (k * 7).cast("string"), F.substr(F.lit("00000000"), (1 + k % 7).cast("int")))
+    return read(spark, sf_dir, "customer").select(k.alias("id"), V.ocr_distance(F.col("c_name"), other).cast("bigint").alias("d"))
+
+
+@query("v17_file_kind", "SELECT s_suppkey AS id, ['Aadhaar', 'PAN', 'Passport', 'Invoice', 'Bank Statement', 'Resume', 'Document'][CAST(s_suppkey % 7 + 1 AS INT)] AS kind FROM supplier")
+def v17(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = F.array(*map(F.lit, ["my_AADHAR.pdf", "Pan-card.png", "passport.jpg", "Bill 3.pdf", "bank_2024.csv", "CV.docx", "notes.txt"]))
+    return read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), V.file_kind(F.element_at(names, (F.col("s_suppkey") % 7 + 1).cast("int"))).alias("kind"))
+
+
+@query("v22_half_even", "SELECT o_orderkey AS id, CAST(round_even(CAST(o_orderkey AS DECIMAL(18, 3)) / 8, 2) AS DOUBLE) AS x FROM orders")
+def v22(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), V.half_even((F.col("o_orderkey").cast("decimal(18,3)") / 8).cast("decimal(18,3)"), 2).cast("double").alias("x"))
 
 
 @query("v14_levenshtein", "SELECT s_suppkey AS id, levenshtein(s_name, 'Supplier#000000042') AS d FROM supplier")
@@ -257,6 +317,42 @@ def c18(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.blocks_of(entities(spark, sf_dir), blocks.withColumn("box", box)).select("doc_id", "start", "entity_type", "block")
 
 
+@query("t02_overridden_types", f"""SELECT doc_id, start, "end", CASE WHEN entity_type = 'PHONE_NUMBER' AND doc_id % 3 = 0 THEN 'BANK_ACCOUNT' ELSE entity_type END AS entity_type FROM ({_ENTITIES})""")
+def t02(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = entities(spark, sf_dir)
+    cells = found.filter("doc_id % 3 = 0").select("doc_id", (F.col("start") + 1).alias("start"), F.col("end"), F.when(F.col("entity_type") == "PHONE_NUMBER", "BANK_ACCOUNT").otherwise("PHONE_NUMBER").alias("entity_type"))
+    return tables.overridden(found, cells).select("doc_id", "start", "end", "entity_type")
+
+
+def _columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages of a header and three blocks below it: one within its column, one beside it or not, one that is no phone."""
+    k = F.col("c_custkey").cast("bigint")
+    box = lambda x0, y0, x1, y1: F.struct(*(F.lit(v).cast("double").alias(n) if not hasattr(v, "cast") else v.cast("double").alias(n) for n, v in zip(("x0", "y0", "x1", "y1"), (x0, y0, x1, y1), strict=True)))
+    phone = F.concat(F.lit("9"), F.lpad((k * 7919 % 1000000000).cast("string"), 9, "0"))
+    blocks = [("Mobile", box(100, 10, 160, 20)), (phone, box(100, 30, 160, 40)), (phone, box(100 + k % 4 * 20, 50, 160 + k % 4 * 20, 60)), (F.lit("soon"), box(100, 70, 160, 80))]
+    each = F.array(*(F.struct(F.lit(i).alias("block"), (F.lit(t) if isinstance(t, str) else t).alias("text"), b.alias("box")) for i, (t, b) in enumerate(blocks)))
+    return read(spark, sf_dir, "customer").select(k.alias("doc_id"), F.lit(1).alias("page"), F.explode(each).alias("b")).select("doc_id", "page", "b.*")
+
+
+@query("t03_below_headers", "SELECT c_custkey AS doc_id, b AS block, 'PHONE_NUMBER' AS entity_type FROM customer, (VALUES (1), (2)) v(b) WHERE (b = 1 AND c_custkey % 5 <> 0) OR (b = 2 AND c_custkey % 4 < 3)")
+def t03(spark: SparkSession, sf_dir: str) -> DataFrame:
+    blocks = _columns(spark, sf_dir)
+    known = blocks.filter("block = 1 and doc_id % 5 = 0").select("doc_id", "page", "box")
+    return tables.uncovered(tables.below_headers(blocks), blocks, known).select("doc_id", "block", "entity_type")
+
+
+@query("k02_geometry_leaks", """SELECT c_custkey AS doc_id, ['inside', 'narrow', 'after', 'before'][CAST(c_custkey % 5 + 1 AS INT)] AS leak FROM customer WHERE c_custkey % 5 < 4""")
+def k02(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("c_custkey").cast("bigint")
+    box = lambda x0, x1: F.struct(F.lit(x0).cast("double").alias("x0"), F.lit(10.0).alias("y0"), F.lit(x1).cast("double").alias("x1"), F.lit(20.0).alias("y1"))
+    c = read(spark, sf_dir, "customer").select(k.alias("doc_id"), F.lit(1).alias("page"), F.lit(0).alias("start"), F.lit("ABCDE 1234F").alias("text"), F.lit("accepted").alias("status"))
+    turn = F.col("doc_id") % 5
+    found = c.withColumn("box", F.when(turn == 1, box(100, 120)).otherwise(box(100, 160)))
+    word = F.when(turn == 0, F.struct(F.lit("x").alias("text"), box(110, 115).alias("box"))).when(turn == 2, F.struct(F.lit("34F").alias("text"), box(162, 175).alias("box"))).when(turn == 3, F.struct(F.lit("(ABCD").alias("text"), box(80, 98).alias("box")))
+    words = c.select("doc_id", "page", F.lit(0).alias("ord"), F.coalesce(word, F.struct(F.lit("far").alias("text"), box(400, 420).alias("box"))).alias("w")).select("doc_id", "page", "ord", "w.text", "w.box")
+    return verify.geometry_leaks(found, words).select("doc_id", "leak")
+
+
 # Policy and redaction.
 
 
@@ -321,6 +417,25 @@ def x11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return entities(spark, sf_dir).select("doc_id", "start", "entity_type", policy.synthetic(F.col("entity_type"), F.col("text")).alias("shown"))
 
 
+@query("x11_synthetic_documents")
+def x11b(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return policy.synthesised(C.carriers(spark, sf_dir), entities(spark, sf_dir))
+
+
+@query("p05_review_list", f"SELECT doc_id, start, entity_type, CASE WHEN entity_type = 'PIN_CODE' THEN 'accepted' ELSE status END AS status FROM ({_DECIDED}) WHERE entity_type IN ('PIN_CODE', 'PAN_NUMBER', 'IFSC_CODE')")
+def p05(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shown = policy.review_list(decided(spark, sf_dir), ["PIN_CODE", "PAN_NUMBER", "IFSC_CODE"], sort="type")
+    return policy.approve_types(shown, ["PIN_CODE"]).select("doc_id", "start", "entity_type", "status")
+
+
+@query("d01_all_entities")
+def d01(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every stage over documents and the made texts: payment addresses, 17 patterns, dates, fragments, repairs, tables."""
+    made = C.carriers(spark, sf_dir).union(C.more(spark, sf_dir).withColumn("doc_id", F.col("doc_id") + 10**9)).union(C.tables(spark, sf_dir).withColumn("doc_id", F.col("doc_id") + 2 * 10**9))
+    docs = documents(spark, sf_dir).select((-1 - F.col("doc_id")).alias("doc_id"), "text").union(made)
+    return recognise.entities_of(docs).select("doc_id", "start", "end", "entity_type", "text", F.round("score", 4).alias("score"), "source")
+
+
 # Verification.
 
 
@@ -358,6 +473,24 @@ def k06(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verify.fragments(entities(spark, sf_dir), _redacted(spark, sf_dir))
 
 
+@query("k01_uncertain_pages", """SELECT page_id, CASE WHEN native > 0 OR ink <= 0 THEN NULL WHEN alnum = 0 THEN 'unreadable' WHEN alnum <= 3 THEN 'almost_unreadable' WHEN conf < 45 AND chars < 50 THEN 'low_confidence' WHEN alnum / greatest(chars, 1) < 0.25 THEN 'garbled' END AS reason
+    FROM (SELECT page_id, CASE WHEN page_id % 3 = 0 THEN length(html) ELSE 0 END AS native, page_id % 4 AS ink, page_id % 7 * 5 AS alnum, page_id % 90 AS conf, page_id % 11 * 9 AS chars FROM pages)""")
+def k01(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stats = read(spark, sf_dir, "pages").selectExpr("page_id", "if(page_id % 3 = 0, length(html), 0) as native_chars", "page_id % 4 as ink", "page_id % 7 * 5 as alnum", "page_id % 90 as mean_conf", "page_id % 11 * 9 as chars")
+    return verify.uncertain_pages(stats).select("page_id", "reason")
+
+
+@query("k03_visual_windows")
+def k03(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return verify.visual_candidates(_redacted(spark, sf_dir))
+
+
+@query("k08_releasable", "SELECT o_orderkey AS job_id FROM orders WHERE o_orderkey % 3 = 0 AND o_orderkey % 2 = 0 AND o_orderkey % 5 <> 0")
+def k08(spark: SparkSession, sf_dir: str) -> DataFrame:
+    jobs = read(spark, sf_dir, "orders").selectExpr("o_orderkey as job_id", "if(o_orderkey % 3 = 0, 'COMPLETED', 'FAILED') as status", "if(o_orderkey % 2 = 0, 'VERIFIED', 'UNVERIFIED') as safety_status", "if(o_orderkey % 5 = 0, 'raw/', 'redacted/') || o_orderkey as result_key")
+    return verify.releasable(jobs).select("job_id")
+
+
 # Analytics: events stand for usage and log rows.
 
 _USAGE = "SELECT event_id, user_id, event_type AS endpoint, value AS processing_ms, ts FROM events"
@@ -439,12 +572,29 @@ def a09(spark: SparkSession, sf_dir: str) -> DataFrame:
     return analytics.classify(read(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), F.col("html").alias("text"), F.col("url").alias("filename")))
 
 
-@query("a10_merged_logs", "SELECT user_id AS id, max(event_id) AS event_id FROM (SELECT user_id, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC) = 1) GROUP BY 1")
+@query("a10_merged_logs", "SELECT user_id AS id, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id % 2 DESC, event_id DESC) = 1")
 def a10(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read(spark, sf_dir, "events").select(F.col("user_id").alias("id"), "event_id", F.col("ts").alias("created_at"))
     return analytics.merged_logs(rows.filter("event_id % 2 = 0"), rows.filter("event_id % 2 = 1")).select("id", "event_id")
 
 
+@query("a11_newest_rows", "SELECT event_id AS id FROM events ORDER BY ts DESC, event_id DESC LIMIT 50")
+def a11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return analytics.newest(read(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.col("ts").alias("created_at"))).select("id")
+
+
+@query("q03_documents_with_jobs", "SELECT o_orderkey AS doc_id, l_linenumber AS job_id, l_returnflag AS status FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey AND l_quantity > 40")
+def q03(spark: SparkSession, sf_dir: str) -> DataFrame:
+    jobs = read(spark, sf_dir, "lineitem").filter("l_quantity > 40").select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("job_id"), F.col("l_returnflag").alias("status"))
+    return analytics.with_jobs(read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id")), jobs)
+
+
+@query("q08_current_state", "SELECT user_id, event_id FROM (SELECT * FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1) WHERE event_type <> 'error'")
+def q08(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "events").withColumn("is_active", (F.col("event_type") != "error").cast("int"))
+    return analytics.current(rows, ["user_id"], "ts", "event_id").select("user_id", "event_id")
+
+
 @query("a12_entity_counters", f"SELECT doc_id, CAST(count(*) AS BIGINT) AS total FROM ({_ENTITIES}) GROUP BY 1")
 def a12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return analytics.count_map(entities(spark, sf_dir)).select("doc_id", "total")
@@ -452,7 +602,7 @@ def a12(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("a13_hash_chain")
 def a13(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = read(spark, sf_dir, "events").filter("event_type = 'purchase'")
+    e = read(spark, sf_dir, "events")
     return analytics.hash_chain(e.select(F.col("user_id").alias("session_id"), F.col("event_id").alias("report_id"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("generated_at"), F.array(F.col("event_id").cast("string")).alias("log_ids"), F.lit(1).alias("entity_count")))
 
 
@@ -505,8 +655,7 @@ def q10(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    # Both sides and every round of matching read it.
-    e = entities(spark, sf_dir).select("doc_id", "entity_type", "start", "end").persist()
+    e = entities(spark, sf_dir).select("doc_id", "entity_type", "start", "end")
     return e, e.filter("doc_id % 7 <> 0").withColumn("end", F.when(F.col("doc_id") % 3 == 0, F.col("end") - 4).otherwise(F.col("end")))
 
 
@@ -525,6 +674,18 @@ def e02(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.first_fit(*_sides(spark, sf_dir)).select("doc_id", "entity_type", "e_start")
 
 
+@query("e03_best_per_detection", f"{_ENT}SELECT doc_id, entity_type, start AS e_start FROM ({_M}) WHERE iou > 0.5")
+def e03(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate.best_per_detection(*_sides(spark, sf_dir)).select("doc_id", "entity_type", "e_start")
+
+
+@query("s14_expected_spans", f"SELECT doc_id, 'NAME' AS entity_type, CAST(instr(text, v) - 1 AS INT) AS start, CAST(instr(text, v) - 1 + length(v) AS INT) AS \"end\" FROM (SELECT doc_id, text, 'Customer ' || CAST(doc_id AS VARCHAR) AS v FROM ({C.CARRIER_SQL}))")
+def s14(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = C.carriers(spark, sf_dir)
+    said = F.array(F.struct(F.lit("NAME").alias("type"), F.concat(F.lit("Customer "), F.col("doc_id").cast("string")).alias("value")), F.struct(F.lit("NONE").alias("type"), F.lit("nowhere").alias("value")))
+    return evaluate.expected_spans(docs.select("doc_id", F.col("text").alias("content"), said.alias("expected_entities")))
+
+
 @query("e04_optimal_matching", f"{_ENT}SELECT doc_id, entity_type, start AS e_start FROM ({_M})")
 def e04(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.optimal(*_sides(spark, sf_dir)).select("doc_id", "entity_type", "e_start")
@@ -578,7 +739,7 @@ def z03(spark: SparkSession, sf_dir: str) -> DataFrame:
     return limits.locked_out(rows, most=3, span=86_400.0)
 
 
-@query("z05_job_states", "SELECT user_id AS job_id, arg_max(event_type, ts) AS state FROM events GROUP BY 1")
+@query("z05_job_states", "SELECT user_id AS job_id, arg_max(event_type, {'t': ts, 'e': event_type}) AS state FROM events GROUP BY 1")
 def z05(spark: SparkSession, sf_dir: str) -> DataFrame:
     return limits.job_states(read(spark, sf_dir, "events").select(F.col("user_id").alias("job_id"), F.col("event_type").alias("state"), F.col("ts").alias("at"))).select("job_id", "state")
 
@@ -600,11 +761,9 @@ def s16(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mail addresses, networks and cards in documents, scored, elected, decided, and replaced by typed marks."""
-    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    found = recognise.scan_patterns(docs, [r for r in recognise.RULES if r.id in ("r09", "r13", "r15")])
-    chosen = policy.decide(vote.elect(vote.score_context(found, docs)))
-    return policy.redact_typed(docs, policy.active(chosen))
+    """All personal data that the stages find in documents, elected, decided, and replaced by typed marks."""
+    docs = documents(spark, sf_dir)
+    return policy.redact_typed(docs, policy.active(policy.decide(recognise.entities_of(docs))))
 
 
 query("x03_redacted_documents")(flagship)

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from palimpsest.functions.folds import folded
+
 
 def admit(times: list[float], kept: list[float], limit: int, span: float) -> tuple[list[bool], list[float]]:
     """Which requests pass: fewer than ``limit`` passed ones within ``span`` before; refused ones do not count."""
@@ -23,14 +25,12 @@ def admit(times: list[float], kept: list[float], limit: int, span: float) -> tup
 
 def rate_limited(events: DataFrame, limit: int, span: float, key: str = "user_id", at: str = "ts", id: str = "event_id") -> DataFrame:
     """``(key, id, at, allowed)``: a sliding limit for each key; ties in time go by id."""
-    kind = dict(events.dtypes)
 
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values([at, id])
-        rows["allowed"], _ = admit((rows[at].astype("int64") / 1e6).tolist() if rows[at].dtype == "datetime64[us]" else [t.timestamp() for t in rows[at]], [], limit, span)
-        return rows
+    def step(kept: list[float] | None, r: dict) -> tuple[list[float], tuple]:
+        (allowed,), kept = admit([r[at].timestamp()], kept or [], limit, span)
+        return kept, (allowed,)
 
-    return events.select(key, id, at).groupBy(key).applyInPandas(fold, f"{key} {kind[key]}, {id} {kind[id]}, {at} {kind[at]}, allowed boolean")
+    return folded(events.select(key, id, at), key, [at, id], step, {"allowed": "boolean"})
 
 
 def rate_limited_stream(events: DataFrame, limit: int, span: float, key: str = "user_id", at: str = "ts", id: str = "event_id", late: str = "10 minutes") -> DataFrame:
@@ -65,26 +65,20 @@ def in_window(events: DataFrame, span: int, key: str = "user_id", at: str = "ts"
 def locked_out(attempts: DataFrame, most: int = 5, span: float = 900.0) -> DataFrame:
     """``attempts`` (email, attempted_at, success) with ``locked``: refused for ``span`` seconds after ``most`` failures in a row."""
 
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("attempted_at")
-        failures, until, out = 0, float("-inf"), []
-        for t, ok in zip([t.timestamp() for t in rows["attempted_at"]], rows["success"], strict=True):
-            out.append(t < until)
-            if out[-1]:
-                continue
-            failures = 0 if ok else failures + 1
-            if failures >= most:
-                failures, until = 0, t + span
-        rows["locked"] = out
-        return rows
+    def step(state: tuple[int, float] | None, r: dict) -> tuple[tuple[int, float], tuple]:
+        failures, until = state or (0, float("-inf"))
+        t = r["attempted_at"].timestamp()
+        if t < until:
+            return (failures, until), (True,)
+        failures = 0 if r["success"] else failures + 1
+        return ((0, t + span) if failures >= most else (failures, until)), (False,)
 
-    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in attempts.schema)
-    return attempts.groupBy("email").applyInPandas(fold, f"{kinds}, locked boolean")
+    return folded(attempts, "email", ["attempted_at"], step, {"locked": "boolean"})
 
 
 def job_states(events: DataFrame) -> DataFrame:
     """The latest state of each job of ``events`` (job_id, state, at)."""
-    return events.groupBy("job_id").agg(F.max_by("state", "at").alias("state"), F.max("at").alias("at"))
+    return events.groupBy("job_id").agg(F.max_by("state", F.struct("at", "state")).alias("state"), F.max("at").alias("at"))
 
 
 def volume(events: DataFrame, size: str = "1 day", at: str = "ts", late: str | None = None) -> DataFrame:
