@@ -154,12 +154,15 @@ def box_iou(a: Column, b: Column) -> Column:
     return F.when(both > 0, w * h / both).otherwise(0.0)
 
 
+#: What may stand between the letters of a recognised value, and letters that are read for one another (fixed values).
+SEPARATORS = r"[\s\-_/\\.:,]"
+CONFUSED = ("01528", "OISZB")
+
+
 def ocr_distance(a: Column, b: Column) -> Column:
-    """Levenshtein distance of upper-cased values; of equally long ones, places that differ by a confusable pair are free."""
-    same = {"0": "O", "1": "I", "L": "I", "5": "S", "8": "B", "2": "Z", "6": "G"}
-    plain = lambda x: F.translate(x, "".join(same), "".join(same.values()))
-    a, b = F.upper(a), F.upper(b)
-    places = F.zip_with(F.split(plain(a), ""), F.split(plain(b), ""), lambda x, y: (x != y).cast("int"))
+    """Levenshtein distance of upper-cased values without separators; of equally long ones, the places that differ by no confusable pair."""
+    a, b = (F.upper(F.regexp_replace(x, SEPARATORS, "")) for x in (a, b))
+    places = F.zip_with(*(F.split(F.translate(x, *CONFUSED), "") for x in (a, b)), lambda x, y: (x != y).cast("int"))
     return F.when(F.length(a) == F.length(b), F.aggregate(places, F.lit(0), lambda s, x: s + x)).otherwise(F.levenshtein(a, b))
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions import text as T
 from palimpsest.functions import validators as V
-from palimpsest.operators import analytics, evaluate, policy, recognise, tables, verify, vote
+from palimpsest.operators import analytics, boxes, evaluate, policy, recognise, tables, verify, vote
 from palimpsest.plans import carriers as C
 from palimpsest.plans import oracle as O
 from palimpsest.sources import files
@@ -240,7 +240,7 @@ def v11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), V.in_compound(turn(["SKU-", ": ", "x--", ""]), turn([" end", "-9", "."])).alias("inside"))
 
 
-@query("v15_ocr_distance", """SELECT id, CASE WHEN length(a) = length(b) THEN hamming(translate(a, '01L582G', 'OIISBZ6'), translate(b, '01L582G', 'OIISBZ6')) ELSE levenshtein(a, b) END AS d
+@query("v15_ocr_distance", """SELECT id, CASE WHEN length(a) = length(b) THEN hamming(translate(a, '01528', 'OISZB'), translate(b, '01528', 'OISZB')) ELSE levenshtein(a, b) END AS d
     FROM (SELECT c_custkey AS id, upper(c_name) AS a, upper('customer#O' || CAST(c_custkey * 7 AS VARCHAR) || substr('00000000', 1 + CAST(c_custkey % 7 AS INT))) AS b FROM customer)""")
 def v15(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("c_custkey")
@@ -317,6 +317,14 @@ def c18(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.blocks_of(entities(spark, sf_dir), blocks.withColumn("box", box)).select("doc_id", "start", "entity_type", "block")
 
 
+@query("c20_shapes", f"""SELECT doc_id, start, entity_type, CAST(6 * start - 1 AS DOUBLE) AS x, CAST(6 * ("end" - start) + 2 AS DOUBLE) AS width, CAST(12 AS DOUBLE) AS height FROM ({_ENTITIES})""")
+def c20(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = files.as_blocks(C.carriers(spark, sf_dir))
+    box = F.struct((6.0 * F.col("start_index")).alias("x0"), (20.0 * F.col("block")).alias("y0"), (6.0 * F.col("end_index")).alias("x1"), (20.0 * F.col("block") + 10).alias("y1"))
+    words = lines.select("doc_id", F.col("block").alias("ord"), "text", "start_index", "end_index", box.alias("box"), F.lit(None).cast("array<struct<x0:double,y0:double,x1:double,y1:double>>").alias("symbols"))
+    return boxes.shapes(entities(spark, sf_dir), words).select("doc_id", "start", "entity_type", "x", "width", "height")
+
+
 @query("t02_overridden_types", f"""SELECT doc_id, start, "end", CASE WHEN entity_type = 'PHONE_NUMBER' AND doc_id % 3 = 0 THEN 'BANK_ACCOUNT' ELSE entity_type END AS entity_type FROM ({_ENTITIES})""")
 def t02(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = entities(spark, sf_dir)
@@ -691,6 +699,34 @@ def e04(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.optimal(*_sides(spark, sf_dir)).select("doc_id", "entity_type", "e_start")
 
 
+def _boxed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entities with a page, a number, and a box on a line of their own; of documents with odd ids they are recognised ones."""
+    e = entities(spark, sf_dir).select("doc_id", "entity_type", "start", "end", "text")
+    box = F.struct(F.lit(0.0).alias("x0"), (10.0 * F.col("start")).alias("y0"), (6.0 * F.length("text")).alias("x1"), (10.0 * F.col("start") + 8).alias("y1"))
+    return e.select("*", F.col("start").alias("id"), F.lit(1).alias("page"), box.alias("box"), (F.col("doc_id") % 2 == 1).alias("is_ocr"))
+
+
+@query("e05_dual_channel", f"""{_ENT}SELECT doc_id, entity_type, CAST(start AS BIGINT) AS e_id, CASE WHEN doc_id % 2 = 1 THEN 'box' WHEN doc_id % 3 = 0 THEN 'span' ELSE 'exact_span' END AS method,
+    CAST(CASE WHEN doc_id % 2 = 0 AND doc_id % 3 = 0 THEN 4 ELSE 0 END AS BIGINT) AS residual FROM ent WHERE doc_id % 7 <> 0 AND (doc_id % 3 <> 0 OR (doc_id % 2 = 0 AND ("end" - start - 4) / ("end" - start) >= 0.5))""")
+def e05(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _boxed(spark, sf_dir)
+    cut, misread = F.col("doc_id") % 3 == 0, F.translate("text", "0158", "OISB")
+    d = e.filter("doc_id % 7 <> 0").withColumn("text", F.when(cut, F.expr("left(text, length(text) - 4)")).otherwise(misread)).withColumn("end", F.when(cut, F.col("end") - 4).otherwise(F.col("end")))
+    return boxes.dual_channel(e, d).select("doc_id", "entity_type", "e_id", "method", F.col("residual").cast("bigint").alias("residual"))
+
+
+@query("e06_fragments", f"""{_ENT}SELECT doc_id, start AS e_id, CAST(2 AS BIGINT) AS parts, true AS exact FROM ent WHERE doc_id % 2 = 1 AND doc_id % 3 <> 0""")
+def e06(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _boxed(spark, sf_dir)
+    half, n = F.floor(F.length("text") / 2).cast("int"), F.length("text")
+    side = lambda a, b: F.struct((6.0 * a).alias("x0"), F.col("box.y0"), (6.0 * b).alias("x1"), F.col("box.y1"))
+    first = e.withColumn("box", side(F.lit(0), half)).withColumn("text", F.substr("text", F.lit(1), half)).withColumn("id", 2 * F.col("id"))
+    second = e.filter("doc_id % 3 <> 0").withColumn("box", side(half, n)).withColumn("text", F.substr("text", half + 1, n)).withColumn("id", 2 * F.col("id") + 1)
+    d = first.unionByName(second).drop("is_ocr").withColumn("start", F.lit(None).cast("int")).withColumn("end", F.lit(None).cast("int"))
+    found = boxes.fragments(e, d, boxes.dual_channel(e, d))
+    return found.select("doc_id", "e_id", F.size("d_ids").cast("bigint").alias("parts"), "exact")
+
+
 _TYPES = f"""SELECT entity_type, tp, d - tp AS fp, e - tp AS fn FROM (SELECT entity_type, count(*) AS e FROM ({_E}) GROUP BY 1) JOIN (SELECT entity_type, count(*) AS d FROM ({_D}) GROUP BY 1) USING (entity_type)
     JOIN (SELECT entity_type, count(*) AS tp FROM ({_M}) WHERE iou >= 0.5 GROUP BY 1) USING (entity_type)"""
 
