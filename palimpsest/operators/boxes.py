@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.functions import validators as V
-from palimpsest.operators.evaluate import _assign
+from palimpsest.operators.evaluate import _assign, settled
 
 #: Types of which no letter may differ but for confusable ones (fixed values).
 STRUCTURED = [
@@ -49,8 +49,8 @@ def dual_channel(expected: DataFrame, detected: DataFrame, spans: float = 0.5, b
     ``expected`` has (doc_id, id, entity_type, page, text, start, end, box, is_ocr), ``detected`` the same but for
     ``is_ocr``; ids are unique in a document.  Digital ones are matched by spans that share ``spans`` of their hull
     (weight 1 + share), recognised ones by boxes that share ``boxes`` of their joint area and texts near enough for the
-    type (weight 1 + share + 1 - distance / length).  Null or impossible spans and boxes match nothing.  A task takes
-    one page's pairs of one type at a time.
+    type (weight 1 + share + 1 - distance / length).  Null or impossible spans and boxes match nothing.  Only
+    pairs that contend for a side are handed to Python, one page's of one type at a time.
     """
     e = expected.select("doc_id", "page", "entity_type", F.col("id").alias("e_id"), F.col("text").alias("e_text"), F.col("start").alias("e0"), F.col("end").alias("e1"), valid_box(F.col("box")).alias("e_box"), F.coalesce("is_ocr", F.lit(False)).alias("is_ocr"))
     d = detected.select("doc_id", "page", "entity_type", F.col("id").alias("d_id"), F.col("text").alias("d_text"), F.col("start").alias("d0"), F.col("end").alias("d1"), valid_box(F.col("box")).alias("d_box"))
@@ -78,7 +78,7 @@ def dual_channel(expected: DataFrame, detected: DataFrame, spans: float = 0.5, b
         chosen = _assign(weight)
         return rows[[chosen[i] == j for i, j in at]].drop_duplicates(["e_id", "d_id"]).drop(columns="weight")
 
-    return weighed.groupBy("doc_id", "page", "entity_type").applyInPandas(match, _MATCH)
+    return settled(weighed, ["doc_id", "page", "entity_type"], ["e_id"], ["d_id"], match, _MATCH)
 
 
 def fragments(expected: DataFrame, detected: DataFrame, matches: DataFrame, boxes: float = 0.4, edits: int = 2) -> DataFrame:

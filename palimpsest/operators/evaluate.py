@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.functions import validators as V
@@ -19,6 +21,24 @@ def pairs(expected: DataFrame, detected: DataFrame, least: float = 0.0) -> DataF
     return met.withColumn("iou", V.iou(F.col("e_start"), F.col("e_end"), F.col("d_start"), F.col("d_end"))).filter(F.col("iou") >= least)
 
 
+def settled(rows: DataFrame, group: list[str], e: list[str], d: list[str], match: Callable[[pd.DataFrame], pd.DataFrame], schema: str, sure: Column | None = None) -> DataFrame:
+    """The pairs that ``match`` keeps of each group; ``e`` and ``d`` are the columns that name a pair's two sides.
+
+    A pair whose sides meet nothing else is kept as it is (where ``sure`` holds), so only contested ones, which are few,
+    are handed to Python.  All is done in one shuffle by ``group``.
+    """
+    names = [c.split()[0] for c in schema.split(", ")]
+    alone = [F.count("*").over(Window.partitionBy(*group, *side)) == 1 for side in (e, d)]
+    rows = rows.repartition(*group).withColumn("alone", alone[0] & alone[1])
+    kept = rows.filter("alone") if sure is None else rows.filter(F.col("alone") & sure)
+    return kept.select(*names).union(rows.filter("not alone").drop("alone").groupBy(*group).applyInPandas(match, schema))
+
+
+def _settled(met: DataFrame, match: Callable[[pd.DataFrame], pd.DataFrame], sure: Column | None = None) -> DataFrame:
+    rows = met.select(*(c.split()[0] for c in _MATCH.split(", ")))
+    return settled(rows, ["doc_id", "entity_type"], ["e_start", "e_end"], ["d_start", "d_end"], match, _MATCH, sure)
+
+
 def greedy(expected: DataFrame, detected: DataFrame, least: float = 0.5) -> DataFrame:
     """One-to-one matches, best overlap first; ties by place.  Each document and type is matched on its own."""
 
@@ -33,7 +53,7 @@ def greedy(expected: DataFrame, detected: DataFrame, least: float = 0.5) -> Data
                 used_d.add(d)
         return rows[keep]
 
-    return pairs(expected, detected, least).select(*(c.split()[0] for c in _MATCH.split(", "))).groupBy("doc_id", "entity_type").applyInPandas(match, _MATCH)
+    return _settled(pairs(expected, detected, least), match)
 
 
 def first_fit(expected: DataFrame, detected: DataFrame) -> DataFrame:
@@ -50,7 +70,7 @@ def first_fit(expected: DataFrame, detected: DataFrame) -> DataFrame:
                 used_d.add(d)
         return rows[keep]
 
-    return pairs(expected, detected).select(*(c.split()[0] for c in _MATCH.split(", "))).groupBy("doc_id", "entity_type").applyInPandas(match, _MATCH)
+    return _settled(pairs(expected, detected), match)
 
 
 def best_per_detection(expected: DataFrame, detected: DataFrame, over: float = 0.5) -> DataFrame:
@@ -66,7 +86,7 @@ def best_per_detection(expected: DataFrame, detected: DataFrame, over: float = 0
                 keep.append(best.name)
         return rows.loc[keep]
 
-    return pairs(expected, detected).select(*(c.split()[0] for c in _MATCH.split(", "))).groupBy("doc_id", "entity_type").applyInPandas(match, _MATCH)
+    return _settled(pairs(expected, detected), match, F.col("iou") > over)
 
 
 def _assign(weight: list[list[float]]) -> list[int]:
@@ -117,7 +137,7 @@ def optimal(expected: DataFrame, detected: DataFrame, least: float = 0.0) -> Dat
         chosen = {(es[i], ds[j]) for i, j in enumerate(_assign(weight)) if j >= 0}
         return rows[[((r.e_start, r.e_end), (r.d_start, r.d_end)) in chosen for r in rows.itertuples()]].drop_duplicates()
 
-    return pairs(expected, detected, least).select(*(c.split()[0] for c in _MATCH.split(", "))).groupBy("doc_id", "entity_type").applyInPandas(match, _MATCH)
+    return _settled(pairs(expected, detected, least), match)
 
 
 def ratios(tp: Column, fp: Column, fn: Column, empty: Column | None = None) -> list[Column]:
