@@ -15,6 +15,8 @@ from palimpsest.llm.chat import format_chats, loss_text, parse_chats
 from palimpsest.llm import licenses
 from palimpsest.llm.minhash import near_duplicates
 from palimpsest.llm.packing import pack
+from palimpsest.llm.records import write_records
+from palimpsest.llm.scratch import new_folder
 from palimpsest.llm.secrets import find_secrets
 from palimpsest.llm.substrings import remove_repeats
 from palimpsest.llm.topk import exact_top_k
@@ -94,8 +96,13 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_binary_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = write_records(table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path(TOKENIZER), new_folder(spark, "records"), end=2)
+    return records.documents().select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_top_k, op2_license_scan, op3_secret_scan, op4_toxicity, op5_minhash_near_dedup, op6_substring_dedup, op7_best_fit_packing, op8_embedding_near_dedup, op9_bpe, op10_chat_format)}
+    return {f.__name__: f for f in (op1_exact_top_k, op2_license_scan, op3_secret_scan, op4_toxicity, op5_minhash_near_dedup, op6_substring_dedup, op7_best_fit_packing, op8_embedding_near_dedup, op9_bpe, op10_chat_format, op13_binary_output)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -27,17 +27,23 @@ def shared_folder(spark: SparkSession) -> str:
     return _own[app]
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    """The path of a folder of its own in the shared one, which ``clear`` deletes."""
+    path = f"{shared_folder(spark)}/palimpsest-{name}-{uuid.uuid4().hex}"
+    _made.append(path)
+    return path
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back: a lost executor costs no recomputation of it."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/palimpsest-{name}-{uuid.uuid4().hex}"
+    path = new_folder(spark, name)
     df.write.parquet(path)
-    _made.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def clear(spark: SparkSession) -> None:
-    """Delete what ``cut`` has written in this session; results that still read it must have been written before."""
+    """Delete what ``cut`` and ``new_folder`` have made in this session; results that still read it must have been written before."""
     for path in _made:
         at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
