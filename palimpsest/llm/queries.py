@@ -21,6 +21,7 @@ from palimpsest.llm.secrets import find_secrets
 from palimpsest.llm.substrings import remove_repeats
 from palimpsest.llm.topk import exact_top_k
 from palimpsest.llm.toxicity import fit_toxicity, held_out
+from palimpsest.llm.whitening import whiten
 
 
 #: The tokenizer file that the queries read, the same on every machine.
@@ -96,13 +97,17 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(table(spark, sf_dir, "embeddings"), components=8)
+
+
 def op13_binary_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = write_records(table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path(TOKENIZER), new_folder(spark, "records"), end=2)
     return records.documents().select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_top_k, op2_license_scan, op3_secret_scan, op4_toxicity, op5_minhash_near_dedup, op6_substring_dedup, op7_best_fit_packing, op8_embedding_near_dedup, op9_bpe, op10_chat_format, op13_binary_output)}
+    return {f.__name__: f for f in (op1_exact_top_k, op2_license_scan, op3_secret_scan, op4_toxicity, op5_minhash_near_dedup, op6_substring_dedup, op7_best_fit_packing, op8_embedding_near_dedup, op9_bpe, op10_chat_format, op12_embedding_whitening, op13_binary_output)}
 
 
 def oracle_sql() -> dict[str, str]:
