@@ -16,6 +16,7 @@ from palimpsest.llm import licenses
 from palimpsest.llm.minhash import near_duplicates
 from palimpsest.llm.packing import pack
 from palimpsest.llm.records import write_records
+from palimpsest.llm.repair import repair_conversations, summarise_repairs
 from palimpsest.llm.scratch import new_folder
 from palimpsest.llm.secrets import find_secrets
 from palimpsest.llm.substrings import remove_repeats
@@ -97,6 +98,25 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def damaged(turns: DataFrame) -> DataFrame:
+    """``turns`` (conv_id, turn, role, text) with faults where the contract of operator 11 puts them; nulls read as one space."""
+    said = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    kind = F.crc32(F.concat(said("conv_id"), F.lit(":"), said("turn")).cast("binary")) % 20
+    text = F.when(F.col("kind") == 1, "").when(F.col("kind") == 2, F.regexp_replace(said("text"), "[.!?]", "")).otherwise(said("text"))
+    row = F.struct("conv_id", "turn", F.when(F.col("kind") == 4, "user").otherwise(said("role")).alias("role"), text.alias("text"))
+    rows = turns.withColumn("kind", kind).filter("kind <> 0")
+    return rows.select(F.explode(F.array_repeat(row, F.when(F.col("kind") == 3, 2).otherwise(1))).alias("r")).select("r.*")
+
+
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    repaired = summarise_repairs(repair_conversations(damaged(rows)))
+    ids = rows.select(F.col("conv_id").alias("own")).distinct()
+    counts = ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")
+    out = ids.join(repaired, F.col("own").eqNullSafe(F.col("conv_id")), "left")
+    return out.select(F.col("own").alias("conv_id"), *(F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in counts), F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
 def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whiten(table(spark, sf_dir, "embeddings"), components=8)
 
@@ -107,7 +127,7 @@ def op13_binary_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_top_k, op2_license_scan, op3_secret_scan, op4_toxicity, op5_minhash_near_dedup, op6_substring_dedup, op7_best_fit_packing, op8_embedding_near_dedup, op9_bpe, op10_chat_format, op12_embedding_whitening, op13_binary_output)}
+    return {f.__name__: f for f in (op1_exact_top_k, op2_license_scan, op3_secret_scan, op4_toxicity, op5_minhash_near_dedup, op6_substring_dedup, op7_best_fit_packing, op8_embedding_near_dedup, op9_bpe, op10_chat_format, op11_conversation_repair, op12_embedding_whitening, op13_binary_output)}
 
 
 def oracle_sql() -> dict[str, str]:
