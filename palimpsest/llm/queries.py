@@ -162,4 +162,55 @@ def oracle_sql() -> dict[str, str]:
                 sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
                 CAST(sum(chars) AS BIGINT) AS formatted_chars
             FROM t GROUP BY conv_id""",
+        "op11_conversation_repair": r"""
+            WITH RECURSIVE o AS (
+                -- CRC-32, bit by bit: a byte comes in (as 256 more than it is), then eight turns.
+                SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+                    xor(list_reduce(list_concat([4294967295], flatten(list_transform(string_split(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '), ''),
+                        lambda b: [256 + ascii(b), 0, 0, 0, 0, 0, 0, 0, 0]))),
+                        lambda c, x: CASE WHEN x >= 256 THEN xor(c, x - 256) ELSE xor(c >> 1, 3988292384 * (c & 1)) END), 4294967295) % 20 AS kind
+                FROM conversations
+            ), d AS (
+                SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+                    CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+                    unnest(range(CASE kind WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy
+                FROM o
+            ), n AS (
+                SELECT *, row_number() OVER w AS i, lag(role[1]) OVER w || role[1] AS neighbours, rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS body
+                FROM d WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, left(text, 64), md5(text), copy)
+            ), f AS (
+                SELECT *, role[1] AS k, CASE WHEN body = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate'
+                    WHEN body[-1] NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault
+                FROM n
+            ), s AS (
+                SELECT conv_id, max(i) AS pos, {'c': 0, 'a': '', 'r': []::VARCHAR[]} AS s0, {'c': 4, 'a': 'II', 'r': ['user:', 'assistant:']} AS s1,
+                    {'c': 2, 'a': 'I', 'r': ['assistant:']} AS s2, {'c': 0, 'a': '', 'r': []::VARCHAR[]} AS s3
+                FROM f GROUP BY conv_id
+                UNION ALL
+                -- Behind the row's own edits, at most two insertions: user and assistant by turns.
+                SELECT conv_id, pos, list_min([e0, {'c': e2.c + 2, 'a': 'I' || e2.a, 'r': list_concat(['user:'], e2.r)}, {'c': e3.c + 4, 'a': 'II' || e3.a, 'r': list_concat(['user:', 'assistant:'], e3.r)}]),
+                    list_min([e1, {'c': e2.c + 2, 'a': 'I' || e2.a, 'r': list_concat(['user:'], e2.r)}, {'c': e3.c + 4, 'a': 'II' || e3.a, 'r': list_concat(['user:', 'assistant:'], e3.r)}]),
+                    list_min([e2, {'c': e3.c + 2, 'a': 'I' || e3.a, 'r': list_concat(['assistant:'], e3.r)}]),
+                    list_min([e3, {'c': e2.c + 2, 'a': 'I' || e2.a, 'r': list_concat(['user:'], e2.r)}])
+                FROM (
+                    SELECT s.conv_id, s.pos - 1 AS pos,
+                        list_min([{'c': s0.c + 3, 'a': 'D' || s0.a, 'r': s0.r}, CASE WHEN stays AND k = 's' THEN {'c': s1.c + t, 'a': 'K' || s1.a, 'r': list_concat([role || ':' || text], s1.r)} END,
+                            CASE WHEN stays AND k = 'u' THEN {'c': s2.c + t, 'a': 'K' || s2.a, 'r': list_concat([role || ':' || text], s2.r)} END,
+                            CASE WHEN stays THEN {'c': s2.c + 2 + t, 'a': 'R' || s2.a, 'r': list_concat(['user:' || text], s2.r)} END]) AS e0,
+                        list_min([{'c': s1.c + 3, 'a': 'D' || s1.a, 'r': s1.r}, CASE WHEN stays AND k = 'u' THEN {'c': s2.c + t, 'a': 'K' || s2.a, 'r': list_concat([role || ':' || text], s2.r)} END,
+                            CASE WHEN stays THEN {'c': s2.c + 2 + t, 'a': 'R' || s2.a, 'r': list_concat(['user:' || text], s2.r)} END]) AS e1,
+                        list_min([{'c': s2.c + 3, 'a': 'D' || s2.a, 'r': s2.r}, CASE WHEN stays AND k = 'a' THEN {'c': s3.c + t, 'a': 'K' || s3.a, 'r': list_concat([role || ':' || text], s3.r)} END,
+                            CASE WHEN stays THEN {'c': s3.c + 2 + t, 'a': 'R' || s3.a, 'r': list_concat(['assistant:' || text], s3.r)} END]) AS e2,
+                        list_min([{'c': s3.c + 3, 'a': 'D' || s3.a, 'r': s3.r}, CASE WHEN stays AND k = 'u' THEN {'c': s2.c + t, 'a': 'K' || s2.a, 'r': list_concat([role || ':' || text], s2.r)} END,
+                            CASE WHEN stays THEN {'c': s2.c + 2 + t, 'a': 'R' || s2.a, 'r': list_concat(['user:' || text], s2.r)} END]) AS e3
+                    FROM s JOIN (SELECT *, fault NOT IN ('blank', 'duplicate') AS stays, CASE fault WHEN 'truncated' THEN 1 ELSE 0 END AS t FROM f) r ON s.conv_id IS NOT DISTINCT FROM r.conv_id AND s.pos = r.i
+                )
+            ), g AS (
+                SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+                    count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (i > 1 AND neighbours NOT IN ('su', 'ua', 'au')) AS illegal
+                FROM f GROUP BY conv_id
+            )
+            SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+                CAST(coalesce(s0.c, 0) AS BIGINT) AS cost, coalesce(s0.a, '') AS audit, sha256(coalesce(array_to_string(s0.r, chr(10)), '')) AS repaired_sha256
+            FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN g ON c.conv_id IS NOT DISTINCT FROM g.conv_id LEFT JOIN s ON c.conv_id IS NOT DISTINCT FROM s.conv_id AND s.pos = 0""",
     }
