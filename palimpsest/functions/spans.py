@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -51,3 +51,30 @@ def splice(text: Column, entities: Column, shown) -> Column:  # noqa: ANN001
         return F.struct(F.when(fits, e.end).otherwise(acc.at).alias("at"), F.when(fits, piece).otherwise(acc.out).alias("out"))
 
     return F.aggregate(ordered, zero, step, lambda acc: F.concat(acc.out, F.substr(text, acc.at + 1, F.length(text))))
+
+
+def matched(rows: DataFrame, text: str, pattern: str, before: int, after: int) -> DataFrame:
+    """The other columns of ``rows`` and, for each match of ``pattern`` in its column ``text``, ``before``, ``match`` and
+    ``after``: what was matched, and up to so many characters on both sides.  Rows without a match, and null texts, go.
+
+    One pass of the pattern marks its matches, which may be empty where it only looks ahead or behind; the pieces between
+    the marks are cut to what a neighbour needs once, so that the work grows with the text and the matches, not with their
+    product.  The marks' two control characters read as another one.
+    """
+    rest = [c for c in rows.columns if c != text]
+    marked = F.regexp_replace(F.translate(text, _OPEN + _CLOSE, _GROUP * 2), F.lit(pattern), F.lit(f"{_OPEN}$0{_CLOSE}"))
+    pieces = F.split(marked, f"[{_OPEN}{_CLOSE}]", -1)
+    # An array of one, exploded, keeps Spark from working the pieces out anew for each use.
+    cut = rows.select(*rest, F.explode(F.array(pieces)).alias("_pieces")).filter(F.size("_pieces") > 1)
+    edges = F.struct("_pieces", F.transform("_pieces", lambda p: F.left(p, F.lit(after))).alias("heads"), F.transform("_pieces", lambda p: F.right(p, F.lit(before))).alias("tails"))
+    cut = cut.select(*rest, F.explode(F.array(edges)).alias("_p"))
+
+    def seen(i: Column) -> Column:
+        # Pieces with an even index are matches; of two neighbours one at least has a character.
+        start = F.greatest(i - (2 * before + 2), F.lit(1))
+        tail = F.right(F.array_join(F.slice(F.col("_p.tails"), start, i - start), ""), F.lit(before))
+        head = F.left(F.array_join(F.slice(F.col("_p.heads"), i + 1, 2 * after + 2), ""), F.lit(after))
+        return F.struct(tail.alias("before"), F.element_at(F.col("_p._pieces"), i).alias("match"), head.alias("after"))
+
+    places = F.filter(F.sequence(F.lit(2), F.size("_p._pieces") - 1), lambda i: i % 2 == 0)
+    return cut.select(*rest, F.explode(F.transform(places, seen)).alias("_m")).select(*rest, "_m.*")

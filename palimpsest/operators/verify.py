@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.functions import text as T
 from palimpsest.functions import validators as V
-from palimpsest.functions.spans import spans
+from palimpsest.functions.spans import matched, spans
+from palimpsest.operators.spatial import box_join, envelope
 
 #: What must not be left in a redacted text (fixed values).
 RESIDUAL = {
@@ -19,6 +22,9 @@ RESIDUAL = {
 }
 
 
+BOX = "struct<x0:double,y0:double,x1:double,y1:double>"
+
+
 def _leak(kind: str, text):  # noqa: ANN001, ANN202
     return lambda x: F.struct(F.lit(kind).alias("leak_type"), text(x).alias("text"))
 
@@ -37,21 +43,136 @@ def residual_patterns(redacted: DataFrame, allowed: DataFrame | None = None) ->
     return rows.withColumn("v", F.lower("text")).join(may, ["doc_id", "v"], "left_anti").drop("v")
 
 
-def dense_leaks(redacted: DataFrame) -> DataFrame:
-    """(doc_id, leak_type, text): tax and citizen numbers whose characters are spread by blanks."""
-    packed = redacted.filter(F.col("text").isNotNull()).select("doc_id", F.regexp_replace("text", r"\s+", "").alias("d"), "text")
-    every = [F.transform(F.regexp_extract_all("d", F.lit(p)), _leak(k, lambda m: m)) for k, p in (("PAN_NUMBER", "([A-Z]{5}[0-9]{4}[A-Z])"), ("AADHAAR_NUMBER", "([2-9][0-9]{11})"))]
-    rows = packed.select("doc_id", F.col("text").alias("body"), F.explode(F.flatten(F.array(*every))).alias("l")).select("doc_id", "body", "l.*")
-    good = F.when(F.col("leak_type") == "PAN_NUMBER", V.is_pan(F.col("text"))).otherwise(V.verhoeff_residue(F.col("text")) == 0)
-    return rows.filter(good & ~F.contains("body", F.col("text"))).select("doc_id", "leak_type", "text")
+#: White space, also beyond ASCII, and characters that recognition takes for digits or letters (fixed values).
+SPACE = r"[\s\x1c-\x1f\x85\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+FOR_DIGITS, FOR_LETTERS = "OoIiLlSsBbZzGgQq", "01582693"
+#: Words that speak for a tax or a citizen number near by (fixed values).
+PAN_CONTEXT = ["pan", "permanent", "account", "income", "tax", "incometax", "card", "govt", "india", "holder", "signature"]
+AADHAAR_CONTEXT = ["aadhaar", "uid", "uidai", "govt", "india", "unique", "identification", "enrollment", "resident", "meraaadhaar"]
+#: How far such words may be, and the longest run of hyphens that still ties a value to what stands behind it.
+CONTEXT, HYPHENS = 120, 200
+
+
+def _spread(*characters: str) -> str:
+    """A pattern of characters with any white space between them."""
+    return f"{SPACE}*".join(characters)
+
 
+def _dense(text: Column) -> Column:
+    return F.regexp_replace(text, F.lit(SPACE), "")
 
-def fragments(entities: DataFrame, redacted: DataFrame, least: int = 4, most: int = 6) -> DataFrame:
-    """(doc_id, entity_type, text): entities of six characters or more of which a beginning or an end is still readable."""
-    e = entities.filter(F.length("text") >= 6).select("doc_id", "entity_type", F.col("text").alias("v"))
-    joined = e.join(redacted.select("doc_id", F.col("text").alias("body")), "doc_id")
-    seen = F.exists(F.sequence(F.lit(least), F.lit(most)), lambda n: F.contains("body", F.substr("v", F.lit(1), n)) | F.contains("body", F.substr("v", F.length("v") - n + 1, n)))
-    return joined.filter(seen).select("doc_id", "entity_type", F.col("v").alias("text"))
+
+def _unless_allowed(rows: DataFrame, allowed: DataFrame | None, shown: Column, key: Callable[[Column], Column]) -> DataFrame:
+    """Rows (doc_id, ...) whose ``shown`` text is no text of ``allowed`` (doc_id, text), both written by ``key``."""
+    if allowed is None:
+        return rows
+    may = allowed.select(F.col("doc_id").alias("_d"), key(F.col("text")).alias("_v")).distinct()
+    return rows.join(may, (F.col("doc_id") == F.col("_d")) & (key(shown) == F.col("_v")), "left_anti")
+
+
+def dense_leaks(redacted: DataFrame, allowed: DataFrame | None = None) -> DataFrame:
+    """(doc_id, leak_type, text): tax and citizen numbers whose characters are spread by more than two blanks.
+
+    Matches are those of the text without white space, leftmost first, in any case; they are looked for in the text itself,
+    with white space between all characters.  A tax number that is a part of a longer code, letters, digits or hyphens with
+    these beside it, is none.  ``allowed`` (doc_id, text) are spans that a reviewer rejected, without blanks and case.
+    """
+    letter, digit, group = "[A-Za-z]", r"\p{Nd}", _spread(*[r"\p{Nd}"] * 4)
+    kinds = {"PAN_NUMBER": _spread(*[letter] * 5, *[digit] * 4, letter), "AADHAAR_NUMBER": _spread(group, f"(?:-{SPACE}*)?{group}", f"(?:-{SPACE}*)?{group}")}
+    found = None
+    for kind, pattern in kinds.items():
+        rows = matched(redacted.select("doc_id", "text"), "text", pattern, HYPHENS, HYPHENS)
+        if kind == "PAN_NUMBER":
+            rows = rows.filter(~V.in_compound(F.col("before"), F.col("after")))
+        rows = rows.filter(F.length("match") > F.length(_dense(F.col("match"))) + 2).select("doc_id", F.lit(kind).alias("leak_type"), F.col("match").alias("text"))
+        found = rows if found is None else found.union(rows)
+    return _unless_allowed(found, allowed, F.col("text"), lambda t: F.replace(F.lower(F.trim(t)), F.lit(" "), F.lit("")))
+
+
+def visual_candidates(texts: DataFrame, allowed: DataFrame | None = None) -> DataFrame:
+    """(doc_id, leak_type, window): what a reader could take for a tax or citizen number in ``texts`` (doc_id, text), such
+    as recognition gives of a page, without its white space.
+
+    Every window of 10 or 12 characters that are not white space is judged, of which white space makes up no more than
+    twice as many.  A tax number may have one character that recognition takes for another, has two capitals, a blank at
+    most, and no letter, digit, or hyphen tied to one beside it; one with a wrong character needs a word of its context
+    near by or no blank.  A citizen number may have two such characters, two blanks, and no digit beside it; a right one
+    needs blanks, a first digit from 2 to 9, or a word of its context, one with wrong characters blanks or a word.
+    ``allowed`` (doc_id, text) are texts that a reviewer rejected.
+
+    One pass of a pattern that looks ahead marks all windows, overlapping ones too, so the work is linear in the text.
+    """
+    digit, letter, other = rf"[\p{{Nd}}{FOR_DIGITS}]", rf"[\p{{L}}{FOR_LETTERS}]", r"[\p{L}\p{N}]"
+    alone = f"(?<!{other})", f"(?<!{other}-{{1,{HYPHENS}}})", f"(?!-{{0,{HYPHENS}}}{other})"
+    ahead = {
+        "PAN_NUMBER": f"{alone[0]}(?={_spread(*[letter] * 5, *[digit] * 4, letter)}{alone[2]}){alone[1]}",
+        "AADHAAR_NUMBER": rf"(?<!\p{{Nd}})(?={_spread(*[digit] * 12)}(?!\p{{Nd}}))",
+    }
+    found = None
+    for kind, pattern in ahead.items():
+        n, words = (10, PAN_CONTEXT) if kind == "PAN_NUMBER" else (12, AADHAAR_CONTEXT)
+        rows = matched(texts.select("doc_id", "text"), "text", pattern, CONTEXT, 3 * n + CONTEXT)
+        one = SPACE.replace("[", "[^", 1)
+        raw = F.regexp_extract(F.left("after", F.lit(3 * n)), f"^{_spread(*[one] * n)}", 0)
+        rows = rows.withColumn("raw", raw).filter("raw <> ''").withColumn("window", _dense(F.col("raw")))
+        near = F.lower(F.concat("before", F.left("after", F.length("raw") + CONTEXT)))
+        context = F.rlike(near, F.lit(rf"(?<![\p{{L}}\p{{N}}_])(?:{'|'.join(words)})(?![\p{{L}}\p{{N}}_])"))
+        blanks = F.length("raw") - F.length(F.replace(F.col("raw"), F.lit(" "), F.lit("")))
+        wrong = lambda text, right: F.length(F.regexp_replace(text, F.lit(right), ""))
+        if kind == "PAN_NUMBER":
+            letters, digits = F.concat(F.left("window", F.lit(5)), F.right("window", F.lit(1))), F.substring("window", 6, 4)
+            errors = wrong(letters, r"\p{L}") + wrong(digits, r"\p{Nd}")
+            capitals = wrong(F.col("window"), r"\P{Lu}")
+            good = (capitals >= 2) & (blanks <= 1) & ((errors == 0) | ((errors == 1) & (context | (blanks == 0))))
+        else:
+            errors = wrong(F.col("window"), r"\p{Nd}")
+            good = (blanks <= 2) & ((errors <= 2) & ((blanks > 0) | context) | (errors == 0) & F.rlike("window", F.lit("^[2-9]")))
+        rows = rows.filter(good).select("doc_id", F.lit(kind).alias("leak_type"), "raw", "window")
+        found = rows if found is None else found.union(rows)
+    kept = _unless_allowed(found, allowed, F.col("raw"), lambda t: F.lower(F.trim(t)))
+    return kept.select("doc_id", "leak_type", "window")
+
+
+def fragments(entities: DataFrame, redacted: DataFrame, words: DataFrame | None = None, pages: DataFrame | None = None) -> DataFrame:
+    """(doc_id, entity_type, text, side): entities of which the ``leading`` or ``trailing`` four characters can be read.
+
+    ``entities`` has doc_id, entity_type, text, and as far as there are boxes status, page and box; ``redacted`` doc_id
+    and text; ``words`` those of redacted pages: doc_id, page, ord, text and box; ``pages`` doc_id, page and rotation,
+    of all pages.  White space does not count, on neither side; entities of under six characters, and by status those
+    that are not pending, accepted or modified, are left out.
+
+    An entity with a box, on an upright page, is looked for in the words whose boxes meet its own, grown by 100 to the
+    sides and by one and a half times its height, 15 at least, up and down; on a turned page in all its words; without a
+    box or page in the whole document.  Longer ends hold the shorter ones, so four characters decide.  Entities and words
+    meet by cells of a grid, and those of a document without boxes meet its text in one array.
+    """
+    boxed = words is not None and pages is not None
+    extra = [F.col(c) if c in entities.columns else F.lit(None).cast(k).alias(c) for c, k in (("status", "string"), ("page", "int"), ("box", BOX))]
+    e = entities.select("doc_id", "entity_type", "text", *extra).filter(F.coalesce("status", F.lit("accepted")).isin("pending", "accepted", "modified"))
+    e = e.withColumn("page", F.col("page").cast("int")).withColumn("box", F.col("box").cast(BOX)).withColumn("v", _dense(F.col("text"))).filter(F.length("v") >= 6).distinct()
+    ends = F.array(F.struct(F.lit("leading").alias("side"), F.left("v", F.lit(4)).alias("end")), F.struct(F.lit("trailing").alias("side"), F.right("v", F.lit(4)).alias("end")))
+    e = e.withColumn("ends", ends)
+    out = ["doc_id", "entity_type", "text", "side"]
+    if boxed:
+        turned = pages.select("doc_id", F.col("page").cast("int").alias("page"), (F.coalesce("rotation", F.lit(0)) % 360 != 0).alias("turned")).distinct()
+        e = e.join(turned, ["doc_id", "page"], "left")
+    placed = F.col("box").isNotNull() & F.col("turned").isNotNull() if boxed else F.lit(False)
+    loose = e.filter(~placed).groupBy("doc_id").agg(F.collect_list(F.struct("entity_type", "text", "ends")).alias("es"))
+    met = redacted.select("doc_id", _dense(F.col("text")).alias("body")).join(loose, "doc_id")
+    left = F.flatten(F.transform("es", lambda x: F.transform(F.filter(x.ends, lambda s: F.contains(F.col("body"), s.end)), lambda s: F.struct(x.entity_type.alias("entity_type"), x.text.alias("text"), s.side.alias("side")))))
+    found = met.select("doc_id", F.explode(left).alias("l")).select("doc_id", "l.*")
+    if not boxed:
+        return found.select(*out)
+    w = words.select("doc_id", F.col("page").cast("int").alias("page"), F.struct("ord", _dense(F.col("text")).alias("w")).alias("word"), F.col("box").cast(BOX).alias("word_box"))
+    height = F.greatest(F.col("box.y1") - F.col("box.y0"), F.lit(10.0))
+    near = e.filter(placed & ~F.col("turned")).withColumn("reach", envelope(F.col("box"), F.lit(100.0), F.greatest(height * 1.5, F.lit(15.0))))
+    key = ["doc_id", "entity_type", "text", "page", "box", "ends"]
+    read = F.array_join(F.transform(F.array_sort(F.collect_list("word")), lambda x: x.w), "").alias("body")
+    local = box_join(near.select(*key, "reach"), w, ["doc_id", "page"], "reach", "word_box").groupBy(*key).agg(read)
+    whole = w.groupBy("doc_id", "page").agg(read).join(e.filter(placed & F.col("turned")).select(*key), ["doc_id", "page"])
+    paged = local.select(*out[:3], "ends", "body").union(whole.select(*out[:3], "ends", "body"))
+    left = F.filter("ends", lambda s: F.contains(F.col("body"), s.end))
+    return found.select(*out).union(paged.select(*out[:3], F.explode(left).alias("s")).select(*out[:3], "s.side"))
 
 
 def uncertain_pages(stats: DataFrame) -> DataFrame:
@@ -83,36 +204,9 @@ def releasable(jobs: DataFrame) -> DataFrame:
     return jobs.filter((F.col("status") == "COMPLETED") & (F.col("safety_status") == "VERIFIED") & F.startswith("result_key", F.lit("redacted/")))
 
 
-def visual_candidates(texts: DataFrame) -> DataFrame:
-    """(doc_id, leak_type, window): windows of the dense text that a reader could take for a tax or citizen number."""
-    d = texts.filter(F.col("text").isNotNull()).select("doc_id", F.upper(F.regexp_replace("text", r"\s+", "")).alias("d"))
-
-    def windows(kind: str, shape: str, most: int) -> Column:
-        n = len(shape)
-
-        def cut(i: Column) -> Column:
-            piece = F.substr("d", i, F.lit(n))
-            return F.struct(F.lit(kind).alias("leak_type"), i.alias("i"), piece.alias("window"), V.char_shape(piece).alias("shape"))
-
-        def fits(w: Column) -> Column:
-            # Places at which the window is no letter or digit of the shape.
-            wrong = F.size(F.filter(F.split(F.lit(shape), ""), lambda x, i: F.substr(w.shape, i + 1, F.lit(1)) != x))
-            good = ~F.contains(w.shape, F.lit("?")) & (wrong <= most)
-            if kind != "PAN_NUMBER":
-                return good
-            return good & ~V.in_compound(F.substr("d", F.greatest(w.i - 3, F.lit(1)), F.least(w.i - 1, F.lit(3))), F.substr("d", w.i + n, F.lit(3)))
-
-        places = F.when(F.length("d") >= n, F.sequence(F.lit(1), F.length("d") - (n - 1))).otherwise(F.array().cast("array<int>"))
-        return F.filter(F.transform(places, cut), fits)
-
-    every = [windows("PAN_NUMBER", "LLLLLDDDDL", 1), windows("AADHAAR_NUMBER", "D" * 12, 2)]
-    rows = d.select("doc_id", F.explode(F.flatten(F.array(*every))).alias("w")).select("doc_id", "w.leak_type", "w.window")
-    return rows.filter(F.rlike("window", F.lit("^[A-Z0-9]+$")))
-
-
 def leak_verdict(redacted: DataFrame, entities: DataFrame) -> DataFrame:
     """All checks of texts: residual patterns, dense ones and fragments of known entities."""
-    return residual_patterns(redacted).unionByName(dense_leaks(redacted)).unionByName(fragments(entities, redacted).withColumnRenamed("entity_type", "leak_type"))
+    return residual_patterns(redacted).unionByName(dense_leaks(redacted)).unionByName(fragments(entities, redacted).select("doc_id", F.col("entity_type").alias("leak_type"), "text"))
 
 
 def residual_value(body: Column, value: Column) -> Column:
@@ -145,7 +239,8 @@ def geometry_leaks(entities: DataFrame, words: DataFrame) -> DataFrame:
         "left": level & (c.x0 < b.x0) & (c.x1 > F.greatest(b.x0 - reach, F.lit(0.0))),
     }
     near = level & (c.x0 < b.x1 + reach) & (c.x1 > b.x0 - reach)
-    met = e.join(w, ["doc_id", "page"]).filter(near | places["inside"])
+    grown = e.withColumn("reach", F.struct((b.x0 - reach).alias("x0"), (b.y0 - 2).alias("y0"), (b.x1 + reach).alias("x1"), (b.y1 + 2).alias("y1")))
+    met = box_join(grown, w, ["doc_id", "page"], "reach", "wb").filter(near | places["inside"])
     read = [F.array_join(F.array_sort(F.collect_list(F.when(there, F.struct("ord", "w")))).getField("w"), "").alias(name) for name, there in places.items()]
     texts = met.groupBy("doc_id", "page", "start").agg(*read)
     rows = e.join(texts, ["doc_id", "page", "start"], "left").na.fill("", list(places))

@@ -70,3 +70,27 @@ TABLES_SQL = """
     SELECT c_custkey // 4 AS doc_id, 'Staff list' || chr(10) || 'Name | Mobile | Account | Status' || chr(10) || string_agg('Ann Lee | '
         || lpad(CAST(c_custkey * 7919 % 1000000000 + 6000000000 AS VARCHAR), 10, '0') || ' | ' || CAST(c_custkey * 10 + 100000000 AS VARCHAR) || ' | paid', chr(10) ORDER BY c_custkey) AS text
     FROM customer GROUP BY 1"""
+
+
+def _leftovers(div: str) -> str:
+    """SQL of a text that still shows a tax or citizen number in part or in full, or something like one; from k, pan and uid."""
+    part = lambda x, a, n: f"substr({x}, {a}, {n})"
+    spaced = " || ' ' || ".join(part("pan", i, 1) for i in range(1, 11))
+    cases = [
+        "'Holder: ' || pan || ' kept'", "'Part PART--' || pan || ' in stock'", f"'Ref: -' || {part('pan', 1, 5)} || ' ' || {part('pan', 6, 5)} || '-'", "'id X' || pan || ' or ' || pan || '9'",
+        f"'got ' || {part('pan', 1, 5)} || 'O' || {part('pan', 7, 4)}", f"'income ' || {part('pan', 1, 5)} || ' O' || {part('pan', 7, 4)}", f"'say ' || {part('pan', 1, 5)} || ' O' || {part('pan', 7, 4)}", f"'as - ' || {spaced} || ' -'",
+        f"'num ' || {part('uid', 1, 4)} || ' ' || {part('uid', 5, 4)} || ' ' || {part('uid', 9, 4)}", "'num ' || uid || '345'", f"'uid 1' || {part('uid', 2, 11)} || ' and 1' || {part('uid', 2, 10)} || '7'",
+        f"'x O' || {part('uid', 2, 3)} || ' ' || {part('uid', 5, 4)} || ' ' || {part('uid', 9, 3)} || 'l'", f"'spread ' || {part('uid', 1, 3)} || ' ' || {part('uid', 4, 3)} || '  ' || {part('uid', 7, 2)} || ' ' || {part('uid', 9, 4)}",
+    ]
+    return "CASE " + " ".join(f"WHEN k % {len(cases)} = {i} THEN {c}" for i, c in enumerate(cases)) + " END"
+
+
+def leftovers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, text) for each customer."""
+    uid = F.lpad((200000000000 + F.col("doc_id") * 7919 * 104729 % 700000000000).cast("string"), 12, "0")
+    rows = carriers(spark, sf_dir).select(F.col("doc_id").alias("k"), F.regexp_extract("text", "[A-Z]{5}[0-9]{4}[A-Z]", 0).alias("pan"), uid.alias("uid"))
+    return rows.select(F.col("k").alias("doc_id"), F.expr(_leftovers("div")).alias("text"))
+
+
+LEFTOVERS_SQL = f"""SELECT k AS doc_id, {_leftovers('//')} AS text
+    FROM (SELECT doc_id AS k, regexp_extract(text, '[A-Z]{{5}}[0-9]{{4}}[A-Z]') AS pan, lpad(CAST(200000000000 + doc_id * 7919 * 104729 % 700000000000 AS VARCHAR), 12, '0') AS uid FROM ({CARRIER_SQL}))"""

@@ -471,14 +471,49 @@ def k07(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verify.verdict(docs, k04(spark, sf_dir), none).select("doc_id", "n_leaks", "status")
 
 
-@query("k05_dense_leaks")
-def k05(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return verify.dense_leaks(C.carriers(spark, sf_dir).withColumn("text", F.regexp_replace("text", r"(?<=[A-Z])(?=[0-9])", " ")))
+# Windows of the text's characters without white space: where they begin and end in it.
+_COMPOUND = r"(regexp_matches(text[:a - 1], '[A-Za-z0-9]-*$') OR regexp_matches(text[b + 1:], '^-*[A-Za-z0-9]'))"
+_WINDOWS = f"""SELECT doc_id, text, n, ats[i] AS a, ats[i + n - 1] AS b, list_aggregate(list_transform(ats[i:i + n - 1], lambda x: text[x]), 'string_agg', '') AS w
+    FROM (SELECT *, unnest(range(1, len(ats) - n + 2)) AS i FROM (SELECT doc_id, text, list_filter(range(1, length(text) + 1), lambda j: NOT regexp_matches(text[j], '\\s')) AS ats FROM ({C.LEFTOVERS_SQL})), (VALUES (10), (12)) v(n))"""
 
 
-@query("k06_fragments")
+@query(
+    "k05_dense_leaks",
+    f"""SELECT doc_id, CASE n WHEN 10 THEN 'PAN_NUMBER' ELSE 'AADHAAR_NUMBER' END AS leak_type, text[a:b] AS text FROM ({_WINDOWS})
+    WHERE b - a + 1 > n + 2 AND CASE n WHEN 10 THEN regexp_matches(w, '^[A-Za-z]{{5}}[0-9]{{4}}[A-Za-z]$') AND NOT {_COMPOUND} ELSE regexp_matches(w, '^[0-9]{{12}}$') END""",
+)
+def k05(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return verify.dense_leaks(C.leftovers(spark, sf_dir))
+
+
+def _paged(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Entities, words and pages for each customer: ends that stand near the box, far off, in pieces, or on a turned page."""
+    k = F.col("doc_id")
+    c = C.carriers(spark, sf_dir).select("doc_id", F.regexp_extract("text", "[A-Z]{5}[0-9]{4}[A-Z]", 0).alias("v"))
+    box = lambda x, y: F.struct(F.lit(x).cast("double").alias("x0"), F.lit(y).cast("double").alias("y0"), F.lit(x + 60).cast("double").alias("x1"), F.lit(y + 10).cast("double").alias("y1"))
+    where = F.when(k % 7 == 3, None).otherwise(box(200, 100))
+    found = c.select("doc_id", F.lit("PAN_NUMBER").alias("entity_type"), F.concat(F.left("v", F.lit(5)), F.lit(" "), F.substring("v", 6, 5)).alias("text"), F.when(k % 7 == 6, "rejected").otherwise("accepted").alias("status"), F.lit(1).alias("page"), where.alias("box"))
+    lead, trail = F.left("v", F.lit(4)), F.right("v", F.lit(4))
+    far = F.struct(F.lit(0).alias("ord"), F.concat(lead, F.lit("--")).alias("text"), box(200, 500).alias("box"))
+    near = F.struct(F.lit(1).alias("ord"), F.concat(F.lit("("), lead).alias("text"), box(120, 108).alias("box"))
+    pieces = [F.struct(F.lit(2).alias("ord"), F.left(trail, F.lit(2)).alias("text"), box(270, 100).alias("box")), F.struct(F.lit(3).alias("ord"), F.right(trail, F.lit(2)).alias("text"), box(335, 100).alias("box"))]
+    words = c.select("doc_id", F.lit(1).alias("page"), F.explode(F.when(k % 7 == 1, F.array(far, near)).when(k % 7 == 2, F.array(*pieces)).otherwise(F.array(far))).alias("w")).select("doc_id", "page", "w.*")
+    pages = c.select("doc_id", F.lit(1).alias("page"), F.when(k % 7 == 4, 90).otherwise(0).alias("rotation"))
+    return found, words, pages
+
+
+@query(
+    "k06_fragments",
+    rf"""WITH c AS (SELECT doc_id, doc_id % 7 AS m, regexp_extract(text, '[A-Z]{{5}}[0-9]{{4}}[A-Z]') AS v FROM ({C.CARRIER_SQL})),
+    w AS (SELECT doc_id, 0 AS ord, v[1:4] || '--' AS t, 200 AS x, 500 AS y FROM c WHERE m <> 2 UNION ALL SELECT doc_id, 1, '(' || v[1:4], 120, 108 FROM c WHERE m = 1
+        UNION ALL SELECT doc_id, 2, v[7:8], 270, 100 FROM c WHERE m = 2 UNION ALL SELECT doc_id, 3, v[9:10], 335, 100 FROM c WHERE m = 2),
+    e AS (SELECT *, v[1:5] || ' ' || v[6:] AS text FROM c WHERE m <> 6),
+    b AS (SELECT e.doc_id, string_agg(w.t, '' ORDER BY ord) AS body FROM e JOIN w ON e.doc_id = w.doc_id AND (m = 4 OR (m <> 3 AND x < 260 + 100 AND x + 60 > 200 - 100 AND y < 110 + 15 AND y + 10 > 100 - 15)) GROUP BY e.doc_id
+        UNION ALL SELECT e.doc_id, regexp_replace(d.text, '\s', '', 'g') FROM e JOIN ({C.CARRIER_SQL}) d USING (doc_id) WHERE m = 3)
+    SELECT doc_id, 'PAN_NUMBER' AS entity_type, text, side FROM e JOIN b USING (doc_id), (VALUES ('leading'), ('trailing')) s(side) WHERE contains(body, CASE side WHEN 'leading' THEN v[1:4] ELSE v[7:10] END)""",
+)
 def k06(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return verify.fragments(entities(spark, sf_dir), _redacted(spark, sf_dir))
+    return verify.fragments(_paged(spark, sf_dir)[0], C.carriers(spark, sf_dir), *_paged(spark, sf_dir)[1:])
 
 
 @query("k01_uncertain_pages", """SELECT page_id, CASE WHEN native > 0 OR ink <= 0 THEN NULL WHEN alnum = 0 THEN 'unreadable' WHEN alnum <= 3 THEN 'almost_unreadable' WHEN conf < 45 AND chars < 50 THEN 'low_confidence' WHEN alnum / greatest(chars, 1) < 0.25 THEN 'garbled' END AS reason
@@ -488,9 +523,22 @@ def k01(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verify.uncertain_pages(stats).select("page_id", "reason")
 
 
-@query("k03_visual_windows")
+_PAN_ERRORS = r"length(regexp_replace(w[1:5] || w[10], '[A-Za-z]', '', 'g')) + length(regexp_replace(w[6:9], '[0-9]', '', 'g'))"
+_BLANKS = "length(text[a:b]) - length(replace(text[a:b], ' ', ''))"
+_NEAR = lambda words: rf"regexp_matches(lower(text[greatest(a - 120, 1):b + 120]), '(^|[^a-z0-9_])({'|'.join(words)})($|[^a-z0-9_])')"
+
+
+@query(
+    "k03_visual_windows",
+    rf"""SELECT doc_id, CASE n WHEN 10 THEN 'PAN_NUMBER' ELSE 'AADHAAR_NUMBER' END AS leak_type, w AS "window" FROM ({_WINDOWS})
+    WHERE b - a + 1 <= 3 * n AND CASE n
+        WHEN 10 THEN regexp_matches(w, '^[A-Za-z{verify.FOR_LETTERS}]{{5}}[0-9{verify.FOR_DIGITS}]{{4}}[A-Za-z{verify.FOR_LETTERS}]$') AND NOT {_COMPOUND} AND length(regexp_replace(w, '[^A-Z]', '', 'g')) >= 2
+            AND {_BLANKS} <= 1 AND ({_PAN_ERRORS} = 0 OR ({_PAN_ERRORS} = 1 AND ({_BLANKS} = 0 OR {_NEAR(verify.PAN_CONTEXT)})))
+        ELSE regexp_matches(w, '^[0-9{verify.FOR_DIGITS}]{{12}}$') AND NOT regexp_matches(text[:a - 1], '[0-9]$') AND NOT regexp_matches(text[b + 1:], '^[0-9]') AND {_BLANKS} <= 2
+            AND length(regexp_replace(w, '[0-9]', '', 'g')) <= 2 AND ({_BLANKS} > 0 OR {_NEAR(verify.AADHAAR_CONTEXT)} OR regexp_matches(w, '^[2-9][0-9]+$')) END""",
+)
 def k03(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return verify.visual_candidates(_redacted(spark, sf_dir))
+    return verify.visual_candidates(C.leftovers(spark, sf_dir))
 
 
 @query("k08_releasable", "SELECT o_orderkey AS job_id FROM orders WHERE o_orderkey % 3 = 0 AND o_orderkey % 2 = 0 AND o_orderkey % 5 <> 0")
