@@ -3,8 +3,8 @@
 A shard file is a run of frames and then one line feed.  A frame is the length of its payload (8 bytes), the masked
 checksum of those 8 bytes (4), the payload, and the payload's masked checksum (4); all numbers are little-endian.  The
 first frame tells the shard's place: the mark, the part, the number in its part, and the ids of the part before it.  Every
-other one is a document: 1 or 0 (8 bytes, whether it has a doc_id), the doc_id (8), and its ids (4 each, unsigned).  Parts
-and numbers ascend with the documents.  A checksum is CRC-32, turned right by 15 bits and raised by a fixed number, as one
+other one is a document: 1 or 0 (2 bytes, whether it has a doc_id), the bytes of an id (2), the number of ids (4), the doc_id
+(8), and its ids, unsigned, in 2 bytes each where all are below 65,536, else in 4.  Parts and numbers ascend with the documents.  A checksum is CRC-32, turned right by 15 bits and raised by a fixed number, as one
 of data that hold checksums would be weak.
 """
 
@@ -126,13 +126,23 @@ def _shards(batches: Iterator[pa.RecordBatch], path: str, end: int, most: int) -
                 if frames and size + 4 * len(ids) > most:
                     yield shard()
                     frames, size, number, before, held = [], 0, number + 1, before + held, 0
-                frames.append(frame(struct.pack("<qq", name is not None, name or 0) + np.append(ids, np.uint32(end)).astype("<u4").tobytes()))
+                frames.append(frame(_document(name, np.append(ids, np.uint32(end)))))
                 size += len(frames[-1])
                 held += len(ids) + 1
     if frames:
         yield shard()
 
 
+def _document(name: int | None, ids: np.ndarray) -> bytes:
+    width = 2 if ids.max() < 2**16 else 4
+    return struct.pack("<HHIq", name is not None, width, len(ids), name or 0) + ids.astype(f"<u{width}").tobytes()
+
+
+def _ids_of(body: memoryview) -> bytes:
+    """A document's ids as little-endian unsigned 32-bit numbers."""
+    return np.frombuffer(body[16:], f"<u{struct.unpack_from('<H', body, 2)[0]}").astype("<u4").tobytes()
+
+
 def _place(body: memoryview) -> tuple[int, int, int]:
     if bytes(body[: len(MARK)]) != MARK:
         raise ValueError("no shard of token ids")
@@ -150,9 +160,8 @@ def _read(batches: Iterator[pa.RecordBatch], ids: bool) -> Iterator[pa.RecordBat
                 if not at:
                     part, number, start = _place(body)
                     continue
-                there, name = struct.unpack_from("<qq", body)
-                n = len(body) // 4 - 4
-                rows.append((name if there else None, at, len(body) + 16, start, n, bytes(body[16:]) if ids else None))
+                there, _, n, name = struct.unpack_from("<HHIq", body)
+                rows.append((name if there else None, at, len(body) + 16, start, n, _ids_of(body) if ids else None))
                 start += n
             names, offsets, lengths, starts, counts, values = zip(*rows, strict=True) if rows else ((),) * 6
             columns = [pa.array([x] * len(rows), pa.int64()) for x in (part, number)] + [pa.array(x, pa.int64()) for x in (names, offsets, lengths, starts, counts)]
@@ -168,7 +177,7 @@ def _picked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for pick in row:
                 a = pick["offset"]
                 ((_, body),) = payloads(bytes(data[a : a + pick["length"]]) + b"\n")
-                out.append((pick["place"], pick["doc_id"], pick["start"], pick["n_tokens"], bytes(body[16:])))
+                out.append((pick["place"], pick["doc_id"], pick["start"], pick["n_tokens"], _ids_of(body)))
             names, kinds = ["place", "doc_id", "start", "n_tokens", "ids"], [*[pa.int64()] * 4, pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True) if out else ((),) * 5, kinds, strict=True)], names)
 
