@@ -12,11 +12,13 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import struct
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache, partial
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -24,15 +26,17 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm.bpe import _check
+from palimpsest.llm.bpe import _byte_letters, _check
 
 MARK = b"palimpsest ids 1"
-#: Bytes of a shard, about: a file is held by one task whole.  A longer document has one of its own.
+#: Bytes of a shard, about: a task holds a file whole, some times over, so executors of much memory may take larger ones.
+#: A longer document has one of its own.
 SHARD = 32 << 20
 #: Added to turned checksums (fixed value, that of public record formats of this kind).
 _RAISE = 0xA282EAD8
 #: Words whose ids a worker remembers, about.
-_WORDS = 400_000
+_WORDS = 600_000
+_STOPS = ".,;:!?"
 #: Texts that are encoded together.
 _CHUNK = 256
 _INDEX = "part long, number long, doc_id long, offset long, length long, start_in_part long, n_tokens long"
@@ -66,40 +70,108 @@ def payloads(data: bytes | memoryview, checked: bool = True) -> Iterator[tuple[i
         raise ValueError("a shard without its end")
 
 
+class _Numbers(dict):
+    """Numbers of words in the order in which they are first asked for."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self)
+        return n
+
+
 class _Encoder:
     """Whole texts by the tokenizers library, each distinct word between ASCII white space once: the tokenizer of such a
-    file drops white space, and nothing that it does reaches over it."""
+    file lowers letters and drops white space, and nothing that it does reaches over it."""
 
     def __init__(self, path: str) -> None:
         with open(path, encoding="utf-8") as f:
-            _check(json.load(f))
+            told = json.load(f)
+        _check(told)
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks share the cores
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.number: dict[bytes, int] = {}
+        self.model = self.tokenizer.model
+        self.stops = {c: self.tokenizer.encode(c, add_special_tokens=False).ids for c in _STOPS}
+        suffix, vocab = told["model"]["end_of_word_suffix"], self.tokenizer.get_vocab()
+        self.ends_word = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends_word[[i for t, i in vocab.items() if t.endswith(suffix)]] = True
+        # Words of letters that normalising leaves alone; none below this code point is put together with another one.
+        letters = [c for c in map(chr, range(0x1100)) if c.isalpha() and self.tokenizer.normalizer.normalize_str(c) == c]
+        self.steady = re.compile(f"[{''.join(letters)}]+[{_STOPS}]?")
+        self.byte_letter = dict(enumerate(_byte_letters()))
+        self.number = _Numbers()
         self.ids, self.first = np.empty(0, np.uint32), np.zeros(1, np.int64)
 
-    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
+    def _forget(self) -> None:
+        """All words but the first, among which are the common ones."""
+        keep = min(len(self.number), _WORDS // 2)
+        self.number = _Numbers(zip(islice(self.number, keep), range(keep), strict=True))
+        self.ids, self.first = self.ids[: self.first[keep]].copy(), self.first[: keep + 1].copy()
+
+    def _words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of words, end to end, and how many each has."""
+        got = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        return np.array([i for g in got for i in g], np.uint32), np.array([len(g) for g in got], np.int64)
+
+    def _simple(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same for words that ``steady`` fits: as normalising leaves them as they are and they are cut at the stop
+        alone, the library's model gets the letters of their bytes."""
+        ids, count = [], []
+        for w in words:
+            stop = self.stops.get(w[-1])
+            w = w if stop is None else w[:-1]
+            own = [t.id for t in self.model.tokenize(w if w.isascii() else w.encode().decode("latin-1").translate(self.byte_letter))]
+            if stop is not None:
+                own += stop
+            ids += own
+            count.append(len(own))
+        return np.array(ids, np.uint32), np.array(count, np.int64)
+
+    def _plain(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same for words of letters, with a stop behind or without, which the library gets in lines: it cuts them into
+        one or two parts at least, so that each has just these where there are as many ends of parts as expected."""
+        parts = np.fromiter((1 if w.isalpha() else 2 for w in words), np.int64, len(words))
+        got = [e.ids for e in self.tokenizer.encode_batch_fast([" ".join(words[i : i + 64]) for i in range(0, len(words), 64)], add_special_tokens=False)]
+        ids = np.array([i for g in got for i in g], np.uint32)
+        ends = np.flatnonzero(self.ends_word[ids])
+        if len(ends) != parts.sum():
+            return self._words(words)
+        return ids, np.diff(ends[np.cumsum(parts) - 1], prepend=-1)
+
+    def _learn(self, new: list[str]) -> None:
+        kinds: tuple[list[int], ...] = ([], [], [])
+        for i, w in enumerate(new):
+            letters = w.isalpha() or (w[-1] in _STOPS and w[:-1].isalpha())
+            kinds[0 if self.steady.fullmatch(w) else 1 if letters else 2].append(i)
+        told = [(np.array(at, np.int64), *f([new[i] for i in at])) for f, at in zip((self._simple, self._plain, self._words), kinds, strict=True)]
+        count = np.zeros(len(new), np.int64)
+        for at, _, n in told:
+            count[at] = n
+        first = np.cumsum(count) - count
+        ids = np.empty(count.sum(), np.uint32)
+        for at, own, n in told:
+            ids[np.arange(len(own)) + np.repeat(first[at] - np.cumsum(n) + n, n)] = own
+        self.first = np.concatenate([self.first, self.first[-1] + first + count])
+        self.ids = np.concatenate([self.ids, ids])
+
+    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the texts, end to end, and where each one's begin."""
         if len(self.number) > _WORDS:
-            self.number, self.ids, self.first = {}, np.empty(0, np.uint32), np.zeros(1, np.int64)
-        words = [(t or "").encode().split() for t in texts]
-        new = dict.fromkeys(w for ws in words for w in ws if w not in self.number)
-        if new:
-            got = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)]
-            self.number.update(zip(new, range(len(self.number), len(self.number) + len(new)), strict=True))
-            self.ids = np.concatenate([self.ids, np.array([i for g in got for i in g], np.uint32)])
-            self.first = np.concatenate([self.first, self.first[-1] + np.cumsum([len(g) for g in got])])
-        out = []
-        for ws in words:
-            word = np.fromiter(map(self.number.__getitem__, ws), np.int64, len(ws))
-            count = self.first[word + 1] - self.first[word]
-            ends = np.cumsum(count)
-            total = int(ends[-1]) if len(ws) else 0
-            out.append(self.ids[np.arange(total) + np.repeat(self.first[word] - ends + count, count)])
-        return out
+            self._forget()
+        known = len(self.number)
+        raw = [(t or "").encode() for t in texts]
+        # Special tokens are told by their case; in other texts capitals of the alphabet need not make words distinct.
+        words = [(t if b"<|" in t else t.lower()).split() for t in raw]
+        sizes = [len(ws) for ws in words]
+        word = np.fromiter(map(self.number.__getitem__, chain.from_iterable(words)), np.int64, sum(sizes))
+        if len(self.number) > known:
+            self._learn([w.decode() for w in islice(self.number, known, None)])
+        count = self.first[word + 1] - self.first[word]
+        ends = np.concatenate([[0], np.cumsum(count)])
+        ids = self.ids[np.arange(ends[-1]) + np.repeat(self.first[word] - ends[:-1], count)]
+        return ids, ends[np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])]
 
 
 @lru_cache(2)
@@ -121,14 +193,16 @@ def _shards(batches: Iterator[pa.RecordBatch], path: str, end: int, most: int) -
     for batch in batches:
         for i in range(0, len(batch), _CHUNK):
             some = batch.slice(i, _CHUNK)
-            names = some.column("doc_id").to_pylist()
-            for name, ids in zip(names, encoder.encode(some.column("text").to_pylist()), strict=True):
-                if frames and size + 4 * len(ids) > most:
+            ids, first = encoder.encode(some.column("text").to_pylist())
+            ids = np.insert(ids, first[1:], end)
+            first = first + np.arange(len(first))
+            for name, a, b in zip(some.column("doc_id").to_pylist(), first.tolist(), first[1:].tolist(), strict=False):
+                if frames and size + 2 * (b - a) > most:
                     yield shard()
                     frames, size, number, before, held = [], 0, number + 1, before + held, 0
-                frames.append(frame(_document(name, np.append(ids, np.uint32(end)))))
+                frames.append(frame(_document(name, ids[a:b])))
                 size += len(frames[-1])
-                held += len(ids) + 1
+                held += b - a
     if frames:
         yield shard()
 
@@ -161,11 +235,18 @@ def _read(batches: Iterator[pa.RecordBatch], ids: bool) -> Iterator[pa.RecordBat
                     part, number, start = _place(body)
                     continue
                 there, _, n, name = struct.unpack_from("<HHIq", body)
-                rows.append((name if there else None, at, len(body) + 16, start, n, _ids_of(body) if ids else None))
+                rows.append((part, number, name if there else None, at, len(body) + 16, start, n, *[_ids_of(body)] * ids))
                 start += n
-            names, offsets, lengths, starts, counts, values = zip(*rows, strict=True) if rows else ((),) * 6
-            columns = [pa.array([x] * len(rows), pa.int64()) for x in (part, number)] + [pa.array(x, pa.int64()) for x in (names, offsets, lengths, starts, counts)]
-            yield pa.RecordBatch.from_arrays([*columns, *[pa.array(values, pa.binary())] * ids], ["part", "number", "doc_id", "offset", "length", "start_in_part", "n_tokens", *["ids"] * ids])
+                if len(rows) == _CHUNK:
+                    yield _rows(rows)
+                    rows = []
+            if rows:
+                yield _rows(rows)
+
+
+def _rows(rows: list[tuple]) -> pa.RecordBatch:
+    names = [*(f.split()[0] for f in _INDEX.split(", ")), "ids"][: len(rows[0])]
+    return pa.RecordBatch.from_arrays([pa.array(x, pa.binary() if c == "ids" else pa.int64()) for c, x in zip(names, zip(*rows, strict=True), strict=True)], names)
 
 
 def _picked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
