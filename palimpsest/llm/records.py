@@ -31,11 +31,11 @@ from palimpsest.llm.bpe import _byte_letters, _check
 MARK = b"palimpsest ids 1"
 #: Bytes of a shard, about: a task holds a file whole, some times over, so executors of much memory may take larger ones.
 #: A longer document has one of its own.
-SHARD = 32 << 20
+SHARD = 8 << 20
 #: Added to turned checksums (fixed value, that of public record formats of this kind).
 _RAISE = 0xA282EAD8
 #: Words whose ids a worker remembers, about.
-_WORDS = 600_000
+_WORDS = 300_000
 _STOPS = ".,;:!?"
 #: Texts that are encoded together.
 _CHUNK = 256
