@@ -219,8 +219,13 @@ def numbered(docs: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, slots: int = SLOTS, bands: int = BANDS) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for every row of ``docs`` (doc_id long, text string)."""
-    return near_duplicate_rows(numbered(docs.select("doc_id", "text")), k, percent, slots, bands).drop("row")
+    """(doc_id, n_shingles, component_id, kept) for every row of ``docs`` (doc_id long, text string); other columns are not read.
+
+    ``kept`` says that a row's id is its component's, so of rows that share an id all are or none; ``near_duplicate_rows``
+    tells which one row of a component stays.
+    """
+    rows = near_duplicate_rows(numbered(docs.select("doc_id", "text")), k, percent, slots, bands)
+    return rows.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def near_duplicate_rows(table: DataFrame, k: int = 5, percent: int = 80, slots: int = SLOTS, bands: int = BANDS) -> DataFrame:
