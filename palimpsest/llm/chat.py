@@ -30,6 +30,23 @@ def _starts(df: DataFrame, lengths: str, name: str) -> DataFrame:
     return df.withColumn(name, whole).drop("_inner", "_outer")
 
 
+def _merged(df: DataFrame, turns: str, name: str) -> DataFrame:
+    """``df`` with ``name``: the blocks (role, texts) of the array column ``turns``, whose neighbours of one role are folded
+    into one; in stretches first, so that a long conversation's fold does not copy all blocks at each turn."""
+    kind = "array<struct<role:string,texts:array<string>>>"
+
+    def joined(acc: Column, blocks: Column) -> Column:
+        last, first = F.element_at(acc, -1), F.get(blocks, F.lit(0))
+        both = F.struct(last.role.alias("role"), F.concat(last.texts, first.texts).alias("texts"))
+        grown = F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(both), F.slice(blocks, F.lit(2), F.size(blocks)))
+        return F.when((F.size(acc) > 0) & (last.role == first.role), grown).otherwise(F.concat(acc, blocks))
+
+    none = F.array().cast(kind)
+    stretches = F.transform(F.sequence(F.lit(0), F.expr(f"(size({turns}) - 1) div {STRETCH}")), lambda c: F.slice(turns, c * STRETCH + 1, STRETCH))
+    df = df.withColumn("_folded", F.transform(stretches, lambda s: F.aggregate(s, none, lambda acc, t: joined(acc, F.array(t)))))
+    return df.withColumn(name, F.aggregate("_folded", none, joined)).drop("_folded")
+
+
 def format_chats(turns: DataFrame, loss_role: str = "assistant") -> DataFrame:
     """(conv_id, formatted, loss): each conversation of ``turns`` (conv_id, turn, role, text) as one string.
 
@@ -44,10 +61,11 @@ def format_chats(turns: DataFrame, loss_role: str = "assistant") -> DataFrame:
     """
     struct = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     chats = turns.groupBy("conv_id").agg(F.sort_array(F.collect_list(struct)).alias("turns"))
-    chats = chats.withColumn("roles", F.transform("turns", lambda t: t.role)).withColumn("bodies", F.transform("turns", lambda t: escape(t.text)))
-    head = lambda r, i: F.when((i > 0) & (F.get("roles", i - 1) == r), F.lit(SEPARATOR)).otherwise(F.concat(F.lit(START), F.url_encode(r), F.lit("\n")))
-    tail = lambda r, i: F.when((i + 1 < F.size("roles")) & (F.get("roles", i + 1) == r), F.lit("")).otherwise(F.lit(f"{END}\n"))
-    chats = chats.withColumn("heads", F.transform("roles", head)).withColumn("tails", F.transform("roles", tail))
+    chats = _merged(chats.withColumn("turns", F.transform("turns", lambda t: F.struct(t.role.alias("role"), F.array(escape(t.text)).alias("texts")))), "turns", "blocks")
+    texts = lambda f: F.flatten(F.transform("blocks", lambda b: F.transform(b.texts, lambda t, i: f(b, t, i))))
+    head = lambda b, t, i: F.when(i > 0, F.lit(SEPARATOR)).otherwise(F.concat(F.lit(START), F.url_encode(b.role), F.lit("\n")))
+    tail = lambda b, t, i: F.when(i + 1 < F.size(b.texts), F.lit("")).otherwise(F.lit(f"{END}\n"))
+    chats = chats.withColumns({"roles": texts(lambda b, t, i: b.role), "bodies": texts(lambda b, t, i: t), "heads": texts(head), "tails": texts(tail)})
     chats = chats.withColumn("pieces", F.zip_with(F.zip_with("heads", "bodies", lambda a, b: F.concat(a, b)), "tails", lambda a, b: F.concat(a, b)))
     chats = chats.withColumn("lengths", F.transform("pieces", lambda p: F.length(p).cast("long")))
     chats = _starts(chats, "lengths", "starts")
