@@ -78,3 +78,75 @@ def matched(rows: DataFrame, text: str, pattern: str, before: int, after: int) -
 
     places = F.filter(F.sequence(F.lit(2), F.size("_p._pieces") - 1), lambda i: i % 2 == 0)
     return cut.select(*rest, F.explode(F.transform(places, seen)).alias("_m")).select(*rest, "_m.*")
+
+
+def stage(df: DataFrame, kept: list[str], **new: Column) -> DataFrame:
+    """The columns ``kept`` and ``new`` ones, worked out once for each row: an array of one, exploded, keeps Spark from
+    writing their expressions into every place that names them, which lambdas would then work out for each element."""
+    return df.select(*kept, F.explode(F.array(F.struct(*(c.alias(n) for n, c in new.items())))).alias("_s")).select(*kept, "_s.*")
+
+
+#: What a text must hold for patterns that need a digit.
+DIGIT = r"\p{Nd}"
+#: Entries whose sums are run one by one before sums of such stretches are.
+STRETCH = 256
+
+
+def _running(xs: Column) -> Column:
+    """The sum before each entry, and that of all."""
+    return F.aggregate(xs, F.array(F.lit(0)), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x)))
+
+
+def scanned(docs: DataFrame, heads: list[Column], patterns: list[tuple[str, int, str | None, str | None]], width: int) -> DataFrame:
+    """(doc_id, head, start, end, value, before, after) of all matches of all patterns in ``docs`` (doc_id, text).
+
+    A pattern is (regular expression, the group that is the span, what the span must look like or None, what a text must
+    hold to be searched, ``DIGIT``, a string or None); ``heads`` are structs that its matches carry.  ``before`` and ``after`` hold up to ``width`` characters beside the span.  A group is
+    looked for in its match, the last time it occurs.  Three control characters read as blanks.
+
+    Texts are read once.  Each pattern marks its matches in one pass; offsets are running sums over the pieces, in
+    stretches, and surroundings are cut from neighbouring pieces, so that no step takes the text once for each match and
+    no match carries the text.
+    """
+    clean = F.translate("text", _OPEN + _GROUP + _CLOSE, "   ")
+    rows = stage(docs.filter("text is not null").select("doc_id", "text"), ["doc_id"], clean=clean, digit=F.rlike("text", F.lit(DIGIT)))
+    every = []
+    for head, (p, group, keep, needs) in zip(heads, patterns, strict=True):
+        marked = F.regexp_replace("clean", F.lit(p), F.lit(f"{_OPEN}$0{_GROUP}${group}{_CLOSE}"))
+        marked = marked if needs is None else F.when(F.col("digit") if needs == DIGIT else F.contains("clean", F.lit(needs)), marked)
+        every.append(F.struct(head.alias("head"), F.lit(keep).cast("string").alias("keep"), marked.alias("marked")))
+    rows = rows.select("doc_id", F.explode(F.filter(F.array(*every), lambda m: F.contains(m.marked, F.lit(_OPEN)))).alias("m"))
+    rows = stage(rows, ["doc_id", "m"], pieces=F.split("m.marked", f"[{_OPEN}{_GROUP}{_CLOSE}]", -1)).select("doc_id", "m.head", "m.keep", "pieces")
+    key = ["doc_id", "head", "keep"]
+    # What stands outside matches and the matches by turns, and the groups.
+    rows = stage(rows, key, plain=F.filter("pieces", lambda p, i: i % 3 != 2), groups=F.filter("pieces", lambda p, i: i % 3 == 2))
+    rows = stage(rows, [*key, "plain", "groups"], sizes=F.transform("plain", F.length))
+    stretches = F.transform(F.sequence(F.lit(0), F.expr(f"(size(sizes) - 1) div {STRETCH}")), lambda c: F.slice("sizes", c * STRETCH + 1, STRETCH))
+    rows = stage(rows, [*key, "plain", "groups"], inner=F.transform(stretches, _running))
+    rows = stage(rows, [*key, "plain", "groups", "inner"], outer=_running(F.transform("inner", lambda xs: F.element_at(xs, -1))))
+    starts = F.flatten(F.transform("inner", lambda xs, c: F.transform(F.slice(xs, 1, F.size(xs) - 1), lambda x: x + F.get("outer", c))))
+    rows = stage(rows, [*key, "plain", "groups"], starts=starts)
+
+    def match(m: Column) -> Column:
+        whole, value = F.get("plain", 2 * m - 1), F.get("groups", m - 1)
+        at = F.get("starts", 2 * m - 1) + F.length(whole) - F.length(F.call_function("substring_index", whole, value, F.lit(-1))) - F.length(value)
+        return F.struct(m.alias("m"), at.alias("start"), value.alias("value"))
+
+    good = lambda x: (x.value != "") & F.coalesce(F.rlike(x.value, F.col("keep")), F.lit(True))
+    rows = stage(rows, ["doc_id", "head", "plain", "starts"], found=F.filter(F.transform(F.sequence(F.lit(1), F.size("groups")), match), good)).filter(F.size("found") > 0)
+    cut = {"tails": F.transform("plain", lambda p: F.right(p, F.lit(width))), "heads": F.transform("plain", lambda p: F.left(p, F.lit(width)))}
+    rows = stage(rows, ["doc_id", "head", "plain", "starts", "found"], **cut)
+    most = 2 * width + 2
+
+    def seen(x: Column) -> Column:
+        i = 2 * x.m - 1  # the match among the pieces, counted from 0
+        whole, lead = F.get("plain", i), x.start - F.get("starts", i)
+        first = F.greatest(i - most, F.lit(0))
+        left, right = F.get("tails", i - 1), F.get("heads", i + 1)
+        left = F.when(F.length(left) < width, F.array_join(F.slice("tails", first + 1, i - first), "")).otherwise(left)
+        right = F.when(F.length(right) < width, F.array_join(F.slice("heads", i + 2, F.lit(most)), "")).otherwise(right)
+        before = F.right(F.concat(F.right(left, F.lit(width)), F.left(whole, lead)), F.lit(width))
+        after = F.left(F.concat(F.substr(whole, lead + F.length(x.value) + 1, F.length(whole)), F.left(right, F.lit(width))), F.lit(width))
+        return F.struct(x.start.alias("start"), (x.start + F.length(x.value)).alias("end"), x.value.alias("value"), before.alias("before"), after.alias("after"))
+
+    return rows.select("doc_id", "head", F.explode(F.transform("found", seen)).alias("f")).select("doc_id", "head", "f.*")

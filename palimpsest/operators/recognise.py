@@ -1,20 +1,22 @@
 """Recognisers: each finds all spans of a kind in all texts and gives rows of the candidate table.
 
-Candidates are (doc_id, start, end, entity_type, text, score, source, type_locked, ord); ``ord`` is the recogniser's
-place in the fixed order of emission, which settles ties later on.
+Candidates are (doc_id, start, end, entity_type, text, score, source, type_locked, ord, before, raw, after); ``ord`` is the
+recogniser's place in the fixed order of emission, which settles ties later on, ``raw`` the text as matched, and ``before``
+and ``after`` what stands beside it.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.functions import text as T
 from palimpsest.functions import validators as V
-from palimpsest.functions.spans import spans
+from palimpsest.functions.spans import DIGIT, scanned
 from palimpsest.operators import tables, vote
 
 LOCK = 0.80
@@ -59,34 +61,37 @@ DATE = "(?i)" + "|".join(f"(?:{p})" for p in DATES)
 
 @dataclass(frozen=True)
 class Rule:
-    """A pattern, the group that is the span, and what a match is worth."""
+    """A pattern, the group that is the span, what a match is worth, what a span must look like as a whole, and what every
+    text with a candidate holds."""
 
     id: str
     entity_type: str
     pattern: str
     score: float
     group: int = 0
+    keep: str | None = None
+    needs: str | None = None
 
 
 #: English patterns in their order (fixed values).
 RULES = [
-    Rule("r01", "AADHAAR_NUMBER", r"\b([0-9OoIiLl]{4}[\s\-]?[0-9OoIiLl]{4}[\s\-]?[0-9OoIiLl]{4})\b", 0.85),
+    Rule("r01", "AADHAAR_NUMBER", r"\b([0-9OoIiLl]{4}[\s\-]?[0-9OoIiLl]{4}[\s\-]?[0-9OoIiLl]{4})\b", 0.85, needs=DIGIT),
     Rule("r02", "PAN_NUMBER", r"\b([A-Z01583]{5}[0-9OoIiLlSsBb]{4}[A-Z01583])\b", 0.95),
-    Rule("r03", "GST_NUMBER", r"\b\d{2}[A-Z]{5}[0-9]{4}[A-Z][1-9A-Z]Z[0-9A-Z]\b", 0.93),
-    Rule("r04", "IFSC_CODE", r"\b([A-Z]{4}0[A-Z0-9]{6})\b", 0.92),
-    Rule("r05", "VOTER_ID", r"\b([A-Z]{3}[0-9]{7})\b", 0.78),
-    Rule("r06", "IN_PASSPORT", r"\b([A-PR-WY][1-9]\d{7})\b", 0.75),
-    Rule("r07", "PHONE_NUMBER", r"(?:(?:\+91|0|[OoIiLl])[\s\n\-]*)?(?:[6-9][0-9OoIiLl]{1,4}[\s\n\-]+[0-9OoIiLl]{1,4}[\s\n\-]+[0-9OoIiLl]{1,4}|[6-9][0-9OoIiLl]{1,4}[\s\n\-]+[0-9OoIiLl]{5,8}|[6-9][0-9OoIiLl]{9})\b", 0.85),
-    Rule("r08", "PHONE_NUMBER", r"\b([6-9][0-9OoIiLl]{9})\b", 0.80),
-    Rule("r09", "EMAIL_ADDRESS", r"\b[a-zA-Z0-9._%+\-]+[\s\n]*@[\s\n]*[a-zA-Z0-9.\-]+\.[a-zA-Z]{2,}\b", 0.98),
-    Rule("r10", "BANK_ACCOUNT", r"\b\d{9,18}\b", 0.60),
-    Rule("r11", "DRIVING_LICENCE", r"\b[A-Z]{2}[\s\-]?\d{2}[\s\-]?\d{4}[\s\-]?\d{7}\b", 0.78),
-    Rule("r12", "IN_VEHICLE_REG", r"\b[A-Z]{2}[\s\-]?\d{1,2}[\s\-][A-Z]{1,3}[\s\-]\d{4}\b", 0.74),
-    Rule("r13", "IP_ADDRESS", r"\b(?:\d{1,3}\.){3}\d{1,3}\b", 0.82),
-    Rule("r14", "URL", r"https?://[^\s\"'<>]+", 0.90),
-    Rule("r15", "CREDIT_CARD", r"\b(?:4[0-9]{12}(?:[0-9]{3})?|5[1-5][0-9]{14}|3[47][0-9]{13}|6(?:011|5[0-9]{2})[0-9]{12})\b", 0.88),
-    Rule("r16", "PIN_CODE", r"\b([1-8]\d{5})\b", 0.70),
-    Rule("r17", "PIN_CODE", r"\b[A-Z][a-zA-Z]{2,20}\s+([1-8]\d{5})\b", 0.88, 1),
+    Rule("r03", "GST_NUMBER", r"\b\d{2}[A-Z]{5}[0-9]{4}[A-Z][1-9A-Z]Z[0-9A-Z]\b", 0.93, needs=DIGIT),
+    Rule("r04", "IFSC_CODE", r"\b([A-Z]{4}0[A-Z0-9]{6})\b", 0.92, needs=DIGIT),
+    Rule("r05", "VOTER_ID", r"\b([A-Z]{3}[0-9]{7})\b", 0.78, needs=DIGIT),
+    Rule("r06", "IN_PASSPORT", r"\b([A-PR-WY][1-9]\d{7})\b", 0.75, needs=DIGIT),
+    Rule("r07", "PHONE_NUMBER", r"(?:(?:\+91|0|[OoIiLl])[\s\n\-]*)?(?:[6-9][0-9OoIiLl]{1,4}[\s\n\-]+[0-9OoIiLl]{1,4}[\s\n\-]+[0-9OoIiLl]{1,4}|[6-9][0-9OoIiLl]{1,4}[\s\n\-]+[0-9OoIiLl]{5,8}|[6-9][0-9OoIiLl]{9})\b", 0.85, needs=DIGIT),
+    Rule("r08", "PHONE_NUMBER", r"\b([6-9][0-9OoIiLl]{9})\b", 0.80, needs=DIGIT),
+    Rule("r09", "EMAIL_ADDRESS", r"\b[a-zA-Z0-9._%+\-]+[\s\n]*@[\s\n]*[a-zA-Z0-9.\-]+\.[a-zA-Z]{2,}\b", 0.98, needs="@"),
+    Rule("r10", "BANK_ACCOUNT", r"\b\d{9,18}\b", 0.60, needs=DIGIT),
+    Rule("r11", "DRIVING_LICENCE", r"\b[A-Z]{2}[\s\-]?\d{2}[\s\-]?\d{4}[\s\-]?\d{7}\b", 0.78, needs=DIGIT),
+    Rule("r12", "IN_VEHICLE_REG", r"\b[A-Z]{2}[\s\-]?\d{1,2}[\s\-][A-Z]{1,3}[\s\-]\d{4}\b", 0.74, needs=DIGIT),
+    Rule("r13", "IP_ADDRESS", r"\b(?:\d{1,3}\.){3}\d{1,3}\b", 0.82, needs=DIGIT),
+    Rule("r14", "URL", r"https?://[^\s\"'<>]+", 0.90, needs="http"),
+    Rule("r15", "CREDIT_CARD", r"\b(?:4[0-9]{12}(?:[0-9]{3})?|5[1-5][0-9]{14}|3[47][0-9]{13}|6(?:011|5[0-9]{2})[0-9]{12})\b", 0.88, needs=DIGIT),
+    Rule("r16", "PIN_CODE", r"\b([1-8]\d{5})\b", 0.70, needs=DIGIT),
+    Rule("r17", "PIN_CODE", r"\b[A-Z][a-zA-Z]{2,20}\s+([1-8]\d{5})\b", 0.88, 1, needs=DIGIT),
 ]
 #: Surnames, titles, labels and months of the Hindi patterns (fixed values).
 _DEVA = r"[ऀ-ॿ]"
@@ -116,28 +121,25 @@ HINDI_RULES = [
 ]
 
 
-def _row(head: list[Column]):  # noqa: ANN202
-    return lambda s: F.struct(*head, s.start.alias("start"), s.end.alias("end"), s.text.alias("value"))
+#: Characters on each side of a span that its surroundings hold, at most.
+WIDTH = 80
 
 
-def _all_spans(docs: DataFrame, rules: list[Rule], text: str = "text", unicode: bool = True) -> DataFrame:
-    """One scan of the texts for all rules: (doc_id, text of the document as body, ord, rule, entity_type, base, start, end, value)."""
-    every = []
-    for i, r in enumerate(rules):
-        pattern = "(?U)" + r.pattern if unicode else r.pattern
-        head = [F.lit(i + 1).alias("ord"), F.lit(r.id).alias("rule"), F.lit(r.entity_type).alias("entity_type"), F.lit(r.score).alias("base")]
-        every.append(F.transform(spans(F.col(text), pattern, r.group), _row(head)))
-    rows = docs.filter(F.col(text).isNotNull()).select("doc_id", F.col(text).alias("body"), F.explode(F.flatten(F.array(*every))).alias("s"))
-    return rows.select("doc_id", "body", "s.*")
+def _all_spans(docs: DataFrame, rules: list[Rule], unicode: bool = True) -> DataFrame:
+    """One scan of the texts for all rules: (doc_id, ord, rule, entity_type, base, start, end, value, raw, before, after)."""
+    heads = [F.struct(F.lit(i).alias("ord"), F.lit(r.id).alias("rule"), F.lit(r.entity_type).alias("entity_type"), F.lit(r.score).alias("base")) for i, r in enumerate(rules, 1)]
+    rows = scanned(docs, heads, [("(?U)" * unicode + r.pattern, r.group, r.keep, r.needs) for r in rules], WIDTH)
+    return rows.select("doc_id", "head.*", "start", "end", "value", F.col("value").alias("raw"), "before", "after")
 
 
-def _gate_open(gates: bool) -> Column:
+def around(width: int) -> Column:
+    """A candidate with up to ``width`` characters on either side."""
+    return F.concat(F.right("before", F.lit(width)), F.col("raw"), F.left("after", F.lit(width)))
+
+
+def _gate_open() -> Column:
     """Whether a candidate's surroundings allow it: contiguous phone and citizen numbers, accounts and postal codes need a word."""
-    if not gates:
-        return F.lit(True)
-    kind, value = F.col("entity_type"), F.col("value")
-    wide = F.lower(T.context(F.col("body"), F.col("start"), F.col("end"), 80))
-    near = T.bounded_context(T.context(F.col("body"), F.col("start"), F.col("end"), 35), value)
+    kind, value, wide, near = F.col("entity_type"), F.col("value"), F.col("wide"), F.col("near")
     near_plain = F.regexp_replace(near, "[^a-z0-9]", "")
     digits = F.regexp_replace(value, "[^0-9]", "")
     bare = F.length(digits).isin(10, 12) & (F.length(digits) == F.length(F.trim(value)))
@@ -151,52 +153,100 @@ def _gate_open(gates: bool) -> Column:
     )
 
 
-def validated(kind: Column, value: Column, base: Column) -> Column:
-    """The base score after the check of the candidate's kind; 0 is no candidate."""
-    return (
-        F.when(kind == "AADHAAR_NUMBER", V.aadhaar_score(value, base))
-        .when(kind == "PAN_NUMBER", V.pan_score(value, base))
-        .when(kind == "DRIVING_LICENCE", V.licence_score(value, base))
-        .when(kind == "IP_ADDRESS", V.ipv4_score(value, base))
-        .when(kind == "CREDIT_CARD", V.card_score(value, base))
-        .when(kind == "PIN_CODE", V.pin_score(value, base))
-        .otherwise(base)
-    )
+#: The checks of kinds that have one.
+CHECKS = {"AADHAAR_NUMBER": V.aadhaar_score, "PAN_NUMBER": V.pan_score, "DRIVING_LICENCE": V.licence_score, "IP_ADDRESS": V.ipv4_score, "CREDIT_CARD": V.card_score, "PIN_CODE": V.pin_score}
+
+
+def validated(kind: Column, value: Column, base: Column, kinds: set[str] | None = None) -> Column:
+    """The base score after the check of the candidate's kind, one of ``kinds``; 0 is no candidate."""
+    out = F.when(F.lit(False), base)
+    for name, check in CHECKS.items():
+        if kinds is None or name in kinds:
+            out = out.when(kind == name, check(value, base))
+    return out.otherwise(base)
 
 
 def _finish(rows: DataFrame, source: str = "regex", locked: Column | None = None) -> DataFrame:
     locked = F.col("score") >= LOCK if locked is None else locked
-    return rows.select("doc_id", "start", "end", "entity_type", F.col("value").alias("text"), "score", F.lit(source).alias("source"), locked.alias("type_locked"), "ord")
+    return rows.select("doc_id", "start", "end", "entity_type", F.col("value").alias("text"), "score", F.lit(source).alias("source"), locked.alias("type_locked"), "ord", "before", "raw", "after")
+
+
+UPI = Rule("r18", "UPI_ID", r"\b[a-zA-Z0-9.\-_]{2,64}@[a-zA-Z]{2,20}\b", 0.72, needs="@")
+BIRTHS = [Rule("r19", "DATE_OF_BIRTH", LABELLED_BIRTH, 0.96, 1, needs=DIGIT), Rule("r19b", "DATE_OF_BIRTH", DATE, 0.78, needs=DIGIT)]
+_BORN = ["r19", "r19b"]
 
 
-def scan_patterns(docs: DataFrame, rules: list[Rule] | None = None, gates: bool = True, unicode: bool = True) -> DataFrame:
+def _judged(docs: DataFrame, rules: list[Rule], unicode: bool = True) -> DataFrame:
+    """Spans of ``rules`` of all kinds in ``docs`` with ``score`` and ``type_locked``; those that are no candidates go.
+
+    Patterns are gated and validated; payment addresses need a known issuer or a short one that is no mail domain; dates
+    are surer after a birth label or near a birth word; of spread codes one of mostly single characters needs a word of
+    its type near it; values with errors count if a repair makes them valid.
+    """
+    rule, kind, value, base = F.col("rule"), F.col("entity_type"), F.col("value"), F.col("base")
+    wide, plain = F.col("wide"), F.col("plain")
+    rows = _all_spans(docs, rules, unicode).withColumn("value", F.when(rule.isin(_BORN), F.trim("value")).otherwise(value))
+    # Columns of their own, as the scores below name them many times.
+    rows = rows.withColumns({"wide": F.lower(around(80)), "near": T.bounded_context(around(35), F.col("value")), "born": F.lower(around(60))})
+    rows = rows.withColumn("plain", F.regexp_replace("wide", "[^a-z0-9]", ""))
+    there = {r.id for r in rules}
+    score = None
+
+    def case(ids: list[str], worth: Callable[[], Column]) -> None:
+        nonlocal score
+        if there & set(ids):
+            score = F.when(rule.isin(ids), worth()) if score is None else score.when(rule.isin(ids), worth())
+
+    def upi() -> Column:
+        issuer = F.lower(F.substring_index("value", "@", -1))
+        known = issuer.isin(UPI_BANKS)
+        return F.when(~issuer.isin(TOP_DOMAINS) & (known | (F.length(issuer) <= 10)), F.when(known, 0.88).when(T.any_in(wide, UPI_WORDS), 0.78).otherwise(0.72))
+
+    def born() -> Column:
+        return F.when(rule == "r19", base).when(T.any_in(F.col("born"), BIRTH_WORDS), 0.90).otherwise(0.78)
+
+    def fragment() -> Column:
+        word = reduce(lambda acc, kv: acc | ((rule == kv[0].id) & T.any_in(plain, kv[1])), SPREAD, F.lit(False))
+        packed = F.regexp_replace(F.regexp_replace("value", _BLANK, "\u0001"), r"\s", "")
+        spread = F.size(F.split(F.trim("value"), r"\s+")) >= F.length(packed) / 2
+        held = ((kind != "AADHAAR_NUMBER") | T.any_in(wide, AADHAAR_WORDS) | T.any_in(plain, AADHAAR_WORDS)) & (~spread | word)
+        return F.when(held, F.when(spread, base).otherwise(validated(kind, value, base)))
+
+    case([UPI.id], upi)
+    case(_BORN, born)
+    case([r.id for r, _ in SPREAD], fragment)
+    case([REPAIRED[0].id], lambda: V.fuzzy_aadhaar(value))
+    case([REPAIRED[1].id], lambda: V.fuzzy_pan(value))
+    pattern = F.when(~F.lower(F.trim("value")).isin(T.LABELS) & _gate_open(), validated(kind, value, base, {r.entity_type for r in rules}))
+    score = pattern if score is None else score.otherwise(pattern)
+    locked = F.when(rule == "r19", True).when(rule == "r19b", F.col("score") >= 0.9).otherwise(F.col("score") >= LOCK)
+    rows = rows.withColumn("score", score).filter(F.when(rule.isin([r.id for r in REPAIRED]), F.col("score") >= 0.9).otherwise(F.col("score") > 0))
+    return rows.withColumn("type_locked", locked).drop("wide", "near", "born", "plain")
+
+
+def _uncovered(rows: DataFrame) -> DataFrame:
+    """Without dates inside labelled ones, and spread codes inside candidates of their type without gaps: a running
+    maximum of the ends of what may cover them, along the starts of a document and type."""
+    rule = F.col("rule")
+    covers, weak = rule.isin("r19", *(r.id for r in RULES[:4])), rule.isin("r19b", *(r.id for r, _ in SPREAD))
+    order = Window.partitionBy("doc_id", "entity_type").orderBy("start", (~covers).cast("int"))
+    reach = F.max(F.when(covers, F.col("end"))).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    return rows.withColumn("reach", reach).filter(~weak | F.coalesce(F.col("reach") < F.col("end"), F.lit(True))).drop("reach")
+
+
+def scan_patterns(docs: DataFrame, rules: list[Rule] | None = None, unicode: bool = True) -> DataFrame:
     """Candidates of the English patterns, each gated and validated."""
-    rows = _all_spans(docs, RULES if rules is None else rules, unicode=unicode)
-    rows = rows.filter(~F.lower(F.trim("value")).isin(T.LABELS)).filter(_gate_open(gates))
-    return _finish(rows.withColumn("score", validated(F.col("entity_type"), F.col("value"), F.col("base"))).filter("score > 0"))
+    return _finish(_judged(docs, RULES if rules is None else rules, unicode))
 
 
 def scan_upi(docs: DataFrame) -> DataFrame:
     """Payment addresses handle@issuer: known issuers, or short ones, better with a payment word near; no mail domains."""
-    rows = _all_spans(docs, [Rule("r18", "UPI_ID", r"\b[a-zA-Z0-9.\-_]{2,64}@[a-zA-Z]{2,20}\b", 0.72)])
-    issuer = F.lower(F.substring_index("value", "@", -1))
-    known, near = issuer.isin(UPI_BANKS), T.any_in(F.lower(T.context(F.col("body"), F.col("start"), F.col("end"), 80)), UPI_WORDS)
-    rows = rows.filter(~issuer.isin(TOP_DOMAINS) & (known | (F.length(issuer) <= 10)))
-    return _finish(rows.withColumn("score", F.when(known, 0.88).when(near, 0.78).otherwise(0.72)).withColumn("ord", F.lit(0)))
+    return detect(docs, ("upi",))
 
 
 def scan_dates(docs: DataFrame) -> DataFrame:
     """Dates of birth: labelled ones, and any other date, surer with a birth word near; those inside labelled ones are left out."""
-    rows = _all_spans(docs, [Rule("r19", "DATE_OF_BIRTH", LABELLED_BIRTH, 0.96, 1), Rule("r19b", "DATE_OF_BIRTH", DATE, 0.78)])
-    rows = rows.withColumn("value", F.trim("value"))
-    labelled = rows.filter("rule = 'r19'")
-    inside = labelled.select("doc_id", F.col("start").alias("s0"), F.col("end").alias("e0"))
-    other = rows.filter("rule = 'r19b'")
-    other = other.join(inside, (other.doc_id == inside.doc_id) & (F.col("start") >= F.col("s0")) & (F.col("end") <= F.col("e0")), "left_anti")
-    near = T.any_in(F.lower(T.context(F.col("body"), F.col("start"), F.col("end"), 60)), BIRTH_WORDS)
-    first = _finish(labelled.withColumn("score", F.col("base")).withColumn("ord", F.lit(18)), locked=F.lit(True))
-    second = other.withColumn("near", near).withColumn("score", F.when(F.col("near"), 0.90).otherwise(0.78)).withColumn("ord", F.lit(19))
-    return first.unionByName(_finish(second, locked=F.col("near")))
+    return detect(docs, ("dates",))
 
 
 def scan_hindi(docs: DataFrame) -> DataFrame:
@@ -239,8 +289,8 @@ def _spread(cls: str, n: int) -> str:
 SPREAD = [
     (Rule("r21a", "AADHAAR_NUMBER", _JOINT.join([_spread("[0-9OoIiLl]", 4)] * 3), 0.85), AADHAAR_WORDS),
     (Rule("r21b", "PAN_NUMBER", _GAP.join([_spread("[A-Z01583]", 5), _spread("[0-9OoIiLlSsBb]", 4), "[A-Z01583]"]), 0.95), ["pan", "permanentaccount", "incometax"]),
-    (Rule("r21c", "GST_NUMBER", _GAP.join([_spread(r"\d", 2), _spread("[A-Z]", 5), _spread("[0-9]", 4), "[A-Z]", "[1-9A-Z]", "Z", "[0-9A-Z]"]), 0.93), ["gst", "gstin", "invoice"]),
-    (Rule("r21d", "IFSC_CODE", _GAP.join([_spread("[A-Z]", 4), "0", _spread("[A-Z0-9]", 6)]), 0.92), ["ifsc", "bank", "neft", "rtgs"]),
+    (Rule("r21c", "GST_NUMBER", _GAP.join([_spread(r"\d", 2), _spread("[A-Z]", 5), _spread("[0-9]", 4), "[A-Z]", "[1-9A-Z]", "Z", "[0-9A-Z]"]), 0.93, needs=DIGIT), ["gst", "gstin", "invoice"]),
+    (Rule("r21d", "IFSC_CODE", _GAP.join([_spread("[A-Z]", 4), "0", _spread("[A-Z0-9]", 6)]), 0.92, needs=DIGIT), ["ifsc", "bank", "neft", "rtgs"]),
 ]
 
 
@@ -258,37 +308,68 @@ def devanagari_segments(docs: DataFrame) -> DataFrame:
     return rows.filter(F.length(F.trim("value")) >= 3).select("doc_id", "start", "end", F.col("value").alias("text"))
 
 
-def scan_fragments(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
+#: Citizen numbers of twelve word characters, of which only those that a repair reads as digits are looked at, and tax ids
+#: of ten letters and digits that a repair can read by their places.
+REPAIRED = [
+    Rule("c15", "AADHAAR_NUMBER", r"\b(?:\w{4}[-\s]?\w{4}[-\s]?\w{4}|\w{12})\b", 0.0, keep=r"^[0-9OoQDIlZzSsbGBgq\s\-]+$"),
+    Rule("c16", "PAN_NUMBER", r"\b[A-Za-z012568]{5}[0-9OoQqDdIiZzSsBbGg]{4}[A-Za-z012568]\b", 0.0),
+]
+
+
+def scan_fragments(docs: DataFrame) -> DataFrame:
     """Tax, citizen, GST and bank codes whose characters are spread by blanks.
 
     A code is found as in a text without blanks, where a gap with a line feed or over three long stays one blank: its
     pattern with such gaps allowed between all characters, in one pass over the text as it is.  A match inside a
-    ``known`` candidate of its type (by default those of the same patterns without gaps) is left out, and one of mostly
-    single characters needs a word of its type near it.
+    candidate of the same pattern without gaps is left out, and one of mostly single characters needs a word of its type
+    near it.
     """
-    rows = _all_spans(docs, [r for r, _ in SPREAD])
-    known = scan_patterns(docs, RULES[:4]) if known is None else known
-    known = known.select(F.col("doc_id").alias("k"), F.col("entity_type").alias("t"), F.col("start").alias("s0"), F.col("end").alias("e0"))
-    rows = rows.join(known, (F.col("doc_id") == F.col("k")) & (F.col("entity_type") == F.col("t")) & (F.col("s0") <= F.col("start")) & (F.col("e0") >= F.col("end")), "left_anti")
-    near = F.lower(T.context(F.col("body"), F.col("start"), F.col("end"), 80))
-    plain = F.regexp_replace(near, "[^a-z0-9]", "")
-    word = reduce(lambda acc, kv: acc | ((F.col("rule") == kv[0].id) & T.any_in(plain, kv[1])), SPREAD, F.lit(False))
-    packed = F.regexp_replace(F.regexp_replace("value", _BLANK, "\u0001"), r"\s", "")
-    spread = F.size(F.split(F.trim("value"), r"\s+")) >= F.length(packed) / 2
-    rows = rows.filter((F.col("entity_type") != "AADHAAR_NUMBER") | T.any_in(near, AADHAAR_WORDS) | T.any_in(plain, AADHAAR_WORDS)).filter(~spread | word)
-    score = F.when(spread, F.col("base")).otherwise(validated(F.col("entity_type"), F.col("value"), F.col("base")))
-    return _finish(rows.withColumn("score", score).filter("score > 0").withColumn("ord", F.col("ord") + 20))
+    rows = _uncovered(_judged(docs, RULES[:4] + [r for r, _ in SPREAD]))
+    return _finish(rows.filter(F.col("rule").isin([r.id for r, _ in SPREAD])).withColumn("ord", F.col("ord") + 16))
+
+
+#: The stages of detection in their order: rules, and the place of the first among all candidates.
+STAGES = {"upi": ([UPI], 0), "patterns": (RULES, 1), "dates": (BIRTHS, 18), "fragments": ([r for r, _ in SPREAD], 21)}
+
+
+def _stages(docs: DataFrame, stages: tuple[str, ...], more: list[Rule]) -> DataFrame:
+    """Judged spans of some stages' rules and of ``more`` in one scan, dealt by document, each with the candidates' order."""
+    placed = [(r, first + i) for s in stages for rules, first in [STAGES[s]] for i, r in enumerate(rules)] + [(r, i) for i, r in enumerate(more, 1)]
+    order = F.element_at(F.array(*(F.lit(i) for _, i in placed)), F.col("ord"))
+    rows = _judged(docs, [r for r, _ in placed]).withColumn("ord", order)
+    return _uncovered(rows.repartition("doc_id"))
 
 
 def detect(docs: DataFrame, stages: tuple[str, ...] = ("upi", "patterns", "dates", "fragments")) -> DataFrame:
-    """The union of the chosen stages' candidates over ``docs`` (doc_id, text)."""
-    known = {"upi": scan_upi, "patterns": scan_patterns, "dates": scan_dates, "fragments": scan_fragments, "hindi": scan_hindi, "hindi_shapes": scan_hindi_shapes}
-    return reduce(DataFrame.unionByName, [known[s](docs) for s in stages])
+    """All candidates of the chosen stages over ``docs`` (doc_id, text), which is read once; fragments go with patterns."""
+    return _finish(_stages(docs, stages, []), locked=F.col("type_locked"))
 
 
 _ENTITY = ["start", "end", "entity_type", "text", "score", "source"]
 
 
+_MORE = "array<struct<start:int,end:int,entity_type:string,text:string,score:double,source:string>>"
+
+
+def _joined(rows: DataFrame) -> DataFrame:
+    """Of (doc_id, late, ord, start, end, entity_type, text, score, source): the rows that aren't late, and late ones, in
+    order, that meet no span taken before them; a fold along the late spans of a document."""
+    entity = F.struct(*_ENTITY)
+    known = F.collect_list(F.when(~F.col("late"), entity)).cast(_MORE).alias("known")
+    more = F.collect_list(F.when(F.col("late"), F.struct("ord", *_ENTITY)))
+    more = F.transform(F.array_sort(more), lambda e: F.struct(*(e[c].alias(c) for c in _ENTITY))).cast(_MORE).alias("more")
+    meets = lambda a, b: (a.start < b["end"]) & (a["end"] > b.start)
+    joins = lambda out, e: F.when(F.exists(out, lambda o: meets(o, e)), out).otherwise(F.concat(out, F.array(e)))
+    grouped = rows.groupBy("doc_id").agg(known, more)
+    return grouped.select("doc_id", F.explode(F.aggregate("more", F.col("known"), joins)).alias("e")).select("doc_id", "e.*")
+
+
+def _table_cells(docs: DataFrame) -> DataFrame:
+    """Cells of text tables as late rows; only texts with a pipe or a tab have any."""
+    some = docs.filter(F.contains("text", F.lit("|")) | F.contains("text", F.lit("\t")))
+    return tables.text_tables(some).select("doc_id", F.lit(True).alias("late"), "ord", *_ENTITY)
+
+
 def recovered(docs: DataFrame, found: DataFrame) -> DataFrame:
     """``found`` (doc_id, start, end, entity_type, text, score, source) and what recognition errors and tables hid from it.
 
@@ -296,23 +377,21 @@ def recovered(docs: DataFrame, found: DataFrame) -> DataFrame:
     0.90 or more, and then cells below a table's headers; each only where it meets no span found before it, as a fold
     along the spans of a document.
     """
-    citizen = Rule("c15", "AADHAAR_NUMBER", r"\b(?:\w{4}[-\s]?\w{4}[-\s]?\w{4}|\w{12})\b", 0.0)
-    tax = Rule("c16", "PAN_NUMBER", r"\b[A-Za-z0-9]{10}\b", 0.0)
-    repaired = _all_spans(docs, [citizen, tax])
-    score = F.when(F.col("rule") == "c15", V.fuzzy_aadhaar(F.col("value"))).otherwise(V.fuzzy_pan(F.col("value")))
-    repaired = repaired.withColumn("score", score).filter("score >= 0.9").withColumn("source", F.lit("fuzzy")).withColumn("text", F.col("value"))
-    more = repaired.select("doc_id", "ord", *_ENTITY).unionByName(tables.text_tables(docs).select("doc_id", "ord", *_ENTITY))
-    kind = "array<struct<start:int,end:int,entity_type:string,text:string,score:double,source:string>>"
-    known = found.groupBy("doc_id").agg(F.collect_list(F.struct(*_ENTITY)).cast(kind).alias("known"))
-    more = more.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", *_ENTITY))), lambda e: F.struct(*(e[c].alias(c) for c in _ENTITY))).cast(kind).alias("more"))
-    meets = lambda a, b: (a.start < b["end"]) & (a["end"] > b.start)
-    joins = lambda out, e: F.when(F.exists(out, lambda o: meets(o, e)), out).otherwise(F.concat(out, F.array(e)))
-    none = F.array().cast(kind)
-    rows = known.join(more, "doc_id", "full").select("doc_id", F.aggregate(F.coalesce("more", none), F.coalesce("known", none), joins).alias("es"))
-    return rows.select("doc_id", F.explode("es").alias("e")).select("doc_id", "e.*")
+    late = _judged(docs, REPAIRED).select("doc_id", F.lit(True).alias("late"), "ord", "start", "end", "entity_type", F.col("value").alias("text"), "score", F.lit("fuzzy").alias("source"))
+    known = found.select("doc_id", F.lit(False).alias("late"), F.lit(0).alias("ord"), *_ENTITY)
+    return _joined(known.unionByName(late).unionByName(_table_cells(docs)))
 
 
 def entities_of(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """All entities of ``docs`` (doc_id, text): every stage's candidates, scored by context, elected, and what was hidden."""
-    found = vote.elect(vote.score_context(detect(docs), docs), threshold)
-    return recovered(docs, found)
+    """All entities of ``docs`` (doc_id, text): every stage's candidates, scored by context, elected, and what was hidden.
+
+    One scan finds the spans of all stages and those with errors; they are dealt by document once, without the texts, and
+    scored, elected and joined there.  Tables are looked for in a second scan, of texts that may have one.
+    """
+    rows = _stages(docs, ("upi", "patterns", "dates", "fragments"), REPAIRED)
+    late = F.col("rule").isin([r.id for r in REPAIRED])
+    rows = rows.withColumn("near", T.bounded_context(around(60), F.col("value")))
+    scored = F.when(late, F.col("score")).otherwise(vote.adjusted(F.col("score"), F.col("entity_type"), F.col("near")))
+    rows = rows.withColumn("score", scored).drop("near").withColumn("late", late).withColumn("source", F.when(late, "fuzzy").otherwise("regex")).withColumnRenamed("value", "text")
+    found = vote.elect(rows, threshold).select("doc_id", "late", "ord", *_ENTITY)
+    return _joined(found.unionByName(_table_cells(docs)))

@@ -65,19 +65,25 @@ def adjusted(score: Column, kind: Column, near: Column, boosts: list = BOOSTS, p
 
 
 def score_context(candidates: DataFrame, docs: DataFrame, width: int = 60, hindi: bool = False) -> DataFrame:
-    """Candidates with scores changed by the words of their line or sentence."""
-    body = docs.select("doc_id", F.col("text").alias("body"))
-    joined = candidates.join(body, "doc_id")
-    near = T.bounded_context(T.context(F.col("body"), F.col("start"), F.col("end"), width), F.col("text"))
+    """Candidates with scores changed by the words of their line or sentence, which are those beside them where candidates
+    have ``before``, ``raw`` and ``after`` (80 characters at most), else cut from ``docs``."""
     lists = (HINDI_BOOSTS, HINDI_PENALTIES) if hindi else (BOOSTS, PENALTIES)
-    return joined.withColumn("near", near).withColumn("score", adjusted(F.col("score"), F.col("entity_type"), F.col("near"), *lists)).drop("near", "body")
+    if "raw" in candidates.columns:
+        whole, joined = F.concat(F.right("before", F.lit(width)), F.col("raw"), F.left("after", F.lit(width))), candidates
+    else:
+        whole, joined = T.context(F.col("body"), F.col("start"), F.col("end"), width), candidates.join(docs.select("doc_id", F.col("text").alias("body")), "doc_id")
+    near = T.bounded_context(whole, F.col("text"))
+    return joined.withColumn("near", near).withColumn("score", adjusted(F.col("score"), F.col("entity_type"), F.col("near"), *lists)).select(*candidates.columns)
 
 
 def group_spans(candidates: DataFrame) -> DataFrame:
-    """Candidates with ``pos`` (by start, then higher score, then ``ord``) and ``grp``: spans that overlap; touching ones do not."""
-    order = Window.partitionBy("doc_id").orderBy("start", F.desc("score"), "ord", "end", "entity_type")
+    """Candidates with ``pos`` (by start, then higher score, then ``ord``) and ``grp``: spans that overlap; touching ones do not.
+    Those with a true column ``late`` are groups of their own."""
+    late = ["late"] if "late" in candidates.columns else []
+    order = Window.partitionBy("doc_id", *late).orderBy("start", F.desc("score"), "ord", "end", "entity_type")
     before = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    out = candidates.withColumn("pos", F.row_number().over(order)).withColumn("new", (F.coalesce(F.col("start") >= before, F.lit(True))).cast("int"))
+    free = F.coalesce(F.col("start") >= before, F.lit(True))
+    out = candidates.withColumn("pos", F.row_number().over(order)).withColumn("new", ((free | F.col("late")) if late else free).cast("int"))
     return out.withColumn("grp", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("new")
 
 
@@ -94,23 +100,26 @@ def elect(candidates: DataFrame, threshold: float = 0.5, structured_first: bool
     A locked candidate of the best score gives the type; else the largest weighted sum of scores does, among structured
     types if there are any.  A structured entity's score is the group's best, a generic one's the weighted mean; those
     below ``threshold`` go.  The span is that of the elected type's best weighted candidate.  Ties go to the earlier.
+    Candidates may have ``late``: true ones stand for themselves, and entities then have ``late`` and ``ord`` too.
     """
+    late = ["late"] if "late" in candidates.columns else []
     rows = group_spans(candidates).withColumn("w", weight(F.col("source")))
     rows = rows.withColumn("sw", F.col("score") * F.col("w")).withColumn("locked", F.col("type_locked") if locked is None else locked)
     rows = rows.withColumn("structured", ~F.col("entity_type").isin(GENERIC) if structured_first else F.lit(True))
-    by_type = rows.groupBy("doc_id", "grp", "entity_type").agg(
+    by_type = rows.groupBy("doc_id", *late, "grp", "entity_type").agg(
         F.sum("sw").alias("votes"), F.min("pos").alias("first"), F.max("structured").alias("structured"),
         F.max(F.when(F.col("locked"), F.struct("score", -F.col("pos")))).alias("lock"), F.max_by(F.struct("start", "end", "text"), F.struct("sw", -F.col("pos"))).alias("best"),
-        F.sum("w").alias("w"), F.max("score").alias("top"), F.collect_set("source").alias("sources"),
+        F.sum("w").alias("w"), F.max("score").alias("top"), F.collect_set("source").alias("sources"), F.min("ord").alias("ord"),
     )
     rank = F.struct(F.col("lock").isNotNull().alias("a"), F.col("lock"), F.when(F.col("lock").isNull(), F.col("structured")).alias("b"), F.when(F.col("lock").isNull(), F.round("votes", 9)).alias("c"), -F.col("first"))
-    groups = by_type.groupBy("doc_id", "grp").agg(
+    groups = by_type.groupBy("doc_id", *late, "grp").agg(
+        F.min("ord").alias("ord"),
         F.max_by(F.struct("entity_type", "best"), rank).alias("e"), F.max("top").alias("top"), (F.sum("votes") / F.sum("w")).alias("mean"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("sources")))).alias("merged_from"),
     )
     score = F.when(F.col("e.entity_type").isin(GENERIC), F.col("mean")).otherwise(F.col("top"))
     out = groups.withColumn("score", F.least(score, F.lit(1.0))).filter(F.col("score") >= threshold)
     source = F.when(F.size("merged_from") > 1, "merged").otherwise(F.get("merged_from", F.lit(0)))
-    return out.select("doc_id", "e.best.start", "e.best.end", "e.entity_type", "e.best.text", "score", source.alias("source"), "merged_from")
+    return out.select("doc_id", "e.best.start", "e.best.end", "e.entity_type", "e.best.text", "score", source.alias("source"), "merged_from", *late, *(["ord"] if late else []))
 
 
 def union_languages(first: DataFrame, second: DataFrame, margin: float = 0.05) -> DataFrame:
