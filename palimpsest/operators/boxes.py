@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.functions import validators as V
+from palimpsest.functions.spans import stage
 from palimpsest.operators.evaluate import _assign, settled
 
 #: Types of which no letter may differ but for confusable ones (fixed values).
@@ -90,36 +91,56 @@ def fragments(expected: DataFrame, detected: DataFrame, matches: DataFrame, boxe
     detection, and the hull that shares most wins, fewer fragments first.  A hull that would fit another open entity of
     the document is ambiguous and dropped.  Entities are judged at once: as a fragment touches one entity only, none is
     given away twice.
+
+    Each input is read once and dealt by document once; a page's boxes are one row, in whose arrays fragments and their
+    sets are found, and a document's open boxes are one.
     """
-    e = expected.select("doc_id", "page", "entity_type", F.col("id").alias("e_id"), F.col("text").alias("e_text"), valid_box(F.col("box")).alias("e_box"), "is_ocr").filter("e_box is not null")
-    open_e = e.join(matches.select("doc_id", "e_id"), ["doc_id", "e_id"], "left_anti")
-    d = detected.select("doc_id", "page", "entity_type", F.col("id").alias("d_id"), F.col("text").alias("d_text"), valid_box(F.col("box")).alias("d_box")).filter("d_box is not null")
-    open_d = d.join(matches.select("doc_id", "d_id"), ["doc_id", "d_id"], "left_anti")
-    inside = (contained(F.col("d_box"), F.col("e_box")) >= 0.5) | (V.box_iou(F.col("d_box"), F.col("e_box")) >= 0.2)
-    near = open_e.filter("is_ocr").join(open_d, ["doc_id", "page", "entity_type"]).filter(inside)
-    others = e.select(F.col("doc_id").alias("od"), F.col("page").alias("op"), F.col("e_id").alias("oe"), F.col("e_box").alias("o_box"))
-    touches = (contained(F.col("d_box"), F.col("o_box")) >= 0.25) | (V.box_iou(F.col("d_box"), F.col("o_box")) >= 0.2)
-    near = near.join(others, (F.col("doc_id") == F.col("od")) & (F.col("page") == F.col("op")) & (F.col("e_id") != F.col("oe")) & touches, "left_anti")
-    near = near.withColumn("i", F.row_number().over(Window.partitionBy("doc_id", "e_id").orderBy("d_box.x0", "d_id")))
-    one = near.select("doc_id", "e_id", "entity_type", "e_text", "e_box", F.col("i").alias("last"), F.array(F.struct("d_id", "d_text", "d_box")).alias("parts"))
-    more = near.select("doc_id", "e_id", "i", F.struct("d_id", "d_text", "d_box").alias("part"))
-
-    def longer(rows: DataFrame) -> DataFrame:
-        out = rows.join(more, ["doc_id", "e_id"]).filter("i > last")
-        return out.select("doc_id", "e_id", "entity_type", "e_text", "e_box", F.col("i").alias("last"), F.concat("parts", F.array("part")).alias("parts"))
-
-    two = longer(one)
-    edge = lambda f, c: f(F.transform("parts", lambda p: p["d_box"][c]))
+    kind = f"struct<id:long,entity_type:string,text:string,box:{_BOX},is_ocr:boolean>"
+    none = lambda k: F.lit(None).cast(k)
+
+    def side(df: DataFrame, is_ocr: Column) -> Column:
+        return F.struct(F.col("id").cast("long").alias("id"), "entity_type", "text", valid_box(F.col("box")).cast(_BOX).alias("box"), is_ocr.alias("is_ocr")).cast(kind)
+
+    # Everything of a page in one row: what is expected, what is detected, and the ids of both that are matched.
+    rows = expected.select("doc_id", F.col("page").cast("int").alias("page"), side(expected, F.coalesce("is_ocr", F.lit(False))).alias("e"), none(kind).alias("d"), none("long").alias("me"), none("long").alias("md"))
+    rows = rows.union(detected.select("doc_id", F.col("page").cast("int"), none(kind), side(detected, F.lit(False)), none("long"), none("long")))
+    rows = rows.union(matches.select("doc_id", F.col("page").cast("int"), none(kind), none(kind), F.col("e_id").cast("long"), F.col("d_id").cast("long")))
+    rows = rows.repartition("doc_id").groupBy("doc_id", "page").agg(*(F.collect_list(c).alias(c) for c in ("e", "d", "me", "md")))
+    boxed = lambda xs: F.filter(xs, lambda x: x.box.isNotNull())
+    rows = stage(rows, ["doc_id", "page", "me", "md"], e=boxed("e"), d=boxed("d"))
+    left = lambda xs, known: F.filter(xs, lambda x: ~F.array_contains(known, x.id))
+    rows = stage(rows, ["doc_id", "page", "e"], open_e=left("e", "me"), open_d=left("d", "md"))
+    inside = lambda d, e: (contained(d.box, e.box) >= 0.5) | (V.box_iou(d.box, e.box) >= 0.2)
+    touches = lambda d, o: (contained(d.box, o.box) >= 0.25) | (V.box_iou(d.box, o.box) >= 0.2)
+
+    def parts(e: Column) -> Column:
+        own = F.filter("open_d", lambda d: (d.entity_type == e.entity_type) & inside(d, e) & ~F.exists("e", lambda o: (o.id != e.id) & touches(d, o)))
+        return F.array_sort(F.transform(own, lambda d: F.struct(d.box.x0.alias("x0"), d.id.alias("id"), d.text.alias("text"), d.box.alias("box"))))
+
+    read = F.transform(F.filter("open_e", lambda e: e.is_ocr & F.col("page").isNotNull()), lambda e: F.struct(e.alias("e"), parts(e).alias("parts")))
+    rows = stage(rows, ["doc_id", "open_e"], read=F.filter(read, lambda r: F.size(r.parts) > 1))
+    rest = lambda xs, i: F.slice(xs, i + 2, F.size(xs))
+    twos = lambda ps: F.flatten(F.transform(ps, lambda p, i: F.transform(rest(ps, i), lambda q: F.array(p, q))))
+    threes = lambda ps: F.flatten(F.transform(ps, lambda p, i: F.flatten(F.transform(rest(ps, i), lambda q, j: F.transform(F.slice(ps, i + j + 3, F.size(ps)), lambda r: F.array(p, q, r))))))
+    sets = F.flatten(F.transform("read", lambda r: F.transform(F.concat(twos(r.parts), threes(r.parts)), lambda ps: F.struct(r.e.alias("e"), ps.alias("parts")))))
+    # All open entities, as what a hull may not fit, and all sets.
+    opens = F.transform("open_e", lambda e: F.struct(e.alias("e"), F.array().cast(f"array<struct<x0:double,id:long,text:string,box:{_BOX}>>").alias("parts")))
+    rows = rows.select("doc_id", F.explode(F.concat(opens, sets)).alias("s")).select("doc_id", "s.*")
+    edge = lambda f, c: f(F.transform("parts", lambda p: p["box"][c]))
     hull = F.struct(edge(F.array_min, "x0").alias("x0"), edge(F.array_min, "y0").alias("y0"), edge(F.array_max, "x1").alias("x1"), edge(F.array_max, "y1").alias("y1"))
-    joint = F.array_join(F.transform("parts", lambda p: F.coalesce(p["d_text"], F.lit(""))), "")
-    sets = two.union(longer(two)).withColumn("hull", hull).withColumn("joint", joint).withColumn("iou", V.box_iou(F.col("e_box"), F.col("hull")))
-    distance, _, fits = _read_as(F.col("e_text"), F.col("joint"), F.col("entity_type"), edits)
-    sets = sets.filter((F.col("iou") >= boxes) & fits).withColumn("residual", distance.cast("int")).withColumn("d_ids", F.transform("parts", lambda p: p["d_id"]))
+    joint = F.array_join(F.transform("parts", lambda p: F.coalesce(p["text"], F.lit(""))), "")
+    rows = rows.withColumn("hull", hull).withColumn("joint", joint).withColumn("iou", V.box_iou(F.col("e.box"), F.col("hull"))).withColumn("d_ids", F.transform("parts", lambda p: p["id"]))
+    distance, _, fits = _read_as(F.col("e.text"), F.col("joint"), F.col("e.entity_type"), edits)
+    good = (F.col("iou") >= boxes) & fits
+    rows = rows.filter((F.size("parts") == 0) | good).withColumn("residual", distance.cast("int"))
+    # The best set of each entity, then those of a document whose hull fits no other open entity.
     rank = F.struct("iou", -F.size("parts"), F.transform("d_ids", lambda i: -i))
-    best = sets.groupBy("doc_id", "e_id").agg(F.max_by(F.struct("d_ids", "iou", "hull", "residual"), rank).alias("b")).select("doc_id", "e_id", "b.*")
-    rivals = open_e.select(F.col("doc_id").alias("od"), F.col("e_id").alias("oe"), F.col("e_box").alias("o_box"))
-    clear = best.join(rivals, (F.col("doc_id") == F.col("od")) & (F.col("e_id") != F.col("oe")) & (V.box_iou(F.col("o_box"), F.col("hull")) >= boxes), "left_anti")
-    return clear.select("doc_id", "e_id", "d_ids", "iou", ((F.col("residual") == 0) & (F.col("iou") >= 0.85)).alias("exact"), "residual")
+    best = F.max_by(F.when(F.size("parts") > 0, F.struct("d_ids", "iou", "hull", "residual")), F.when(F.size("parts") > 0, rank))
+    rows = rows.groupBy("doc_id", F.col("e.id").alias("e_id")).agg(best.alias("b"), F.first("e.box").alias("box"))
+    rows = rows.groupBy("doc_id").agg(F.collect_list(F.struct("e_id", "box", "b")).alias("all"))
+    clear = F.filter("all", lambda x: x.b.isNotNull() & ~F.exists("all", lambda o: (o.e_id != x.e_id) & (V.box_iou(o.box, x.b.hull) >= boxes)))
+    rows = rows.select("doc_id", F.explode(clear).alias("x")).select("doc_id", "x.e_id", "x.b.*")
+    return rows.select("doc_id", "e_id", "d_ids", "iou", ((F.col("residual") == 0) & (F.col("iou") >= 0.85)).alias("exact"), "residual")
 
 
 def duplicates(detected: DataFrame, matched: DataFrame, least: float = 0.4) -> DataFrame:
