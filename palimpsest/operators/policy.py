@@ -122,15 +122,39 @@ def rendered(value: Column, action: Column, replacement: Column | None = None) -
 def pseudonyms(entities: DataFrame, within: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Entities with ``pseudonym`` [TYPE_n]: n counts distinct values (in lower case) by first appearance, so that a value keeps its name.
 
-    Values are numbered after a reduction to distinct ones; with ``within`` empty, names hold for all documents.
+    Values are numbered after a reduction to distinct ones; with ``within`` empty, names hold for all documents, and
+    values are numbered in ranges of the documents where they come first, with the counts of earlier ranges added: no task
+    holds the values of a type.
     """
     keyed = entities.withColumn("v", F.lower("text"))
     first = keyed.groupBy(*within, "entity_type", "v").agg(F.min(F.struct("doc_id", "start")).alias("first"))
-    named = first.withColumn("n", F.dense_rank().over(Window.partitionBy(*within, "entity_type").orderBy("first"))).drop("first")
-    out = keyed.join(named, [*within, "entity_type", "v"])
+    if within:
+        named = first.withColumn("n", F.dense_rank().over(Window.partitionBy(*within, "entity_type").orderBy("first")))
+    else:
+        named = _ranked(first)
+    out = keyed.join(named.drop("first"), [*within, "entity_type", "v"])
     return out.withColumn("pseudonym", F.concat(F.lit("["), F.col("entity_type"), F.lit("_"), F.col("n").cast("string"), F.lit("]"))).drop("v", "n")
 
 
+def _ranked(first: DataFrame) -> DataFrame:
+    """``first`` (entity_type, v, first: doc_id and start) with the dense rank ``n`` of each value of a type.
+
+    Quantiles of the documents, as many as shuffles have partitions, bound the ranges; they are numbers in the plan, so a
+    task that is run again finds its ranges unchanged.
+    """
+    ranges = int(first.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    bounds = first.agg(F.percentile_approx("first.doc_id", [i / ranges for i in range(1, ranges)] or [0.5], 10_000)).head()[0] or []
+    # The number of bounds at or below a document.
+    at = F.coalesce(*(F.when(F.col("first.doc_id") < F.lit(b), F.lit(i)) for i, b in enumerate(sorted(set(bounds)))), F.lit(len(set(bounds)))) if bounds else F.lit(0)
+    placed = first.withColumn("range", at)
+    counts = placed.groupBy("entity_type", "range").agg(F.countDistinct("first").alias("count"))
+    before = F.sum("count").over(Window.partitionBy("entity_type").orderBy("range").rowsBetween(Window.unboundedPreceding, -1))
+    counts = counts.select("entity_type", "range", F.coalesce(before, F.lit(0)).alias("before"))
+    rank = F.dense_rank().over(Window.partitionBy("entity_type", "range").orderBy("first"))
+    # One row for each type and range.
+    return placed.withColumn("n", rank).join(F.broadcast(counts), ["entity_type", "range"]).withColumn("n", F.col("n") + F.col("before")).drop("range", "before")
+
+
 def redact_by_rules(docs: DataFrame, entities: DataFrame, rules: DataFrame) -> DataFrame:
     """(doc_id, redacted_text) under ``rules`` (rule_type, is_active, action); entities without an active rule stay as they are."""
     acted = pseudonyms(entities).join(rules.filter("is_active").select(F.col("rule_type").alias("entity_type"), "action"), "entity_type")

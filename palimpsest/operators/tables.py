@@ -140,11 +140,27 @@ def pages_of(entities: DataFrame, pages: DataFrame) -> DataFrame:
     return met.select(*entities.columns, "page", (F.col("start") - F.col("start_offset")).alias("page_start"), (F.col("end") - F.col("start_offset")).alias("page_end"))
 
 
-def ocr_text(words: DataFrame, least: float = 0) -> DataFrame:
-    """Recognised words (doc_id, ord, text, conf) as texts with statistics: (doc_id, text, n_words, mean_conf, alnum)."""
-    good = words.filter((F.col("conf") >= least) & (F.trim("text") != ""))
-    out = good.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("ord", "text"))).alias("w"), F.avg("conf").alias("mean_conf"), F.count("*").alias("n_words"))
-    return out.withColumn("text", F.array_join(F.transform("w", lambda w: w.text), " ")).withColumn("alnum", F.length(F.regexp_replace("text", r"[^\p{L}\p{N}]", ""))).drop("w")
+def ocr_blocks(words: DataFrame) -> DataFrame:
+    """Recognised words (doc_id, page, ord, text, conf, box) as blocks of their page's text: the words that are not blank,
+    trimmed, with ``start_index`` and ``end_index`` in the text that they make with one blank between.
+
+    Words are numbered along a page, in order of ``ord``; a page's words stream through one task."""
+    own = words.withColumn("text", F.regexp_replace("text", r"(?U)^\s+|\s+$", "")).filter("text <> ''")
+    before = F.sum(F.length("text") + 1).over(Window.partitionBy("doc_id", "page").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1))
+    own = own.withColumn("start_index", F.coalesce(before, F.lit(0)).cast("int"))
+    return own.withColumn("end_index", F.col("start_index") + F.length("text"))
+
+
+def ocr_pages(blocks: DataFrame) -> DataFrame:
+    """(doc_id, page, text, word_count, mean_conf, alnum, chars, box) of the blocks of ``ocr_blocks``: each page's text,
+    statistics, and the hull of all boxes.  Confidences below 0 are none; a page without any has a null mean."""
+    edge = lambda f, c: f(F.col(f"box.{c}")).alias(c)
+    hull = F.struct(edge(F.min, "x0"), edge(F.min, "y0"), edge(F.max, "x1"), edge(F.max, "y1")).alias("box")
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start_index", "text"))), lambda w: w.text), " ")
+    return blocks.groupBy("doc_id", "page").agg(
+        text.alias("text"), F.count("*").alias("word_count"), F.avg(F.when(F.col("conf") >= 0, F.col("conf"))).alias("mean_conf"),
+        F.sum(F.length(F.regexp_replace("text", r"[^\p{L}\p{N}]", ""))).alias("alnum"), F.max("end_index").cast("long").alias("chars"), hull,
+    )
 
 
 def non_maximum(boxes: DataFrame, most: float = 0.4) -> DataFrame:

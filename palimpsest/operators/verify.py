@@ -7,9 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.functions import text as T
 from palimpsest.functions import validators as V
-from palimpsest.functions.spans import matched, spans
+from palimpsest.functions.spans import matched, spans, stage
 from palimpsest.operators.spatial import box_join, envelope
 
 #: What must not be left in a redacted text (fixed values).
@@ -204,17 +203,34 @@ def releasable(jobs: DataFrame) -> DataFrame:
     return jobs.filter((F.col("status") == "COMPLETED") & (F.col("safety_status") == "VERIFIED") & F.startswith("result_key", F.lit("redacted/")))
 
 
-def leak_verdict(redacted: DataFrame, entities: DataFrame) -> DataFrame:
-    """All checks of texts: residual patterns, dense ones and fragments of known entities."""
-    return residual_patterns(redacted).unionByName(dense_leaks(redacted)).unionByName(fragments(entities, redacted).select("doc_id", F.col("entity_type").alias("leak_type"), "text"))
+def residual_values(values: DataFrame, texts: DataFrame) -> DataFrame:
+    """(doc_id, value, status, distance, matched) of ``values`` (doc_id, value) against ``texts`` (doc_id, text): whether a
+    value still stands in a released text (``CONFIRMED_LEAK``), or another string of its length that differs in one place
+    (``FUZZY_CANDIDATE``, the first one), or neither (``CLEAN``).
 
-
-def residual_value(body: Column, value: Column) -> Column:
-    """Whether a value, or one of one edit, still stands in a text of letters and digits."""
-    b, v = T.match_key(body), T.match_key(value)
-    n = F.length(v)
-    near = F.exists(F.sequence(F.lit(1), F.greatest(F.length(b) - n + 1, F.lit(1))), lambda i: F.levenshtein(F.substr(b, i, n), v) <= 1)
-    return F.contains(b, v) | ((n >= 6) & near)
+    White space around texts and values and blanks inside them do not count; null values, and values of documents without
+    a text, are left out.  A string with one wrong place has one right half, so a pattern looks for either half and only
+    the strings around those are compared, however long the text is.  A document's values meet its text in one row.
+    """
+    packed = lambda t: F.replace(F.regexp_replace(t, r"^\s+|\s+$", ""), F.lit(" "), F.lit(""))
+    own = values.filter("value is not null").select("doc_id", "value", packed(F.col("value")).alias("v")).distinct()
+    own = own.groupBy("doc_id").agg(F.collect_list(F.struct("value", "v")).alias("vs"))
+    rows = stage(texts.filter("text is not null").join(own, "doc_id"), ["doc_id", "vs"], body=packed(F.col("text")))
+
+    def seed(v: Column) -> Column:
+        n = F.length(v)
+        left = F.floor(n / 2).cast("int")
+        literal = lambda t: F.regexp_replace(t, r"([^\p{L}\p{N}])", r"\\$1")
+        return F.concat(F.lit("(?s)(?=("), literal(F.left(v, left)), F.lit(".{"), (n - left).cast("string"), F.lit("}|.{"), left.cast("string"), F.lit("}"), literal(F.right(v, n - left)), F.lit("))"))
+
+    def told(x: Column) -> Column:
+        there = F.contains(F.col("body"), x.v)
+        near = F.when(~there, F.get(F.filter(F.regexp_extract_all(F.col("body"), seed(x.v), F.lit(1)), lambda w: F.levenshtein(w, x.v) <= 1), F.lit(0)))
+        return F.struct(x.value.alias("value"), x.v.alias("v"), there.alias("there"), near.alias("near"))
+
+    rows = rows.select("doc_id", F.explode(F.transform("vs", told)).alias("t")).select("doc_id", "t.*")
+    status = F.when(F.col("there"), "CONFIRMED_LEAK").when(F.col("near").isNotNull(), "FUZZY_CANDIDATE").otherwise("CLEAN")
+    return rows.select("doc_id", "value", status.alias("status"), F.when(F.col("there"), 0).when(F.col("near").isNotNull(), 1).alias("distance"), F.when(F.col("there"), F.col("v")).otherwise(F.col("near")).alias("matched"))
 
 
 def geometry_leaks(entities: DataFrame, words: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions import text as T
 from palimpsest.functions import validators as V
-from palimpsest.operators import analytics, boxes, evaluate, policy, recognise, tables, verify, vote
+from palimpsest.operators import analytics, boxes, corpus, evaluate, policy, recognise, tables, verify, vote
 from palimpsest.plans import carriers as C
 from palimpsest.plans import oracle as O
 from palimpsest.sources import files
@@ -108,7 +109,8 @@ def r18(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recognise.scan_upi(C.more(spark, sf_dir)).select("doc_id", "start", "end", "text", "score")
 
 
-@query("r19_dates")
+@query("r19_dates", """SELECT o_orderkey AS doc_id, s AS start, s + 10 AS "end", CASE s WHEN 5 THEN strftime(o_orderdate, '%d/%m/%Y') ELSE '2001-02-03' END AS text, CAST(CASE s WHEN 5 THEN 0.96 ELSE 0.9 END AS DOUBLE) AS score, true AS type_locked
+    FROM orders, (VALUES (5), (21)) v(s)""")
 def r19(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), F.concat(F.lit("DOB: "), F.date_format("o_orderdate", "dd/MM/yyyy"), F.lit(" sent 2001-02-03")).alias("text"))
     return recognise.scan_dates(orders).select("doc_id", "start", "end", "text", "score", "type_locked")
@@ -129,6 +131,37 @@ def hindi(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vote.elect(scored, 0.48, locked=locked).select("doc_id", "start", "end", "entity_type", "text", F.round("score", 4).alias("score"))
 
 
+#: A line for each Hindi pattern: its label, what stands around the value, and the value, from k.
+_DEVA_LINES = [
+    ("AADHAAR_NUMBER", "आधार संख्या: ", "'2' || lpad({k}, 3, '0') || ' 4532 0151'", ""), ("PAN_NUMBER", "पैन कार्ड: ", "'ABCPE' || lpad({k}, 4, '0') || 'F'", ""), ("DATE_OF_BIRTH", "जन्मतिथि: ", "'12/03/19' || lpad({k2}, 2, '0')", ""),
+    ("PHONE_NUMBER", "दूरभाष: ", "'9' || lpad({k}, 9, '0')", ""), ("PIN_CODE", "पिन कोड: ", "'4' || lpad({k}, 5, '0')", ""), ("GST_NUMBER", "जीएसटी: ", "'27ABCPE' || lpad({k}, 4, '0') || 'F1Z5'", ""),
+    ("VOTER_ID", "मतदाता पहचान: ", "'ABC' || lpad({k}, 7, '0')", ""), ("IFSC_CODE", "आईएफएससी: ", "'SBIN0' || lpad({k}, 6, '0')", ""), ("BANK_ACCOUNT", "बैंक खाता: ", "'12' || lpad({k}, 9, '0')", ""),
+    ("UPI_ID", "यूपीआई: ", "'user' || {k} || '@okaxis'", ""), ("PERSON", "Ravi Rao (", "'रवि किशन'", ")"), ("PERSON", "नाम: ", "'अनिल विनोद'", ""), ("PERSON", "x ", "'श्रीमती सुमन लता'", " y"), ("PERSON", "z ", "'महेश शर्मा'", " w"),
+]
+
+
+def _deva(cast: str) -> list[str]:
+    k, k2 = f"cast(k as {cast})", f"cast(k % 100 as {cast})"
+    return [value.format(k=k, k2=k2) for _, _, value, _ in _DEVA_LINES]
+
+
+def _deva_text(cast: str) -> str:
+    return " || chr(10) || ".join(f"'{before}' || {value} || '{after}'" for (_, before, _, after), value in zip(_DEVA_LINES, _deva(cast), strict=True))
+
+
+_DEVA_SQL = " UNION ALL ".join(
+    f"SELECT k AS doc_id, CAST(instr(text, '{before}' || {value}) - 1 + {len(before)} AS INT) AS start, CAST(instr(text, '{before}' || {value}) - 1 + {len(before)} + length({value}) AS INT) AS \"end\", '{kind}' AS entity_type, {value} AS text, CAST({rule.score} AS DOUBLE) AS score FROM c"
+    for (kind, before, _, _), value, rule in zip(_DEVA_LINES, _deva("varchar"), recognise.HINDI_RULES, strict=True)
+)
+
+
+@query("h_hindi_spans", f"WITH c AS (SELECT c_custkey AS k, {_deva_text('varchar')} AS text FROM (SELECT c_custkey, c_custkey AS k FROM customer)) {_DEVA_SQL}")
+def hindi_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each of the 14 Hindi patterns finds in a text with a line for each."""
+    docs = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"), F.col("c_custkey").alias("k")).select("doc_id", F.expr(_deva_text("string")).alias("text"))
+    return recognise.scan_hindi(docs).select("doc_id", "start", "end", "entity_type", "text", "score")
+
+
 @query("c12_union_languages")
 def c12(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = entities(spark, sf_dir)
@@ -169,6 +202,26 @@ def n13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.carriers(spark, sf_dir).select("doc_id", T.match_key(F.col("text")).alias("key"))
 
 
+#: Labels with wide gaps, line ends of three kinds, and letters that stand for digits.
+_NOISE = "replace(replace(text, ': ', ':' || chr(9) || '  '), 'Mail', chr(13) || chr(10) || chr(10) || chr(10) || 'Mail') || ' 0A B0 l5 7l `x`  ' || chr(13) || ' end ' || chr(10) || ' '"
+_CLEANED = "text"
+for _pattern, _to in [(r"\b0([A-Z])", r"O\1"), (r"([A-Z])0\b", r"\1O"), (r"\bl([0-9])", r"1\1"), (r"([0-9])l\b", r"\g1"), ("`", "chr(39)"), (r"\r\n|\r", "chr(10)"), (r"[ \t]{2,}", "' '")]:
+    _with = _to if _pattern in ("`", r"\r\n|\r", r"[ \t]{2,}") else "'" + _to.replace(r"\g1", r"\11") + "'"
+    _CLEANED = f"regexp_replace({_CLEANED}, '{_pattern}', {_with}, 'g')"
+
+
+@query(
+    "n01_n03_n11_texts",
+    rf"""SELECT doc_id, regexp_replace({_CLEANED}, '^\s+|\s+$', '', 'g') AS cleaned, replace(regexp_replace(regexp_replace(trim(text), '\s*\n\s*|\s{{4,}}', chr(1), 'g'), '\s+', '', 'g'), chr(1), ' ') AS dense,
+        trim(regexp_replace(regexp_replace(regexp_replace(text, '\r\n?', chr(10), 'g'), '[ \t]+', ' ', 'g'), '\n{{3,}}', chr(10) || chr(10), 'g')) AS normalised
+    FROM (SELECT doc_id, {_NOISE} AS text FROM ({C.CARRIER_SQL}))""",
+)
+def n01b(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole texts that the three normalisers make of noisy ones."""
+    noisy = C.carriers(spark, sf_dir).select("doc_id", F.expr(_NOISE).alias("text"))
+    return noisy.select("doc_id", T.clean_ocr(F.col("text")).alias("cleaned"), T.dense(F.col("text")).alias("dense"), T.normalise_ocr(F.col("text")).alias("normalised"))
+
+
 @query("n01_n11_cleaned_and_dense")
 def n01(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "documents").select("doc_id", F.length(T.clean_ocr(F.col("text"))).alias("cleaned"), F.length(T.dense(F.col("text"))).alias("dense"), F.length(T.normalise_ocr(F.col("text"))).alias("normalised"))
@@ -185,7 +238,21 @@ def v05(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), V.card_valid((F.col("o_orderkey") * 7919 + 4000000000000000).cast("string")).alias("valid"))
 
 
-@query("v07_v08_fuzzy")
+_KEYS, _DIGITS = V.AS_DIGIT[0] + "".join(V.OTHER_DIGIT), V.AS_DIGIT[1] + "".join(V.OTHER_DIGIT.values())
+_ONLY_DIGITS = lambda d: f"CASE WHEN regexp_matches({d}, '^[0-9]+$') THEN {d} ELSE '' END"
+_RIGHT = lambda d: f"(length({_ONLY_DIGITS(d)}) = 12 AND coalesce({O.verhoeff(_ONLY_DIGITS(d))} = 0, false))"
+_RIGHT_PAN = lambda p: f"(regexp_matches({p}, '^[A-Z]{{5}}[0-9]{{4}}[A-Z]$') AND list_contains({[h for h in V.HOLDERS if h not in 'KE']}, ({p})[4]))"
+_AS_DIGITS, _AS_LETTERS = (lambda x, t=t: f"translate({x}, '{t[0]}', '{t[1]}')" for t in (V.AS_DIGIT, V.AS_LETTER))
+
+
+@query(
+    "v07_v08_fuzzy",
+    f"""SELECT id, CAST(CASE WHEN {_RIGHT('v')} THEN 1.0 WHEN {_RIGHT('t')} THEN 0.95 WHEN len(list_filter(changed, lambda w: {_RIGHT('w')})) = 1 THEN 0.9 ELSE 0.0 END AS DOUBLE) AS aadhaar,
+        CAST(CASE WHEN {_RIGHT_PAN('p')} THEN 1.0 WHEN {_RIGHT_PAN('f')} THEN 0.92 ELSE 0.0 END AS DOUBLE) AS pan
+    FROM (SELECT *, {_AS_DIGITS('v')} AS t, {_AS_LETTERS('p[1:5]')} || {_AS_DIGITS('p[6:9]')} || {_AS_LETTERS('p[10]')} AS f,
+            list_filter(list_transform(range(1, 13), lambda j: v[1:j - 1] || translate(v[j], '{_KEYS}', '{_DIGITS}') || v[j + 1:]), lambda w: w <> v) AS changed
+        FROM (SELECT c_custkey AS id, translate(CAST(c_custkey * 7919 + 200000000000 AS VARCHAR), '0', 'O') AS v, 'ABC' || substr('PQAK5', CAST(c_custkey % 5 + 1 AS INT), 1) || 'E12' || lpad(CAST(c_custkey % 100 AS VARCHAR), 2, 'O') || 'F' AS p FROM customer))""",
+)
 def v07(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = (F.col("c_custkey") * 7919 + 200000000000).cast("string")
     return read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), V.fuzzy_aadhaar(F.translate(d, "0", "O")).alias("aadhaar"), V.fuzzy_pan(F.concat(F.lit("ABC"), F.substring(F.lit("PQAK5"), (F.col("c_custkey") % 5 + 1).cast("int"), F.lit(1)), F.lit("E12"), F.lpad((F.col("c_custkey") % 100).cast("string"), 2, "O"), F.lit("F"))).alias("pan"))
@@ -254,6 +321,12 @@ def v17(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), V.file_kind(F.element_at(names, (F.col("s_suppkey") % 7 + 1).cast("int"))).alias("kind"))
 
 
+@query("v22_half_even_double", "SELECT o_orderkey AS id, CAST(printf('%.2f', o_orderkey * CAST(0.005 AS DOUBLE)) AS DOUBLE) AS x, CAST(printf('%.4f', o_totalprice / 7) AS DOUBLE) AS y FROM orders")
+def v22b(spark: SparkSession, sf_dir: str) -> DataFrame:
+    price = F.col("o_totalprice").cast("double") / 7.0
+    return read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), V.half_even_double(F.col("o_orderkey") * F.lit(0.005), 2).alias("x"), V.half_even_double(price, 4).alias("y"))
+
+
 @query("v22_half_even", "SELECT o_orderkey AS id, CAST(round_even(CAST(o_orderkey AS DECIMAL(18, 3)) / 8, 2) AS DOUBLE) AS x FROM orders")
 def v22(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), V.half_even((F.col("o_orderkey").cast("decimal(18,3)") / 8).cast("decimal(18,3)"), 2).cast("double").alias("x"))
@@ -403,7 +476,11 @@ def x05(spark: SparkSession, sf_dir: str) -> DataFrame:
     return entities(spark, sf_dir).select("doc_id", "start", policy.rendered(F.col("text"), F.lit("mask")).alias("shown"))
 
 
-@query("x07_x08_rules")
+_RULED = f"""SELECT *, dense_rank() OVER (PARTITION BY doc_id, entity_type ORDER BY f) AS k FROM (SELECT *, min(start) OVER (PARTITION BY doc_id, entity_type, lower(text)) AS f FROM ({_ENTITIES}) WHERE entity_type IN ('PAN_NUMBER', 'EMAIL_ADDRESS'))"""
+_SHOWN = "CASE entity_type WHEN 'PAN_NUMBER' THEN text[1:2] || '****' || right(text, 2) ELSE '[EMAIL_ADDRESS_' || CAST(k AS VARCHAR) || ']' END"
+
+
+@query("x07_x08_rules", f"SELECT doc_id, redacted_text FROM ({O.spliced(C.CARRIER_SQL, _RULED, _SHOWN)})")
 def x07(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame([("PAN_NUMBER", True, "mask"), ("EMAIL_ADDRESS", True, "replace"), ("PHONE_NUMBER", False, "blackout")], "rule_type string, is_active boolean, action string")
     return policy.redact_by_rules(C.carriers(spark, sf_dir), entities(spark, sf_dir), rules)
@@ -415,6 +492,18 @@ def x06(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.filter("type <> 'text'").groupBy("doc_id").agg((2 * F.count("*")).alias("entity_tokens_doubled"))
 
 
+@query(
+    "x06_token_table",
+    f"""WITH d AS ({C.CARRIER_SQL}), e AS ({_ENTITIES}),
+    p AS (SELECT e.*, d.text AS body, lag(e."end", 1, 0) OVER (PARTITION BY e.doc_id ORDER BY e.start) AS before, lead(e.start) OVER (PARTITION BY e.doc_id ORDER BY e.start) IS NULL AS last FROM e JOIN d USING (doc_id)),
+    t AS (SELECT doc_id, 3 * start AS o, 'text' AS type, body[before + 1:start] AS value FROM p UNION ALL SELECT doc_id, 3 * start + 1, entity_type, body[start + 1:"end"] FROM p
+        UNION ALL SELECT doc_id, 3 * start + 2, 'text', body["end" + 1:] FROM p WHERE last UNION ALL SELECT doc_id, 0, 'text', text FROM d WHERE doc_id NOT IN (SELECT doc_id FROM e))
+    SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY o) - 1 AS INT) AS pos, type, value FROM t WHERE value <> ''""",
+)
+def x06b(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return policy.tokens(C.carriers(spark, sf_dir), entities(spark, sf_dir))
+
+
 @query("x10_hash", f"SELECT doc_id, start, sha256(text) AS shown FROM ({_ENTITIES})")
 def x10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return entities(spark, sf_dir).select("doc_id", "start", policy.simple_redaction(F.col("text"), F.col("entity_type"), F.lit("hash")).alias("shown"))
@@ -541,6 +630,41 @@ def k03(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verify.visual_candidates(C.leftovers(spark, sf_dir))
 
 
+_VALUES = f"""SELECT doc_id, regexp_extract(text, '[A-Z]{{5}}[0-9]{{4}}[A-Z]') AS value FROM ({C.CARRIER_SQL}) UNION ALL SELECT doc_id, lpad(CAST(200000000000 + doc_id * 7919 * 104729 % 700000000000 AS VARCHAR), 12, '0') FROM ({C.CARRIER_SQL})"""
+
+
+@query(
+    "e10_residual_values",
+    rf"""SELECT doc_id, value, CASE WHEN there THEN 'CONFIRMED_LEAK' WHEN near IS NOT NULL THEN 'FUZZY_CANDIDATE' ELSE 'CLEAN' END AS status, CASE WHEN there THEN 0 WHEN near IS NOT NULL THEN 1 END AS distance,
+        CASE WHEN there THEN value ELSE near END AS matched
+    FROM (SELECT doc_id, value, contains(body, value) AS there, list_filter(list_transform(range(1, length(body) - length(value) + 2), lambda i: body[i:i + length(value) - 1]), lambda w: levenshtein(w, value) <= 1)[1] AS near
+        FROM ({_VALUES}) JOIN (SELECT doc_id, replace(trim(text), ' ', '') AS body FROM ({C.LEFTOVERS_SQL})) USING (doc_id))""",
+)
+def e10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tax and citizen numbers in what is left of their documents, also with one wrong character."""
+    uid = F.lpad((200000000000 + F.col("doc_id") * 7919 * 104729 % 700000000000).cast("string"), 12, "0")
+    both = F.explode(F.array(F.regexp_extract("text", "[A-Z]{5}[0-9]{4}[A-Z]", 0), uid))
+    return verify.residual_values(C.carriers(spark, sf_dir).select("doc_id", both.alias("value")), C.leftovers(spark, sf_dir))
+
+
+@query(
+    "s06_recognised_pages",
+    r"""WITH w AS (SELECT doc_id, CAST(i - 1 AS BIGINT) AS ord, ws[i] AS text FROM (SELECT doc_id, string_split_regex(text, '\s') AS ws, unnest(range(1, len(string_split_regex(text, '\s')) + 1)) AS i FROM documents)),
+    b AS (SELECT *, ord // 300 AS page, ord * 7 % 110 - 10 AS conf, ord % 10 * 50 AS x, ord % 300 // 10 * 20 AS y, coalesce(sum(length(text) + 1) OVER (PARTITION BY doc_id, ord // 300 ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start_index FROM w WHERE text <> '')
+    SELECT doc_id, page, md5(string_agg(text, ' ' ORDER BY ord)) AS digest, count(*) AS word_count, round(avg(conf) FILTER (conf >= 0), 6) AS mean_conf, CAST(sum(length(regexp_replace(text, '[^\p{L}\p{N}]', '', 'g'))) AS BIGINT) AS alnum,
+        CAST(max(start_index + length(text)) AS BIGINT) AS chars, CAST(min(x) AS DOUBLE) AS x0, CAST(min(y) AS DOUBLE) AS y0, CAST(max(x) + 40 AS DOUBLE) AS x1, CAST(max(y) + 15 AS DOUBLE) AS y1
+    FROM b GROUP BY doc_id, page""",
+)
+def s06(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of documents, laid out ten in a row and thirty rows on a page, as recognition would give them."""
+    words = documents(spark, sf_dir).select("doc_id", F.posexplode(F.split("text", r"\s", -1)).alias("ord", "text"))
+    x, y = F.col("ord") % 10 * 50.0, F.expr("ord % 300 div 10") * 20.0
+    box = F.struct(x.alias("x0"), y.alias("y0"), (x + 40).alias("x1"), (y + 15).alias("y1"))
+    words = words.select("doc_id", F.expr("ord div 300").alias("page"), "ord", "text", (F.col("ord") * 7 % 110 - 10).cast("double").alias("conf"), box.alias("box"))
+    pages = tables.ocr_pages(tables.ocr_blocks(words))
+    return pages.select("doc_id", "page", F.md5("text").alias("digest"), "word_count", F.round("mean_conf", 6).alias("mean_conf"), "alnum", "chars", "box.*")
+
+
 @query("k08_releasable", "SELECT o_orderkey AS job_id FROM orders WHERE o_orderkey % 3 = 0 AND o_orderkey % 2 = 0 AND o_orderkey % 5 <> 0")
 def k08(spark: SparkSession, sf_dir: str) -> DataFrame:
     jobs = read(spark, sf_dir, "orders").selectExpr("o_orderkey as job_id", "if(o_orderkey % 3 = 0, 'COMPLETED', 'FAILED') as status", "if(o_orderkey % 2 = 0, 'VERIFIED', 'UNVERIFIED') as safety_status", "if(o_orderkey % 5 = 0, 'raw/', 'redacted/') || o_orderkey as result_key")
@@ -768,9 +892,11 @@ def e06(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = _boxed(spark, sf_dir)
     half, n = F.floor(F.length("text") / 2).cast("int"), F.length("text")
     side = lambda a, b: F.struct((6.0 * a).alias("x0"), F.col("box.y0"), (6.0 * b).alias("x1"), F.col("box.y1"))
-    first = e.withColumn("box", side(F.lit(0), half)).withColumn("text", F.substr("text", F.lit(1), half)).withColumn("id", 2 * F.col("id"))
-    second = e.filter("doc_id % 3 <> 0").withColumn("box", side(half, n)).withColumn("text", F.substr("text", half + 1, n)).withColumn("id", 2 * F.col("id") + 1)
-    d = first.unionByName(second).drop("is_ocr").withColumn("start", F.lit(None).cast("int")).withColumn("end", F.lit(None).cast("int"))
+    first = F.struct((2 * F.col("id")).alias("id"), F.substr("text", F.lit(1), half).alias("text"), side(F.lit(0), half).alias("box"))
+    second = F.struct((2 * F.col("id") + 1).alias("id"), F.substr("text", half + 1, n).alias("text"), side(half, n).alias("box"))
+    halves = F.explode(F.when(F.col("doc_id") % 3 != 0, F.array(first, second)).otherwise(F.array(first)))
+    nowhere = F.lit(None).cast("int")
+    d = e.select("doc_id", "entity_type", "page", halves.alias("h")).select("doc_id", "entity_type", "page", "h.*", nowhere.alias("start"), nowhere.alias("end"))
     found = boxes.fragments(e, d, boxes.dual_channel(e, d))
     return found.select("doc_id", "e_id", F.size("d_ids").cast("bigint").alias("parts"), "exact")
 
@@ -792,7 +918,12 @@ def e08(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.overall(evaluate.by_type(e, d, evaluate.greedy(e, d))).select("tp", "fp", "fn", F.round("f1", 6).alias("f1"), F.round("macro_f1", 6).alias("macro_f1"))
 
 
-@query("e09_document_rates")
+@query(
+    "e09_document_rates",
+    f"""{_ENT}SELECT avg(CAST(CAST(m < e AS INT) AS DOUBLE)) FILTER (e > 0) AS leak_rate, avg(CAST(CAST(n > 0 AS INT) AS DOUBLE)) FILTER (e = 0) AS false_alarm_rate
+    FROM (SELECT coalesce(e, 0) AS e, coalesce(n, 0) AS n, coalesce(m, 0) AS m FROM ({C.CARRIER_SQL}) d LEFT JOIN (SELECT doc_id, count(*) AS e FROM ({_E}) GROUP BY 1) USING (doc_id)
+        LEFT JOIN (SELECT doc_id, count(*) AS n FROM ({_D}) GROUP BY 1) USING (doc_id) LEFT JOIN (SELECT doc_id, count(*) AS m FROM ({_M}) WHERE iou >= 0.5 GROUP BY 1) USING (doc_id))""",
+)
 def e09(spark: SparkSession, sf_dir: str) -> DataFrame:
     e, d = _sides(spark, sf_dir)
     return evaluate.document_rates(e, d, evaluate.greedy(e, d), C.carriers(spark, sf_dir))
@@ -804,6 +935,57 @@ def e11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.diagnostics(e, d, evaluate.greedy(e, d)).select("doc_id", "entity_type", "start", "kind")
 
 
+_TEMPLATES = ["Name: {name}\nPAN: {pan}", "Mail {email}, call {phone}", "{pan} of {name} ({phone})"]
+_FIELDS = {"name": "'Customer ' || k", "pan": "pan", "email": "'user' || k || '@example.com'", "phone": "'9' || lpad(k, 9, '0')"}
+_MADE = [" || ".join(f"({_FIELDS[x]})" if i % 2 else "'" + x.replace("\n", "' || chr(10) || '") + "'" for i, x in enumerate(re.split(r"\{(\w+)\}", t))) for t in _TEMPLATES]
+
+
+@query(
+    "m07_made_documents",
+    f"WITH c AS (SELECT doc_id, CAST(doc_id AS VARCHAR) AS k, regexp_extract(text, '[A-Z]{{5}}[0-9]{{4}}[A-Z]') AS pan FROM ({C.CARRIER_SQL})), d AS (SELECT *, CASE doc_id % 3 "
+    + " ".join(f"WHEN {i} THEN {m}" for i, m in enumerate(_MADE))
+    + " END AS text FROM c) "
+    + " UNION ALL ".join(
+        f"SELECT doc_id, CAST(instr(text, {_FIELDS[x]}) - 1 AS INT) AS start, CAST(instr(text, {_FIELDS[x]}) - 1 + length({_FIELDS[x]}) AS INT) AS \"end\", '{corpus.FIELD_TYPES[x]}' AS entity_type, {_FIELDS[x]} AS text FROM d WHERE doc_id % 3 = {i}"
+        for i, t in enumerate(_TEMPLATES)
+        for x in re.findall(r"\{(\w+)\}", t)
+    ),
+)
+def m07(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The entities of documents that templates make of customers."""
+    rows = C.carriers(spark, sf_dir).select("doc_id", F.col("doc_id").cast("string").alias("k"), F.regexp_extract("text", "[A-Z]{5}[0-9]{4}[A-Z]", 0).alias("pan"))
+    rows = rows.select("doc_id", *(F.expr(value).alias(field) for field, value in _FIELDS.items()))
+    return corpus.expanded(rows, _TEMPLATES, F.col("doc_id") % 3, "doc_id").select("doc_id", F.explode("entities").alias("e")).select("doc_id", "e.*")
+
+
+@query(
+    "e12_corpus_faults",
+    """WITH d AS (SELECT doc_id, sha256(coalesce(text, '')) AS sha256, CASE WHEN doc_id % 10 = 0 THEN 'hard_negative' ELSE coalesce(lang, 'none') END AS category FROM documents)
+    SELECT fault, CAST(count(DISTINCT id) AS BIGINT) AS n, min(id) AS example FROM (
+        SELECT CAST(doc_id AS VARCHAR) AS id, unnest(list_filter([CASE WHEN count(*) OVER (PARTITION BY sha256) > 1 THEN 'digest twice' END, CASE WHEN doc_id % 50 = 7 THEN 'no file' END, CASE WHEN doc_id % 50 <> 7 AND doc_id % 40 = 3 THEN 'file changed' END,
+            CASE WHEN doc_id % 60 = 9 THEN 'no annotation' END, CASE WHEN doc_id % 100 = 0 THEN 'entities in a hard negative' END, CASE WHEN doc_id % 60 <> 9 AND doc_id % 10 <> 0 AND doc_id % 70 = 5 THEN 'no entities' END,
+            CASE WHEN doc_id % 60 <> 9 AND doc_id % 70 <> 5 AND (doc_id % 10 <> 0 OR doc_id % 100 = 0) AND doc_id % 30 = 11 THEN 'box out of order' END,
+            CASE WHEN doc_id % 60 <> 9 AND doc_id % 70 <> 5 AND (doc_id % 10 <> 0 OR doc_id % 100 = 0) AND doc_id % 90 = 13 THEN 'page out of range' END], lambda x: x IS NOT NULL)) AS fault FROM d
+        UNION ALL SELECT category, 'quota missed' FROM (SELECT category FROM d GROUP BY 1) WHERE category <> 'hard_negative'
+        UNION ALL SELECT 'absent', 'quota missed') GROUP BY fault""",
+)
+def e12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What an audit finds in a corpus whose files and annotations are made of documents, with faults in some."""
+    k = F.col("doc_id")
+    docs = read(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce("lang", F.lit("none")).alias("lang"))
+    sha, name, category = F.sha2("text", 256), F.concat(F.lit("d"), k.cast("string"), F.lit(".txt")), F.when(k % 10 == 0, "hard_negative").otherwise(F.col("lang"))
+    manifest = docs.select(k.alias("id"), name.alias("file_name"), F.lit("A").alias("tier"), category.alias("category"), sha.alias("sha256"))
+    files_ = docs.filter("doc_id % 50 <> 7").select(name.alias("name"), F.when(k % 40 == 3, F.sha2(F.concat("text", F.lit(" ")), 256)).otherwise(sha).alias("sha256"))
+    box = F.struct(F.lit(1.0).alias("x0"), F.lit(1.0).alias("y0"), F.when(k % 30 == 11, 0.5).otherwise(9.0).alias("x1"), F.lit(2.0).alias("y1"))
+    entity = F.struct(F.when(k % 90 == 13, 3).otherwise(1).alias("page_num"), box.alias("box"), F.lit(0).alias("start"), F.lit(4).alias("end"), F.lit(0.9).alias("confidence"))
+    none = F.filter(F.array(entity), lambda e: F.lit(False))
+    some = ((k % 10 != 0) | (k % 100 == 0)) & (k % 70 != 5)
+    notes = docs.filter("doc_id % 60 <> 9").select(k.alias("document_id"), sha.alias("sha256"), F.lit(2).alias("total_pages"), category.alias("category"), F.when(some, F.array(entity)).otherwise(none).alias("entities"))
+    counts = manifest.filter("category = 'hard_negative'").groupBy("category").agg(F.count("*").alias("n"))
+    quotas = counts.union(spark.createDataFrame([("absent", 1)], "category string, n bigint"))
+    return corpus.audited(corpus.corpus_faults(manifest, notes, files_, quotas))
+
+
 # Stateful operators.
 
 

@@ -34,24 +34,39 @@ def rate_limited(events: DataFrame, limit: int, span: float, key: str = "user_id
 
 
 def rate_limited_stream(events: DataFrame, limit: int, span: float, key: str = "user_id", at: str = "ts", id: str = "event_id", late: str = "10 minutes") -> DataFrame:
-    """The same over a stream, with the passed requests of a key's last ``span`` as its state, dropped when idle."""
+    """The same over a stream, with the results of the batch for all events that are not later than ``late``.
+
+    An event waits in its key's state until the watermark has passed it, so that events of any order, also those with equal
+    times in several batches, are admitted by time and id; later ones are dropped.  The state is what waits and the passed
+    requests of the last ``span``, and goes when neither is left.
+    """
     kind = dict(events.dtypes)
 
     def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
+        kept, ids, times = (list(x) for x in state.get) if state.exists else ([], [], [])
+        for rows in batches:
+            ids += rows[id].tolist()
+            times += [t.value // 1000 for t in rows[at]]
+        mark = max(state.getCurrentWatermarkMs(), 0)
+        waiting = sorted(zip(times, ids, strict=True))
+        ready = [w for w in waiting if w[0] <= mark * 1000]
+        waiting = waiting[len(ready) :]
+        allowed, kept = admit([t / 1e6 for t, _ in ready], kept, limit, span)
+        kept = [t for t in kept if t > mark / 1000 - span]
+        if waiting or kept:
+            state.update((kept, [i for _, i in waiting], [t for t, _ in waiting]))
+            due = waiting[0][0] // 1000 if waiting else int((kept[-1] + span) * 1000)
+            state.setTimeoutTimestamp(max(due, mark) + 1)
+        elif state.exists:
             state.remove()
-            return
-        rows = pd.concat(list(batches)).sort_values([at, id])
-        kept = list(state.get[0]) if state.exists else []
-        rows["allowed"], kept = admit([t.timestamp() for t in rows[at]], kept, limit, span)
-        state.update((kept,))
-        state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs(), 0) + int(span * 1000) + 1)
-        yield rows[[key, id, at, "allowed"]]
+        yield pd.DataFrame({key: [k[0]] * len(ready), id: [i for _, i in ready], at: pd.to_datetime([t for t, _ in ready], unit="us"), "allowed": allowed})
 
     return (
         events.withWatermark(at, late)
         .groupBy(key)
-        .applyInPandasWithState(step, f"{key} {kind[key]}, {id} {kind[id]}, {at} {kind[at]}, allowed boolean", "kept array<double>", "append", GroupStateTimeout.EventTimeTimeout)
+        .applyInPandasWithState(
+            step, f"{key} {kind[key]}, {id} {kind[id]}, {at} {kind[at]}, allowed boolean", f"kept array<double>, ids array<{kind[id]}>, times array<long>", "append", GroupStateTimeout.EventTimeTimeout
+        )
     )
 
 
