@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from palimpsest.llm.scratch import trimmed
 from palimpsest.llm.words import Words
 
 #: Texts whose words are cut out together.
@@ -279,6 +280,7 @@ def tokenizer(path: str) -> PairIndexBpe:
     return PairIndexBpe(path)
 
 
+@trimmed
 def _encoded(batches: Iterator[pa.RecordBatch], path: str, decode: bool) -> Iterator[pa.RecordBatch]:
     bpe = tokenizer(path)
     for batch in batches:

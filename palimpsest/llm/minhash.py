@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.llm.components import connected_components, union_find
-from palimpsest.llm.scratch import cut
+from palimpsest.llm.scratch import cut, trimmed
 from palimpsest.llm.words import U, mix, of_text, split_words, windows
 
 SLOTS, BANDS = 512, 64
@@ -116,6 +116,7 @@ def bands_of(sketch: np.ndarray, bands: int) -> np.ndarray:
     return key
 
 
+@trimmed
 def _signatures(batches: Iterator[pa.RecordBatch], k: int, slots: int, bands: int) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for batch in (whole.slice(i, 512) for i in range(0, len(whole), 512)):
@@ -128,6 +129,7 @@ def _signatures(batches: Iterator[pa.RecordBatch], k: int, slots: int, bands: in
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n.astype(np.int64)), *map(pa.array, digest), lists, batch.column(2)], ["row", "n_shingles", "d1", "d2", "bands", "doc_id"])
 
 
+@trimmed
 def _sets(batches: Iterator[pa.RecordBatch], k: int, bits: np.ndarray | None) -> Iterator[pa.RecordBatch]:
     """The sets of rows whose hashed number is in the bitmap (a superset of those asked for)."""
     for batch in batches:
@@ -139,6 +141,7 @@ def _sets(batches: Iterator[pa.RecordBatch], k: int, bits: np.ndarray | None) ->
             yield pa.RecordBatch.from_arrays([some.column(0), pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(some), [None, pa.py_buffer((first * 8).astype(np.int64)), pa.py_buffer(items)]).cast(pa.binary())], ["id", "items"])
 
 
+@trimmed
 def _linked(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     """Pairs whose sets share enough: 100 * intersection >= percent * union."""
     for batch in batches:

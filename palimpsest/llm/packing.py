@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.llm.bpe import tokenizer
-from palimpsest.llm.scratch import cut
+from palimpsest.llm.scratch import cut, trimmed
 
 LENGTH = 2048
 #: Underfull bins that meet in one task, about; more are dealt to several tasks, round by round.
@@ -68,6 +68,7 @@ def _bins(columns: dict[str, np.ndarray], first: np.ndarray, null: np.ndarray, r
     return pa.RecordBatch.from_arrays([pa.array(np.full(bins, node)), pa.array(np.full(bins, level, np.int32)), pa.array(names), pa.array(fill), pa.array(full), pa.ListArray.from_arrays(pa.array(begin.astype(np.int32)), struct)], ["node", "level", "sequence_id", "fill", "full", "items"])
 
 
+@trimmed
 def _tokenised(batches: Iterator[pa.RecordBatch], path: str, end: int, room: int, slack: int) -> Iterator[pa.RecordBatch]:
     """The pieces of a partition's documents, packed among themselves."""
     bpe = tokenizer(path)

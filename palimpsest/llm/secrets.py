@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from palimpsest.llm.scratch import trimmed
 from palimpsest.llm.words import text_bytes
 
 ASSIGN = re.compile(r"""(?a:(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+))""")
@@ -228,6 +229,7 @@ def scan(column: pa.Array) -> Scan:
     return Scan(spans, raw, a[open_], b[open_], owner[open_], start[open_])
 
 
+@trimmed
 def _samples(batches: Iterator[pa.RecordBatch], most: int, longest: int) -> Iterator[pa.RecordBatch]:
     """Labelled credentials and other tokens, those of least hash of each batch, which hold the least of all."""
     for whole in batches:
@@ -309,6 +311,7 @@ def held_out_quality(docs: DataFrame, least_bits: float = LEAST_BITS, sample: in
     return out
 
 
+@trimmed
 def _scored(batches: Iterator[pa.RecordBatch], formats: dict[str, FormatAutomaton], least: float) -> Iterator[pa.RecordBatch]:
     score = _Likeness(formats)
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))

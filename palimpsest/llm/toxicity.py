@@ -14,7 +14,7 @@ from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.scratch import cut
+from palimpsest.llm.scratch import cut, trimmed
 from palimpsest.llm.words import of_text, split_words
 
 #: Insults that count in any corpus; the rest of the lexicon is learned from labels.
@@ -73,6 +73,7 @@ def _parse(column: pa.Array) -> _Parsed:
     return _Parsed(words, of_text(words.first), _LEET[raw], begin, end)
 
 
+@trimmed
 def _stem_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """For each stem the number of toxic and of other texts that hold it."""
     for whole in batches:
@@ -91,6 +92,7 @@ def _stem_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array(s[first]), pa.array(bad), pa.array(n - bad)], ["stem", "bad", "good"])
 
 
+@trimmed
 def _features(batches: Iterator[pa.RecordBatch], lexicon: np.ndarray) -> Iterator[pa.RecordBatch]:
     seeds = np.array(sorted({_stem_of(w, 6) for w in SEEDS}), np.int64)
     second = np.array(sorted({_stem_of(w, 6) for w in SECOND}), np.int64)
