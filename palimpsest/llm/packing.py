@@ -16,6 +16,8 @@ from palimpsest.llm.bpe import tokenizer
 from palimpsest.llm.scratch import cut, trimmed
 
 LENGTH = 2048
+#: Texts that are encoded together.
+TEXTS = 2048
 #: Underfull bins that meet in one task, about; more are dealt to several tasks, round by round.
 HELD = 20_000
 _ITEM = "doc_id long, piece int, start long, length long, ids_crc32 long, offset long"
@@ -74,7 +76,7 @@ def _tokenised(batches: Iterator[pa.RecordBatch], path: str, end: int, room: int
     bpe = tokenizer(path)
     parts: list[dict[str, np.ndarray]] = []
     nulls = []
-    for batch in batches:
+    for batch in (b.slice(i, TEXTS) for b in batches for i in range(0, len(b), TEXTS)):
         ids, first = bpe.encode(batch.column("text").to_pylist())
         ids = np.insert(ids, first[1:], end).astype("<u4")
         first = first + np.arange(len(first))
