@@ -18,15 +18,18 @@ import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache, partial
-from itertools import chain, islice
+from itertools import islice
+from operator import attrgetter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.llm.bpe import _byte_letters, _check
+from palimpsest.llm.scratch import trimmed
 
 MARK = b"palimpsest ids 1"
 #: Bytes of a shard, about: a task holds a file whole, some times over, so executors of much memory may take larger ones.
@@ -37,8 +40,13 @@ _RAISE = 0xA282EAD8
 #: Words whose ids a worker remembers, about.
 _WORDS = 300_000
 _STOPS = ".,;:!?"
+#: Printable words without capitals, apostrophes (which tie letters to what stands before) and marks of special tokens, and
+#: the parts that the tokenizer cuts them into.
+_ASCII = re.compile(r"(?:(?!<\|)[!-&(-@\[-~])+")
+_PARTS = re.compile("[a-z]+|[0-9]|[^a-z0-9]+")
+_ID = attrgetter("id")
 #: Texts that are encoded together.
-_CHUNK = 256
+_CHUNK = 512
 _INDEX = "part long, number long, doc_id long, offset long, length long, start_in_part long, n_tokens long"
 
 
@@ -73,7 +81,7 @@ def payloads(data: bytes | memoryview, checked: bool = True) -> Iterator[tuple[i
 class _Numbers(dict):
     """Numbers of words in the order in which they are first asked for."""
 
-    def __missing__(self, word: bytes) -> int:
+    def __missing__(self, word: str) -> int:
         self[word] = n = len(self)
         return n
 
@@ -93,7 +101,7 @@ class _Encoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.model = self.tokenizer.model
-        self.stops = {c: self.tokenizer.encode(c, add_special_tokens=False).ids for c in _STOPS}
+        self.others: dict[str, list[int]] = {}
         suffix, vocab = told["model"]["end_of_word_suffix"], self.tokenizer.get_vocab()
         self.ends_word = np.zeros(max(vocab.values()) + 1, bool)
         self.ends_word[[i for t, i in vocab.items() if t.endswith(suffix)]] = True
@@ -116,18 +124,25 @@ class _Encoder:
         return np.array([i for g in got for i in g], np.uint32), np.array([len(g) for g in got], np.int64)
 
     def _simple(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The same for words that ``steady`` fits: as normalising leaves them as they are and they are cut at the stop
-        alone, the library's model gets the letters of their bytes."""
-        ids, count = [], []
+        """The same for words that normalising leaves as they are and that are cut between letters, digits and other
+        characters alone: the library's model gets these parts, in the letters of their bytes.  Parts without letters are
+        few and remembered."""
+        ids: list[int] = []
+        ends, tokenize, others = [], self.model.tokenize, self.others
         for w in words:
-            stop = self.stops.get(w[-1])
-            w = w if stop is None else w[:-1]
-            own = [t.id for t in self.model.tokenize(w if w.isascii() else w.encode().decode("latin-1").translate(self.byte_letter))]
-            if stop is not None:
-                own += stop
-            ids += own
-            count.append(len(own))
-        return np.array(ids, np.uint32), np.array(count, np.int64)
+            for part in _PARTS.findall(w) if w.isascii() else (w,) if w.isalpha() else (w[:-1], w[-1]):
+                if part in others:
+                    ids += others[part]
+                    continue
+                own = map(_ID, tokenize(part if part.isascii() else part.encode().decode("latin-1").translate(self.byte_letter)))
+                if part.isalpha():
+                    ids.extend(own)
+                else:
+                    ids += others.setdefault(part, list(own))
+            ends.append(len(ids))
+        if len(others) > 10_000:
+            others.clear()
+        return np.array(ids, np.uint32), np.diff(np.array(ends, np.int64), prepend=0)
 
     def _plain(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The same for words of letters, with a stop behind or without, which the library gets in lines: it cuts them into
@@ -143,8 +158,10 @@ class _Encoder:
     def _learn(self, new: list[str]) -> None:
         kinds: tuple[list[int], ...] = ([], [], [])
         for i, w in enumerate(new):
+            if not w:  # what stands before the first white space of a text
+                continue
             letters = w.isalpha() or (w[-1] in _STOPS and w[:-1].isalpha())
-            kinds[0 if self.steady.fullmatch(w) else 1 if letters else 2].append(i)
+            kinds[0 if self.steady.fullmatch(w) or _ASCII.fullmatch(w) else 1 if letters else 2].append(i)
         told = [(np.array(at, np.int64), *f([new[i] for i in at])) for f, at in zip((self._simple, self._plain, self._words), kinds, strict=True)]
         count = np.zeros(len(new), np.int64)
         for at, _, n in told:
@@ -156,22 +173,23 @@ class _Encoder:
         self.first = np.concatenate([self.first, self.first[-1] + first + count])
         self.ids = np.concatenate([self.ids, ids])
 
-    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of the texts, end to end, and where each one's begin."""
         if len(self.number) > _WORDS:
             self._forget()
         known = len(self.number)
-        raw = [(t or "").encode() for t in texts]
+        texts = texts.fill_null("")
         # Special tokens are told by their case; in other texts capitals of the alphabet need not make words distinct.
-        words = [(t if b"<|" in t else t.lower()).split() for t in raw]
-        sizes = [len(ws) for ws in words]
-        word = np.fromiter(map(self.number.__getitem__, chain.from_iterable(words)), np.int64, sum(sizes))
+        lists = pc.ascii_split_whitespace(pc.if_else(pc.match_substring(texts, "<|"), texts, pc.ascii_lower(texts)))
+        words = lists.flatten().dictionary_encode()
+        number = np.fromiter(map(self.number.__getitem__, words.dictionary.to_pylist()), np.int64, len(words.dictionary))
         if len(self.number) > known:
-            self._learn([w.decode() for w in islice(self.number, known, None)])
+            self._learn(list(islice(self.number, known, None)))
+        word = number[words.indices.to_numpy()]
         count = self.first[word + 1] - self.first[word]
         ends = np.concatenate([[0], np.cumsum(count)])
         ids = self.ids[np.arange(ends[-1]) + np.repeat(self.first[word] - ends[:-1], count)]
-        return ids, ends[np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])]
+        return ids, ends[np.concatenate([[0], np.cumsum(np.asarray(lists.value_lengths()), dtype=np.int64)])]
 
 
 @lru_cache(2)
@@ -180,6 +198,7 @@ def _encoder(path: str) -> _Encoder:
     return _Encoder(path)
 
 
+@trimmed
 def _shards(batches: Iterator[pa.RecordBatch], path: str, end: int, most: int) -> Iterator[pa.RecordBatch]:
     """The shards of one part, whose documents come in order."""
     encoder, part = _encoder(path), TaskContext.get().partitionId()
@@ -193,7 +212,7 @@ def _shards(batches: Iterator[pa.RecordBatch], path: str, end: int, most: int) -
     for batch in batches:
         for i in range(0, len(batch), _CHUNK):
             some = batch.slice(i, _CHUNK)
-            ids, first = encoder.encode(some.column("text").to_pylist())
+            ids, first = encoder.encode(some.column("text"))
             ids = np.insert(ids, first[1:], end)
             first = first + np.arange(len(first))
             for name, a, b in zip(some.column("doc_id").to_pylist(), first.tolist(), first[1:].tolist(), strict=False):
@@ -223,6 +242,7 @@ def _place(body: memoryview) -> tuple[int, int, int]:
     return struct.unpack_from("<qqq", body, len(MARK))
 
 
+@trimmed
 def _read(batches: Iterator[pa.RecordBatch], ids: bool) -> Iterator[pa.RecordBatch]:
     """The documents of shard files, with their ids (and all checksums verified) or only their places."""
     for batch in batches:
