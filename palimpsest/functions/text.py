@@ -153,27 +153,25 @@ def words(text: Column) -> Column:
     return F.when(F.trim(text) == "", 0).otherwise(F.size(F.split(F.trim(text), r"\s+")))
 
 
+_RANGE = r"^\d+(\s*-\s*\d+)?$"
+
+
+def _ranges(selection: Column) -> Column:
+    """(low, high) of the parts of a selection: null where a part is no number or range, or beyond 64 bits."""
+    part = lambda p, i: F.trim(F.coalesce(F.get(F.split(p, "-"), F.lit(i)), p)).try_cast("bigint")
+    said = lambda p: F.when(F.rlike(p, F.lit(_RANGE)), F.struct(part(p, 0).alias("low"), part(p, 1).alias("high")))
+    return F.transform(F.split(selection, ","), lambda p: said(F.trim(p)))
+
+
 def selected_pages(selection: Column, pages: Column) -> Column:
     """Pages of "all" or "1,3,5-7"; parts that are no numbers are skipped, others clipped to the document."""
-    parts = F.transform(F.split(selection, ","), lambda p: F.trim(p))
-    lists = F.transform(
-        F.filter(parts, lambda p: F.rlike(p, F.lit(r"^\d+(\s*-\s*\d+)?$"))),
-        lambda p: (lambda a, b: F.when(a <= b, F.sequence(a, b)).otherwise(F.array().cast("array<int>")))(
-            F.split(p, "-")[0].cast("int"), F.trim(F.coalesce(F.get(F.split(p, "-"), F.lit(1)), p)).cast("int")
-        ),
-    )
-    chosen = F.array_sort(F.array_distinct(F.filter(F.flatten(lists), lambda n: (n >= 1) & (n <= pages))))
-    return F.when(F.lower(F.trim(selection)) == "all", F.sequence(F.lit(1), pages)).otherwise(chosen)
+    clip = lambda r: F.struct(F.greatest(r.low, F.lit(1)).alias("low"), F.least(r.high, pages.cast("bigint")).alias("high"))
+    held = F.filter(F.transform(F.filter(_ranges(selection), lambda r: r.low.isNotNull() & r.high.isNotNull()), clip), lambda r: r.low <= r.high)
+    chosen = F.array_sort(F.array_distinct(F.flatten(F.transform(held, lambda r: F.sequence(r.low.cast("int"), r.high.cast("int"))))))
+    return F.when(F.lower(F.trim(selection)) == "all", F.when(pages >= 1, F.sequence(F.lit(1), pages)).otherwise(F.array().cast("array<int>"))).otherwise(chosen)
 
 
 def strict_pages(selection: Column, pages: Column) -> Column:
     """As ``selected_pages``, but null if any part is no page or range of the document."""
-    parts = F.transform(F.split(selection, ","), lambda p: F.trim(p))
-    good = F.forall(
-        parts,
-        lambda p: F.rlike(p, F.lit(r"^\d+(\s*-\s*\d+)?$"))
-        & (F.split(p, "-")[0].cast("int") >= 1)
-        & (F.trim(F.coalesce(F.get(F.split(p, "-"), F.lit(1)), p)).cast("int") <= pages)
-        & (F.split(p, "-")[0].cast("int") <= F.trim(F.coalesce(F.get(F.split(p, "-"), F.lit(1)), p)).cast("int")),
-    )
-    return F.when(good, selected_pages(selection, pages))
+    good = F.forall(_ranges(selection), lambda r: F.coalesce((r.low >= 1) & (r.high <= pages) & (r.low <= r.high), F.lit(False)))
+    return F.when(good | (F.lower(F.trim(selection)) == "all"), selected_pages(selection, pages))

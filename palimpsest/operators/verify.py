@@ -233,6 +233,12 @@ def residual_values(values: DataFrame, texts: DataFrame) -> DataFrame:
     return rows.select("doc_id", "value", status.alias("status"), F.when(F.col("there"), 0).when(F.col("near").isNotNull(), 1).alias("distance"), F.when(F.col("there"), F.col("v")).otherwise(F.col("near")).alias("matched"))
 
 
+def leak_verdict(redacted: DataFrame, entities: DataFrame) -> DataFrame:
+    """(doc_id, leak_type, text) of all checks of texts: residual patterns, spread numbers and ends of known entities."""
+    ends = fragments(entities, redacted).select("doc_id", F.col("entity_type").alias("leak_type"), "text")
+    return residual_patterns(redacted).unionByName(dense_leaks(redacted)).unionByName(ends)
+
+
 def geometry_leaks(entities: DataFrame, words: DataFrame) -> DataFrame:
     """(doc_id, page, start, leak) of redacted boxes that do not hide their entity.
 

@@ -143,9 +143,3 @@ def union_languages(first: DataFrame, second: DataFrame, margin: float = 0.05) -
         return F.struct(F.greatest(acc.reach, F.when(free | better, e.end).otherwise(acc.reach)).alias("reach"), kept.alias("kept"))
 
     return grouped.select("doc_id", F.explode(F.aggregate("es", zero, step, lambda acc: acc.kept)).alias("e")).select("doc_id", "e.*")
-
-
-def without_overlaps(rows: DataFrame, known: DataFrame) -> DataFrame:
-    """Rows whose span meets no span of ``known`` in the same document."""
-    k = known.select(F.col("doc_id").alias("k"), F.col("start").alias("s0"), F.col("end").alias("e0"))
-    return rows.join(k, (F.col("doc_id") == F.col("k")) & (F.col("start") < F.col("e0")) & (F.col("end") > F.col("s0")), "left_anti")

@@ -38,7 +38,7 @@ def read_documents(spark: SparkSession, path: str, extractors: dict[str, Extract
 
     Texts are UTF-8 with wrong bytes left out; word-processor files are read here, other binary formats by
     ``extractors`` (bytes to text).  A format without one, a file that is too long or can't be read has an error and a
-    null text: it fails closed and never passes as it is.
+    null text: it fails closed and never passes as it is.  Files without a byte are not listed, as Spark reads none of them.
     """
     known: dict[str, Extractor] = {"docx": docx_text} | (extractors or {})
     plain = ("text", "csv", "json", "md")

@@ -105,9 +105,3 @@ def volume(events: DataFrame, size: str = "1 day", at: str = "ts", late: str | N
 def sessions(events: DataFrame, gap: str = "30 minutes", key: str = "user_id", at: str = "ts") -> DataFrame:
     """(key, start, end, n) of runs of events without a longer pause."""
     return events.groupBy(key, F.session_window(at, gap)).agg(F.count("*").alias("n")).select(key, F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "n")
-
-
-def retries(deliveries: DataFrame, waits: tuple[int, ...] = (10, 30)) -> DataFrame:
-    """Failed deliveries (id, attempt, status, at) that may be tried again, and when."""
-    due = F.when(F.col("attempt") == 1, waits[0]).when(F.col("attempt") == 2, waits[1])
-    return deliveries.filter("status = 'failed'").withColumn("wait", due).filter(F.col("wait").isNotNull()).withColumn("due", F.timestamp_micros(F.unix_micros(F.col("at").cast("timestamp")) + F.col("wait") * 1_000_000))
