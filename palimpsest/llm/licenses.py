@@ -109,12 +109,33 @@ KNOWN = {
 }
 
 
-#: A line that states a copyright: the word or sign with a year, a place for one or "(c)", or a holder and a year at its
-#: end, or the rights reserved.  Sentences of a licence that happen to begin with the word stay.
+_OTHER = r"[^\p{L}\p{N}]"
+_MARK = rf"(?:{_OTHER}*(?:copyright|©|c\)))+"
+#: A line of small letters that may state a copyright: marks and a year, or a place for one, and what follows; marks, a
+#: holder and a year at the end; the sign and a holder of five words at most; or the rights reserved.
 _STATEMENT = (
-    r"^[^\n\p{L}\p{N}©]*(?:copyright[^\n\p{L}\p{N}]*(?:[0-9]{4}|c\)|©|year|yyyy)[^\n]*|©[^\n]*|c\)[^\n\p{L}\p{N}]*[0-9]{4}[^\n]*"
-    r"|copyright[^\n]*[ ,](?:19|20)[0-9]{2}[^\n\p{L}\p{N}]*|all rights reserved[^\n\p{L}\p{N}]*)$"
+    rf"^(?:{_MARK}{_OTHER}*(?:[0-9]{{4}}|year|yyyy)(?:{_OTHER}.{{0,120}})?|{_MARK}{_OTHER}+.{{1,100}}[ ,](?:19|20)[0-9]{{2}}{_OTHER}*"
+    rf"|{_OTHER}*(?:©|copyright{_OTHER}*(?:©|c\))){_OTHER}*(?:[\p{{L}}\p{{N}}]+(?:{_OTHER}+|$)){{1,5}}|{_OTHER}*all rights reserved{_OTHER}*)$"
 )
+#: Words of sentences, which no statement of years and a holder has (fixed values).
+_SENTENCE = (
+    r"(?:^|[^a-z])(?:must|shall|should|would|cannot|could|is|are|was|were|be|been|has|have|not|no|any|if|pay|paid|use|used|using|permitted|granted|provided|required|subject|"
+    r"distribute|distributed|copy|copied|modify|modified|notice|notices|permission|fee|fees|terms|conditions|agree|agrees|grant|revoke|lists|holders|owners|users|you|we|they|anyone|"
+    r"licensee|licensees)(?:[^a-z]|$)"
+)
+#: Texts with none of these have no statement.
+_MENTION = r"copyright|©|c\)|all rights reserved"
+#: A line that is a licence's title.
+_TITLE = (
+    rf"^{_OTHER}*(?:the )?(?:mit|expat|isc|zlib|zlib/libpng|0bsd|(?:simplified |new |modified |revised )?bsd(?:[ -][23][ -]clause)?|[23][ -]clause bsd) licen[cs]e"
+    rf"(?: \((?:mit|expat|isc|zlib|0bsd|bsd[ -]?[23]?(?:[ -]clause)?)\))?{_OTHER}*$"
+)
+#: Sentences that name a holder, in words parted by single spaces, and what is written for them (fixed values).
+_HOLDERS = [
+    (r"neither the names? of (?:[\p{L}\p{N}]+ ){1,12}?nor the names of (?:its|their|the) contributors", "neither the name of the copyright holder nor the names of its contributors"),
+    (r"provided by (?:[\p{L}\p{N}]+ ){1,12}?and contributors as is", "provided by the copyright holders and contributors as is"),
+    (r"in no event shall (?:[\p{L}\p{N}]+ ){1,12}?or contributors be liable", "in no event shall the copyright holder or contributors be liable"),
+]
 #: What numbers the items of a list.
 _ITEM = r"^[^\n\p{L}\p{N}]*(?:[0-9]{1,2}|[a-z])[.)][ \t]+"
 _MARKS = r"[^\p{L}\p{N}]+"
@@ -123,11 +144,19 @@ _WORD = "licen[cs]e"
 
 
 def canonical(text: Column) -> Column:
-    """Lower case without copyright statements, list marks and punctuation, words parted by single spaces, equivalent spellings made one."""
+    """Lower case without copyright statements, titles, list marks and punctuation, words parted by single spaces, equivalent
+    spellings made one, and holders that a sentence names written as one.
+
+    A line is a statement if it has marks, years and a holder alone; one with a word of a sentence is a part of the text."""
     out = F.lower(F.coalesce(text, F.lit("")))
-    for pattern, to in (("(?md)" + _STATEMENT, ""), ("(?md)" + _ITEM, ""), (_MARKS, " ")):
+    matches = lambda line, p: F.rlike(line, F.lit(p))
+    kept = F.filter(F.split(out, "\n", -1), lambda line: ~matches(line, _TITLE) & (~matches(line, _STATEMENT) | matches(line, _SENTENCE)))
+    out = F.when(matches(out, f"{_MENTION}|licen[cs]e"), F.array_join(kept, "\n")).otherwise(out)
+    for pattern, to in (("(?md)" + _ITEM, ""), (_MARKS, " ")):
         out = F.regexp_replace(out, pattern, to)
     out = F.trim(out)
+    for pattern, to in _HOLDERS:
+        out = F.regexp_replace(out, pattern, to)
     for old, new in SPELLINGS:
         out = F.replace(out, F.lit(old), F.lit(new))
     return out
@@ -166,9 +195,12 @@ def scan_licenses(docs: DataFrame, known: DataFrame, text: str = "text") -> Data
 def canonical_sql(text: str) -> str:
     """``canonical`` as DuckDB SQL."""
     out = f"lower(coalesce({text}, ''))"
-    for pattern, to in (("(?m)" + _STATEMENT, ""), ("(?m)" + _ITEM, ""), (_MARKS, " ")):
+    out = f"array_to_string(list_filter(string_split({out}, chr(10)), lambda line: NOT regexp_matches(line, '{_TITLE}') AND (NOT regexp_matches(line, '{_STATEMENT}') OR regexp_matches(line, '{_SENTENCE}'))), chr(10))"
+    for pattern, to in (("(?m)" + _ITEM, ""), (_MARKS, " ")):
         out = f"regexp_replace({out}, '{pattern}', '{to}', 'g')"
     out = f"trim({out})"
+    for pattern, to in _HOLDERS:
+        out = f"regexp_replace({out}, '{pattern}', '{to}', 'g')"
     for old, new in SPELLINGS:
         out = f"replace({out}, '{old}', '{new}')"
     return out

@@ -229,3 +229,27 @@ def test_pipeline_stages_on_nulls_and_empty_tables(spark, tmp_path):
     # Near duplicates and toxicity keep all; the passage goes wherever it stands, and with it a text of nothing else.
     assert got == {1: None, 2: "", 3: own(3), 4: own(4), 5: "see [SECRET]", None: "no id"}
     assert {r.doc_id for r in docs.collect()} == set(got)
+
+
+@pytest.mark.parametrize(
+    "line",
+    [
+        "Copyright holders may revoke this grant at any time after 31 December 2030.", "c) 2020 and later users must pay a fee.", "© holders: no commercial use of any kind.", "Copyright year lists must be published and fees paid.",
+        "Copyright 2020 notices must be paid for", "(c) You pay in 2030", "The MIT license does not apply here", "BSD license fees apply",
+    ],
+)
+def test_sentences_are_no_statements(spark, line):
+    docs = spark.createDataFrame([(i, f"{head}{k}", n) for i, (n, k) in enumerate(licenses.KNOWN.items()) for head in (f"{line}\n", f"Copyright (c) 2020 Ann\n{line}\n")], "doc_id bigint, text string, known string")
+    assert licenses.scan_licenses(docs, licenses.known_licenses(spark)).filter("license_id is not null").count() == 0
+
+
+def test_titles_statements_and_holders_are_no_part_of_a_text(spark):
+    k = licenses.KNOWN
+    mit, bsd = k["MIT"].removeprefix("MIT License\n\n"), k["BSD-3-Clause"]
+    named = bsd.replace("the copyright holder nor", "Acme Widgets, Inc. nor").replace("COPYRIGHT HOLDERS AND CONTRIBUTORS", "REGENTS OF THE UNIVERSITY AND CONTRIBUTORS").replace("THE COPYRIGHT HOLDER OR", "ACME WIDGETS INC. OR")
+    assert named != bsd and mit != k["MIT"]
+    heads = ["", "The MIT License (MIT)\n\n", "MIT Licence\nCopyright (c) 2019-2021, 2023 Ann Lee <ann@example.org>\n", "Copyright © Acme Corp. 2020\n", "© Acme Inc.\n", "(c) 2020 by The Authors. All rights reserved.\n", "Copyright (c) <year> <owner>\nAll rights reserved\n", "Copyright (C) 1999, 2000 the Foo Project and contributors\n"]
+    cases = [(h + mit, "MIT") for h in heads] + [(named, "BSD-3-Clause"), ("BSD 3-Clause License\n\nCopyright (c) 2020, Ann\n" + named, "BSD-3-Clause"), ("New BSD License\n" + bsd.upper(), "BSD-3-Clause"), ("MIT License", None), (mit.replace("AUTHORS OR COPYRIGHT HOLDERS", "USERS"), None)]
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "doc_id bigint, text string")
+    got = {r.doc_id: r.license_id for r in licenses.scan_licenses(docs, licenses.known_licenses(spark)).collect()}
+    assert got == {i: want for i, (_, want) in enumerate(cases)}
