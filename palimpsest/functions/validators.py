@@ -126,7 +126,7 @@ def fuzzy_pan(value: Column) -> Column:
 
 def in_compound(before: Column, after: Column) -> Column:
     """Whether a value is a part of a longer code, as a letter or digit stands before or after it, hyphens between."""
-    return F.rlike(before, F.lit("[A-Za-z0-9]-*$")) | F.rlike(after, F.lit("^-*[A-Za-z0-9]"))
+    return F.rlike(before, F.lit(r"[A-Za-z0-9]-*\z")) | F.rlike(after, F.lit("^-*[A-Za-z0-9]"))
 
 
 def half_even(x: Column, places: int) -> Column:

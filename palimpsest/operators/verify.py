@@ -8,40 +8,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.functions import validators as V
-from palimpsest.functions.spans import matched, spans, stage
+from palimpsest.functions.spans import DIGIT, matched, scanned, stage
 from palimpsest.operators.spatial import box_join, envelope
 
 #: What must not be left in a redacted text (fixed values).
 RESIDUAL = {
-    "EMAIL_ADDRESS": r"\b[a-zA-Z0-9._%+\-]+@[a-zA-Z0-9.\-]+\.[a-zA-Z]{2,}\b",
-    "PAN_NUMBER": r"\b[A-Z]{5}[0-9]{4}[A-Z]\b",
-    "AADHAAR_NUMBER": r"\b[2-9][0-9]{3}[\s\-]?[0-9]{4}[\s\-]?[0-9]{4}\b",
-    "CREDIT_CARD": r"\b[0-9]{13,19}\b",
-    "PHONE_NUMBER": r"\b[6-9][0-9]{9}\b",
+    "EMAIL_ADDRESS": r"[a-zA-Z0-9_.+-]+@[a-zA-Z0-9-]+\.[a-zA-Z0-9-.]+",
+    "PAN_NUMBER": r"(?i)[A-Z]{5}[0-9]{4}[A-Z]",
+    "AADHAAR_NUMBER": r"\b\d{4}[ -]?\d{4}[ -]?\d{4}\b",
+    "CREDIT_CARD": r"\b(?:\d[ -]*?){13,19}\b",
+    "PHONE_NUMBER": r"\b(?:\+?91[-. ]?)?[6789]\d{9}\b",
 }
 
 
 BOX = "struct<x0:double,y0:double,x1:double,y1:double>"
 
 
-def _leak(kind: str, text):  # noqa: ANN001, ANN202
-    return lambda x: F.struct(F.lit(kind).alias("leak_type"), text(x).alias("text"))
-
-
-def residual_patterns(redacted: DataFrame, allowed: DataFrame | None = None) -> DataFrame:
-    """(doc_id, leak_type, text): patterns left in ``redacted`` (doc_id, text); cards only if their check digit is right.
-
-    ``allowed`` (doc_id, text) are spans that a reviewer rejected, which may stay.
-    """
-    every = [F.transform(spans(F.col("text"), p), _leak(k, lambda s: s.text)) for k, p in RESIDUAL.items()]
-    rows = redacted.filter(F.col("text").isNotNull()).select("doc_id", F.explode(F.flatten(F.array(*every))).alias("l")).select("doc_id", "l.*")
-    rows = rows.filter((F.col("leak_type") != "CREDIT_CARD") | V.card_valid(F.col("text")))
-    if allowed is None:
-        return rows
-    may = allowed.select(F.col("doc_id"), F.lower("text").alias("v")).distinct()
-    return rows.withColumn("v", F.lower("text")).join(may, ["doc_id", "v"], "left_anti").drop("v")
-
-
 #: White space, also beyond ASCII, and characters that recognition takes for digits or letters (fixed values).
 SPACE = r"[\s\x1c-\x1f\x85\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 FOR_DIGITS, FOR_LETTERS = "OoIiLlSsBbZzGgQq", "01582693"
@@ -69,6 +51,19 @@ def _unless_allowed(rows: DataFrame, allowed: DataFrame | None, shown: Column, k
     return rows.join(may, (F.col("doc_id") == F.col("_d")) & (key(shown) == F.col("_v")), "left_anti")
 
 
+def residual_patterns(redacted: DataFrame, allowed: DataFrame | None = None) -> DataFrame:
+    """(doc_id, leak_type, text): patterns left in ``redacted`` (doc_id, text): tax numbers in any case that are no part of a
+    longer code, and cards, also in groups, only if their check digit is right.  ``allowed`` (doc_id, text) are spans that
+    a reviewer rejected, which may stay.  Texts are read once for all patterns."""
+    heads = [F.struct(F.lit(kind).alias("leak_type")) for kind in RESIDUAL]
+    needs = {"EMAIL_ADDRESS": "@"}
+    rows = scanned(redacted.select("doc_id", "text"), heads, [("(?U)" + p, 0, None, needs.get(kind, DIGIT)) for kind, p in RESIDUAL.items()], HYPHENS)
+    kind, digits = F.col("head.leak_type"), F.regexp_replace("value", r"(?U)\D", "")
+    good = F.when(kind == "PAN_NUMBER", ~V.in_compound(F.col("before"), F.col("after"))).when(kind == "CREDIT_CARD", V.card_valid(digits)).otherwise(True)
+    rows = rows.filter(good).select("doc_id", "head.leak_type", F.trim("value").alias("text"))
+    return _unless_allowed(rows, allowed, F.col("text"), lambda t: F.lower(F.trim(t)))
+
+
 def dense_leaks(redacted: DataFrame, allowed: DataFrame | None = None) -> DataFrame:
     """(doc_id, leak_type, text): tax and citizen numbers whose characters are spread by more than two blanks.
 

@@ -542,8 +542,10 @@ def _redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _REDACTED = f"SELECT doc_id, redacted_text AS text FROM ({_sql['x03_typed_placeholders']})"
+_CODE = r"""regexp_matches(body[:start], '[A-Za-z0-9]-*$') OR regexp_matches(body["end" + 1:], '^-*[A-Za-z0-9]')"""
+_GOOD = {"CREDIT_CARD": O.luhn("regexp_replace(value, '[^0-9]', '', 'g')") + " % 10 = 0", "PAN_NUMBER": f"NOT ({_CODE})"}
 _LEAKS = f"WITH red AS MATERIALIZED ({_REDACTED}) " + " UNION ALL ".join(
-    f"SELECT doc_id, {O.lit(k)} AS leak_type, value AS text FROM ({O.spans('SELECT doc_id, text FROM red', recognise.Rule(k, k, p, 1.0))})" + (f" WHERE {O.luhn('value')} % 10 = 0" if k == "CREDIT_CARD" else "") for k, p in verify.RESIDUAL.items()
+    f"SELECT doc_id, {O.lit(k)} AS leak_type, trim(value) AS text FROM ({O.spans('SELECT doc_id, text FROM red', recognise.Rule(k, k, p, 1.0))}) WHERE {_GOOD.get(k, 'true')}" for k, p in verify.RESIDUAL.items()
 )
 
 

@@ -62,6 +62,24 @@ def test_spread_numbers(spark):
     assert verify.dense_leaks(docs, spark.createDataFrame([(0, "abcde1234f"), (6, "x")], DOCS)).filter("doc_id in (0, 6)").count() == 1
 
 
+def test_patterns_that_are_left(spark):
+    texts = [
+        f"PAN {PAN}", f"line 9\n{PAN}\nnext", PAN.lower(), f"SKU-{PAN}", f"{PAN}--01", f"X{PAN}", f"-{PAN}-", "id 1234 5678 9012", "id 1234-56789012", "4532 0151 1283 0366", "4532015112830367", "call +91-9876543210 or 5876543210",
+        "to a.b+c@x-y.co.in.", "none", "", None, "१२३४ ५६७८ ९०१२",
+    ]
+    docs = spark.createDataFrame(list(enumerate(texts)), DOCS)
+    got = {i: [] for i in range(len(texts))}
+    for r in verify.residual_patterns(docs).collect():
+        got[r.doc_id].append((r.leak_type[:3], r.text))
+    got = {i: sorted(v) for i, v in got.items() if v}
+    assert got == {
+        0: [("PAN", PAN)], 1: [("PAN", PAN)], 2: [("PAN", PAN.lower())], 6: [("PAN", PAN)], 7: [("AAD", "1234 5678 9012")], 8: [("AAD", "1234-56789012")], 9: [("AAD", "4532 0151 1283"), ("CRE", "4532 0151 1283 0366")],
+        11: [("PHO", "91-9876543210")], 12: [("EMA", "a.b+c@x-y.co.in.")], 16: [("AAD", "१२३४ ५६७८ ९०१२")],
+    }
+    may = spark.createDataFrame([(0, f" {PAN.lower()} "), (7, "1234 5678"), (9, "4532 0151 1283 0366")], DOCS)
+    assert sorted((r.doc_id, r.leak_type[:3]) for r in verify.residual_patterns(docs, may).collect() if r.doc_id in (0, 7, 9)) == [(7, "AAD"), (9, "AAD")]
+
+
 def ends(spark, entities, words=(), pages=(), texts=()):
     e = spark.createDataFrame(entities, f"doc_id bigint, entity_type string, text string, status string, page int, box {BOX}")
     w = spark.createDataFrame(list(words), f"doc_id bigint, page int, ord int, text string, box {BOX}")
