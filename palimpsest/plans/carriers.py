@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from palimpsest.functions.spans import stage
+
 
 def _text(div: str, k: str = "k") -> str:
     """SQL of a document's text; ``div`` is the operator of integer division."""
@@ -88,7 +90,8 @@ def _leftovers(div: str) -> str:
 def leftovers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, text) for each customer."""
     uid = F.lpad((200000000000 + F.col("doc_id") * 7919 * 104729 % 700000000000).cast("string"), 12, "0")
-    rows = carriers(spark, sf_dir).select(F.col("doc_id").alias("k"), F.regexp_extract("text", "[A-Z]{5}[0-9]{4}[A-Z]", 0).alias("pan"), uid.alias("uid"))
+    # Both values stand in the text's expression many times.
+    rows = stage(carriers(spark, sf_dir).withColumn("k", F.col("doc_id")), ["k"], pan=F.regexp_extract("text", "[A-Z]{5}[0-9]{4}[A-Z]", 0), uid=uid)
     return rows.select(F.col("k").alias("doc_id"), F.expr(_leftovers("div")).alias("text"))
 
 
