@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.functions import validators as V
+from palimpsest.functions.spans import stage
+from palimpsest.operators.spatial import box_join
 
 #: Headers by type, in the order in which they are looked for, and headers of other columns (fixed values).
 HEADERS = {
@@ -81,21 +83,21 @@ def below_headers(blocks: DataFrame, margin: float = 15.0, widest: float = 2.2)
     centre within the header's sides and ``margin``, and it is at most ``widest`` times as wide; of several headers the
     nearest counts.
     """
-    heads = blocks.withColumn("t", header_type(F.col("text"))).filter(F.col("t").isNotNull()).select("doc_id", "page", F.col("block").alias("h"), "t", F.col("box").alias("hb"))
+    heads = stage(blocks, ["doc_id", "page", "block", "box"], t=header_type(F.col("text"))).filter(F.col("t").isNotNull()).select("doc_id", "page", F.col("block").alias("h"), "t", F.col("box").alias("hb"))
     b, h = F.col("box"), F.col("hb")
     mid = (b.x0 + b.x1) / 2
     fits = (b.y0 > h.y1) & mid.between(h.x0 - margin, h.x1 + margin) & ((b.x1 - b.x0) <= (h.x1 - h.x0) * widest) & valid_cell(F.col("t"), F.col("text"))
-    found = blocks.join(heads, ["doc_id", "page"]).filter(fits)
+    # All that lies below a header within its sides and the margin.
+    stripe = F.struct((h.x0 - margin).alias("x0"), h.y1.alias("y0"), (h.x1 + margin).alias("x1"), F.lit(1e12).alias("y1"))
+    found = box_join(blocks, heads.withColumn("stripe", stripe), ["doc_id", "page"], "box", "stripe").filter(fits)
     return found.groupBy("doc_id", "page", "block").agg(F.max_by("t", F.struct(F.col("hb.y1"), -F.col("h"))).alias("entity_type"))
 
 
 def uncovered(found: DataFrame, blocks: DataFrame, entities: DataFrame) -> DataFrame:
     """Blocks of ``found`` (doc_id, page, block, entity_type) that no entity (doc_id, page, box) covers, with their text."""
     rows = found.join(blocks.select("doc_id", "page", "block", "text", "box"), ["doc_id", "page", "block"])
-    known = entities.select(F.col("doc_id").alias("d"), F.col("page").alias("p"), F.col("box").alias("k"))
-    b, k = F.col("box"), F.col("k")
-    meets = (F.col("doc_id") == F.col("d")) & (F.col("page") == F.col("p")) & (b.x0 < k.x1) & (b.x1 > k.x0) & (b.y0 < k.y1) & (b.y1 > k.y0)
-    return rows.join(known, meets, "left_anti")
+    covered = box_join(rows, entities.select("doc_id", "page", F.col("box").alias("k")), ["doc_id", "page"], "box", "k").select("doc_id", "page", "block").distinct()
+    return rows.join(covered, ["doc_id", "page", "block"], "left_anti")
 
 
 #: Types that a header's type replaces, and header types that do (fixed values).

@@ -112,3 +112,17 @@ def test_all_checks_of_a_text(spark):
     entities = spark.createDataFrame([(3, "PAN_NUMBER", "XYZPE1234F"), (4, "PAN_NUMBER", "XYZPE1234F")], "doc_id bigint, entity_type string, text string")
     got = sorted({(r.doc_id, r.leak_type, r.text) for r in verify.leak_verdict(docs, entities).collect()})
     assert got == [(1, "PAN_NUMBER", "ABCPE1234F"), (2, "PAN_NUMBER", "A B C P E 1 2 3 4 F"), (3, "EMAIL_ADDRESS", "m@x.org")]
+
+
+def test_cells_below_headers(spark):
+    at = lambda x, y, w=60.0: (float(x), float(y), float(x) + w, float(y) + 10)
+    rows = [
+        (1, 1, 0, "Mobile", at(100, 0)), (1, 1, 1, "9876543210", at(100, 20)), (1, 1, 2, "9876543210", at(144, 40)), (1, 1, 3, "9876543210", at(146, 60)), (1, 1, 4, "9876543210", at(90, 80, 140.0)), (1, 1, 5, "soon", at(100, 100)),
+        (1, 1, 6, "Account", at(100, 200)), (1, 1, 7, "123456789", at(100, 900)), (1, 2, 8, "9876543210", at(100, 20)), (1, 1, 9, "9876543210", at(100, 5)), (2, 1, 0, "9876543210", at(100, 20)), (1, 1, 10, "9876543210", None),
+    ]
+    blocks = spark.createDataFrame(rows, "doc_id int, page int, block int, text string, box struct<x0:double,y0:double,x1:double,y1:double>")
+    found = tables.below_headers(blocks)
+    # Beside the stripe's edge, too wide, no number, above the header's end, or on another page: none.
+    assert sorted((r.block, r.entity_type) for r in found.collect()) == [(1, "PHONE_NUMBER"), (2, "PHONE_NUMBER"), (7, "BANK_ACCOUNT")]
+    known = spark.createDataFrame([(1, 1, at(155, 25)), (1, 2, at(144, 40)), (1, 1, None)], "doc_id int, page int, box struct<x0:double,y0:double,x1:double,y1:double>")
+    assert sorted(r.block for r in tables.uncovered(found, blocks, known).collect()) == [2, 7]
