@@ -87,17 +87,17 @@ def below_headers(blocks: DataFrame, margin: float = 15.0, widest: float = 2.2)
     b, h = F.col("box"), F.col("hb")
     mid = (b.x0 + b.x1) / 2
     fits = (b.y0 > h.y1) & mid.between(h.x0 - margin, h.x1 + margin) & ((b.x1 - b.x0) <= (h.x1 - h.x0) * widest) & valid_cell(F.col("t"), F.col("text"))
-    # All that lies below a header within its sides and the margin.
+    # All that lies below a header within its sides and the margin; it reaches down the page, so it is cut into columns only.
     stripe = F.struct((h.x0 - margin).alias("x0"), h.y1.alias("y0"), (h.x1 + margin).alias("x1"), F.lit(1e12).alias("y1"))
-    found = box_join(blocks, heads.withColumn("stripe", stripe), ["doc_id", "page"], "box", "stripe").filter(fits)
+    found = box_join(blocks, heads.withColumn("stripe", stripe), ["doc_id", "page"], "box", "stripe", axes=(0,)).filter(fits)
     return found.groupBy("doc_id", "page", "block").agg(F.max_by("t", F.struct(F.col("hb.y1"), -F.col("h"))).alias("entity_type"))
 
 
 def uncovered(found: DataFrame, blocks: DataFrame, entities: DataFrame) -> DataFrame:
     """Blocks of ``found`` (doc_id, page, block, entity_type) that no entity (doc_id, page, box) covers, with their text."""
-    rows = found.join(blocks.select("doc_id", "page", "block", "text", "box"), ["doc_id", "page", "block"])
+    rows = found.join(blocks.select("doc_id", "page", "block", "text", "box").hint("merge"), ["doc_id", "page", "block"])
     covered = box_join(rows, entities.select("doc_id", "page", F.col("box").alias("k")), ["doc_id", "page"], "box", "k").select("doc_id", "page", "block").distinct()
-    return rows.join(covered, ["doc_id", "page", "block"], "left_anti")
+    return rows.join(covered.hint("merge"), ["doc_id", "page", "block"], "left_anti")
 
 
 #: Types that a header's type replaces, and header types that do (fixed values).
@@ -108,9 +108,9 @@ def overridden(entities: DataFrame, cells: DataFrame) -> DataFrame:
     """Entities with the type of the table cell that they overlap, where it is a stronger one; of several the first."""
     c = cells.filter(F.col("entity_type").isin(STRONG)).select("doc_id", F.col("start").alias("s0"), F.col("end").alias("e0"), F.col("entity_type").alias("t"))
     e = entities.filter(F.col("entity_type").isin(WEAK)).select("doc_id", "start", "end", "entity_type").distinct()
-    met = e.join(c, "doc_id").filter((F.col("start") < F.col("e0")) & (F.col("end") > F.col("s0")))
+    met = e.join(c.hint("merge"), "doc_id").filter((F.col("start") < F.col("e0")) & (F.col("end") > F.col("s0")))
     best = met.groupBy("doc_id", "start", "end", "entity_type").agg(F.min_by("t", F.struct("s0", "e0")).alias("t"))
-    out = entities.join(best, ["doc_id", "start", "end", "entity_type"], "left")
+    out = entities.join(best.hint("merge"), ["doc_id", "start", "end", "entity_type"], "left")
     return out.withColumn("entity_type", F.coalesce("t", "entity_type")).drop("t").select(*entities.columns)
 
 
@@ -120,7 +120,7 @@ def blocks_of(entities: DataFrame, blocks: DataFrame) -> DataFrame:
     The range join is by document; the box is padded by one point left and two right, within the block's.
     """
     e, b = entities.alias("e"), blocks.alias("b")
-    met = e.join(b, (F.col("e.doc_id") == F.col("b.doc_id")) & (F.col("e.start") < F.col("b.end_index")) & (F.col("e.end") > F.col("b.start_index")))
+    met = e.join(b.hint("merge"), (F.col("e.doc_id") == F.col("b.doc_id")) & (F.col("e.start") < F.col("b.end_index")) & (F.col("e.end") > F.col("b.start_index")))
     box, length = F.col("b.box"), F.greatest(F.col("b.end_index") - F.col("b.start_index"), F.lit(1))
     at = lambda i: box.x0 + (box.x1 - box.x0) * (F.least(F.greatest(i, F.col("b.start_index")), F.col("b.end_index")) - F.col("b.start_index")) / length
     x0, x1 = F.greatest(at(F.col("e.start")) - 1, box.x0), F.least(at(F.col("e.end")) + 2, box.x1)
@@ -138,7 +138,7 @@ def page_offsets(pages: DataFrame) -> DataFrame:
 def pages_of(entities: DataFrame, pages: DataFrame) -> DataFrame:
     """Entities with the page that their start lies in, and their offsets within it."""
     p = pages.select(F.col("doc_id").alias("k"), "page", "start_offset", "end_offset")
-    met = entities.join(p, (F.col("doc_id") == F.col("k")) & (F.col("start") >= F.col("start_offset")) & (F.col("start") < F.col("end_offset")))
+    met = entities.join(p.hint("merge"), (F.col("doc_id") == F.col("k")) & (F.col("start") >= F.col("start_offset")) & (F.col("start") < F.col("end_offset")))
     return met.select(*entities.columns, "page", (F.col("start") - F.col("start_offset")).alias("page_start"), (F.col("end") - F.col("start_offset")).alias("page_end"))
 
 
