@@ -58,7 +58,8 @@ def dual_channel(expected: DataFrame, detected: DataFrame, spans: float = 0.5, b
     distance, n, near = _read_as(F.col("e_text"), F.col("d_text"), F.col("entity_type"), edits)
     sound = (F.col("e0") >= 0) & (F.col("d0") >= 0) & (F.col("e1") > F.col("e0")) & (F.col("d1") > F.col("d0"))
     line, area = V.iou(F.col("e0"), F.col("e1"), F.col("d0"), F.col("d1")), V.box_iou(F.col("e_box"), F.col("d_box"))
-    met = e.join(d, ["doc_id", "page", "entity_type"]).withColumn("iou", F.when(F.col("is_ocr"), area).when(sound, line))
+    # Both sides grow with the documents, whatever their sizes are taken to be: neither goes to the driver.
+    met = e.join(d.hint("merge"), ["doc_id", "page", "entity_type"]).withColumn("iou", F.when(F.col("is_ocr"), area).when(sound, line))
     met = met.filter(F.when(F.col("is_ocr"), (F.col("iou") >= boxes) & near).otherwise(F.col("iou") >= spans)).withColumn("distance", distance)
     same = (F.col("e0") == F.col("d0")) & (F.col("e1") == F.col("d1"))
     shared = F.least("e1", "d1") - F.greatest("e0", "d0")
@@ -147,11 +148,11 @@ def duplicates(detected: DataFrame, matched: DataFrame, least: float = 0.4) -> D
     """(doc_id, d_id, duplicate_of): detections not in ``matched`` (doc_id, d_id) that share ``least`` with a matched one
     of their page and type, by boxes where both have one, else by spans; of several the one that shares most."""
     d = detected.select("doc_id", "page", "entity_type", F.col("id").alias("d_id"), "start", "end", valid_box(F.col("box")).alias("box"))
-    free = d.join(matched.select("doc_id", "d_id"), ["doc_id", "d_id"], "left_anti")
-    used = d.join(matched.select("doc_id", "d_id"), ["doc_id", "d_id"], "left_semi").select("doc_id", "page", "entity_type", F.col("d_id").alias("u"), F.col("start").alias("s0"), F.col("end").alias("e0"), F.col("box").alias("k"))
+    free = d.join(matched.select("doc_id", "d_id").hint("merge"), ["doc_id", "d_id"], "left_anti")
+    used = d.join(matched.select("doc_id", "d_id").hint("merge"), ["doc_id", "d_id"], "left_semi").select("doc_id", "page", "entity_type", F.col("d_id").alias("u"), F.col("start").alias("s0"), F.col("end").alias("e0"), F.col("box").alias("k"))
     spanned = (F.col("end") > F.col("start")) & (F.col("e0") > F.col("s0"))
     share = F.when(F.col("box").isNotNull() & F.col("k").isNotNull(), V.box_iou(F.col("box"), F.col("k"))).when(spanned, V.iou(F.col("start"), F.col("end"), F.col("s0"), F.col("e0")))
-    met = free.join(used, ["doc_id", "page", "entity_type"]).withColumn("iou", share).filter(F.col("iou") >= least)
+    met = free.join(used.hint("merge"), ["doc_id", "page", "entity_type"]).withColumn("iou", share).filter(F.col("iou") >= least)
     return met.groupBy("doc_id", "d_id").agg(F.max_by("u", F.struct("iou", -F.col("u"))).alias("duplicate_of"))
 
 
@@ -175,7 +176,7 @@ def shapes(entities: DataFrame, words: DataFrame) -> DataFrame:
     )
     w = words.select(F.col("doc_id").alias("k"), "ord", "text", "start_index", "end_index", F.col("box").cast(_BOX).alias("box"), F.col("symbols").cast(f"array<{_BOX}>").alias("symbols"))
     e = entities.select("doc_id", "start", "end", "entity_type").distinct()
-    met = e.join(w, (F.col("doc_id") == F.col("k")) & (F.col("start_index") < F.col("end")) & (F.col("end_index") > F.col("start")))
+    met = e.join(w.hint("merge"), (F.col("doc_id") == F.col("k")) & (F.col("start_index") < F.col("end")) & (F.col("end_index") > F.col("start")))
     met = met.withColumn("first", first).withColumn("last", last).withColumn("part", part)
     key = ["doc_id", "start", "end", "entity_type"]
     held = met.groupBy(*key).agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "part"))), lambda x: x["part"]).alias("bs"))
