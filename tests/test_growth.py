@@ -1,8 +1,11 @@
 """Plans that hold for larger tables: how work is dealt, read and joined."""
 
+import re
+
 from pyspark.sql import functions as F
 
-from palimpsest.operators import boxes, evaluate, policy, recognise, tables
+from palimpsest.functions import text
+from palimpsest.operators import boxes, evaluate, policy, recognise, tables, vote
 from palimpsest.operators.spatial import box_join
 from palimpsest.plans import carriers, registry
 
@@ -52,3 +55,27 @@ def test_a_stripe_down_a_page_is_one_cell_of_a_column(spark):
     other = blocks.select("doc_id", "page", F.col("block").alias("other"), F.col("box").alias("k"))
     pairs = [sorted((r.block, r.other) for r in box_join(blocks, other, ["doc_id", "page"], "box", "k", axes=axes).collect()) for axes in [(0,), (0, 1)]]
     assert pairs[0] == pairs[1] == [(i, i) for i in range(4)]
+
+
+def test_matches_are_cut_out_without_lambdas(spark):
+    docs = spark.createDataFrame([(1, "Mobile: 9876543210")], "doc_id bigint, text string")
+    below = plan(recognise._all_spans(docs, registry.MAIN)).splitlines()
+    # One that leaves out patterns without a match, and those for the places of pieces of texts with many.
+    assert sum("lambdafunction" in line for line in below if "Project" in line or "Generate" in line) <= 2
+    near = F.lower("text")
+    assert "lambdafunction" not in plan(docs.select(vote.adjusted(F.col("doc_id") * 0.5, F.lit("PAN_NUMBER"), near), text.bounded_context(near, near)))
+
+
+def test_texts_of_many_matches_have_the_same_spans_and_surroundings(spark):
+    texts = {i: ("é" * (i % 5) + "ab ") * i + "x" * 200 + "b" * (i % 90) for i in (1, 16, 17, 33, 300, 5000)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    rules = [recognise.Rule("p", "P", "[ab]", 1.0), recognise.Rule("q", "Q", "a(b)", 1.0, 1), recognise.Rule("s", "S", "[a-é]+", 1.0, 0, "é")]
+    found = sorted((r.rule, r.doc_id, r.start, r.end, r.value, r.before, r.after) for r in recognise._all_spans(docs, rules).collect())
+    want = []
+    for r in rules:
+        for k, t in texts.items():
+            for m in re.finditer(r.pattern, t):
+                (a, b), w = m.span(r.group), recognise.WIDTH
+                if r.keep is None or re.search(r.keep, m.group(r.group)):
+                    want.append((r.id, k, a, b, m.group(r.group), t[max(a - w, 0) : a], t[b : b + w]))
+    assert found == sorted(want)
