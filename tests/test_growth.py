@@ -79,3 +79,20 @@ def test_texts_of_many_matches_have_the_same_spans_and_surroundings(spark):
                 if r.keep is None or re.search(r.keep, m.group(r.group)):
                     want.append((r.id, k, a, b, m.group(r.group), t[max(a - w, 0) : a], t[b : b + w]))
     assert found == sorted(want)
+
+
+def test_lines_of_candidates_are_worked_out_once_and_plain_marks_go_without_patterns(spark):
+    steps = plan(registry.candidates(spark, SF))
+    # The steps of a score and of a gate find a line once each.
+    assert "translate(concat" not in steps and steps.count("substring_index(_lines") == 2
+    assert r"\Qpincode\E|\Qpostal\E|\Qzip\E|\Qpost\E|\Qपिन\E|\Qपिन कोड\E" not in steps
+    docs = spark.createDataFrame([(1, "Mobile: 9876543210")], "doc_id bigint, text string")
+    assert "\u0003" not in plan(recognise._all_spans(docs, registry.MAIN)).split("Generate")[1]
+
+
+def test_context_in_columns_is_the_context(spark):
+    around = ["One. Two 12 three\nfour", "", "12", "a.12.b", "x12\n12", "Éà. 😀 12 end. 12", "no such value", None]
+    rows = spark.createDataFrame([(a, s) for a in around for s in ("12", " 12 ", "", "2 t", "12.b", "12\n12", "Two 12 three\nfour", None)], "around string, span string")
+    rows = text.with_context(rows, "near", F.col("around"), F.col("span")).withColumn("want", text.bounded_context(F.col("around"), F.col("span")))
+    found = {(r.around, r.span): r.near for r in rows.filter("near <=> want").collect()}
+    assert len(found) == 64 and found["One. Two 12 three\nfour", " 12 "] == " two 12 three" and found["a.12.b", "12.b"] == "a.12.b" and found["x12\n12", ""] == "x12"
