@@ -96,3 +96,17 @@ def test_context_in_columns_is_the_context(spark):
     rows = text.with_context(rows, "near", F.col("around"), F.col("span")).withColumn("want", text.bounded_context(F.col("around"), F.col("span")))
     found = {(r.around, r.span): r.near for r in rows.filter("near <=> want").collect()}
     assert len(found) == 64 and found["One. Two 12 three\nfour", " 12 "] == " two 12 three" and found["a.12.b", "12.b"] == "a.12.b" and found["x12\n12", ""] == "x12"
+
+
+def test_patterns_of_a_scan_are_run_once(spark):
+    steps = plan(registry.candidates(spark, SF))
+    assert all(steps.count(r.pattern + ",") == 1 for r in registry.MAIN)
+
+
+def test_a_match_is_placed_by_its_marks_beside_patterns_with_a_group(spark):
+    text = "a1 " * 40 + "x\u0001y\u0002z\u0003 a2 b3"
+    docs = spark.createDataFrame([(1, text), (2, "b4 a5 b6")], "doc_id bigint, text string")
+    rules = [recognise.Rule("p", "P", "[ab][0-9]", 1.0), recognise.Rule("q", "Q", "a([0-9])", 1.0, 1)]
+    found = sorted((r.rule, r.doc_id, r.start, r.value) for r in recognise._all_spans(docs, rules).collect())
+    want = [(r.id, k, m.start(r.group), m.group(r.group)) for r in rules for k, t in ((1, text), (2, "b4 a5 b6")) for m in re.finditer(r.pattern, t)]
+    assert found == sorted(want)
