@@ -110,3 +110,9 @@ def test_a_match_is_placed_by_its_marks_beside_patterns_with_a_group(spark):
     found = sorted((r.rule, r.doc_id, r.start, r.value) for r in recognise._all_spans(docs, rules).collect())
     want = [(r.id, k, m.start(r.group), m.group(r.group)) for r in rules for k, t in ((1, text), (2, "b4 a5 b6")) for m in re.finditer(r.pattern, t)]
     assert found == sorted(want)
+
+
+def test_a_decision_is_worked_out_once(spark):
+    steps = plan(policy.active(registry.decided(spark, SF)))
+    filters = [line for line in steps.splitlines() if "Filter" in line]
+    assert any("rejected" in line for line in filters) and not any("INSET" in line or "RLIKE" in line or "regexp_replace" in line for line in filters)
