@@ -116,3 +116,9 @@ def test_a_decision_is_worked_out_once(spark):
     steps = plan(policy.active(registry.decided(spark, SF)))
     filters = [line for line in steps.splitlines() if "Filter" in line]
     assert any("rejected" in line for line in filters) and not any("INSET" in line or "RLIKE" in line or "regexp_replace" in line for line in filters)
+
+
+def test_entities_read_again_are_elected_without_sets_of_sources(spark):
+    found = registry.settled(spark, SF)
+    assert found.columns == ["doc_id", "start", "end", "entity_type", "text", "score"]
+    assert "ObjectHashAggregate" not in plan(registry.entities(spark, SF).select(found.columns))
